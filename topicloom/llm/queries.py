@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from topicloom.llm.common import Scratch
 
@@ -29,6 +30,26 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.urls import BLOCK_WORDS, CONTRACT_RULES, url_verdicts, word_rule
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_verdicts(pages, [*CONTRACT_RULES, *map(word_rule, BLOCK_WORDS)]).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.lines import dedup_lines
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, Scratch(spark, "op5")).select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.quality import quality_rules
 
