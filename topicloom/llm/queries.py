@@ -56,6 +56,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Scratch(spark, "op8"))
 
 
+def op10_pack_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from topicloom.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), Scratch(spark, "op10"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
