@@ -180,3 +180,41 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         labels, k = kept.select("id", "component"), k + 1
         if not moved:
             return labels
+
+
+def deal_blocks(left: DataFrame, right: DataFrame, keys: list[str], block: int = 512) -> DataFrame:
+    """Rows of both sides (left marked 0, right 1 in ``side``) by keys and by
+    blocks ``l`` and ``r``: each block of left rows of a key meets each block of
+    its right rows, so no task holds more than two blocks of a key at a time.
+    Both sides have the same columns, among them ``id``."""
+    sizes = left.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("nl")).join(right.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("nr")), keys)
+    rest = [c for c in left.columns if c not in keys]
+
+    def dealt(side: DataFrame, mark: int) -> DataFrame:
+        own, other = ("nl", "nr") if mark == 0 else ("nr", "nl")
+        mine, theirs = F.pmod(F.xxhash64("id"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        l, r = (mine, theirs) if mark == 0 else (theirs, mine)
+        return side.join(sizes, keys).select(*keys, l.alias("l"), r.alias("r"), F.lit(mark).alias("side"), *rest)
+
+    return dealt(left, 0).union(dealt(right, 1)).repartition(*keys, "l", "r").sortWithinPartitions(*keys, "l", "r", "side")
+
+
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
+    """Rows of each run of equal values in the first ``n_keys`` integer columns,
+    of which the batches come sorted."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        keys = np.stack([rows.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), rows.num_rows], strict=True):
+            now = keys[:, a].tolist()
+            if held and now != last:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            last = now
+            held.append(rows.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -56,6 +56,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.vectors import vector_duplicates
+
+    return vector_duplicates(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op7"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.quality import quality_rules
 
