@@ -68,6 +68,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), Scratch(spark, "op8"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.suffix import dedup_bytes
+
+    rows = dedup_bytes(_table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_pack_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
