@@ -32,16 +32,17 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
-    """(doc_id, n_tokens, first, ids): ids as little-endian unsigned 32-bit
-    integers with the end id, first the number of full windows before this
+    """(doc_id, n_tokens, first, ids): ids as bytes of the encoder's kind, with
+    the end id, first the number of full windows before this
     document in its task, made unique by the task's number."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_for(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = encoder_for(tokenizer)
+        end = np.array([end_id], encoder.kind).tobytes()
         first = TaskContext.get().partitionId() << 40
         for rows, ids in encoded(batches, encoder, 1):
             each = [x + end for x in ids]
-            n = np.array([len(x) // 4 for x in each], np.int64)
+            n = np.array([len(x) for x in each], np.int64) // encoder.kind.itemsize
             full = n // window
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(first + np.cumsum(full) - full), pa.array(each, pa.binary())], names=["doc_id", "n_tokens", "first", "ids"])
             first += int(full.sum())
@@ -49,32 +50,35 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> Data
     return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(kernel, "doc_id bigint, n_tokens bigint, first bigint, ids binary")
 
 
-def full_windows(tokens: DataFrame, window: int) -> DataFrame:
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def full_windows(tokens: DataFrame, window: int, kind: np.dtype) -> DataFrame:
     """Pieces that fill a sequence alone."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, n, first, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
-                raw = ids.as_buffer()
-                rows += [(doc, k * window, window, zlib.crc32(raw[4 * k * window : 4 * (k + 1) * window]), n, first + k, 0) for k in range(n // window)]
+                held = np.frombuffer(ids.as_buffer(), kind)
+                rows += [(doc, k * window, window, _crc(held[k * window : (k + 1) * window]), n, first + k, 0) for k in range(n // window)]
             yield _pieces(rows)
 
     return tokens.where(F.col("n_tokens") >= window).mapInArrow(kernel, PIECE)
 
 
-def document_frequency(tokens: DataFrame) -> DataFrame:
+def document_frequency(tokens: DataFrame, kind: np.dtype) -> DataFrame:
     """(id, df) over all documents; as many rows as the vocabulary at most."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                seen = np.frombuffer(ids.as_buffer(), "<u4")
-                top = int(seen.max()) + 1
-                if top > len(total):
-                    total = np.concatenate((total, np.zeros(top - len(total), np.int64)))
-                total[np.unique(seen)] += 1
+                seen = np.sort(np.frombuffer(ids.as_buffer(), kind), kind="stable")
+                if int(seen[-1]) >= len(total):
+                    total = np.concatenate((total, np.zeros(int(seen[-1]) + 1 - len(total), np.int64)))
+                total[seen[np.concatenate(([True], seen[1:] != seen[:-1]))]] += 1
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["id", "df"])
 
@@ -115,10 +119,10 @@ class Index:
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size)
 
 
-def pack_shard(shard: int, rows: list[tuple[int, int, int, bytes]], idf: np.ndarray, mean_length: float, window: int, query_terms: int) -> list[tuple]:
+def pack_shard(shard: int, rows: list[tuple[int, int, int, bytes]], idf: np.ndarray, mean_length: float, window: int, query_terms: int, kind: np.dtype) -> list[tuple]:
     """Pieces of a shard's rests (doc_id, start, doc_tokens, ids)."""
     rows = sorted(rows, key=lambda r: (-len(r[3]), r[0], r[1]))  # long seeds first
-    ids = [np.frombuffer(r[3], "<u4") for r in rows]
+    ids = [np.frombuffer(r[3], kind) for r in rows]
     index = Index(ids, idf, mean_length, query_terms)
     unused, done = np.ones(len(rows), bool), [0] * len(rows)
     sequences: list[list[tuple[int, int, int]]] = []  # (row, from, length) each
@@ -166,8 +170,8 @@ def pack_shard(shard: int, rows: list[tuple[int, int, int, bytes]], idf: np.ndar
                 take = min(n, size - offset)
                 if take < n:
                     parts.append((k, a + take, n - take))
-                doc, start, total, raw = rows[k]
-                out.append((doc, start + a, take, zlib.crc32(raw[4 * a : 4 * (a + take)]), total, number, offset))
+                doc, start, total, _ = rows[k]
+                out.append((doc, start + a, take, _crc(ids[k][a : a + take]), total, number, offset))
                 offset += take
             number += 1
     return out
@@ -186,20 +190,22 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 1, win
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
+    kind = encoder_for(tokenizer).kind
+    width = kind.itemsize
     tokens = scratch.keep(tokenized(docs, tokenizer, end_id, window), "tokens")
     rest = (F.col("n_tokens") % window).cast("int")
     count, total, rests = tokens.agg(F.count("*"), F.sum("n_tokens"), F.sum(rest)).first()
     shards = max(1, -(-(rests or 0) // shard_tokens))
-    df = document_frequency(tokens).collect()  # at most one row a vocabulary entry
+    df = document_frequency(tokens, kind).collect()  # at most one row a vocabulary entry
     idf = np.zeros(max((r.id for r in df), default=0) + 1)
     for r in df:
         idf[r.id] = np.log((count - r.df + 0.5) / (r.df + 0.5))
     sent = docs.sparkSession.sparkContext.broadcast((idf, (total or 1) / max(1, count)))
-    tails = tokens.where(rest > 0).select(F.pmod(F.xxhash64("doc_id", "first"), F.lit(shards)).cast("int").alias("shard"), "doc_id", (F.col("n_tokens") - rest).alias("start"), "n_tokens", F.expr(f"substring(ids, cast(4 * (n_tokens - n_tokens % {window}) + 1 as int), cast(4 * (n_tokens % {window}) as int))").alias("ids"))
+    tails = tokens.where(rest > 0).select(F.pmod(F.xxhash64("doc_id", "first"), F.lit(shards)).cast("int").alias("shard"), "doc_id", (F.col("n_tokens") - rest).alias("start"), "n_tokens", F.expr(f"substring(ids, cast({width} * (n_tokens - n_tokens % {window}) + 1 as int), cast({width} * (n_tokens % {window}) as int))").alias("ids"))
 
     def kernel(table: pa.Table) -> pa.Table:
         idf, mean_length = sent.value
         rows = list(zip(*(table.column(k).to_pylist() for k in ("doc_id", "start", "n_tokens", "ids")), strict=True))
-        return pa.Table.from_batches([_pieces(pack_shard(table.column("shard")[0].as_py(), rows, idf, mean_length, window, query_terms))])
+        return pa.Table.from_batches([_pieces(pack_shard(table.column("shard")[0].as_py(), rows, idf, mean_length, window, query_terms, kind))])
 
-    return full_windows(tokens, window).union(tails.groupBy("shard").applyInArrow(kernel, PIECE))
+    return full_windows(tokens, window, kind).union(tails.groupBy("shard").applyInArrow(kernel, PIECE))

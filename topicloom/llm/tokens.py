@@ -4,6 +4,7 @@ and read back stripe by stripe."""
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -16,16 +17,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
+_rare_space = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0\u200b-\u200f\ufeff]").search
+
+
+def _plain(text: str) -> bool:
+    """Whether the only white space is single spaces and single line ends, none
+    beside another, and there are no control characters."""
+    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
+        return False
+    if text.isascii():
+        return text.replace("\n", "").isprintable()
+    return _rare_space(text) is None
 
 
 class Encoder:
     """Whole-text encoding with the tokenizers library, through a cache of
-    segments.
+    words.
 
     A text is cut only where the tokenizer itself always cuts, so joining the
-    ids of segments gives the ids of the text. New segments are encoded
-    together. The cache holds at most ``limit`` segments and starts anew beyond
-    that, which changes no result.
+    ids of its parts gives the ids of the text: before single spaces and around
+    single line ends in plain texts; other texts are encoded whole. New words
+    are encoded together. The cache holds about ``limit`` words and starts anew
+    beyond that, which changes no result.
     """
 
     def __init__(self, path: str, limit: int = 1_500_000):
@@ -34,54 +47,114 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[str, bytes] = {}
+        #: How ids are held: little-endian, 16 bits where the vocabulary fits.
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.after_space: dict[str, bytes] = {}
+        self.at_start: dict[str, bytes] = {}
         self.limit = limit
-        size = self.tokenizer.get_vocab_size()
-        pieces = [self.tokenizer.id_to_token(k) or "" for k in range(size)]
+        pieces = [self.tokenizer.id_to_token(k) or "" for k in range(self.tokenizer.get_vocab_size())]
+        #: White space is dropped and words end in a marked token; else a byte-level vocabulary, whose tokens mark a space before.
         self.word_end = any(p.endswith("</w>") for p in pieces[:2000])
-        if self.word_end:
-            # white space separates and is dropped: any ASCII white space is a cut, and a run of letters is one piece
-            self.mark = np.array([p.endswith("</w>") for p in pieces])
-            self.find = re.compile(rf"[{LETTERS}]+(?=[., \n])|[^ \n\t\r]+").findall
-            self.simple = re.compile(rf"[{LETTERS}]+").fullmatch
-            self.odd = None
-        else:
-            # byte level: a cut before a space or a comma that follows a letter, and before white space that follows none
-            self.mark = np.array([p.startswith("Ġ") for p in pieces])
-            self.find = re.compile(rf" ?[{LETTERS}]+(?=[., \n])|[ \n]+[^ \n.,]*[^ \n]*|[.,][^ \n]*|[^ \n]+").findall
-            self.simple = re.compile(rf" [{LETTERS}]+").fullmatch
-            self.odd = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0\ufeff]").search
+        self.mark = np.array([p.endswith("</w>") if self.word_end else p.startswith("Ġ") for p in pieces])
+        self.letters = re.compile(rf"[{LETTERS}]+").fullmatch
+        self.lone = re.compile(rf"[{LETTERS}]+[.,]").fullmatch
+        self.signs = {x: self._one(x) for x in ".,"}
+        self.line_end = b"" if self.word_end else self._one("\n")
+
+    def _one(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _many(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        plain, other = [], []
-        for x in new:
-            (plain if self.simple(x) else other).append(x)
-        for x, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.cache[x] = np.asarray(e.ids, "<u4").tobytes()
-        groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
-        glue = " " if self.word_end else ""
-        for part, e in zip(groups, self.tokenizer.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, "<u4")
+        """Caches words as they are encoded after a space. Many are joined to one
+        text, whose ids are cut at marks: of the space before a word, or of the
+        end of a word of letters."""
+        if self.word_end:
+            other = [x for x in new if not self.letters(x)]
+            for x, ids in zip(other, self._many(other), strict=True):
+                self.after_space[x] = ids.tobytes()
+            new = [x for x in new if self.letters(x)]
+        groups = [new[k : k + 512] for k in range(0, len(new), 512)]
+        joined = [" ".join(g) if self.word_end else "".join([" " + x for x in g]) for g in groups]
+        for part, ids in zip(groups, self._many(joined), strict=True):
             at = np.flatnonzero(self.mark[ids])
             cuts = np.concatenate(([0], at + 1)) if self.word_end else np.concatenate((at, [len(ids)]))
             if len(cuts) != len(part) + 1 or cuts[0] or cuts[-1] != len(ids):  # not of the expected form: one by one
                 for x in part:
-                    self.cache[x] = np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+                    self.after_space[x] = self._one(x if self.word_end else " " + x)
                 continue
-            raw = ids.tobytes()
-            for x, a, b in zip(part, (cuts[:-1] * 4).tolist(), (cuts[1:] * 4).tolist(), strict=True):
-                self.cache[x] = raw[a:b]
+            raw, cuts = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
+            self.after_space.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        cut = [None if x and self.odd and self.odd(x) else self.find(x) if x else [] for x in texts]
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cache = self.cache
-        if new := list({y for x in cut if x for y in x if y not in cache}):
-            self._learn(new)
-        get = cache.__getitem__
-        return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, cut, strict=True)]
+        """The ids of each text, as bytes of ``kind``; null is empty."""
+        if len(self.after_space) + len(self.at_start) > self.limit:
+            self.after_space.clear()
+            self.at_start.clear()
+        if self.word_end:
+            return self._encode_words(texts)
+        get, first = self.after_space.get, self.at_start
+        parts: list[list | None] = []  # of each text: its line heads, then for each line the ids of its other words
+        missing: list[tuple[list, int, str]] = []
+        for t in texts:
+            if not t or not _plain(t):
+                parts.append(None)
+                continue
+            lines = []
+            for line in t.split("\n"):
+                head, *words = line.split(" ")
+                ids = list(map(get, words))
+                if None in ids:
+                    missing += [(ids, k, words[k]) for k, x in enumerate(ids) if x is None]
+                lines.append((head, ids))
+            parts.append(lines)
+        self._fill(missing)
+        heads = {h for lines in parts if lines for h, _ in lines if h not in first}
+        if heads:
+            new = list(heads)
+            first.update(zip(new, [x.tobytes() for x in self._many(new)], strict=True))
+        return [self.line_end.join([first[h] + b"".join(ids) for h, ids in lines]) if lines else self._one(t) if t else b"" for t, lines in zip(texts, parts, strict=True)]
+
+    def _fill(self, missing: list[tuple[list, int, str]]) -> None:
+        """Learns the words behind the gaps. A word that ends in a comma or full
+        stop after a letter is its stem's ids and the sign's."""
+        if missing:
+            known, new, ended = self.after_space, set(), set()
+            for w in {w for _, _, w in missing}:
+                if w[-1:] in self.signs and self.lone(w):
+                    ended.add(w)
+                    if w[:-1] not in known:
+                        new.add(w[:-1])
+                else:
+                    new.add(w)
+            self._learn(list(new))
+            for w in ended:
+                known[w] = known[w[:-1]] + self.signs[w[-1]]
+            for ids, k, w in missing:
+                ids[k] = known[w]
+
+    def _encode_words(self, texts: list[str | None]) -> list[bytes]:
+        get = self.after_space.get
+        parts, missing = [], []
+        for t in texts:
+            if t and (t.isascii() and t.replace("\n", "").isprintable() or _rare_space(t) is None):
+                words = t.split()
+                ids = list(map(get, words))
+                if None in ids:
+                    missing += [(ids, k, words[k]) for k, x in enumerate(ids) if x is None]
+                parts.append(ids)
+            else:
+                parts.append(None)
+        self._fill(missing)
+        return [b"".join(ids) if ids is not None else self._one(t) if t else b"" for t, ids in zip(texts, parts, strict=True)]
+
+
+@functools.cache
+def encoder_for(path: str) -> Encoder:
+    """One for each worker process, so that tasks share its cache."""
+    return Encoder(path)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, column: int, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -103,13 +176,14 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_by
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, end = Encoder(tokenizer), 0, np.array([end_id], "<u4").tobytes()
+        encoder, before = encoder_for(tokenizer), 0
+        end = np.array([end_id], encoder.kind).tobytes()
         part = TaskContext.get().partitionId()
         for rows, ids in encoded(batches, encoder, 1):
             each = [x + end for x in ids]
-            n = np.array([len(x) // 4 for x in each], np.int64)
+            n = np.array([len(x) for x in each], np.int64) // encoder.kind.itemsize
             at = np.concatenate(([0], np.cumsum(n)))
-            values = np.frombuffer(b"".join(each), "<i4")
+            values = np.frombuffer(b"".join(each), encoder.kind).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(before + at[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))],
                 names=["doc_id", "part", "before", "n_tokens", "ids"],
@@ -118,16 +192,18 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int, stripe_by
 
     rows = docs.select("doc_id", F.col("text").alias("_text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text")
     out = rows.mapInArrow(kernel, "doc_id bigint, part int, before bigint, n_tokens bigint, ids array<int>")
-    out.write.option("compression", "zstd").option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", index_rows).option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
+    out.write.option("compression", "lz4").option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", index_rows).option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)
 
 
-def read_orc(spark: SparkSession, path: str) -> DataFrame:
+def read_orc(spark: SparkSession, path: str, broadcast_files: int = 500_000) -> DataFrame:
     """The written documents, with ``start``: the ids of all documents before.
-    Only sums of the files, one row each, meet in one task."""
+    Only sums of the files, one row each, meet in one task; they are broadcast
+    up to ``broadcast_files`` rows of 12 bytes, and joined by a shuffle beyond."""
     rows = spark.read.schema("doc_id bigint, part int, before bigint, n_tokens bigint, ids array<int>").orc(path)
     files = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     ahead = files.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("ahead"))
-    return rows.join(ahead, "part").select("doc_id", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids")
+    few = files.limit(broadcast_files + 1).count() <= broadcast_files
+    return rows.join(F.broadcast(ahead) if few else ahead, "part").select("doc_id", (F.col("ahead") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def digest(rows: DataFrame) -> DataFrame:
