@@ -80,7 +80,7 @@ def after_header(of: Column) -> Column:
 
 def without_walls(of: Column) -> Column:
     """Lines that have white space inside, once their right end is trimmed."""
-    return F.filter(of, lambda x: F.regexp_replace(x, SPACE + "$", "").rlike(SPACE))
+    return F.filter(of, lambda x: F.regexp_replace(x, SPACE + r"\z", "").rlike(SPACE))
 
 
 def paragraphs(text: Column) -> Column:

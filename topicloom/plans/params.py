@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, fields
+from typing import ClassVar
 
 
 def _parsed(text: object, default: object) -> object:
@@ -22,6 +23,7 @@ def _parsed(text: object, default: object) -> object:
 class BatchParams:
     """For batch learning on unlabelled text; num_docs -1 takes all."""
 
+    UNUSED: ClassVar[tuple[str, ...]] = ()
     debug: bool = False
     print_num_words_per_topic: int = 50
     shuffle_data: bool = False
@@ -37,7 +39,7 @@ class BatchParams:
 
     @classmethod
     def of(cls, **given: object):
-        known = {f.name: f.default for f in fields(cls)}
+        known = {f.name: f.default for f in fields(cls) if f.name not in cls.UNUSED}
         if unknown := sorted(set(given) - set(known)):
             raise ValueError(f"unknown parameters: {', '.join(unknown)}")
         return cls(**{k: _parsed(v, known[k]) for k, v in given.items()})
@@ -51,6 +53,7 @@ class FilterParams(BatchParams):
     """For the online filter and labelled Gibbs runs; the reservoir and the
     rejuvenation sample count documents."""
 
+    UNUSED: ClassVar[tuple[str, ...]] = ("num_docs", "num_iters")
     reservoir_size: int = 1000
     ess_threshold: float = 20.0
     resample_per_token: bool = False
