@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import CHUNK_BYTES, Scratch, chunks, components, mix, prefix_hash, range_hash, texts, windows, words
+from topicloom.llm.common import CHUNK_BYTES, Scratch, chunks, components, deal_blocks, mix, prefix_hash, range_hash, runs, texts, windows, words
 
 BANDS, BAND_ROWS = 40, 5
 SHINGLE = 5
@@ -87,7 +87,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     sig = minhash(s)
                     grid = sig.reshape(BANDS, BAND_ROWS).astype(np.uint64)
                     bands.append(mix((grid * weight).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-                    low.append((sig >> np.uint32(24)).astype(np.uint8).tobytes())
+                    low.append(((sig * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8).tobytes())  # eight mixed bits: minima are small, so their top bits say little
                 else:
                     bands.append(np.empty(0, np.int64))
                     low.append(b"")
@@ -104,8 +104,8 @@ def prune_table(total: int, batch: int, threshold: float, miss: float) -> dict[i
     """For each number of compared hashes, the fewest agreements with which a
     pair stays: below it P(similarity >= threshold | agreements) < miss.
 
-    Prior: uniform on [0, 1]. Signatures hold the top 8 bits of each minimum,
-    so hashes also agree by chance; that is not subtracted, which only keeps
+    Prior: uniform on [0, 1]. Signatures hold 8 mixed bits of each minimum, so
+    one in 256 also agrees by chance; that is not subtracted, which only keeps
     more pairs.
     """
     grid = np.linspace(0.0005, 0.9995, 1000)
@@ -121,26 +121,86 @@ def prune_table(total: int, batch: int, threshold: float, miss: float) -> dict[i
     return out
 
 
-def bayes_survivors(pairs: DataFrame, threshold: float = 0.75, miss: float = 1e-5, batch: int = 40) -> DataFrame:
+def _compare(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, least: dict[int, int], batch: int) -> np.ndarray:
+    """Which of the pairs (x[i], y[j]) outlast all batches of hashes."""
+    live, agree = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for n in range(batch, x.shape[1] + 1, batch):
+        agree[live] += (x[i[live], n - batch : n] == y[j[live], n - batch : n]).sum(1)
+        live = live[agree[live] >= least[n]]
+    return live
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * BAND_ROWS)
+
+
+def bayes_survivors(pairs: DataFrame, threshold: float = 0.75, miss: float = 1e-4, batch: int = 40) -> DataFrame:
     """Of pairs (a, b, low_a, low_b), those that sequential comparison keeps."""
-    total = BANDS * BAND_ROWS
-    least = prune_table(total, batch, threshold, miss)
+    least = prune_table(BANDS * BAND_ROWS, batch, threshold, miss)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            if not rows.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(rows.column(k).to_pylist()), np.uint8).reshape(-1, total) for k in (2, 3))
-            live, agree = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for n in range(batch, total + 1, batch):
-                agree[live] += (x[live, n - batch : n] == y[live, n - batch : n]).sum(1)
-                live = live[agree[live] >= least[n]]
-            yield rows.select(["a", "b"]).take(pa.array(live))
+            if rows.num_rows:
+                every = np.arange(rows.num_rows)
+                live = _compare(_signatures(rows.column(2)), _signatures(rows.column(3)), every, every, least, batch)
+                yield rows.select(["a", "b"]).take(pa.array(live))
 
     kind = pairs.schema["a"].dataType.simpleString()
     return pairs.select("a", "b", "low_a", "low_b").mapInArrow(kernel, f"a {kind}, b {kind}")
 
 
+def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values of a sorted set are in each of some others."""
+    joined = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, joined), len(one) - 1)] == joined
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def cross_links(left: DataFrame, right: DataFrame, percent: int = 75, miss: float = 1e-4, batch: int = 40, block: int = 512) -> DataFrame:
+    """Links (a, b) of a left and a right row (g, id, c, low, text) of the same
+    group g and of different components c.
+
+    Groups are dealt out as blocks of left rows against blocks of right rows, so
+    a task holds two blocks of one group at a time, however large the group is.
+    Within a block, left rows are compared with all right rows batch by batch;
+    survivors are verified on their full shingle sets, and only links leave.
+    """
+    least = prune_table(BANDS * BAND_ROWS, batch, percent / 100, miss)
+
+    def block_links(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        side, ids, c, low = (rows.column(k) for k in (3, 4, 5, 6))
+        n = int((side.to_numpy() == 0).sum())
+        if not n or n == len(side):
+            return None
+        sig, ids, c = _signatures(low), ids.to_numpy(), c.to_numpy()
+        text, sets = rows.column(7), {}
+
+        def held(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_sets(*texts(text.slice(k, 1)))[0]
+            return sets[k]
+
+        a, b = [], []
+        for i in range(n):
+            j = np.arange(n, len(ids))[c[n:] != c[i]]
+            j = j[_compare(sig, sig, np.full(len(j), i), j, least, batch)]
+            if len(j):
+                own, others = held(i), [held(k) for k in j.tolist()]
+                common = _overlaps(own, others)
+                j = j[100 * common >= percent * (len(own) + np.array([len(x) for x in others]) - common)]
+                a += np.minimum(ids[i], ids[j]).tolist()
+                b += np.maximum(ids[i], ids[j]).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(a, rows.column(4).type), pa.array(b, rows.column(4).type)], names=["a", "b"])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, 3):
+            if (out := block_links(rows)) is not None:
+                yield out
+
+    kind = left.schema["id"].dataType.simpleString()
+    return deal_blocks(left, right, ["g"], block).mapInArrow(kernel, f"a {kind}, b {kind}").distinct()
+
+
 def exact_links(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent *
     union. Texts move, not sets: they are the smaller of the two."""
@@ -172,7 +232,7 @@ def exact_links(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFra
     return both.mapInArrow(kernel, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 75, miss: float = 1e-5) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 75, miss: float = 1e-4) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each document.
 
     Null texts, and texts without words, have an empty set, link with nothing
@@ -182,10 +242,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 75, miss:
 
     In each band's bucket the smallest id stands as leader and is paired with
     the others (one row a member, never all pairs of a bucket). Members that
-    turn out to lie in another component than their leader are then paired with
-    the bucket's members of other components, so no link that the bands can see
-    is lost. Hot buckets are split by adaptive skew joins, since no window or
-    grouped kernel holds a bucket.
+    turn out to lie in another component than their leader are then compared, in
+    blocks, with all members of the buckets of leaders of that component, so no
+    link that the bands can see is lost. Joins on hot buckets are split by
+    adaptive skew handling, blocks bound what a task holds.
     """
     threshold = percent / 100
     docs = docs.select("doc_id", "text")
@@ -200,24 +260,20 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 75, miss:
     buckets = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     crowd = scratch.keep(entries.join(buckets, "key").where("rep <> leader").select("key", "leader", "rep", "n"), "crowd")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Links among distinct pairs (a, b)."""
-        sides = pairs.join(low.select(F.col("rep").alias("b"), F.col("low").alias("low_b")), "b").join(low.select(F.col("rep").alias("a"), F.col("low").alias("low_a")), "a")
-        left = scratch.keep(bayes_survivors(sides, threshold, miss), f"{name}_left")
-        return scratch.keep(exact_links(left, docs, percent), f"{name}_links")
-
-    links = verified(crowd.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    star = crowd.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    star = star.join(low.select(F.col("rep").alias("b"), F.col("low").alias("low_b")), "b").join(low.select(F.col("rep").alias("a"), F.col("low").alias("low_a")), "a")
+    left = scratch.keep(bayes_survivors(star, threshold, miss), "star_left")
+    links = scratch.keep(exact_links(left, docs, percent), "star_links")
     labels = components(links, scratch, "star")
 
-    # buckets of three and more whose members are not all in one component
+    # members of buckets of three and more that lie in another component than their leader
     of = labels.select(F.col("id").alias("rep"), F.col("component").alias("c"))
-    rest = crowd.where("n > 2").join(of, "rep", "left").select("key", "leader", "rep", F.coalesce("c", "rep").alias("c"))
-    rest = rest.join(of.select(F.col("rep").alias("leader"), F.col("c").alias("lc")), "leader", "left").select("key", "leader", "rep", "c", F.coalesce("lc", "leader").alias("lc"))
-    rest = scratch.keep(rest, "rest")
-    odd = rest.where("c <> lc").select("key", F.col("rep").alias("x"), F.col("c").alias("xc"))
-    cross = rest.join(odd, "key").where("rep <> x and c <> xc").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-    tried = crowd.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    more = verified(cross.join(tried, ["a", "b"], "left_anti"), "cross")
+    rest = crowd.where("n > 2").join(of, "rep", "left").select("leader", "rep", F.coalesce("c", "rep").alias("c")).distinct()
+    rest = rest.join(of.select(F.col("rep").alias("leader"), F.col("c").alias("lc")), "leader", "left").select(F.coalesce("lc", "leader").alias("g"), "rep", "c").distinct()
+    odd = scratch.keep(rest.where("c <> g"), "odd")
+    whole = rest.join(odd.select("g").distinct(), "g", "left_semi").join(low, "rep").join(docs.withColumnRenamed("doc_id", "rep"), "rep")
+    whole = scratch.keep(whole.select("g", F.col("rep").alias("id"), "c", "low", "text"), "rest")
+    more = scratch.keep(cross_links(whole.where("c <> g"), whole, percent, miss), "cross_links")
     labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch, "all")
 
     classes = members.join(reps, ["k1", "k2"], "left").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
