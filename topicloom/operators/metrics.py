@@ -43,7 +43,7 @@ def codocument_frequency(tokens: DataFrame, top: DataFrame) -> DataFrame:
     """(topic, rank_i, rank_j, codf) for pairs i > j of each topic's top words
     (topic, rank, word_id) that share a document. Only a topic's own top words
     meet, within a document: at most M * M / 2 pairs a document and topic."""
-    held = tokens.join(F.broadcast(top.select("topic", "rank", "word_id")), "word_id").select("topic", "doc_id", "rank").distinct()  # top: K * M rows
+    held = tokens.select("doc_id", "word_id").join(F.broadcast(top.select("topic", "rank", "word_id")), "word_id").select("topic", "doc_id", "rank").distinct()  # top: K * M rows
     per_doc = held.groupBy("topic", "doc_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks")).where(F.size("ranks") > 1)
     pairs = per_doc.select("topic", F.explode("ranks").alias("rank_i"), "ranks").select("topic", "rank_i", F.explode(F.filter("ranks", lambda r: r < F.col("rank_i"))).alias("rank_j"))
     return pairs.groupBy("topic", "rank_i", "rank_j").agg(F.count("*").alias("codf"))
@@ -53,10 +53,12 @@ def coherence(tokens: DataFrame, top: DataFrame, num_topics: int, strict: bool =
     """(coherence, skipped): the mean over topics of sums of ln(codf(i, j) + 1) -
     ln(df(j)) for i > j. Pairs with df(j) = 0 are skipped and counted; strict
     makes the result infinite instead."""
-    df = tokens.join(F.broadcast(top.select("word_id").distinct()), "word_id").select("word_id", "doc_id").distinct().groupBy("word_id").agg(F.count("*").alias("df"))
+    df = tokens.select("doc_id", "word_id").join(F.broadcast(top.select("word_id").distinct()), "word_id").select("word_id", "doc_id").distinct().groupBy("word_id").agg(F.count("*").alias("df"))
     codf = codocument_frequency(tokens, top)
-    i, j = top.select("topic", F.col("rank").alias("rank_i")), top.select("topic", F.col("rank").alias("rank_j"), "word_id")
-    pairs = i.join(j, "topic").where("rank_i > rank_j").join(df, "word_id", "left").join(codf, ["topic", "rank_i", "rank_j"], "left")
+    ranked = top.groupBy("topic").agg(F.collect_list("rank").alias("all"))  # M ranks a topic
+    j = top.select("topic", F.col("rank").alias("rank_j"), "word_id")
+    pairs = j.join(ranked, "topic").select("topic", "word_id", "rank_j", F.explode(F.filter("all", lambda r: r > F.col("rank_j"))).alias("rank_i"))
+    pairs = pairs.join(df, "word_id", "left").join(codf, ["topic", "rank_i", "rank_j"], "left")
     gone = F.coalesce("df", F.lit(0)) == 0
     term = F.when(gone, F.lit(float("inf")) if strict else F.lit(0.0)).otherwise(F.ln(F.coalesce("codf", F.lit(0)) + 1.0) - F.ln(F.col("df").cast("double")))
     return pairs.agg((F.coalesce(F.sum(term), F.lit(0.0)) / num_topics).alias("coherence"), F.coalesce(F.sum(gone.cast("long")), F.lit(0)).alias("skipped"))

@@ -33,13 +33,13 @@ def stat_pivot(metrics: DataFrame, metric: str, runs: list[str]) -> DataFrame:
 
 def count_pivot(metrics: DataFrame, metric: str, runs: list[str]) -> DataFrame:
     """iter x run counts of an event from 1, 0 where there is none."""
-    return metrics.where(F.col("metric") == metric).groupBy("iter").pivot("run", runs).agg(F.count("*")).na.fill(0)
+    return metrics.where(F.col("metric") == metric).groupBy("iter").pivot("run", runs).agg(F.count("value")).na.fill(0)
 
 
 def unpivot(wide: DataFrame, **labels: str) -> DataFrame:
     """(iter, run, val, labels) of a wide table."""
     runs = [c for c in wide.columns if c != "iter"]
-    long = wide.unpivot("iter", runs, "run", "val").where("val is not null")
+    long = wide.unpivot("iter", [f"`{c}`" for c in runs], "run", "val").where("val is not null")
     return long.select("iter", "run", F.expr("try_cast(val as double)").alias("val"), *[F.lit(v).alias(k) for k, v in labels.items()])
 
 

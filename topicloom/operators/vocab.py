@@ -83,5 +83,14 @@ def kfold(docs: DataFrame, k: int, order: str = "doc_id") -> DataFrame:
 
 def sample_without_replacement(docs: DataFrame, n: int, seed: int, key: str = "doc_id") -> DataFrame:
     """n rows by hashed priority (all, if there are fewer): what a reservoir
-    holds at the end of a stream, and top-n without a full sort."""
-    return docs.withColumn("priority", uniform(F.col(key), F.lit(3), 0, seed)).orderBy("priority", key).limit(n)
+    holds at the end of a stream. A small n is a top-n without a full sort; a
+    large one is cut off from counted ranges, so no task holds n rows."""
+    from topicloom.sources.corpus import numbered
+
+    rows = docs.withColumn("priority", uniform(F.col(key), F.lit(3), 0, seed))
+    if n <= 100_000:
+        return rows.orderBy("priority", key).limit(n)
+    if n >= docs.count():
+        return rows
+    order = numbered(rows.select("priority", F.col(key).alias("_k")), ["priority", "_k"]).where(F.col("doc_id") < n).select(F.col("_k").alias(key))
+    return rows.join(order, key, "left_semi")

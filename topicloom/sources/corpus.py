@@ -84,7 +84,7 @@ def parse_topics(rows: DataFrame) -> DataFrame:
     """(topic, value) to (topic, word, n)."""
     pairs = rows.withColumn("f", F.split(F.trim("value"), r"\s+", -1))
     pairs = pairs.withColumn("f", F.when(F.size("f") % 2 == 0, F.col("f")).otherwise(F.raise_error(F.lit("a topic has a word without a count")).cast("array<string>")))
-    pairs = pairs.select("topic", "f", F.explode(F.sequence(F.lit(0), F.size("f") / 2 - 1).cast("array<int>")).alias("k"))
+    pairs = pairs.select("topic", "f", F.explode(F.sequence(F.lit(0), (F.size("f") / 2).cast("int") - 1)).alias("k"))
     return pairs.select("topic", F.get("f", 2 * F.col("k")).alias("word"), F.get("f", 2 * F.col("k") + 1).cast("long").alias("n"))
 
 
