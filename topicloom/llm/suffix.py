@@ -16,6 +16,7 @@ through each step together, which is what makes it fast in numpy.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import Scratch, chunks, prefix_hash, range_hash, runs
+from topicloom.llm.common import Scratch, chunks, powers, prefix_hash, range_hash, runs
 
 GRAM = 24
 SEGMENT = 1 << 23
@@ -154,9 +155,11 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def _segment_runs(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     sums = prefix_hash(raw)
-    starts = np.arange(len(raw) - GRAM + 1)
-    gram = range_hash(sums, starts, starts + GRAM)
-    low = _window_min((gram & ~_POSITION) | starts.astype(np.uint64), length - GRAM + 1)
+    n = len(raw) - GRAM + 1
+    gram = (sums[GRAM:] - sums[:-GRAM]) * powers(n)[1]
+    gram ^= gram >> np.uint64(32)
+    gram *= np.uint64(0xD6E8FEB86659FD93)
+    low = _window_min((gram & ~_POSITION) | np.arange(n, dtype=np.uint64), length - GRAM + 1)
     anchor = (low & _POSITION).astype(np.int64)
     place = np.arange(len(anchor))
     doc = np.searchsorted(at, place, "right") - 1
@@ -166,13 +169,14 @@ def _segment_runs(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
     first = np.flatnonzero(cut & inside)
     breaks = np.append(np.flatnonzero(cut | ~inside), len(place))
     last = breaks[np.searchsorted(breaks, first, "right")] - 1
-    return doc[first], first - at[doc[first]], last - first + 1, gram[anchor[first]], range_hash(sums, first, last + length)
+    return doc[first], first - at[doc[first]], last - first + 1, gram[anchor[first]], range_hash(sums, first, last + length), anchor[first] - first
 
 
 def window_runs(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(doc, start, windows, anchor, context) of each run in one block."""
+    """(doc, start, windows, anchor, context, place of the anchor) of each run in
+    one block."""
     if len(raw) < length:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),)
     if len(raw) <= SEGMENT + length:
         return _segment_runs(raw, at, length)
     parts = []  # a long text, alone in its block, in segments: each window lies in one
@@ -204,7 +208,7 @@ def _run_table(docs: DataFrame, length: int, combine: bool) -> DataFrame:
         held, n = [], 0
         for rows, raw, at in chunks(batches, "_text"):
             ids = rows.column(0).to_numpy()
-            doc, start, windows, h, c = window_runs(raw, at, length)
+            doc, start, windows, h, c, _ = window_runs(raw, at, length)
             if not len(doc):
                 continue
             if combine:
@@ -227,14 +231,14 @@ def _run_table(docs: DataFrame, length: int, combine: bool) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """(h, c, doc, start, bytes) of the asked contexts (h, c, doc)."""
+    """(h, c, doc, start, bytes, place of the anchor) of the asked contexts (h, c, doc)."""
     lists = asked.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("_h"), F.collect_list("c").alias("_c"))
     rows = docs.select("doc_id", F.col("text").alias("_text")).join(lists, "doc_id").select("doc_id", "_text", "_h", "_c")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, at in chunks(batches, "_text"):
             ids = rows.column(0).to_numpy()
-            doc, start, windows, h, c = window_runs(raw, at, length)
+            doc, start, windows, h, c, place = window_runs(raw, at, length)
             want = [np.column_stack([np.full(len(a), k), np.asarray(a), np.asarray(b)]) for k, (a, b) in enumerate(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True))]
             want = np.concatenate(want)
             have = np.column_stack([doc, h.view(np.int64), c.view(np.int64)])
@@ -245,34 +249,30 @@ def _contexts(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
             pick = order[1:][same & (order[:-1] < len(want)) & (order[1:] >= len(want))] - len(want)  # the first of the document
             begin = at[doc[pick]] + start[pick]
             held = [raw[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + windows[pick] + length - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(c[pick].view(np.int64)), pa.array(ids[doc[pick]]), pa.array(start[pick]), pa.array(held, pa.binary())], names=["h", "c", "doc", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(c[pick].view(np.int64)), pa.array(ids[doc[pick]]), pa.array(start[pick]), pa.array(held, pa.binary()), pa.array(place[pick])], names=["h", "c", "doc", "start", "bytes", "place"])
 
-    return rows.mapInArrow(kernel, "h bigint, c bigint, doc bigint, start bigint, bytes binary")
+    return rows.mapInArrow(kernel, "h bigint, c bigint, doc bigint, start bigint, bytes binary, place bigint")
 
 
 def repeated_windows(lanes: list[tuple[np.ndarray, np.ndarray, list[bytes]]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, from, to) of byte ranges in which each window equals an earlier one.
     A lane holds the docs, starts and bytes of the contexts of one anchor."""
-    parts, starts, at = [], [0], 0
-    owner_doc, owner_start, begin, size = [], [], [], []
-    for docs, begins, texts in lanes:
-        for d, s, t in zip(docs, begins, texts, strict=True):
-            parts += [np.frombuffer(t, np.uint8).astype(np.int16) + 1, np.zeros(1, np.int16)]
-            owner_doc.append(d)
-            owner_start.append(s)
-            begin.append(at)
-            size.append(len(t))
-            at += len(t) + 1
-        parts.append(np.full(1, -1, np.int16))
-        at += 1
-        starts.append(at)
-    symbols = np.concatenate(parts)
-    sa = suffix_arrays(symbols.astype(np.int64), np.array(starts))
-    begin, size = np.array(begin), np.array(size)
+    held = [t for _, _, texts in lanes for t in texts]
+    per_lane = np.array([len(x[2]) for x in lanes])
+    size = np.array([len(t) for t in held])
+    lane_of = np.repeat(np.arange(len(lanes)), per_lane)
+    # a 0 follows each context, and -1, smaller than all, each lane
+    begin = np.cumsum(size + 1) - (size + 1) + lane_of
+    starts = np.append(begin[np.cumsum(per_lane) - per_lane], begin[-1] + size[-1] + 2)
+    symbols = np.zeros(starts[-1], np.int16)
+    symbols[starts[1:] - 1] = -1
+    symbols[_spread(begin, size)] = np.frombuffer(b"".join(held), np.uint8).astype(np.int16) + 1
+    owner_doc, owner_start = (np.concatenate([x[k] for x in lanes]) for k in (0, 1))
+    sa = suffix_arrays(symbols.astype(np.int64), starts)
     owner = np.searchsorted(begin, sa, "right") - 1
     use = sa - begin[owner] <= size[owner] - length
     sa, owner = sa[use], owner[use]
-    lane = np.searchsorted(np.array(starts), sa, "right")
+    lane = lane_of[owner]
     same = np.zeros(len(sa), bool)
     steps = np.arange(length)
     for k in range(1, len(sa), 1 << 14):
@@ -281,8 +281,8 @@ def repeated_windows(lanes: list[tuple[np.ndarray, np.ndarray, list[bytes]]], le
         same[k : k + len(b)] = (symbols[a[:, None] + steps] == symbols[b[:, None] + steps]).all(1)
     same[1:] &= lane[1:] == lane[:-1]
     group = np.cumsum(~same)
-    doc = np.array(owner_doc)[owner]
-    place = np.array(owner_start)[owner] + sa - begin[owner]
+    doc = owner_doc[owner]
+    place = owner_start[owner] + sa - begin[owner]
     order = np.lexsort((place, doc, group))
     later = np.zeros(len(sa), bool)
     later[order[1:]] = group[order[1:]] == group[order[:-1]]
@@ -296,25 +296,47 @@ def repeated_windows(lanes: list[tuple[np.ndarray, np.ndarray, list[bytes]]], le
     return doc[at], place[at], place[last] + length
 
 
-def _lane_ranges(contexts: DataFrame, length: int, lane_bytes: int = 1 << 20) -> DataFrame:
-    """Ranges of first occurrences that repeat earlier windows of other contexts."""
+def _can_share(texts: list[bytes], places: list[int], length: int) -> list[int]:
+    """Which contexts of an anchor can share a window: one has its anchor and at
+    least half of its other bytes on one side of it, so two that share a window
+    share those on the left or on the right."""
+    side = (length - GRAM + 1) // 2
+    left = [t[p - side : p + GRAM] if p >= side else None for t, p in zip(texts, places, strict=True)]
+    right = [t[p : p + GRAM + side] if p + GRAM + side <= len(t) else None for t, p in zip(texts, places, strict=True)]
+    n_left, n_right = Counter(left), Counter(right)
+    return [k for k, (a, b) in enumerate(zip(left, right, strict=True)) if a is not None and n_left[a] > 1 or b is not None and n_right[b] > 1]
+
+
+def _lane_ranges(contexts: DataFrame, length: int, held_bytes: int = 8 << 20, lane_bytes: int = 1 << 20) -> DataFrame:
+    """Ranges of first occurrences that repeat earlier windows of other contexts.
+    Lanes are held up to ``held_bytes`` and go by size in groups of about
+    ``lane_bytes``, as those of a group take as many steps as the longest."""
+
+    def flush(lanes: list) -> Iterator[pa.RecordBatch]:
+        lanes.sort(key=lambda x: sum(map(len, x[2])))
+        part, n = [], 0
+        for k, lane in enumerate(lanes):
+            part.append(lane)
+            n += sum(map(len, lane[2]))
+            if n > lane_bytes or k == len(lanes) - 1:
+                doc, a, b = repeated_windows(part, length)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, a, b)], names=["doc", "from", "to"])
+                part, n = [], 0
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            doc, a, b = repeated_windows(lanes, length)
-            return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["doc", "from", "to"])
-
         for rows in runs(batches, 1):
-            held = rows.column(4).to_pylist()
-            lanes.append((rows.column(2).to_numpy(), rows.column(3).to_numpy(), held))
-            n += sum(map(len, held))
-            if n > lane_bytes:
-                yield flush()
+            texts = rows.column(4).to_pylist()
+            use = _can_share(texts, rows.column(5).to_pylist(), length)
+            if not use:
+                continue
+            texts = [texts[k] for k in use]
+            lanes.append((rows.column(2).to_numpy()[use], rows.column(3).to_numpy()[use], texts))
+            n += sum(map(len, texts))
+            if n > held_bytes:
+                yield from flush(lanes)
                 lanes, n = [], 0
-        if lanes:
-            yield flush()
+        yield from flush(lanes)
 
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(kernel, "doc bigint, from bigint, to bigint")
 
