@@ -17,26 +17,26 @@ WINDOW, DIVISOR, MIN_LINES, MIN_CHARS = 2, 3, 2, 80
 
 
 def _with_chunks(docs: DataFrame, window: int, divisor: int) -> DataFrame:
-    """Adds _lines and _ends, the numbers of the lines that end a chunk."""
-    lined = docs.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    hashed = lined.withColumn("_hash", F.transform("_lines", lambda x: F.xxhash64(x)))
-    last = F.size("_lines") - 1
+    """Adds __l_lines and __l_ends, the numbers of the lines that end a chunk."""
+    lined = docs.withColumn("__l_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    hashed = lined.withColumn("__l_hash", F.transform("__l_lines", lambda x: F.xxhash64(x)))
+    last = F.size("__l_lines") - 1
 
     def ends(i):
-        rolled = F.xxhash64(*[F.get("_hash", i - j) for j in range(window)])
+        rolled = F.xxhash64(*[F.get("__l_hash", i - j) for j in range(window)])
         return (i == last) | ((i >= window - 1) & (F.pmod(rolled, F.lit(divisor)) == 0))
 
-    return hashed.withColumn("_ends", F.filter(F.sequence(F.lit(0), last), ends)).drop("_hash")
+    return hashed.withColumn("__l_ends", F.filter(F.sequence(F.lit(0), last), ends)).drop("__l_hash")
 
 
 def _chunk(k):
-    """Line number and count of chunk k, whose last line stands in _ends."""
-    begin = F.coalesce(F.get("_ends", k - 1) + 1, F.lit(0))
-    return begin, F.get("_ends", k) - begin + 1
+    """Line number and count of chunk k, whose last line stands in __l_ends."""
+    begin = F.coalesce(F.get("__l_ends", k - 1) + 1, F.lit(0))
+    return begin, F.get("__l_ends", k) - begin + 1
 
 
 def _numbers():
-    return F.sequence(F.lit(0), F.size("_ends") - 1)
+    return F.sequence(F.lit(0), F.size("__l_ends") - 1)
 
 
 def line_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, with_text: bool = False) -> DataFrame:
@@ -44,7 +44,7 @@ def line_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, m
 
     def build(k):
         begin, n = _chunk(k)
-        return F.struct(k.alias("k"), n.alias("n"), F.array_join(F.slice("_lines", begin + 1, n), "\n").alias("chunk"))
+        return F.struct(k.alias("k"), n.alias("n"), F.array_join(F.slice("__l_lines", begin + 1, n), "\n").alias("chunk"))
 
     rows = _with_chunks(docs.select("doc_id", "text"), window, divisor).select("doc_id", F.explode(F.transform(_numbers(), build)).alias("c"))
     rows = rows.select("doc_id", "c.k", "c.n", "c.chunk").where((F.col("n") >= min_lines) & (F.length("chunk") >= min_chars))
@@ -79,25 +79,25 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, window: int = WINDOW, divisor
     gives an empty result. Columns of docs with the added names are replaced.
     """
     how = {"window": window, "divisor": divisor, "min_lines": min_lines, "min_chars": min_chars}
-    gone = repeated_chunks(docs, scratch, **how).groupBy("doc_id").agg(F.collect_set("k").alias("_gone"))
+    gone = repeated_chunks(docs, scratch, **how).groupBy("doc_id").agg(F.collect_set("k").alias("__l_gone"))
     added = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    rows = docs.drop(*added).join(gone, "doc_id", "left").select(*[c for c in docs.columns if c not in added], "_gone")
+    rows = docs.drop(*added).join(gone, "doc_id", "left").select(*[c for c in docs.columns if c not in added], "__l_gone")
     cut = _with_chunks(rows, window, divisor)
 
     def lines_of(k):
         begin, n = _chunk(k)
-        return F.slice("_lines", begin + 1, n)
+        return F.slice("__l_lines", begin + 1, n)
 
-    left = F.flatten(F.transform(F.array_except(_numbers(), "_gone"), lines_of))
-    cut = cut.withColumn("_left", F.when(F.col("_gone").isNotNull(), left))
+    left = F.flatten(F.transform(F.array_except(_numbers(), "__l_gone"), lines_of))
+    cut = cut.withColumn("__l_left", F.when(F.col("__l_gone").isNotNull(), left))
     empty = F.col("text").isNull()
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
-    n_lines = F.when(empty, 0).otherwise(F.size("_lines"))
+    kept = F.when(F.col("__l_gone").isNull(), F.col("text")).otherwise(F.array_join("__l_left", "\n"))
+    n_lines = F.when(empty, 0).otherwise(F.size("__l_lines"))
     names = [c for c in docs.columns if c not in added]
     return cut.select(
         *[kept.alias("text") if c == "text" else F.col(c) for c in names],
         n_lines.cast("long").alias("n_lines"),
-        F.when(empty, 0).otherwise(F.size("_ends")).cast("long").alias("n_chunks"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("removed_chunks"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_lines") - F.size("_left")).cast("long").alias("removed_lines"),
+        F.when(empty, 0).otherwise(F.size("__l_ends")).cast("long").alias("n_chunks"),
+        F.when(F.col("__l_gone").isNull(), 0).otherwise(F.size("__l_gone")).cast("long").alias("removed_chunks"),
+        F.when(F.col("__l_gone").isNull(), 0).otherwise(F.size("__l_lines") - F.size("__l_left")).cast("long").alias("removed_lines"),
     )

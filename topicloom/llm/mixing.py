@@ -95,6 +95,6 @@ def mix_sources(docs: DataFrame, entropy_gain: float = 0.5, max_repeats: float =
 
 def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """Rows of ``docs``, each as often as ``mixed`` says for its doc_id."""
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    rows = docs.join(copies, "doc_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)).cast("int"))))
+    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("__m_copies"))
+    rows = docs.join(copies, "doc_id", "left").withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.coalesce("__m_copies", F.lit(1)).cast("int"))))
     return rows.select(*docs.columns)

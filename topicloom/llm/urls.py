@@ -68,22 +68,22 @@ def url_verdicts(pages: DataFrame, rules: list[UrlRule], url_col: str = "url", d
     with are replaced.
     """
     spark = pages.sparkSession
-    host, path = split_url(F.col("_url"))
-    urls = pages.select(F.col(url_col).alias("_url")).where(F.col("_url").isNotNull()).distinct().select("_url", F.concat(host, path).alias("_at"))
+    host, path = split_url(F.col("__u_url"))
+    urls = pages.select(F.col(url_col).alias("__u_url")).where(F.col("__u_url").isNotNull()).distinct().select("__u_url", F.concat(host, path).alias("_at"))
     table = spark.createDataFrame([(k, r.pattern, r.name, r.verdict, list(dict.fromkeys(r.tokens))) for k, r in enumerate(rules)], "_rule int, _pattern string, _name string, _verdict string, _tokens array<string>")
 
-    terms = urls.select("_url", "_at", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("_at", UPPER, LOWER), F.lit("([a-z0-9]+)"), 1))).alias("_token"))
+    terms = urls.select("__u_url", "_at", F.explode(F.array_distinct(F.regexp_extract_all(F.translate("_at", UPPER, LOWER), F.lit("([a-z0-9]+)"), 1))).alias("_token"))
     wanted = table.select("_rule", F.explode("_tokens").alias("_token"))
     counts = terms.join(wanted.select("_token").distinct(), "_token", "left_semi").groupBy("_token").count()
     rank = Window.partitionBy("_rule").orderBy(F.coalesce("count", F.lit(0)), "_token")
     index = wanted.join(counts, "_token", "left").withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").select("_rule", "_token")
 
-    keyed = terms.join(index, "_token").select("_url", "_at", "_rule")
+    keyed = terms.join(index, "_token").select("__u_url", "_at", "_rule")
     always = [k for k, r in enumerate(rules) if not r.tokens]
     if always:
-        keyed = keyed.union(urls.select("_url", "_at", F.explode(F.array(*map(F.lit, always))).alias("_rule")))
+        keyed = keyed.union(urls.select("__u_url", "_at", F.explode(F.array(*map(F.lit, always))).alias("_rule")))
     fits = keyed.join(table, "_rule").where(F.expr("_at rlike _pattern"))
-    best = fits.groupBy("_url").agg(F.max(F.struct(F.col("_name").isNotNull().alias("named"), F.coalesce(F.length("_name"), F.lit(0)).alias("length"), F.coalesce("_name", F.lit("")).alias("by_name"), (-F.col("_rule")).alias("order"), F.col("_name").alias("rule"), F.col("_verdict").alias("verdict"))).alias("_best"))
-    out = pages.drop("host", "path", "rule", "verdict").withColumn("_url", F.col(url_col)).join(best, "_url", "left")
-    host, path = split_url(F.col("_url"))
-    return out.select("*", host.alias("host"), path.alias("path"), F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict")).drop("_url", "_best")
+    best = fits.groupBy("__u_url").agg(F.max(F.struct(F.col("_name").isNotNull().alias("named"), F.coalesce(F.length("_name"), F.lit(0)).alias("length"), F.coalesce("_name", F.lit("")).alias("by_name"), (-F.col("_rule")).alias("order"), F.col("_name").alias("rule"), F.col("_verdict").alias("verdict"))).alias("__u_best"))
+    out = pages.drop("host", "path", "rule", "verdict").withColumn("__u_url", F.col(url_col)).join(best, "__u_url", "left")
+    host, path = split_url(F.col("__u_url"))
+    return out.select("*", host.alias("host"), path.alias("path"), F.col("__u_best.rule").alias("rule"), F.coalesce(F.col("__u_best.verdict"), F.lit(default)).alias("verdict")).drop("__u_url", "__u_best")
