@@ -87,5 +87,49 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+OP2_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT w.doc_id, count(s.g) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT r.doc_id, any_value(n.n) AS n_shingles, min(r.other) AS component_id, r.doc_id = min(r.other) AS kept FROM reach r JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+OP7_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (a.norm * b.norm) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT r.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.other) AS component_id, r.vec_id = min(r.other) AS kept FROM reach r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = r.vec_id GROUP BY r.vec_id"""
+
+
+def _op4_sql() -> str:
+    from topicloom.llm.urls import BLOCK_WORDS
+
+    words = "|".join(BLOCK_WORDS)
+    return rf"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r(rule, h, p, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+f AS (SELECT u.*, r.rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC) AS k FROM u LEFT JOIN r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host || path, '(?i)(?:^|[^a-z0-9])(?:{words})(?:[^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict FROM f WHERE k = 1"""
+
+
+OP6_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens, CAST(('0x' || substr(md5('5:' || doc_id), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents),
+s AS (SELECT source, sum(n_tokens) AS tokens, count(*) AS docs FROM d GROUP BY source HAVING sum(n_tokens) > 0),
+p AS (SELECT source, tokens, docs, tokens / CAST(sum(tokens) OVER () AS DOUBLE) AS p FROM s),
+goal AS (SELECT -sum(p * ln(p)) + 0.5::DOUBLE * (ln(CAST(count(*) AS DOUBLE)) + sum(p * ln(p))) AS goal FROM p),
+bisect AS (SELECT 0 AS k, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL
+  SELECT k + 1, CASE WHEN even THEN (low + high) / 2 ELSE low END, CASE WHEN even THEN high ELSE (low + high) / 2 END FROM (
+    SELECT b.k, b.low, b.high, (SELECT -sum(w * ln(w)) FROM (SELECT pow(p, (b.low + b.high) / 2) / sum(pow(p, (b.low + b.high) / 2)) OVER () AS w FROM p)) > (SELECT goal FROM goal)
+      OR (SELECT max(pow(p, (b.low + b.high) / 2 - 1)) / min(pow(p, (b.low + b.high) / 2 - 1)) FROM p) > 4 AS even FROM bisect b WHERE b.k < 40)),
+t AS (SELECT round(high, 6) AS t FROM bisect WHERE k = 40),
+w AS (SELECT source, tokens, docs, pow(p, t) / sum(pow(p, t)) OVER () AS weight, round(pow(p, t) / p / min(pow(p, t) / p) OVER (), 6) AS passes FROM p, t),
+x AS (SELECT d.*, coalesce(w.weight, 0) AS weight, coalesce(w.passes, 1) AS passes, coalesce(w.tokens, 0) AS tokens, CAST(floor(d.u * ceil(coalesce(w.docs, 1) / 1024.0)) AS BIGINT) AS block FROM d LEFT JOIN w ON d.source IS NOT DISTINCT FROM w.source),
+o AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY block, u, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x)
+SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, round(weight, 6) AS weight, passes, block, CAST(floor(passes) + CASE WHEN before < (passes - floor(passes)) * tokens THEN 1 ELSE 0 END AS BIGINT) AS copies FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express over whole tables; the others are
+    tested against brute force, exact round trips and held-out accuracy."""
+    return {"op2_minhash_dedup": OP2_SQL, "op4_url_rules": _op4_sql(), "op6_mix_sources": OP6_SQL, "op7_pq_dedup": OP7_SQL}

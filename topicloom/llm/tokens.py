@@ -30,6 +30,17 @@ def _plain(text: str) -> bool:
     return _rare_space(text) is None
 
 
+def _gaps(ids: list) -> list[int]:
+    """Where None stands; a search, not a loop over all."""
+    out, k = [], -1
+    try:
+        while True:
+            k = ids.index(None, k + 1)
+            out.append(k)
+    except ValueError:
+        return out
+
+
 class Encoder:
     """Whole-text encoding with the tokenizers library, through a cache of
     words.
@@ -106,8 +117,7 @@ class Encoder:
             for line in t.split("\n"):
                 head, *words = line.split(" ")
                 ids = list(map(get, words))
-                if None in ids:
-                    missing += [(ids, k, words[k]) for k, x in enumerate(ids) if x is None]
+                missing += [(ids, k, words[k]) for k in _gaps(ids)]
                 lines.append((head, ids))
             parts.append(lines)
         self._fill(missing)
@@ -119,19 +129,21 @@ class Encoder:
 
     def _fill(self, missing: list[tuple[list, int, str]]) -> None:
         """Learns the words behind the gaps. A word that ends in a comma or full
-        stop after a letter is its stem's ids and the sign's."""
+        stop after a letter is its stem's ids and the sign's; where the tokenizer
+        lower-cases, so do stems."""
         if missing:
-            known, new, ended = self.after_space, set(), set()
+            known, new, made = self.after_space, set(), []
             for w in {w for _, _, w in missing}:
-                if w[-1:] in self.signs and self.lone(w):
-                    ended.add(w)
-                    if w[:-1] not in known:
-                        new.add(w[:-1])
-                else:
-                    new.add(w)
+                sign = self.signs[w[-1]] if w[-1:] in self.signs and self.lone(w) else b""
+                stem = w[:-1] if sign else w
+                if self.word_end and (sign or self.letters(w)):
+                    stem = stem.lower()  # as the tokenizer does; letters of Latin-1 have one lower case each
+                if stem not in known:
+                    new.add(stem)
+                if stem != w:
+                    made.append((w, stem, sign))
             self._learn(list(new))
-            for w in ended:
-                known[w] = known[w[:-1]] + self.signs[w[-1]]
+            known.update([(w, known[stem] + sign) for w, stem, sign in made])
             for ids, k, w in missing:
                 ids[k] = known[w]
 
@@ -142,8 +154,7 @@ class Encoder:
             if t and (t.isascii() and t.replace("\n", "").isprintable() or _rare_space(t) is None):
                 words = t.split()
                 ids = list(map(get, words))
-                if None in ids:
-                    missing += [(ids, k, words[k]) for k, x in enumerate(ids) if x is None]
+                missing += [(ids, k, words[k]) for k in _gaps(ids)]
                 parts.append(ids)
             else:
                 parts.append(None)

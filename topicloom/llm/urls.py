@@ -46,7 +46,7 @@ def word_rule(word: str, verdict: str = "block") -> UrlRule:
 #: Fixed rules of the contract.
 CONTRACT_RULES = (prefix_rule("net/", "block"), prefix_rule("example.net/en/", "allow"), prefix_rule("example.com/de/", "block"), prefix_rule("org/fr/", "allow"))
 #: Words whose presence in a host or path blocks a url that no named rule fits.
-BLOCK_WORDS = ("adult", "casino", "porn", "xxx", "malware", "phishing", "spam")
+BLOCK_WORDS = ("adult", "casino", "porn", "xxx", "malware", "phishing", "spam", "ads", "pills", "bets")
 
 
 def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
