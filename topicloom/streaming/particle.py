@@ -108,17 +108,17 @@ class ParticleFilter:
         self.t[every, z] += by
 
     def _dt(self, doc: Stored) -> np.ndarray:
-        out = np.zeros((len(self.weights), self.p["num_topics"]), np.int64)
-        every = np.arange(len(self.weights))
-        for j in range(doc.z.shape[1]):
-            out[every, doc.z[:, j]] += 1
-        return out
+        k = self.p["num_topics"]
+        return np.stack([(doc.z == t).sum(1) for t in range(k)], 1).astype(np.int64)
 
     # the step
 
     def _posterior(self, word: int, dt: np.ndarray, n: int) -> np.ndarray:
-        p, k = self.p, self.p["num_topics"]
-        return (self.tw[:, word] + p["beta"]) / (self.t + self.v * p["beta"]) * (dt + p["alpha"]) / (n + k * p["alpha"])
+        p = self.p
+        x = (self.tw[:, word] + p["beta"]) * (dt + p["alpha"])
+        x /= self.t + self.v * p["beta"]
+        x /= n + p["num_topics"] * p["alpha"]
+        return x
 
     @staticmethod
     def _draw(pmf: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -135,26 +135,28 @@ class ParticleFilter:
             self._initialise()
             return list(self.labels)
         p, n = self.p, len(self.weights)
-        doc = Stored(doc_id, np.array(words, np.int64), np.zeros((n, 0), np.int64))
+        room = np.zeros((n, len(words)), np.int64)  # topics of the tokens so far are its first columns
+        doc = Stored(doc_id, np.array(words, np.int64), room[:, :0])
         out = self._offer(doc)
         if p["forget_stats"] and out is not None and out is not doc:
             self._forget(out)
         self.labels[doc_id] = np.zeros(n, np.int64)
         changed, every, rng = {doc_id}, np.arange(n), self._rng("propagate")
-        resampled = False
-        for word in doc.words:
-            dt = self._dt(doc) if resampled or not doc.z.shape[1] else dt
-            resampled = False
-            pmf = self._posterior(word, dt, doc.z.shape[1])
-            self.weights = self.weights * pmf.sum(1)
+        dt = self._dt(doc)
+        for j, (word, u) in enumerate(zip(doc.words, rng.random((len(words), n)), strict=True)):
+            pmf = self._posterior(word, dt, j)
+            c = np.cumsum(pmf, 1)
+            self.weights *= c[:, -1]
             self.weights /= self.weights.sum()
-            z = self._draw(pmf, rng.random(n))
-            doc.z = np.column_stack([doc.z, z])
+            z = np.minimum((c <= u[:, None] * c[:, -1:]).sum(1), c.shape[1] - 1)
+            room[:, j] = z
+            doc.z = room[:, : j + 1]
             dt[every, z] += 1
             self._count(word, z, 1)
             if p["resample_per_token"] and self.ess() < p["ess_threshold"]:
                 changed |= self._resample(doc)
-                resampled = True
+                room[:, : j + 1] = doc.z
+                doc.z, dt = room[:, : j + 1], self._dt(doc)
         if not p["resample_per_token"] and self.ess() < p["ess_threshold"]:
             changed |= self._resample(doc)
         if p["forget_stats"] and out is doc:
@@ -192,13 +194,14 @@ class ParticleFilter:
         picked = range(n) if size >= n else rng.choice(n, size, replace=False).tolist()
         for k in picked:
             doc = self.reservoir[k]
-            dt = self._dt(doc)
+            dt, n = self._dt(doc), doc.z.shape[1]
+            doc.z = doc.z.copy()
             for _ in range(self.p["rejuv_mcmc_steps"]):
-                for j in range(doc.z.shape[1]):
-                    word, old = doc.words[j], doc.z[:, j]
+                for j, u in enumerate(rng.random((n, len(every)))):
+                    word, old = doc.words[j], doc.z[:, j].copy()
                     dt[every, old] -= 1
                     self._count(word, old, -1)
-                    new = self._draw(self._posterior(word, dt, doc.z.shape[1] - 1), rng.random(len(every)))
+                    new = self._draw(self._posterior(word, dt, n - 1), u)
                     doc.z[:, j] = new
                     dt[every, new] += 1
                     self._count(word, new, 1)
