@@ -4,7 +4,6 @@ cluster's shared folder, byte-level word kernels, connected components."""
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicloom.sources.scratch import shared_dir
+
 #: Words are maximal runs of bytes other than these.
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Text bytes that one kernel call handles; a longer document is handled alone.
@@ -22,16 +23,6 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from
-    ``spark.checkpoint.dir``; a local one is set only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="topicloom-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
 class Scratch:
     """Written tables that cut lineage. They live in the shared folder, so a
     lost executor loses nothing; ``drop`` frees one that is no longer read."""
@@ -42,9 +33,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+        """Writes a table, in folders by the last columns if asked, and reads it."""
         schema = df.schema
-        df.write.option("compression", "zstd").parquet(self.path(name))
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -24,6 +24,7 @@ from topicloom.llm.tokens import encoded, encoder_for
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 K1, B = 1.2, 0.75
+_FIRST = np.ones(1, bool)
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
@@ -32,22 +33,31 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> DataFrame:
-    """(doc_id, n_tokens, first, ids): ids as bytes of the encoder's kind, with
-    the end id, first the number of full windows before this
-    document in its task, made unique by the task's number."""
+    """Of kind 0, (doc_id, n_tokens, first, ids): ids as bytes of the encoder's
+    kind, with the end id; first is the number of full windows before this
+    document in its task, made unique by the task's number. Of kind 1, one row a
+    task: in ids, pairs of an id and of the number of its documents that hold it."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
-        first = TaskContext.get().partitionId() << 40
+        first, names = TaskContext.get().partitionId() << 40, ["doc_id", "n_tokens", "first", "ids", "kind"]
+        held = np.zeros(max(encoder.mark.size, end_id + 1), np.int64)
         for rows, ids in encoded(batches, encoder, 1):
             each = [x + end for x in ids]
             n = np.array([len(x) for x in each], np.int64) // encoder.kind.itemsize
+            for x in each:
+                seen = np.sort(np.frombuffer(x, encoder.kind), kind="stable")
+                held[seen[np.concatenate((_FIRST, seen[1:] != seen[:-1]))]] += 1
             full = n // window
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(first + np.cumsum(full) - full), pa.array(each, pa.binary())], names=["doc_id", "n_tokens", "first", "ids"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(first + np.cumsum(full) - full), pa.array(each, pa.binary()), pa.array(np.zeros(len(n), np.int32))], names=names)
             first += int(full.sum())
+        used = np.flatnonzero(held)
+        if len(used):
+            pairs = np.column_stack((used, held[used])).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0]), pa.array([0]), pa.array([pairs], pa.binary()), pa.array([1], pa.int32())], names=names)
 
-    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(kernel, "doc_id bigint, n_tokens bigint, first bigint, ids binary")
+    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(kernel, "doc_id bigint, n_tokens bigint, first bigint, ids binary, kind int")
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -68,21 +78,17 @@ def full_windows(tokens: DataFrame, window: int, kind: np.dtype) -> DataFrame:
     return tokens.where(F.col("n_tokens") >= window).mapInArrow(kernel, PIECE)
 
 
-def document_frequency(tokens: DataFrame, kind: np.dtype) -> DataFrame:
-    """(id, df) over all documents; as many rows as the vocabulary at most."""
+def document_frequency(counts: DataFrame) -> DataFrame:
+    """(id, df) over all documents, from the tasks' pairs; as many rows as the
+    vocabulary at most."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                seen = np.sort(np.frombuffer(ids.as_buffer(), kind), kind="stable")
-                if int(seen[-1]) >= len(total):
-                    total = np.concatenate((total, np.zeros(int(seen[-1]) + 1 - len(total), np.int64)))
-                total[seen[np.concatenate(([True], seen[1:] != seen[:-1]))]] += 1
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["id", "df"])
+            for pairs in batch.column(0):
+                t = np.frombuffer(pairs.as_buffer(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(t[:, 0]), pa.array(t[:, 1])], names=["id", "df"])
 
-    return tokens.select("ids").mapInArrow(kernel, "id bigint, df bigint").groupBy("id").agg(F.sum("df").alias("df"))
+    return counts.select("ids").mapInArrow(kernel, "id bigint, df bigint").groupBy("id").agg(F.sum("df").alias("df"))
 
 
 class Index:
@@ -121,7 +127,7 @@ class Index:
 
 def pack_shard(shard: int, rows: list[tuple[int, int, int, bytes]], idf: np.ndarray, mean_length: float, window: int, query_terms: int, kind: np.dtype) -> list[tuple]:
     """Pieces of a shard's rests (doc_id, start, doc_tokens, ids)."""
-    rows = sorted(rows, key=lambda r: (-len(r[3]), r[0], r[1]))  # long seeds first
+    rows = sorted(rows, key=lambda r: (-len(r[3]), r[0] is None, r[0] or 0, r[1]))  # long seeds first
     ids = [np.frombuffer(r[3], kind) for r in rows]
     index = Index(ids, idf, mean_length, query_terms)
     unused, done = np.ones(len(rows), bool), [0] * len(rows)
@@ -192,11 +198,12 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 1, win
         raise ValueError("the window must be a power of two")
     kind = encoder_for(tokenizer).kind
     width = kind.itemsize
-    tokens = scratch.keep(tokenized(docs, tokenizer, end_id, window), "tokens")
+    both = scratch.keep(tokenized(docs, tokenizer, end_id, window), "tokens", by=("kind",))
+    tokens = both.where("kind = 0")
     rest = (F.col("n_tokens") % window).cast("int")
     count, total, rests = tokens.agg(F.count("*"), F.sum("n_tokens"), F.sum(rest)).first()
     shards = max(1, -(-(rests or 0) // shard_tokens))
-    df = document_frequency(tokens, kind).collect()  # at most one row a vocabulary entry
+    df = document_frequency(both.where("kind = 1")).collect()  # at most one row a vocabulary entry
     idf = np.zeros(max((r.id for r in df), default=0) + 1)
     for r in df:
         idf[r.id] = np.log((count - r.df + 0.5) / (r.df + 0.5))

@@ -17,17 +17,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
-_rare_space = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0\u200b-\u200f\ufeff]").search
+
+def _printable(text: str) -> bool:
+    """Whether line ends and spaces are the only white space and there are no
+    control characters: Python takes all others as not printable."""
+    return text.replace("\n", "").isprintable()
 
 
 def _plain(text: str) -> bool:
-    """Whether the only white space is single spaces and single line ends, none
-    beside another, and there are no control characters."""
-    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
-        return False
-    if text.isascii():
-        return text.replace("\n", "").isprintable()
-    return _rare_space(text) is None
+    """Printable, with single spaces and single line ends, none beside another."""
+    return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text) and _printable(text)
 
 
 def _gaps(ids: list) -> list[int]:
@@ -48,11 +47,11 @@ class Encoder:
     A text is cut only where the tokenizer itself always cuts, so joining the
     ids of its parts gives the ids of the text: before single spaces and around
     single line ends in plain texts; other texts are encoded whole. New words
-    are encoded together. The cache holds about ``limit`` words and starts anew
-    beyond that, which changes no result.
+    are encoded together. Words met once and words met again are cached apart,
+    about ``limit`` of each; a full cache starts anew, which changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,48 +60,56 @@ class Encoder:
         #: How ids are held: little-endian, 16 bits where the vocabulary fits.
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.after_space: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}  # met in one block of texts so far; apart, so that the words met often lie closer
         self.at_start: dict[str, bytes] = {}
         self.limit = limit
         pieces = [self.tokenizer.id_to_token(k) or "" for k in range(self.tokenizer.get_vocab_size())]
         #: White space is dropped and words end in a marked token; else a byte-level vocabulary, whose tokens mark a space before.
         self.word_end = any(p.endswith("</w>") for p in pieces[:2000])
         self.mark = np.array([p.endswith("</w>") if self.word_end else p.startswith("Ġ") for p in pieces])
+        #: For words of lower-case letters alone, which normalising leaves as they are.
+        self.direct = self.tokenizer
+        if self.word_end:
+            from tokenizers import Tokenizer, pre_tokenizers
+
+            self.direct = Tokenizer(self.tokenizer.model)
+            self.direct.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.letters = re.compile(rf"[{LETTERS}]+").fullmatch
-        self.lone = re.compile(rf"[{LETTERS}]+[.,]").fullmatch
         self.signs = {x: self._one(x) for x in ".,"}
         self.line_end = b"" if self.word_end else self._one("\n")
 
     def _one(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _many(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _many(self, texts: list[str], direct: bool = False) -> list[np.ndarray]:
+        by = self.direct if direct else self.tokenizer
+        return [np.asarray(e.ids, self.kind) for e in by.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Caches words as they are encoded after a space. Many are joined to one
-        text, whose ids are cut at marks: of the space before a word, or of the
-        end of a word of letters."""
-        if self.word_end:
-            other = [x for x in new if not self.letters(x)]
-            for x, ids in zip(other, self._many(other), strict=True):
-                self.after_space[x] = ids.tobytes()
-            new = [x for x in new if self.letters(x)]
+    def _learn(self, new: list[str], odd: list[str]) -> None:
+        """Caches words as they are encoded after a space. Words of letters are
+        joined to texts, whose ids are cut at marks: of the space before a word,
+        or of the end of one. Odd words are encoded each on its own."""
+        before = "" if self.word_end else " "
+        self.once.update(zip(odd, [x.tobytes() for x in self._many([before + w for w in odd])], strict=True))
         groups = [new[k : k + 512] for k in range(0, len(new), 512)]
         joined = [" ".join(g) if self.word_end else "".join([" " + x for x in g]) for g in groups]
-        for part, ids in zip(groups, self._many(joined), strict=True):
+        for part, ids in zip(groups, self._many(joined, direct=True), strict=True):
             at = np.flatnonzero(self.mark[ids])
             cuts = np.concatenate(([0], at + 1)) if self.word_end else np.concatenate((at, [len(ids)]))
             if len(cuts) != len(part) + 1 or cuts[0] or cuts[-1] != len(ids):  # not of the expected form: one by one
                 for x in part:
-                    self.after_space[x] = self._one(x if self.word_end else " " + x)
+                    self.once[x] = self._one(x if self.word_end else " " + x)
                 continue
             raw, cuts = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
-            self.after_space.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+            self.once.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of ``kind``; null is empty."""
-        if len(self.after_space) + len(self.at_start) > self.limit:
+        if len(self.after_space) > self.limit:
             self.after_space.clear()
+        if len(self.once) > self.limit:
+            self.once.clear()
+        if len(self.at_start) > self.limit:
             self.at_start.clear()
         if self.word_end:
             return self._encode_words(texts)
@@ -131,27 +138,34 @@ class Encoder:
         """Learns the words behind the gaps. A word that ends in a comma or full
         stop after a letter is its stem's ids and the sign's; where the tokenizer
         lower-cases, so do stems."""
-        if missing:
-            known, new, made = self.after_space, set(), []
-            for w in {w for _, _, w in missing}:
-                sign = self.signs[w[-1]] if w[-1:] in self.signs and self.lone(w) else b""
-                stem = w[:-1] if sign else w
-                if self.word_end and (sign or self.letters(w)):
-                    stem = stem.lower()  # as the tokenizer does; letters of Latin-1 have one lower case each
-                if stem not in known:
-                    new.add(stem)
-                if stem != w:
-                    made.append((w, stem, sign))
-            self._learn(list(new))
-            known.update([(w, known[stem] + sign) for w, stem, sign in made])
-            for ids, k, w in missing:
-                ids[k] = known[w]
+        if not missing:
+            return
+        known, once, new, made, odd = self.after_space, self.once, set(), [], []
+        for w in {w for _, _, w in missing}:
+            if w in once:
+                known[w] = once.pop(w)
+                continue
+            sign = self.signs.get(w[-1:], b"")
+            stem = w[:-1] if sign else w
+            if not (stem.isascii() and stem.isalpha() or self.letters(stem)):
+                odd.append(w)
+                continue
+            if self.word_end:
+                stem = stem.lower()  # as the tokenizer does; letters of Latin-1 have one lower case each
+            if stem not in known and stem not in once:
+                new.add(stem)
+            if stem != w:
+                made.append((w, stem, sign))
+        self._learn(list(new), odd)
+        once.update([(w, (known[stem] if stem in known else once[stem]) + sign) for w, stem, sign in made])
+        for ids, k, w in missing:
+            ids[k] = known[w] if w in known else once[w]
 
     def _encode_words(self, texts: list[str | None]) -> list[bytes]:
         get = self.after_space.get
         parts, missing = [], []
         for t in texts:
-            if t and (t.isascii() and t.replace("\n", "").isprintable() or _rare_space(t) is None):
+            if t and _printable(t):
                 words = t.split()
                 ids = list(map(get, words))
                 missing += [(ids, k, words[k]) for k in _gaps(ids)]
