@@ -61,7 +61,6 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.after_space: dict[str, bytes] = {}
         self.once: dict[str, bytes] = {}  # met in one block of texts so far; apart, so that the words met often lie closer
-        self.at_start: dict[str, bytes] = {}
         self.limit = limit
         pieces = [self.tokenizer.id_to_token(k) or "" for k in range(self.tokenizer.get_vocab_size())]
         #: White space is dropped and words end in a marked token; else a byte-level vocabulary, whose tokens mark a space before.
@@ -77,6 +76,8 @@ class Encoder:
         self.letters = re.compile(rf"[{LETTERS}]+").fullmatch
         self.signs = {x: self._one(x) for x in ".,"}
         self.line_end = b"" if self.word_end else self._one("\n")
+        #: The id of a line end, where it is one.
+        self.break_id = int(np.frombuffer(self.line_end, self.kind)[0]) if len(self.line_end) == self.kind.itemsize else -1
 
     def _one(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -103,36 +104,40 @@ class Encoder:
             raw, cuts = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
             self.once.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
 
+    def _learn_heads(self, new: list[str]) -> None:
+        """Caches line ends with a word of letters behind, joined as above and cut
+        at line ends."""
+        for k in range(0, len(new), 512):
+            part = new[k : k + 512]
+            ids = np.frombuffer(self._one("".join(part)), self.kind)
+            cuts = np.append(np.flatnonzero(ids == self.break_id), len(ids)) if self.break_id >= 0 else []
+            if len(cuts) != len(part) + 1 or cuts[0]:
+                self.once.update([(x, self.line_end + self._one(x[1:])) for x in part])
+            else:
+                self.once.update([(x, ids[a:b].tobytes()) for x, a, b in zip(part, cuts[:-1], cuts[1:], strict=True)])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes of ``kind``; null is empty."""
         if len(self.after_space) > self.limit:
             self.after_space.clear()
         if len(self.once) > self.limit:
             self.once.clear()
-        if len(self.at_start) > self.limit:
-            self.at_start.clear()
         if self.word_end:
             return self._encode_words(texts)
-        get, first = self.after_space.get, self.at_start
-        parts: list[list | None] = []  # of each text: its line heads, then for each line the ids of its other words
-        missing: list[tuple[list, int, str]] = []
+        # a line end goes with the word behind it, so that a text is cut once
+        get = self.after_space.get
+        parts, missing = [], []
         for t in texts:
-            if not t or not _plain(t):
-                parts.append(None)
-                continue
-            lines = []
-            for line in t.split("\n"):
-                head, *words = line.split(" ")
+            if t and _plain(t):
+                words = ("\n" + t).replace("\n", " \n")[1:].split(" ")
                 ids = list(map(get, words))
                 missing += [(ids, k, words[k]) for k in _gaps(ids)]
-                lines.append((head, ids))
-            parts.append(lines)
+                parts.append(ids)
+            else:
+                parts.append(None)
         self._fill(missing)
-        heads = {h for lines in parts if lines for h, _ in lines if h not in first}
-        if heads:
-            new = list(heads)
-            first.update(zip(new, [x.tobytes() for x in self._many(new)], strict=True))
-        return [self.line_end.join([first[h] + b"".join(ids) for h, ids in lines]) if lines else self._one(t) if t else b"" for t, lines in zip(texts, parts, strict=True)]
+        skip = len(self.line_end)  # the first line has no line end before it
+        return [b"".join(ids)[skip:] if ids is not None else self._one(t) if t else b"" for t, ids in zip(texts, parts, strict=True)]
 
     def _fill(self, missing: list[tuple[list, int, str]]) -> None:
         """Learns the words behind the gaps. A word that ends in a comma or full
@@ -140,13 +145,22 @@ class Encoder:
         lower-cases, so do stems."""
         if not missing:
             return
-        known, once, new, made, odd = self.after_space, self.once, set(), [], []
+        known, once, new, made, odd, heads = self.after_space, self.once, set(), [], [], set()
         for w in {w for _, _, w in missing}:
             if w in once:
                 known[w] = once.pop(w)
                 continue
             sign = self.signs.get(w[-1:], b"")
             stem = w[:-1] if sign else w
+            if stem[:1] == "\n":
+                if self.letters(stem[1:]):
+                    if stem not in known and stem not in once:
+                        heads.add(stem)
+                    if stem != w:
+                        made.append((w, stem, sign))
+                else:
+                    once[w] = self.line_end + self._one(w[1:])
+                continue
             if not (stem.isascii() and stem.isalpha() or self.letters(stem)):
                 odd.append(w)
                 continue
@@ -157,6 +171,7 @@ class Encoder:
             if stem != w:
                 made.append((w, stem, sign))
         self._learn(list(new), odd)
+        self._learn_heads(list(heads))
         once.update([(w, (known[stem] if stem in known else once[stem]) + sign) for w, stem, sign in made])
         for ids, k, w in missing:
             ids[k] = known[w] if w in known else once[w]
