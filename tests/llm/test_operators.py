@@ -415,6 +415,8 @@ def test_bytes(spark, awkward, nothing, scratch):
     out = dedup_bytes(docs, scratch).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).collect()
     assert {r.doc_id: tuple(r)[1:] for r in out} == want
     assert sum(x[1] for x in want.values()) > 1000
+    salted = dedup_bytes(docs, Scratch(spark, "test"), lane_contexts=2).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in salted} == want
     assert dedup_bytes(nothing, Scratch(spark, "test")).count() == 0
     assert dedup_bytes(awkward, Scratch(spark, "test")).count() == awkward.count()
 
@@ -497,3 +499,34 @@ def test_pipeline(spark):
     totals = {r.doc_id for r in last.select("doc_id").distinct().collect()}
     assert totals == {r.doc_id for r in before.select("doc_id").distinct().collect()}
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "mixing", "packing"]
+
+
+def test_null_ids(spark, awkward, tokenizers):
+    """Rows without an id crash nothing and keep their place in the results."""
+    from topicloom.llm.common import Scratch
+    from topicloom.llm.licenses import scan_licenses
+    from topicloom.llm.lines import dedup_lines
+    from topicloom.llm.mixing import mix_sources
+    from topicloom.llm.near import near_duplicates
+    from topicloom.llm.packing import pack
+    from topicloom.llm.quality import quality_rules
+    from topicloom.llm.suffix import dedup_bytes
+    from topicloom.llm.tokens import digest, read_orc, write_orc
+    from topicloom.llm.vectors import vector_duplicates
+
+    docs = awkward.union(awkward.withColumn("doc_id", F.lit(None).cast("long")))
+    n = docs.count()
+    scratch = Scratch(spark, "test")
+    write_orc(docs, scratch.path("t"), tokenizers["byte_bpe_50k.json"][0], 0)
+    assert digest(read_orc(spark, scratch.path("t"))).count() == n
+    assert near_duplicates(docs, Scratch(spark, "test")).count() == n
+    assert dedup_lines(docs, Scratch(spark, "test")).count() == n
+    assert mix_sources(docs).count() == n
+    assert quality_rules(docs, spark.read.parquet(f"{SF}/labels.parquet"), Scratch(spark, "test")).count() == n
+    assert dedup_bytes(docs, Scratch(spark, "test")).count() == n
+    assert scan_licenses(docs).where("doc_id is null").count() == 1
+    pieces = pack(docs, Scratch(spark, "test"), tokenizers["word_bpe_49k.json"][0])
+    assert pieces.agg(F.sum("length")).first()[0] == 2 * pack(awkward, Scratch(spark, "test"), tokenizers["word_bpe_49k.json"][0]).agg(F.sum("length")).first()[0]
+    vectors = spark.createDataFrame([(1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (2, [1.0, 2.1], 0), (None, None, None)], "vec_id long, embedding array<float>, label int")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in vector_duplicates(vectors, Scratch(spark, "test")).collect()), key=str)
+    assert got == [(0, 0, None, True), (0, 0, None, True), (1, 1, 1, True), (2, 1, 1, False)]

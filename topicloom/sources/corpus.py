@@ -90,7 +90,7 @@ def parse_topics(rows: DataFrame) -> DataFrame:
 
 def read_newsgroup_tree(spark: SparkSession, path: str, split: str) -> DataFrame:
     """(file, category, split, text) of files in category folders."""
-    rows = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return rows.select(F.input_file_name().alias("file"), F.col("value").alias("text")).withColumn("category", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1)).withColumn("split", F.lit(split))
 
 
