@@ -119,8 +119,8 @@ def transform_tweets(rows: DataFrame, key: str, text: str = "text", train_frac:
 def transform_newswire(rows: DataFrame, key: str, text: str = "text", train_frac: float = 0.8, tokenizer: str = "nonalpha", lower: bool = True, stop: Iterable[str] = (), seed: int = 0) -> DataFrame:
     """Documents <doc ...> ... </doc> in each row's text, of which the text of
     <p> paragraphs counts. ``doc_id`` is key * 2**20 + the place in the row."""
-    docs = rows.select(F.col(key), F.posexplode(F.regexp_extract_all(text, F.lit(r"(?is)<doc(?:\s[^>]*)?>(.*?)</doc>"), 1)).alias("k", "body"))
-    docs = docs.select((F.col(key) * (1 << 20) + F.col("k")).alias("doc_id"), T.prepared(F.array_join(T.paragraphs(F.col("body")), "\n"), tokenizer, lower, stop).alias("tokens"))
+    docs = rows.select(F.col(key).alias("_key"), F.posexplode(F.regexp_extract_all(text, F.lit(r"(?is)<doc(?:\s[^>]*)?>(.*?)</doc>"), 1)).alias("_place", "_body"))
+    docs = docs.select((F.col("_key") * (1 << 20) + F.col("_place")).alias("doc_id"), T.prepared(F.array_join(T.paragraphs(F.col("_body")), "\n"), tokenizer, lower, stop).alias("tokens"))
     return docs.where(F.size("tokens") > 0).select("doc_id", F.lit("null").alias("category"), bernoulli_split(F.col("doc_id"), train_frac, seed).alias("split"), "tokens")
 
 
