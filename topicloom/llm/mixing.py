@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def _unit(key: F.Column, seed: int) -> F.Column:
     """A number in [0, 1) from the key's md5, alike in any engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
 def temperature(shares: F.Column, entropy_gain: float, max_repeats: float, rounds: int = 40) -> F.Column:
@@ -72,7 +72,7 @@ def mix_sources(docs: DataFrame, entropy_gain: float = 0.5, max_repeats: float =
     of about ``block_docs``. Every document gets the whole passes of its source;
     the part pass takes documents in permuted order up to its token budget, so
     at most one document a source goes over. No source gets less than one pass.
-    A null source is a source; null and empty texts have no tokens and one copy,
+    A null source is a source, a null id an id; null and empty texts have no tokens and one copy,
     as has every document of a source without tokens. Repeated doc_ids get
     copies each, in the order of their sizes. Extra columns are not read, and an
     empty table gives an empty result.

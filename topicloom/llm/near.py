@@ -235,7 +235,8 @@ def exact_links(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFra
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 75, miss: float = 1e-4) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each document.
 
-    Null texts, and texts without words, have an empty set, link with nothing
+    Null ids never lead a class: such a row is kept only if no other id has its
+    text. Null texts, and texts without words, have an empty set, link with nothing
     and are kept. Texts of fewer than five words are one shingle. Rows that
     repeat a doc_id count as one document only if their texts are alike; extra
     columns are not read; an empty table gives an empty result.
@@ -277,4 +278,4 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 75, miss:
     labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch, "all")
 
     classes = members.join(reps, ["k1", "k2"], "left").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return classes.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return classes.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -88,7 +88,7 @@ def vector_duplicates(table: DataFrame, scratch: Scratch, cosine: float = 0.93,
     """One row (vec_id, n_links, component_id, kept) for each row of ``table``.
 
     Vectors link only within a label. Null, zero and non-finite vectors, and
-    those without a label, link with nothing; vectors of unequal lengths don't
+    those without a label or an id, link with nothing; vectors of unequal lengths don't
     link. Equal vectors collapse first and count as often as they occur. The
     quantisers are fitted on at most ``sample_rows`` vectors of each length (the
     smallest hashed ids), a bound on what reaches the driver; every vector is
@@ -99,7 +99,7 @@ def vector_duplicates(table: DataFrame, scratch: Scratch, cosine: float = 0.93,
     spark = table.sparkSession
     rows = table.select("vec_id", "label", "embedding")
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    good = rows.where(F.col("label").isNotNull() & F.col("embedding").isNotNull()).where(whole).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()).where(whole).withColumn("embedding", F.col("embedding").cast("array<float>"))
     groups = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     reps = scratch.keep(groups.withColumn("dim", F.size("embedding")), "reps")
 
@@ -165,5 +165,5 @@ def vector_duplicates(table: DataFrame, scratch: Scratch, cosine: float = 0.93,
     classes = components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")), scratch)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     judged = reps.join(counts, "id", "left").join(classes, "id", "left").select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.withColumn("embedding", F.col("embedding").cast("array<float>")).join(judged, ["label", "embedding"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = rows.withColumn("embedding", F.col("embedding").cast("array<float>")).join(judged, ["label", "embedding"], "left").select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
