@@ -254,10 +254,12 @@ def _contexts(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(kernel, "h bigint, c bigint, doc bigint, start bigint, bytes binary, place bigint")
 
 
-def repeated_windows(lanes: list[tuple[np.ndarray, np.ndarray, list[bytes]]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, from, to) of byte ranges in which each window equals an earlier one.
-    A lane holds the docs, starts and bytes of the contexts of one anchor."""
-    held = [t for _, _, texts in lanes for t in texts]
+def repeated_windows(lanes: list[tuple[np.ndarray, np.ndarray, list[bytes], bool]], length: int) -> tuple[tuple, tuple]:
+    """(doc, from, to) of byte ranges in which each window equals an earlier one
+    of its lane; and (doc, from, w1, w2), with 128 bits of its bytes, of each
+    first window in the lanes that ask for it. A lane holds the docs, starts and
+    bytes of contexts of one anchor, and whether it asks."""
+    held = [t for x in lanes for t in x[2]]
     per_lane = np.array([len(x[2]) for x in lanes])
     size = np.array([len(t) for t in held])
     lane_of = np.repeat(np.arange(len(lanes)), per_lane)
@@ -286,6 +288,13 @@ def repeated_windows(lanes: list[tuple[np.ndarray, np.ndarray, list[bytes]]], le
     order = np.lexsort((place, doc, group))
     later = np.zeros(len(sa), bool)
     later[order[1:]] = group[order[1:]] == group[order[:-1]]
+    asked = ~later & np.array([x[3] for x in lanes])[lane]
+    first: tuple = (doc[asked], place[asked])
+    if asked.any():
+        raw, at = np.maximum(symbols - 1, 0).astype(np.uint8), sa[asked]
+        first += tuple(range_hash(prefix_hash(raw, lane=k), at, at + length).view(np.int64) for k in (0, 1))
+    else:
+        first += (np.empty(0, np.int64),) * 2
     owner, place, doc = owner[later], place[later], doc[later]
     order = np.lexsort((place, owner))
     owner, place, doc = owner[order], place[order], doc[order]
@@ -293,7 +302,7 @@ def repeated_windows(lanes: list[tuple[np.ndarray, np.ndarray, list[bytes]]], le
     cut[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)
     at = np.flatnonzero(cut)
     last = np.append(at[1:], len(place)) - 1
-    return doc[at], place[at], place[last] + length
+    return (doc[at], place[at], place[last] + length), first
 
 
 def _can_share(texts: list[bytes], places: list[int], length: int) -> list[int]:
@@ -308,9 +317,11 @@ def _can_share(texts: list[bytes], places: list[int], length: int) -> list[int]:
 
 
 def _lane_ranges(contexts: DataFrame, length: int, held_bytes: int = 8 << 20, lane_bytes: int = 1 << 20) -> DataFrame:
-    """Ranges of first occurrences that repeat earlier windows of other contexts.
-    Lanes are held up to ``held_bytes`` and go by size in groups of about
-    ``lane_bytes``, as those of a group take as many steps as the longest."""
+    """(doc, from, to, w1, w2): ranges of first occurrences that repeat earlier
+    windows of their lane (h, salt), without w1 and w2; and the first windows of
+    salted lanes, with them. Lanes are held up to ``held_bytes`` and go by size in
+    groups of about ``lane_bytes``, as those of a group take as many steps as the
+    longest."""
 
     def flush(lanes: list) -> Iterator[pa.RecordBatch]:
         lanes.sort(key=lambda x: sum(map(len, x[2])))
@@ -319,50 +330,71 @@ def _lane_ranges(contexts: DataFrame, length: int, held_bytes: int = 8 << 20, la
             part.append(lane)
             n += sum(map(len, lane[2]))
             if n > lane_bytes or k == len(lanes) - 1:
-                doc, a, b = repeated_windows(part, length)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, a, b)], names=["doc", "from", "to"])
+                (doc, a, b), (own, at, w1, w2) = repeated_windows(part, length)
+                none = [None] * len(doc)
+                columns = (np.concatenate((doc, own)), np.concatenate((a, at)), np.concatenate((b, at + length)), none + w1.tolist(), none + w2.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc", "from", "to", "w1", "w2"])
                 part, n = [], 0
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes, n = [], 0
-        for rows in runs(batches, 1):
-            texts = rows.column(4).to_pylist()
-            use = _can_share(texts, rows.column(5).to_pylist(), length)
+        for rows in runs(batches, 2):
+            texts, salted = rows.column(5).to_pylist(), rows.column(1)[0].as_py() >= 0
+            use = list(range(len(texts))) if salted else _can_share(texts, rows.column(6).to_pylist(), length)
             if not use:
                 continue
             texts = [texts[k] for k in use]
-            lanes.append((rows.column(2).to_numpy()[use], rows.column(3).to_numpy()[use], texts))
+            lanes.append((rows.column(3).to_numpy()[use], rows.column(4).to_numpy()[use], texts, salted))
             n += sum(map(len, texts))
             if n > held_bytes:
                 yield from flush(lanes)
                 lanes, n = [], 0
         yield from flush(lanes)
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(kernel, "doc bigint, from bigint, to bigint")
+    rows = contexts.select("h", "salt", "c", "doc", "start", "bytes", "place")
+    return rows.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(kernel, "doc bigint, from bigint, to bigint, w1 bigint, w2 bigint")
 
 
-def dedup_bytes(docs: DataFrame, scratch: Scratch, length: int = 100) -> DataFrame:
+def _edges(contexts: DataFrame, known: DataFrame, scratch: Scratch, length: int, lane_contexts: int) -> DataFrame:
+    """(doc, from, to) of all ranges among different contexts of an anchor.
+
+    An anchor with more than ``lane_contexts`` of them (about 9 MB) is dealt into salted lanes,
+    so no lane grows with the corpus. What is first in its lane only is settled
+    between lanes: by the smallest place of each different window, of which map
+    tasks keep one row."""
+    hot = known.where(F.col("kinds") > lane_contexts).groupBy("h").agg(F.ceil(F.max("kinds") / lane_contexts).cast("int").alias("parts"))
+    salt = F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("c"), F.col("parts"))).cast("int")
+    found = scratch.keep(_lane_ranges(contexts.join(hot, "h", "left").withColumn("salt", salt), length), "lanes")
+    windows = found.where("w1 is not null")
+    firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "from")).alias("least"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "least")
+    between = windows.join(firsts, ["w1", "w2"]).where(F.struct("doc", "from") > F.col("least"))
+    return found.where("w1 is null").select("doc", "from", "to").union(between.select("doc", "from", "to"))
+
+
+def dedup_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, lane_contexts: int = 1 << 16) -> DataFrame:
     """One row (doc_id, text_bytes kept as ``kept``, n_bytes, n_removed, n_spans)
     for each document: every byte covered by a string of ``length`` bytes that
     also starts earlier (smaller doc_id, or earlier in the document) is removed.
 
-    Null and empty texts have no bytes. Rows that repeat a doc_id count as one
+    Null and empty texts have no bytes; a text without an id stays whole and is
+    compared with none. Rows that repeat a doc_id count as one
     document; of exact copies the smallest doc_id stays whole. Extra columns are
     not read; an empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    every = docs.select("doc_id", "text")
+    docs = every.where("doc_id is not null")
     # by anchor: counts of equal contexts, which map tasks have combined before they move
     local = _run_table(docs, length, combine=True).repartition("h").groupBy("h", "c").agg(F.min("doc").alias("first"), F.sum("n").alias("n"))
     kinds = local.withColumn("kinds", F.count("*").over(Window.partitionBy("h")))
     known = scratch.keep(kinds.where("n > 1 or kinds > 1"), "known")
     asked = known.where("kinds > 1").select("h", "c", F.col("first").alias("doc"))
     contexts = scratch.keep(_contexts(docs, asked, length), "contexts")
-    edges = scratch.keep(_lane_ranges(contexts, length), "edges")
+    edges = scratch.keep(_edges(contexts, known, scratch, length, lane_contexts), "edges")
     copies = known.where("n > 1").select("h", "c", "first")
     later = _run_table(docs, length, combine=False).join(copies, ["h", "c"]).where("again or doc <> first")
     whole = later.select("doc", F.col("start").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).alias("to"))
     gone = scratch.keep(whole.union(edges).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("from").alias("_from"), F.collect_list("to").alias("_to")), "gone")
-    rows = docs.select("doc_id", F.col("text").alias("_text")).join(gone, "doc_id", "left").select("doc_id", "_text", "_from", "_to")
+    rows = every.select("doc_id", F.col("text").alias("_text")).join(gone, "doc_id", "left").select("doc_id", "_text", "_from", "_to")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, at in chunks(batches, "_text"):
