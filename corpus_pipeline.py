@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import Scratch
-from topicloom.llm.lines import dedup_lines
+from topicloom.llm.lines import dedup_passages
 from topicloom.llm.mixing import expand, mix_sources
 from topicloom.llm.near import near_duplicates
 from topicloom.llm.packing import pack
@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = dedup_lines(docs.select(*COLUMNS), Scratch(spark, "lines"))
+    rows = dedup_passages(docs.select(*COLUMNS), Scratch(spark, "lines"))
     return rows.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

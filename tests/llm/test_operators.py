@@ -248,6 +248,51 @@ def test_lines(spark, awkward, nothing, scratch):
     assert dedup_lines(nothing, Scratch(spark, "test")).count() == 0
 
 
+def passages_expected(rows, min_lines=2, min_chars=80):
+    """Kept lines of each document, every run of lines held against all before."""
+    seen, out = set(), {}
+    for doc, text in sorted((r.doc_id, r.text or "") for r in rows):
+        lines, gone = text.split("\n"), set()
+        for i in range(len(lines)):
+            for j in range(i + min_lines, len(lines) + 1):
+                run = "\n".join(lines[i:j])
+                if len(run) >= min_chars:
+                    gone |= set(range(i, j)) if run in seen else set()
+                    seen.add(run)
+        out[doc] = [x for k, x in enumerate(lines) if k not in gone]
+    return out
+
+
+def test_repeated_passages(spark, awkward, tmp_path):
+    """Passages that documents share go whole, wherever chunks end."""
+    import corpus_pipeline
+    from topicloom.llm.queries import op5_line_chunks
+
+    rng = random.Random(6)
+
+    def some(n):
+        return [" ".join(rng.choice("abcdefghijkl") * rng.randint(1, 9) for _ in range(rng.randint(1, 16))) + (" é" if rng.random() < 0.3 else "") for _ in range(n)]
+
+    made = []
+    for k in range(40):
+        passage = some(2 + k % 5)
+        made += [(2000 + 2 * k + j, "\n".join(some(rng.randint(0, 4)) + passage + some(rng.randint(0, 4)))) for j in (0, 1)]
+    extra = spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text")
+    docs = awkward.dropDuplicates(["doc_id"]).select("doc_id", "text").union(extra).union(spark.createDataFrame(made, "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = passages_expected(docs.collect())
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op5_line_chunks(spark, str(tmp_path)).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert r.kept_sha256 == hashlib.sha256("\n".join(want[r.doc_id]).encode()).hexdigest()
+        assert r.removed_lines == (0 if texts[r.doc_id] is None else r.n_lines - len(want[r.doc_id])) and r.removed_chunks <= r.n_chunks
+    assert sum(r.removed_lines for r in rows if r.doc_id >= 2000) > 80
+    whole = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    for r in corpus_pipeline.lines(spark, whole, SF).collect():
+        assert (r.text or "") == "\n".join(want[r.doc_id]) and (r.text is None) == (texts[r.doc_id] is None)
+
+
 # 6: mixing
 
 

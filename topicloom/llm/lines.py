@@ -1,17 +1,26 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup: of whole content-defined chunks, or of every repeated passage.
 
 A rolling hash over the hashes of neighbouring lines chooses where chunks end,
 so an inserted line moves only the chunks beside it. Chunks of several lines
 that occur more than once anywhere keep their first occurrence; a repeat counts
 only if its bytes are equal.
+
+Passages need no boundary inside them: from each line on, and up to each line,
+the shortest run that is long enough is keyed. Any repeated run is covered by
+those runs within it, so what goes does not depend on where chunks end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from topicloom.llm.common import Scratch
+from topicloom.llm.common import Scratch, chunks, prefix_hash, range_hash
 
 WINDOW, DIVISOR, MIN_LINES, MIN_CHARS = 2, 3, 2, 80
 
@@ -101,3 +110,88 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, window: int = WINDOW, divisor
         F.when(F.col("__l_gone").isNull(), 0).otherwise(F.size("__l_gone")).cast("long").alias("removed_chunks"),
         F.when(F.col("__l_gone").isNull(), 0).otherwise(F.size("__l_lines") - F.size("__l_left")).cast("long").alias("removed_lines"),
     )
+
+
+def shortest_runs(raw: np.ndarray, at: np.ndarray, min_lines: int, min_chars: int) -> tuple[np.ndarray, ...]:
+    """(document, first line, lines, start, end) of the shortest runs of at least
+    min_lines lines and min_chars characters from each line on and up to each
+    line. Lines count from 0 in each document, start and end are in bytes."""
+    n_docs = len(at) - 1
+    breaks = np.flatnonzero(raw == 10)
+    holder = np.searchsorted(at, breaks, "right") - 1
+    docs = np.arange(n_docs)
+    start, owner = np.concatenate((at[:-1], breaks + 1)), np.concatenate((docs, holder))
+    order = np.lexsort((start, owner))
+    start, owner = start[order], owner[order]
+    end = np.concatenate((breaks, at[1:]))
+    end = end[np.lexsort((end, np.concatenate((holder, docs))))]
+    first = np.searchsorted(owner, np.arange(n_docs + 1))
+    chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    begins, ends, line = chars[start], chars[end], np.arange(len(start))
+    last = np.maximum(line + min_lines - 1, np.searchsorted(ends, begins + min_chars, "left"))
+    onward = last < first[owner + 1]
+    head = np.minimum(line - min_lines + 1, np.searchsorted(begins, ends - min_chars, "right") - 1)
+    upto = head >= first[owner]
+    pairs = np.unique(np.concatenate((line[onward] * len(line) + last[onward], head[upto] * len(line) + line[upto])))
+    a, b = pairs // len(line), pairs % len(line)
+    return owner[a], a - first[owner[a]], b - a + 1, start[a], end[b]
+
+
+def repeated_lines(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, __l_text, __l_gone): the numbers of the lines of each text, by its
+    hash, that lie in a run which is equal in bytes to an earlier one."""
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("__l_text", "b", "n", "h1", "h2"))])
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("__l_text"), F.col("text").alias("_text"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raw, at in chunks(batches, "_text"):
+            doc, b, n, start, end = shortest_runs(raw, at, min_lines, min_chars)
+            hashes = [range_hash(prefix_hash(raw, lane=k), start, end).view(np.int64) for k in (0, 1)]
+            own = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(own), rows.column(1).take(own), *map(pa.array, (b, n, *hashes))], names=kind.names)
+
+    place = F.struct("doc_id", "__l_text", "b")
+    spots = scratch.keep(keyed.mapInArrow(kernel, kind), "runs")
+    again = spots.groupBy("h1", "h2").agg(F.count("*").alias("held"), F.min(place).alias("first")).where("held > 1").drop("held")
+    marked = scratch.keep(spots.join(again, ["h1", "h2"]), "marked")
+    # only texts that hold a repeated run move, and of those only such runs
+    asked = marked.groupBy(F.col("doc_id").alias("__l_id"), F.col("__l_text").alias("__l_of")).agg(F.collect_set(F.struct("b", "n", "h1", "h2")).alias("asked"))
+    held = keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("__l_id")) & (F.col("__l_text") == F.col("__l_of"))).withColumn("lines", F.split("_text", "\n", -1))
+    texts = held.select("doc_id", "__l_text", F.explode(F.transform("asked", lambda x: F.struct(x["b"].alias("b"), x["n"].alias("n"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.array_join(F.slice("lines", (x["b"] + 1).cast("int"), x["n"].cast("int")), "\n").alias("run")))).alias("x")).select("doc_id", "__l_text", "x.*")
+    mixed = scratch.keep(texts.groupBy("h1", "h2", "run").agg(F.count("*").alias("held")).groupBy("h1", "h2").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h1", "h2"), "mixed")
+    gone = marked
+    if mixed.limit(1).count():  # unequal runs of one hash: by their bytes
+        unequal = texts.join(mixed, ["h1", "h2"], "left_semi")
+        gone = marked.join(mixed, ["h1", "h2"], "left_anti").unionByName(unequal.join(unequal.groupBy("h1", "h2", "run").agg(F.min(place).alias("first")), ["h1", "h2", "run"]).drop("run"))
+    number = F.explode(F.sequence(F.col("b").cast("int"), (F.col("b") + F.col("n") - 1).cast("int")))
+    return gone.where(place > F.col("first")).select("doc_id", "__l_text", number.alias("line")).groupBy("doc_id", "__l_text").agg(F.collect_set("line").alias("__l_gone"))
+
+
+def dedup_passages(docs: DataFrame, scratch: Scratch, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` without any line that lies in a run of min_lines lines and
+    min_chars characters or more which occurs before, by (doc_id, place), and the
+    columns n_lines, n_chunks, removed_chunks (those that lost all their lines)
+    and removed_lines.
+
+    Whatever ``dedup_lines`` removes goes too, wherever chunks end. Rows that
+    repeat a doc_id and text count as one document. Null texts stay null, with no
+    lines; a document that loses all its lines stays with an empty text; an empty
+    table gives an empty result. Columns of docs with the added names are replaced.
+    """
+    added = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
+    names = [c for c in docs.columns if c not in added]
+    gone = repeated_lines(docs, scratch, min_lines, min_chars).select(F.col("doc_id").alias("__l_id"), F.col("__l_text").alias("__l_of"), "__l_gone")
+    rows = docs.select(*names).join(gone, F.col("doc_id").eqNullSafe(F.col("__l_id")) & (F.xxhash64("text") == F.col("__l_of")), "left").drop("__l_id", "__l_of")
+    cut = _with_chunks(rows, window, divisor)
+    of_line = F.flatten(F.transform(_numbers(), lambda k: F.array_repeat(k, _chunk(k)[1])))
+    cut = cut.withColumn("__l_left", F.when(F.col("__l_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__l_lines") - 1), "__l_gone"))).withColumn("__l_of_line", F.when(F.col("__l_gone").isNotNull(), of_line))
+    empty, whole = F.col("text").isNull(), F.col("__l_gone").isNull()
+    kept = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform("__l_left", lambda i: F.get("__l_lines", i)), "\n"))
+    chunks_left = F.size(F.array_distinct(F.transform("__l_left", lambda i: F.get("__l_of_line", i))))
+    return cut.select(
+        *[kept.alias("text") if c == "text" else F.col(c) for c in names],
+        F.when(empty, 0).otherwise(F.size("__l_lines")).cast("long").alias("n_lines"),
+        F.when(empty, 0).otherwise(F.size("__l_ends")).cast("long").alias("n_chunks"),
+        F.when(whole, 0).otherwise(F.size("__l_ends") - chunks_left).cast("long").alias("removed_chunks"),
+        F.when(whole, 0).otherwise(F.size("__l_gone")).cast("long").alias("removed_lines"),
+    )

@@ -44,10 +44,10 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from topicloom.llm.lines import dedup_lines
+    from topicloom.llm.lines import dedup_passages
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, Scratch(spark, "op5")).select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_passages(docs, Scratch(spark, "op5")).select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
