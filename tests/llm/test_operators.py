@@ -516,6 +516,37 @@ def test_packing(spark, awkward, nothing, scratch, tokenizers):
     assert sum(r.length for r in repeated) == sum(len(ids[r.doc_id]) for r in awkward.collect())
 
 
+def bm25(ids):
+    """Scores of every document (column) for the terms of every other (row)."""
+    n, tf = len(ids), [Counter(x) for x in ids]
+    df, mean = Counter(t for c in tf for t in c), sum(map(len, ids)) / len(ids)
+    idf = {t: np.log((n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
+    out = np.zeros((n, n))
+    for j, c in enumerate(tf):
+        w = {t: idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(ids[j]) / mean)) for t, f in c.items() if idf[t] > 0}
+        for i in range(n):
+            out[i, j] = sum(w.get(t, 0) for t in tf[i])
+    return out
+
+
+def test_neighbours_share_a_shard(spark, scratch, tokenizers):
+    from topicloom.llm.packing import pack
+
+    path, library = tokenizers["word_bpe_49k.json"]
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    topics = [["".join(rng.choice(letters) for _ in range(7)) for _ in range(40)] for _ in range(24)]
+    common = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(60)]
+    texts = [" ".join(rng.choices(topics[k % 24], k=40) + rng.choices(common, k=40)) for k in range(240)]
+    ids = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    score = bm25(ids)
+    np.fill_diagonal(score, -1)
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scratch, path, shard_tokens=sum(map(len, ids)) // 8).collect()
+    shard = {r.doc_id: (r.sequence_id - (1 << 62)) >> 32 for r in rows}
+    assert len(set(shard.values())) >= 4
+    assert np.mean([shard[int(score[k].argmax())] == shard[k] for k in range(240)]) > 0.8
+
+
 def test_neighbours_are_alike(tokenizers):
     from topicloom.llm.packing import Index
 

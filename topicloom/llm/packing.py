@@ -1,8 +1,8 @@
 """Packing by lexical retrieval.
 
 Documents become token ids. Windows that one document fills are sequences of
-their own; what is left of each document is dealt into shards, where a BM25
-inverted index returns unused neighbours for a seed, which fill its window
+their own; what is left of each document is dealt by content into shards, where
+a BM25 inverted index returns unused neighbours for a seed, which fill its window
 greedily. The last neighbour is cut to fit, and its rest seeds the next window.
 What a shard has left in the end is cut into powers of two, which need no
 padding.
@@ -10,6 +10,7 @@ padding.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from topicloom.llm.tokens import encoded, encoder_for
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 K1, B = 1.2, 0.75
 _FIRST = np.ones(1, bool)
+#: Of content vectors: their dimensions, and how many shards are fitted on, at least and for each shard.
+DIMENSIONS, SAMPLE, SAMPLE_EACH = 128, 20_000, 16
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
@@ -91,6 +94,82 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.select("ids").mapInArrow(kernel, "id bigint, df bigint").groupBy("id").agg(F.sum("df").alias("df"))
 
 
+@functools.cache
+def _directions(n: int) -> np.ndarray:
+    """A random direction for each token id."""
+    return np.random.default_rng(11).normal(size=(n, DIMENSIONS)).astype(np.float32)
+
+
+def content_vectors(docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """BM25 weights of each rest, projected to unit vectors; zero if no term tells."""
+    out = np.zeros((len(docs), DIMENSIONS), np.float32)
+    for k, ids in enumerate(docs):
+        t, n = np.unique(ids, return_counts=True)
+        keep = idf[t] > 0
+        t, n = t[keep], n[keep]
+        weight = idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ids) / mean_length))
+        out[k] = weight.astype(np.float32) @ _directions(len(idf))[t]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def nearest(vectors: np.ndarray, centres: np.ndarray, price: np.ndarray) -> np.ndarray:
+    return np.concatenate([(vectors[a : a + 4096] @ centres.T - price).argmax(1) for a in range(0, len(vectors), 4096)] or [np.zeros(0, np.int64)])
+
+
+def fit_centres(vectors: np.ndarray, load: np.ndarray, k: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of k groups, and a price of each that grows while its load is
+    above the mean, so that crowded regions get more groups."""
+    rng = np.random.default_rng(5)
+    k = min(k, len(vectors))
+    centres, price = vectors[rng.choice(len(vectors), k, replace=False)], np.zeros(k, np.float32)
+    for _ in range(rounds):
+        of = nearest(vectors, centres, price)
+        size = np.bincount(of, load, k)
+        price = np.maximum(0, price + 0.03 * np.log(np.clip(size * k / (1.3 * load.sum()), 0.25, 4))).astype(np.float32)
+        order = np.argsort(of, kind="stable")
+        held, at = np.unique(of[order], return_index=True)
+        centres = vectors[rng.choice(len(vectors), k)]  # an empty group starts anew
+        centres[held] = np.add.reduceat(vectors[order], at)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    return centres, price
+
+
+def deal_by_content(tails: DataFrame, scratch: Scratch, sent, rests: int, count: int, shard_tokens: int, kind: np.dtype) -> DataFrame:
+    """tails (doc_id, start, n_tokens, salt, ids) with their ``shard``: the nearest
+    of about rests / shard_tokens centres, fitted on a sample. A centre whose rests
+    come to more than twice shard_tokens (copies, mostly) is split by salt."""
+    spark, shards = tails.sparkSession, max(1, -(-rests // shard_tokens))
+    if shards == 1:
+        return tails.withColumn("shard", F.lit(0))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = [np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in docs], pa.int64()), pa.array([x.tobytes() for x in content_vectors(docs, *sent.value)], pa.binary())], names=["load", "vector"])
+
+    share = max(SAMPLE, SAMPLE_EACH * shards) / count
+    sample = tails if share >= 1 else tails.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "n_tokens"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = sorted(tuple(r) for r in sample.mapInArrow(vectors, "load bigint, vector binary").collect())
+    if not rows:
+        rows = [(1, np.zeros(DIMENSIONS, np.float32).tobytes())]
+    fitted = spark.sparkContext.broadcast(fit_centres(np.stack([np.frombuffer(r[1], np.float32) for r in rows]), np.array([r[0] for r in rows], float), shards))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = nearest(content_vectors([np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")], *sent.value), *fitted.value)
+            yield batch.append_column("shard", pa.array(of, pa.int32()))
+
+    dealt = scratch.keep(tails.mapInArrow(kernel, "doc_id bigint, start bigint, n_tokens bigint, salt bigint, ids binary, shard int"), "dealt")
+    split, base = [], shards
+    for r in dealt.groupBy("shard").agg(F.sum(F.col("n_tokens") - F.col("start")).alias("load")).where(F.col("load") > 2 * shard_tokens).orderBy("shard").collect():  # at most one row a shard
+        split.append((r.shard, -(-r.load // shard_tokens), base))
+        base += split[-1][1]
+    if not split:
+        return dealt
+    parts = F.broadcast(spark.createDataFrame(split, "shard int, parts int, base int"))
+    return dealt.join(parts, "shard", "left").withColumn("shard", F.coalesce(F.col("base") + F.pmod(F.xxhash64("salt", "doc_id"), F.col("parts")).cast("int"), "shard")).drop("parts", "base")
+
+
 class Index:
     """An inverted index of one shard with BM25 weights from corpus-wide
     frequencies."""
@@ -190,9 +269,10 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 1, win
     hold only the end id; ties in score go to the longer rest; an empty table
     gives an empty result; extra columns are not read. Frequencies and the mean
     length cover all documents; the frequency table has one row a vocabulary
-    entry, which bounds what is broadcast. Shards hold about ``shard_tokens``
-    tokens in rests shorter than a window, so hot sources or copies make more
-    shards, not larger ones.
+    entry, which bounds what is broadcast. Shards hold alike rests of about
+    ``shard_tokens`` tokens, and not more than twice that but by chance: crowded
+    regions and copies make more shards, not larger ones. A seed's neighbours are
+    those of its own shard; the README gives the share of true ones among them.
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
@@ -202,13 +282,13 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 1, win
     tokens = both.where("kind = 0")
     rest = (F.col("n_tokens") % window).cast("int")
     count, total, rests = tokens.agg(F.count("*"), F.sum("n_tokens"), F.sum(rest)).first()
-    shards = max(1, -(-(rests or 0) // shard_tokens))
     df = document_frequency(both.where("kind = 1")).collect()  # at most one row a vocabulary entry
     idf = np.zeros(max((r.id for r in df), default=0) + 1)
     for r in df:
         idf[r.id] = np.log((count - r.df + 0.5) / (r.df + 0.5))
     sent = docs.sparkSession.sparkContext.broadcast((idf, (total or 1) / max(1, count)))
-    tails = tokens.where(rest > 0).select(F.pmod(F.xxhash64("doc_id", "first"), F.lit(shards)).cast("int").alias("shard"), "doc_id", (F.col("n_tokens") - rest).alias("start"), "n_tokens", F.expr(f"substring(ids, cast({width} * (n_tokens - n_tokens % {window}) + 1 as int), cast({width} * (n_tokens % {window}) as int))").alias("ids"))
+    tails = tokens.where(rest > 0).select("doc_id", (F.col("n_tokens") - rest).alias("start"), "n_tokens", F.xxhash64("doc_id", "first").alias("salt"), F.expr(f"substring(ids, cast({width} * (n_tokens - n_tokens % {window}) + 1 as int), cast({width} * (n_tokens % {window}) as int))").alias("ids"))
+    tails = deal_by_content(tails, scratch, sent, rests or 0, max(1, count), shard_tokens, kind).select("shard", "doc_id", "start", "n_tokens", "ids")
 
     def kernel(table: pa.Table) -> pa.Table:
         idf, mean_length = sent.value
