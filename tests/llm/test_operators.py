@@ -547,6 +547,35 @@ def test_neighbours_share_a_shard(spark, scratch, tokenizers):
     assert np.mean([shard[int(score[k].argmax())] == shard[k] for k in range(240)]) > 0.8
 
 
+def test_all_terms_of_a_seed_count(spark, scratch, tokenizers):
+    """A neighbour that shares none of the seed's rarest words is found."""
+    from topicloom.llm.packing import Index, pack
+
+    path, library = tokenizers["word_bpe_49k.json"]
+    words = [w for w in sorted(x.strip("Ġ▁") for x in library.get_vocab()) if re.fullmatch("[a-z]{4,9}", w)]
+    words = [w for w in dict.fromkeys(words) if len(library.encode("a " + w, add_special_tokens=False).ids) == len(library.encode("a", add_special_tokens=False).ids) + 1][:900]
+    assert len(words) == 900
+    rare, shared, other = words[:80], words[80:140], words[140:]
+    fillers = [" ".join(other[40 * k : 40 * k + 110]) for k in range(12)]
+    texts = [" ".join(rare + shared), " ".join(shared), *fillers]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scratch, path).collect()
+    first = {r.sequence_id: r for r in rows if r.offset == 0}
+    seed = next(r for r in rows if r.doc_id == 0)
+    assert first[seed.sequence_id].doc_id == 0
+    line = sorted((r.sequence_id, r.offset, r.doc_id) for r in rows)
+    assert line[line.index((seed.sequence_id, 0, 0)) + 1][2] == 1
+
+    rng = np.random.default_rng(2)
+    docs = [np.minimum(rng.zipf(1.3, rng.integers(1, 400)), 3000).astype("<u2") for _ in range(60)]
+    df = Counter(t for x in docs for t in set(x.tolist()))
+    idf = np.zeros(3001)
+    for t, d in df.items():
+        idf[t] = np.log((60 - d + 0.5) / (d + 0.5))
+    index, want = Index(docs, idf, sum(map(len, docs)) / 60), bm25([x.tolist() for x in docs])
+    for k in range(60):
+        assert np.allclose(index.scores(k), want[k])
+
+
 def test_neighbours_are_alike(tokenizers):
     from topicloom.llm.packing import Index
 

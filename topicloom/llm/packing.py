@@ -172,9 +172,9 @@ def deal_by_content(tails: DataFrame, scratch: Scratch, sent, rests: int, count:
 
 class Index:
     """An inverted index of one shard with BM25 weights from corpus-wide
-    frequencies."""
+    frequencies. Terms that an eighth of the documents hold stand in full rows."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int | None = None):
         terms, tfs, owner = [], [], []
         for k, ids in enumerate(docs):
             t, n = np.unique(ids, return_counts=True)
@@ -191,20 +191,32 @@ class Index:
         self.vocabulary, self.at = np.unique(term[order], return_index=True)
         self.at = np.concatenate((self.at, [len(order)]))
         self.size = len(docs)
+        held = np.diff(self.at)
+        full = np.flatnonzero(8 * held >= self.size)
+        self.row = np.full(len(held), -1)
+        self.row[full] = np.arange(len(full))
+        self.rows = np.zeros((len(full), self.size))
+        for k, v in enumerate(full.tolist()):
+            span = slice(self.at[v], self.at[v + 1])
+            self.rows[k, self.doc[span]] = self.weight[span]
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of all documents, for the most telling terms of the seed."""
+        """Of all documents, for all terms of the seed with a positive idf, or for
+        the ``query_terms`` most telling ones."""
         t = self.terms[seed]
-        if len(t) > self.query_terms:
+        if self.query_terms is not None and len(t) > self.query_terms:
             t = t[np.argsort(-self.idf[t], kind="stable")[: self.query_terms]]
         where = np.searchsorted(self.vocabulary, t)
+        row = self.row[where]
+        common = self.rows[row[row >= 0]].sum(0)
+        where = where[row < 0]
         spans = [slice(a, b) for a, b in zip(self.at[where].tolist(), self.at[where + 1].tolist(), strict=True)]
         if not spans:
-            return np.zeros(self.size)
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size)
+            return common
+        return common + np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size)
 
 
-def pack_shard(shard: int, rows: list[tuple[int, int, int, bytes]], idf: np.ndarray, mean_length: float, window: int, query_terms: int, kind: np.dtype) -> list[tuple]:
+def pack_shard(shard: int, rows: list[tuple[int, int, int, bytes]], idf: np.ndarray, mean_length: float, window: int, query_terms: int | None, kind: np.dtype) -> list[tuple]:
     """Pieces of a shard's rests (doc_id, start, doc_tokens, ids)."""
     rows = sorted(rows, key=lambda r: (-len(r[3]), r[0] is None, r[0] or 0, r[1]))  # long seeds first
     ids = [np.frombuffer(r[3], kind) for r in rows]
@@ -262,7 +274,7 @@ def pack_shard(shard: int, rows: list[tuple[int, int, int, bytes]], idf: np.ndar
     return out
 
 
-def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 1, window: int = 2048, shard_tokens: int = 1 << 20, query_terms: int = 24) -> DataFrame:
+def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 1, window: int = 2048, shard_tokens: int = 1 << 20, query_terms: int | None = None) -> DataFrame:
     """One row (PIECE) for each piece of each document.
 
     Every row of ``docs`` is packed, repeated ones too; null and empty texts
@@ -272,7 +284,8 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 1, win
     entry, which bounds what is broadcast. Shards hold alike rests of about
     ``shard_tokens`` tokens, and not more than twice that but by chance: crowded
     regions and copies make more shards, not larger ones. A seed's neighbours are
-    those of its own shard; the README gives the share of true ones among them.
+    those of its own shard, by all its terms unless ``query_terms`` caps them; the
+    README gives the share of true ones among them.
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
