@@ -606,6 +606,49 @@ def test_pipeline(spark):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "mixing", "packing"]
 
 
+def test_pipeline_stages_by_brute_force(spark, scratch, tokenizers):
+    import corpus_pipeline
+
+    library = tokenizers["word_bpe_49k.json"][1]
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def step(name, before):
+        after = scratch.keep(stages[name](spark, before, SF), name)
+        return after, after.collect()
+
+    start = docs.collect()
+    now, rows = step("quality", docs)
+    texts, kept = {r.doc_id: r.text for r in start}, {r.doc_id for r in rows}
+    assert all(r.text == texts[r.doc_id] for r in rows) and len(rows) == len(kept)
+    stats = {k: stats_expected(t) for k, t in texts.items()}
+    failed = {k for k, s in stats.items() if s[0] < 20 or 100 * s[4] > 30 * s[0]}
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()} - failed
+    assert failed and not kept & failed and len(kept & good) >= 0.97 * len(good)
+
+    want = passages_expected(rows)
+    now, rows = step("lines", now)
+    assert {r.doc_id: r.text or "" for r in rows} == {k: "\n".join(x) for k, x in want.items()}
+    assert all(r.n_chars == len(r.text) for r in rows if r.text != texts[r.doc_id])
+
+    of, before = near_expected(rows)[1], {r.doc_id: r.text for r in rows}
+    now, rows = step("near", now)
+    assert {r.doc_id: r.text for r in rows} == {k: t for k, t in before.items() if of[k] == k}
+
+    from topicloom.llm.mixing import mix_sources
+
+    copies, before = {r.doc_id: r.copies for r in mix_sources(now).collect()}, {r.doc_id: r.text for r in rows}
+    now, rows = step("mixing", now)
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter({(k, before[k]): n for k, n in copies.items()}) and set(copies) == set(before)
+
+    ids = {k: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for k, t in before.items()}
+    pieces, covered = step("packing", now)[1], defaultdict(Counter)
+    for r in pieces:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        covered[r.doc_id].update(range(r.start, r.start + r.length))
+    assert all(covered[k] == Counter(dict.fromkeys(range(len(x)), copies[k])) for k, x in ids.items())
+
+
 def test_null_ids(spark, awkward, tokenizers):
     """Rows without an id crash nothing and keep their place in the results."""
     from topicloom.llm.common import Scratch
