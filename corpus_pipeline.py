@@ -20,16 +20,35 @@ from topicloom.llm.quality import quality_rules
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs but for the ids in ``gone``, which is written first, so that Spark
-    knows its size and moves the texts only if it is large."""
-    return docs.join(scratch.keep(gone.select("doc_id").distinct(), "gone"), "doc_id", "left_anti").select(*COLUMNS)
+def _rows(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """docs with a unique ``__row`` in the order of ids, and whether that is other
+    than doc_id, which stands for its row unless some ids are null or repeated."""
+    docs = docs.select(*COLUMNS)
+    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").limit(1).count():
+        return docs.withColumn("__row", F.col("doc_id")), False
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return scratch.keep(ordered.withColumn("__row", F.monotonically_increasing_id()), "rows"), True
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """What operators read, with the row's key for an id."""
+    return rows.select(F.col("__row").alias("doc_id"), "text")
+
+
+def _without(rows: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows but for those whose keys stand as ids in ``gone``, which is written
+    first, so that Spark knows its size and moves the texts only if it is large."""
+    return rows.join(scratch.keep(gone.select(F.col("doc_id").alias("__row")).distinct(), "gone"), "__row", "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "quality")
-    judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), scratch)
-    return _without(docs, judged.where(~F.col("kept")), scratch)
+    rows, other = _rows(docs, scratch)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    if other:
+        labels = labels.join(rows.select("doc_id", "__row"), "doc_id").drop("doc_id").withColumnRenamed("__row", "doc_id")
+    judged = quality_rules(_judged(rows), labels, scratch)
+    return _without(rows, judged.where(~F.col("kept")), scratch)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +58,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "near")
-    return _without(docs, near_duplicates(docs, scratch).where(~F.col("kept")), scratch)
+    rows, _ = _rows(docs, scratch)
+    return _without(rows, near_duplicates(_judged(rows), scratch).where(~F.col("kept")), scratch)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

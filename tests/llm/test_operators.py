@@ -606,6 +606,25 @@ def test_pipeline(spark):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "mixing", "packing"]
 
 
+def test_pipeline_rows_without_unique_ids(spark):
+    """Rows, not ids, are dropped."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+
+    def prose(n=60):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
+
+    a, b, c, d = (prose() for _ in range(4))
+    rows = [(None, "too short"), (None, a), (1, a), (2, b), (2, "short as well"), (3, c), (3, c), (None, d), (None, d)]
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").limit(60).select((F.col("doc_id") + 1000).alias("doc_id"), *corpus_pipeline.COLUMNS[1:])
+    made = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], base.schema)
+    judged = {(r.doc_id, r.text) for r in corpus_pipeline.quality(spark, base.union(made), SF).collect()}
+    assert not {(None, "too short"), (2, "short as well")} & judged
+    near = Counter((r.doc_id, r.text) for r in corpus_pipeline.near(spark, made, SF).collect() if len(r.text) > 20)
+    assert near == Counter([(1, a), (2, b), (3, c), (None, d)])
+
+
 def test_pipeline_stages_by_brute_force(spark, scratch, tokenizers):
     import corpus_pipeline
 
