@@ -47,20 +47,22 @@ class Encoder:
     A text is cut only where the tokenizer itself always cuts, so joining the
     ids of its parts gives the ids of the text: before single spaces and around
     single line ends in plain texts; other texts are encoded whole. New words
-    are encoded together. Words met once and words met again are cached apart,
-    about ``limit`` of each; a full cache starts anew, which changes no result.
+    are encoded together. A word is cached when it is met in a second block, up to
+    about ``limit`` of them; a full cache starts anew, which changes no result.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: How the strings of special tokens begin: a text that holds one may hold such a token, so it is encoded whole.
+        self.special = {x for t in self.tokenizer.get_added_tokens_decoder().values() for x in (t.content[:2], t.content[:2].lower(), t.content[:2].upper())}
         #: How ids are held: little-endian, 16 bits where the vocabulary fits.
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.after_space: dict[str, bytes] = {}
-        self.once: dict[str, bytes] = {}  # met in one block of texts so far; apart, so that the words met often lie closer
+        self.once: dict[str, bytes] = {}  # new in this block of texts
+        self.met = bytearray(1 << 23)  # by hash, whether a word was in a block before
         self.limit = limit
         pieces = [self.tokenizer.id_to_token(k) or "" for k in range(self.tokenizer.get_vocab_size())]
         #: White space is dropped and words end in a marked token; else a byte-level vocabulary, whose tokens mark a space before.
@@ -79,6 +81,9 @@ class Encoder:
         #: The id of a line end, where it is one.
         self.break_id = int(np.frombuffer(self.line_end, self.kind)[0]) if len(self.line_end) == self.kind.itemsize else -1
 
+    def _ordinary(self, text: str) -> bool:
+        return not any(x in text for x in self.special)
+
     def _one(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
@@ -120,15 +125,13 @@ class Encoder:
         """The ids of each text, as bytes of ``kind``; null is empty."""
         if len(self.after_space) > self.limit:
             self.after_space.clear()
-        if len(self.once) > self.limit:
-            self.once.clear()
         if self.word_end:
             return self._encode_words(texts)
         # a line end goes with the word behind it, so that a text is cut once
         get = self.after_space.get
         parts, missing = [], []
         for t in texts:
-            if t and _plain(t):
+            if t and _plain(t) and self._ordinary(t):
                 words = ("\n" + t).replace("\n", " \n")[1:].split(" ")
                 ids = list(map(get, words))
                 missing += [(ids, k, words[k]) for k in _gaps(ids)]
@@ -147,9 +150,6 @@ class Encoder:
             return
         known, once, new, made, odd, heads = self.after_space, self.once, set(), [], [], set()
         for w in {w for _, _, w in missing}:
-            if w in once:
-                known[w] = once.pop(w)
-                continue
             sign = self.signs.get(w[-1:], b"")
             stem = w[:-1] if sign else w
             if stem[:1] == "\n":
@@ -174,13 +174,21 @@ class Encoder:
         self._learn_heads(list(heads))
         once.update([(w, (known[stem] if stem in known else once[stem]) + sign) for w, stem, sign in made])
         for ids, k, w in missing:
-            ids[k] = known[w] if w in known else once[w]
+            ids[k] = once[w]
+        met, last = self.met, len(self.met) - 1
+        for w, ids in once.items():
+            k = hash(w) & last
+            if met[k]:
+                known[w] = ids
+            else:
+                met[k] = 1
+        once.clear()
 
     def _encode_words(self, texts: list[str | None]) -> list[bytes]:
         get = self.after_space.get
         parts, missing = [], []
         for t in texts:
-            if t and _printable(t):
+            if t and _printable(t) and self._ordinary(t):
                 words = t.split()
                 ids = list(map(get, words))
                 missing += [(ids, k, words[k]) for k in _gaps(ids)]
