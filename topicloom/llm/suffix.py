@@ -2,9 +2,9 @@
 
 Every window of ``length`` bytes has an anchor, its smallest hashed k-gram, so
 equal windows share an anchor wherever they stand. Windows in a row with one
-anchor form a run; its bytes are the run's context. Equal contexts collapse by
-hash. Where an anchor has several contexts, their suffix array brings equal
-windows together, which are then compared by their bytes.
+anchor form a run; its bytes are the run's context. Of contexts with equal bytes
+the first one stands for all. Where an anchor has several contexts, their suffix
+array brings equal windows together, which are then compared by their bytes.
 
 Suffix arrays are made by linear grouping: suffixes are grouped by their Lyndon
 prefixes, groups are processed from the highest down, each moving the previous
@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import Scratch, chunks, powers, prefix_hash, range_hash, runs
+from topicloom.llm.common import Scratch, chunks, powers, prefix_hash, range_hash, row_keys, runs
 
 GRAM = 24
 SEGMENT = 1 << 23
@@ -169,14 +169,13 @@ def _segment_runs(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
     first = np.flatnonzero(cut & inside)
     breaks = np.append(np.flatnonzero(cut | ~inside), len(place))
     last = breaks[np.searchsorted(breaks, first, "right")] - 1
-    return doc[first], first - at[doc[first]], last - first + 1, gram[anchor[first]], range_hash(sums, first, last + length), anchor[first] - first
+    return doc[first], first - at[doc[first]], last - first + 1, gram[anchor[first]], anchor[first] - first
 
 
 def window_runs(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(doc, start, windows, anchor, context, place of the anchor) of each run in
-    one block."""
+    """(doc, start, windows, anchor, place of the anchor) of each run in one block."""
     if len(raw) < length:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),)
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64))
     if len(raw) <= SEGMENT + length:
         return _segment_runs(raw, at, length)
     parts = []  # a long text, alone in its block, in segments: each window lies in one
@@ -187,78 +186,97 @@ def window_runs(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _run_table(docs: DataFrame, length: int, combine: bool) -> DataFrame:
-    """Runs of all documents. Combined: (h, c, doc, n), the smallest doc_id and
-    the count of equal contexts in about a million runs; else (h, c, doc, start,
-    windows, again), where again marks contexts that the document had before."""
+def _anchors(docs: DataFrame, length: int) -> DataFrame:
+    """(h, n): the anchors of all runs, counted over about a million runs each."""
 
-    def batch_of(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], names=["h", "n"])
+
+        for _, raw, at in chunks(batches, "_text"):
+            held.append(window_runs(raw, at, length)[3])
+            n += len(held[-1])
+            if n > 1_000_000:
+                yield counted()
+                held, n = [], 0
+        if n:
+            yield counted()
 
-    def combined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        h, c, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((doc, c, h))
-        h, c, doc = h[order], c[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        at = np.flatnonzero(new)
-        return batch_of([h[at].view(np.int64), c[at].view(np.int64), doc[at], np.diff(np.append(at, len(h)))], ["h", "c", "doc", "n"])
+    return docs.select(F.col("text").alias("_text")).mapInArrow(kernel, "h bigint, n bigint")
+
+
+def _placed(docs: DataFrame, length: int) -> DataFrame:
+    """(h, doc): each document's anchors, once."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
         for rows, raw, at in chunks(batches, "_text"):
             ids = rows.column(0).to_numpy()
-            doc, start, windows, h, c, _ = window_runs(raw, at, length)
-            if not len(doc):
-                continue
-            if combine:
-                held.append((h, c, ids[doc]))
-                n += len(h)
-                if n > 1_000_000:
-                    yield combined(held)
-                    held, n = [], 0
-                continue
-            order = np.lexsort((start, c, h, doc))
-            again = np.zeros(len(doc), bool)
-            o, p = order[1:], order[:-1]
-            again[o] = (doc[o] == doc[p]) & (h[o] == h[p]) & (c[o] == c[p])
-            yield batch_of([h.view(np.int64), c.view(np.int64), ids[doc], start, windows.astype(np.int32), again], ["h", "c", "doc", "start", "windows", "again"])
-        if held:
-            yield combined(held)
+            doc, _, _, h, _ = window_runs(raw, at, length)
+            if len(doc):
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                new = np.append(True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids[doc[new]])], names=["h", "doc"])
+
+    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(kernel, "h bigint, doc bigint")
 
-    rest = "n bigint" if combine else "start bigint, windows int, again boolean"
-    return docs.select("doc_id", F.col("text").alias("_text")).mapInArrow(kernel, f"h bigint, c bigint, doc bigint, {rest}")
 
+CONTEXT = "h bigint, c bigint, doc bigint, start bigint, bytes binary, place bigint, to bigint"
 
-def _contexts(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """(h, c, doc, start, bytes, place of the anchor) of the asked contexts (h, c, doc)."""
-    lists = asked.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("_h"), F.collect_list("c").alias("_c"))
-    rows = docs.select("doc_id", F.col("text").alias("_text")).join(lists, "doc_id").select("doc_id", "_text", "_h", "_c")
+
+def _contexts(docs: DataFrame, asked: DataFrame, length: int, held_contexts: int = 100_000) -> DataFrame:
+    """CONTEXT rows of the runs with asked anchors (h, doc). A context that is
+    equal in bytes to one before it in its task has no bytes: all its windows, up
+    to ``to``, repeat. A task remembers up to ``held_contexts`` contexts, then
+    starts anew, which only sends more rows."""
+    lists = asked.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("_h"))
+    rows = docs.select("doc_id", F.col("text").alias("_text")).join(lists, "doc_id").select("doc_id", "_text", "_h").sortWithinPartitions("doc_id")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for rows, raw, at in chunks(batches, "_text"):
             ids = rows.column(0).to_numpy()
-            doc, start, windows, h, c, place = window_runs(raw, at, length)
-            want = [np.column_stack([np.full(len(a), k), np.asarray(a), np.asarray(b)]) for k, (a, b) in enumerate(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True))]
-            want = np.concatenate(want)
-            have = np.column_stack([doc, h.view(np.int64), c.view(np.int64)])
-            both = np.concatenate((want, have))
-            order = np.lexsort((np.r_[np.full(len(want), -1), start], both[:, 2], both[:, 1], both[:, 0]))
-            s = both[order]
-            same = (s[1:] == s[:-1]).all(1)
-            pick = order[1:][same & (order[:-1] < len(want)) & (order[1:] >= len(want))] - len(want)  # the first of the document
-            begin = at[doc[pick]] + start[pick]
-            held = [raw[a:b].tobytes() for a, b in zip(begin.tolist(), (begin + windows[pick] + length - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(c[pick].view(np.int64)), pa.array(ids[doc[pick]]), pa.array(start[pick]), pa.array(held, pa.binary()), pa.array(place[pick])], names=["h", "c", "doc", "start", "bytes", "place"])
-
-    return rows.mapInArrow(kernel, "h bigint, c bigint, doc bigint, start bigint, bytes binary, place bigint")
+            doc, start, windows, h, place = window_runs(raw, at, length)
+            want = rows.column(2)
+            wanted = np.sort(want.values.to_numpy()[want.offsets[0].as_py() : want.offsets[-1].as_py()]).view(np.uint64) if len(want) else np.empty(0, np.uint64)
+            wanted = np.unique(wanted)  # an anchor asked for in one document repeats, so it is asked for in all
+            pick = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h) if len(wanted) else np.empty(0, np.int64)
+            if not len(pick):
+                continue
+            doc, start, windows, h, place = doc[pick], start[pick], windows[pick], h[pick], place[pick]
+            begin = at[doc] + start
+            end = begin + windows + length - 1
+            code = range_hash(prefix_hash(raw), begin, end).view(np.int64)
+            held: list[bytes | None] = []
+            for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                x = raw[a:b].tobytes()
+                if x in seen:
+                    held.append(None)
+                else:
+                    held.append(x)
+                    seen.add(x)
+            if len(seen) > held_contexts:
+                seen = set()
+            column, to = pa.array(held, pa.binary()), start + windows + length - 1
+            again = np.asarray(column.is_null())
+            # repeats that follow one another become one row
+            joined = np.append(False, again[1:] & again[:-1] & (doc[1:] == doc[:-1]) & (start[1:] <= to[:-1]))
+            keep = np.flatnonzero(~joined)
+            to = to[np.append(keep[1:], len(to)) - 1]
+            columns = (pa.array(x[keep]) for x in (h.view(np.int64), code, ids[doc], start))
+            yield pa.RecordBatch.from_arrays([*columns, column.take(pa.array(keep)), pa.array(place[keep]), pa.array(to)], names=["h", "c", "doc", "start", "bytes", "place", "to"])
+
+    return rows.mapInArrow(kernel, CONTEXT)
 
 
 def repeated_windows(lanes: list[tuple[np.ndarray, np.ndarray, list[bytes], bool]], length: int) -> tuple[tuple, tuple]:
     """(doc, from, to) of byte ranges in which each window equals an earlier one
-    of its lane; and (doc, from, w1, w2), with 128 bits of its bytes, of each
-    first window in the lanes that ask for it. A lane holds the docs, starts and
-    bytes of contexts of one anchor, and whether it asks."""
+    of its lane; and (doc, from, bytes) of each first window in the lanes that ask
+    for it. A lane holds the docs, starts and bytes of contexts of one anchor, and
+    whether it asks."""
     held = [t for x in lanes for t in x[2]]
     per_lane = np.array([len(x[2]) for x in lanes])
     size = np.array([len(t) for t in held])
@@ -289,12 +307,8 @@ def repeated_windows(lanes: list[tuple[np.ndarray, np.ndarray, list[bytes], bool
     later = np.zeros(len(sa), bool)
     later[order[1:]] = group[order[1:]] == group[order[:-1]]
     asked = ~later & np.array([x[3] for x in lanes])[lane]
-    first: tuple = (doc[asked], place[asked])
-    if asked.any():
-        raw, at = np.maximum(symbols - 1, 0).astype(np.uint8), sa[asked]
-        first += tuple(range_hash(prefix_hash(raw, lane=k), at, at + length).view(np.int64) for k in (0, 1))
-    else:
-        first += (np.empty(0, np.int64),) * 2
+    at = sa[asked]
+    first = doc[asked], place[asked], [(symbols[k : k + length] - 1).astype(np.uint8).tobytes() for k in at.tolist()]
     owner, place, doc = owner[later], place[later], doc[later]
     order = np.lexsort((place, owner))
     owner, place, doc = owner[order], place[order], doc[order]
@@ -316,12 +330,18 @@ def _can_share(texts: list[bytes], places: list[int], length: int) -> list[int]:
     return [k for k, (a, b) in enumerate(zip(left, right, strict=True)) if a is not None and n_left[a] > 1 or b is not None and n_right[b] > 1]
 
 
+RANGES = "doc bigint, from bigint, to bigint, window binary"
+
+
 def _lane_ranges(contexts: DataFrame, length: int, held_bytes: int = 8 << 20, lane_bytes: int = 1 << 20) -> DataFrame:
-    """(doc, from, to, w1, w2): ranges of first occurrences that repeat earlier
-    windows of their lane (h, salt), without w1 and w2; and the first windows of
-    salted lanes, with them. Lanes are held up to ``held_bytes`` and go by size in
-    groups of about ``lane_bytes``, as those of a group take as many steps as the
-    longest."""
+    """RANGES that repeat earlier windows of their lane (h, salt), with no window;
+    and the first windows of salted lanes, with their bytes. Of contexts equal in
+    bytes the first one stands in the suffix array, the others repeat whole. Lanes
+    are held up to ``held_bytes`` and go by size in groups of about
+    ``lane_bytes``, as those of a group take as many steps as the longest."""
+
+    def batch_of(doc: np.ndarray, a: np.ndarray, b: np.ndarray, window: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (doc, a, b)), pa.array(window, pa.binary())], names=["doc", "from", "to", "window"])
 
     def flush(lanes: list) -> Iterator[pa.RecordBatch]:
         lanes.sort(key=lambda x: sum(map(len, x[2])))
@@ -330,71 +350,85 @@ def _lane_ranges(contexts: DataFrame, length: int, held_bytes: int = 8 << 20, la
             part.append(lane)
             n += sum(map(len, lane[2]))
             if n > lane_bytes or k == len(lanes) - 1:
-                (doc, a, b), (own, at, w1, w2) = repeated_windows(part, length)
-                none = [None] * len(doc)
-                columns = (np.concatenate((doc, own)), np.concatenate((a, at)), np.concatenate((b, at + length)), none + w1.tolist(), none + w2.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc", "from", "to", "w1", "w2"])
+                (doc, a, b), (own, at, windows) = repeated_windows(part, length)
+                yield batch_of(np.concatenate((doc, own)), np.concatenate((a, at)), np.concatenate((b, at + length)), [None] * len(doc) + windows)
                 part, n = [], 0
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lanes, n = [], 0
+        copies, n_copies = [], 0
         for rows in runs(batches, 2):
-            texts, salted = rows.column(5).to_pylist(), rows.column(1)[0].as_py() >= 0
-            use = list(range(len(texts))) if salted else _can_share(texts, rows.column(6).to_pylist(), length)
-            if not use:
+            salted, texts = rows.column(1)[0].as_py() >= 0, rows.column(5).to_pylist()
+            doc, start = rows.column(3).to_numpy(), rows.column(4).to_numpy()
+            seen: set[bytes] = set()
+            first = np.array([not (x in seen or seen.add(x)) for x in texts])  # rows come by (c, doc, start)
+            if not first.all():
+                copies.append(np.stack((doc[~first], start[~first], rows.column(7).to_numpy()[~first])))
+                n_copies += int((~first).sum())
+                if n_copies > 100_000:
+                    yield batch_of(*np.concatenate(copies, 1), [None] * n_copies)
+                    copies, n_copies = [], 0
+            use = np.flatnonzero(first)
+            if not salted:
+                if len(use) < 2:
+                    continue
+                place = rows.column(6).to_numpy()
+                use = use[_can_share([texts[k] for k in use], place[use].tolist(), length)]
+            if not len(use):
                 continue
-            texts = [texts[k] for k in use]
-            lanes.append((rows.column(3).to_numpy()[use], rows.column(4).to_numpy()[use], texts, salted))
-            n += sum(map(len, texts))
+            lanes.append((doc[use], start[use], [texts[k] for k in use], salted))
+            n += sum(map(len, lanes[-1][2]))
             if n > held_bytes:
                 yield from flush(lanes)
                 lanes, n = [], 0
         yield from flush(lanes)
+        if n_copies:
+            yield batch_of(*np.concatenate(copies, 1), [None] * n_copies)
 
-    rows = contexts.select("h", "salt", "c", "doc", "start", "bytes", "place")
-    return rows.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(kernel, "doc bigint, from bigint, to bigint, w1 bigint, w2 bigint")
+    rows = contexts.select("h", "salt", "c", "doc", "start", "bytes", "place", "to")
+    return rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "c", "doc", "start").mapInArrow(kernel, RANGES)
 
 
-def _edges(contexts: DataFrame, known: DataFrame, scratch: Scratch, length: int, lane_contexts: int) -> DataFrame:
-    """(doc, from, to) of all ranges among different contexts of an anchor.
+def _edges(contexts: DataFrame, scratch: Scratch, length: int, lane_contexts: int) -> DataFrame:
+    """(doc, from, to) of all ranges that repeat earlier windows of their anchor.
 
-    An anchor with more than ``lane_contexts`` of them (about 9 MB) is dealt into salted lanes,
-    so no lane grows with the corpus. What is first in its lane only is settled
-    between lanes: by the smallest place of each different window, of which map
-    tasks keep one row."""
-    hot = known.where(F.col("kinds") > lane_contexts).groupBy("h").agg(F.ceil(F.max("kinds") / lane_contexts).cast("int").alias("parts"))
-    salt = F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("c"), F.col("parts"))).cast("int")
+    An anchor with more than ``lane_contexts`` rows (about 9 MB) is dealt into
+    salted lanes, so no lane grows with the corpus. What is first in its lane only
+    is settled between lanes by the bytes of its windows, of which map tasks keep
+    one row."""
+    hot = contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > lane_contexts).select("h", F.ceil(F.col("n") / lane_contexts).cast("int").alias("parts"))
+    hot = scratch.keep(hot, "hot")
+    salt = F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc", "start"), F.col("parts"))).cast("int")
     found = scratch.keep(_lane_ranges(contexts.join(hot, "h", "left").withColumn("salt", salt), length), "lanes")
-    windows = found.where("w1 is not null")
-    firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "from")).alias("least"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "least")
-    between = windows.join(firsts, ["w1", "w2"]).where(F.struct("doc", "from") > F.col("least"))
-    return found.where("w1 is null").select("doc", "from", "to").union(between.select("doc", "from", "to"))
+    windows = found.where("window is not null")
+    firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "from")).alias("least"), F.count("*").alias("n")).where("n > 1").select("window", "least")
+    between = windows.join(firsts, "window").where(F.struct("doc", "from") > F.col("least"))
+    return found.where("window is null").select("doc", "from", "to").union(between.select("doc", "from", "to"))
 
 
 def dedup_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, lane_contexts: int = 1 << 16) -> DataFrame:
     """One row (doc_id, text_bytes kept as ``kept``, n_bytes, n_removed, n_spans)
     for each document: every byte covered by a string of ``length`` bytes that
     also starts earlier (smaller doc_id, or earlier in the document) is removed.
+    Hashes only bring strings together; what is removed has been compared by its
+    bytes.
 
-    Null and empty texts have no bytes; a text without an id stays whole and is
-    compared with none. Rows that repeat a doc_id count as one
-    document; of exact copies the smallest doc_id stays whole. Extra columns are
-    not read; an empty table gives an empty result.
+    Null and empty texts have no bytes. Each row is a document: rows that repeat a
+    doc_id go by the hash of their texts, rows without one come after all others.
+    Extra columns are not read; an empty table gives an empty result.
     """
-    every = docs.select("doc_id", "text")
-    docs = every.where("doc_id is not null")
-    # by anchor: counts of equal contexts, which map tasks have combined before they move
-    local = _run_table(docs, length, combine=True).repartition("h").groupBy("h", "c").agg(F.min("doc").alias("first"), F.sum("n").alias("n"))
-    kinds = local.withColumn("kinds", F.count("*").over(Window.partitionBy("h")))
-    known = scratch.keep(kinds.where("n > 1 or kinds > 1"), "known")
-    asked = known.where("kinds > 1").select("h", "c", F.col("first").alias("doc"))
-    contexts = scratch.keep(_contexts(docs, asked, length), "contexts")
-    edges = scratch.keep(_edges(contexts, known, scratch, length, lane_contexts), "edges")
-    copies = known.where("n > 1").select("h", "c", "first")
-    later = _run_table(docs, length, combine=False).join(copies, ["h", "c"]).where("again or doc <> first")
-    whole = later.select("doc", F.col("start").alias("from"), (F.col("start") + F.col("windows") + (length - 1)).alias("to"))
-    gone = scratch.keep(whole.union(edges).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("from").alias("_from"), F.collect_list("to").alias("_to")), "gone")
-    rows = every.select("doc_id", F.col("text").alias("_text")).join(gone, "doc_id", "left").select("doc_id", "_text", "_from", "_to")
+    every, _ = row_keys(docs.select("doc_id", "text"), scratch)
+    rows = every.select(F.col("__row").alias("doc_id"), "text")
+    # by anchor: counts, which map tasks have combined before they move
+    anchors = scratch.keep(_anchors(rows, length).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "anchors")
+    asked = _placed(rows, length).join(anchors.hint("merge"), "h").select("h", "doc")
+    contexts = scratch.keep(_contexts(rows, asked, length), "contexts")
+    edges = _edges(contexts.where("bytes is not null"), scratch, length, lane_contexts)
+    whole = contexts.where("bytes is null").select("doc", F.col("start").alias("from"), "to")
+    gone = whole.union(edges).groupBy(F.col("doc").alias("__of")).agg(F.collect_list("from").alias("_from"), F.collect_list("to").alias("_to"))
+    gone = scratch.keep(gone, "gone")
+    scratch.drop("anchors", "contexts", "lanes", "hot")
+    rows = every.select("doc_id", "__row", F.col("text").alias("_text")).join(gone, F.col("__row") == F.col("__of"), "left").select("doc_id", "_text", "_from", "_to")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, at in chunks(batches, "_text"):
