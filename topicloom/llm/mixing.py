@@ -9,16 +9,21 @@ All steps are DataFrame expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from topicloom.llm.common import Scratch
+
 #: Words, as counted for shares and budgets.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _unit(key: F.Column, seed: int) -> F.Column:
     """A number in [0, 1) from the key's md5, alike in any engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
 def temperature(shares: F.Column, entropy_gain: float, max_repeats: float, rounds: int = 40) -> F.Column:
@@ -65,36 +70,55 @@ def source_weights(sized: DataFrame, entropy_gain: float, max_repeats: float) ->
     return rows.select(F.col("z.s.source").alias("source"), F.col("z.s.tokens").alias("tokens"), F.col("z.s.docs").alias("docs"), F.col("z.p").alias("share"), "exponent", F.col("z.w").alias("weight"), F.round(F.col("z.w") * F.col("rs") / F.col("z.p") / F.col("least"), 6).alias("passes"))
 
 
-def mix_sources(docs: DataFrame, entropy_gain: float = 0.5, max_repeats: float = 4.0, block_docs: int = 1024, seed: int = 5) -> DataFrame:
-    """(doc_id, source, n_tokens, weight, passes, block, copies) for every row.
+def mix_sources(docs: DataFrame, scratch: Scratch, entropy_gain: float = 0.5, max_repeats: float = 4.0, block_docs: int = 1024, seed: int = 5) -> DataFrame:
+    """(doc_id, source, n_tokens, weight, passes, block, copies, text_key) for
+    every row; text_key tells rows apart that repeat a doc_id.
 
     Each source is a permutation of its documents by hashed id, cut into blocks
     of about ``block_docs``. Every document gets the whole passes of its source;
     the part pass takes documents in permuted order up to its token budget, so
     at most one document a source goes over. No source gets less than one pass.
-    A null source is a source, a null id an id; null and empty texts have no tokens and one copy,
-    as has every document of a source without tokens. Repeated doc_ids get
-    copies each, in the order of their sizes. Extra columns are not read, and an
-    empty table gives an empty result.
+    A null source is a source; rows without an id are permuted by their texts;
+    null and empty texts have no tokens and one copy, as has every document of a
+    source without tokens. Rows that repeat a doc_id get copies each, in the order
+    of their sizes. Words are counted once and written. Extra columns are not
+    read, and an empty table gives an empty result.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+    sized = scratch.keep(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("text").alias("text_key")), "sized")
     plan = source_weights(sized, entropy_gain, max_repeats).select(F.col("source").alias("_source"), "tokens", "docs", "weight", "passes")
+    plan = scratch.keep(plan, "plan")
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
-    rows = rows.select("doc_id", "source", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("passes", F.lit(1.0)).alias("passes"), F.coalesce("tokens", F.lit(0)).alias("tokens"), _unit(F.col("doc_id"), seed).alias("u"), F.ceil(F.coalesce("docs", F.lit(1)) / F.lit(block_docs)).alias("blocks"))
+    unit = _unit(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text_key").cast("string"))), seed)
+    rows = rows.select("doc_id", "source", "n_tokens", "text_key", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("passes", F.lit(1.0)).alias("passes"), F.coalesce("tokens", F.lit(0)).alias("tokens"), unit.alias("u"), F.ceil(F.coalesce("docs", F.lit(1)) / F.lit(block_docs)).alias("blocks"))
     rows = rows.withColumn("block", F.floor(F.col("u") * F.col("blocks")))
-    # sums of blocks: as many rows as there are blocks; then order within a block, whose size is bounded
-    sums = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("in_block"))
-    ahead = sums.select(F.col("source").alias("_s"), F.col("block").alias("_b"), (F.sum("in_block").over(Window.partitionBy("source").orderBy("block")) - F.col("in_block")).alias("ahead"))
-    inside = rows.withColumn("so_far", F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("u", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)))
+    # sums of blocks, added up in groups of blocks first, so that no task holds all blocks of a source; then the order within a block, whose size is bounded
+    sums = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("in_block")).withColumn("group", F.floor(F.col("block") / F.lit(block_docs)))
+    sums = scratch.keep(sums, "blocks")
+    groups = sums.groupBy("source", "group").agg(F.sum("in_block").alias("in_group"))
+    far = groups.select(F.col("source").alias("_s"), F.col("group").alias("_g"), (F.sum("in_group").over(Window.partitionBy("source").orderBy("group")) - F.col("in_group")).alias("before"))
+    near = sums.withColumn("beside", F.sum("in_block").over(Window.partitionBy("source", "group").orderBy("block")) - F.col("in_block"))
+    ahead = near.join(far, F.col("source").eqNullSafe(F.col("_s")) & (F.col("group") == F.col("_g"))).select(F.col("source").alias("_s"), F.col("block").alias("_b"), (F.col("before") + F.col("beside")).alias("ahead"))
+    inside = rows.withColumn("so_far", F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("u", "doc_id", "n_tokens", "text_key").rowsBetween(Window.unboundedPreceding, -1)))
     placed = inside.join(ahead, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     whole = F.floor("passes")
     budget = (F.col("passes") - whole) * F.col("tokens")
     part = (F.col("ahead") + F.coalesce("so_far", F.lit(0))) < budget
-    return placed.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "passes", F.col("block").cast("long").alias("block"), (whole + part.cast("long")).cast("long").alias("copies"))
-
-
-def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Rows of ``docs``, each as often as ``mixed`` says for its doc_id."""
-    copies = mixed.groupBy("doc_id").agg(F.max("copies").alias("__m_copies"))
-    rows = docs.join(copies, "doc_id", "left").withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.coalesce("__m_copies", F.lit(1)).cast("int"))))
+    return placed.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "passes", F.col("block").cast("long").alias("block"), (whole + part.cast("long")).cast("long").alias("copies"), "text_key")
+
+
+def expand(docs: DataFrame, mixed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of ``docs``, each as often as ``mixed`` says for its doc_id, source
+    and text. Rows alike in all three share what ``mixed`` says of them together,
+    so as many rows leave as it has copies; rows that it does not name stay once."""
+    keys = ["__m_id", "__m_source", "__m_text"]
+    told = mixed.groupBy(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("text_key").alias("__m_text")).agg(F.sum("copies").alias("__m_copies"), F.count("*").alias("__m_rows"))
+    told = scratch.keep(told, "told")
+    held = docs.select(*docs.columns, F.col("doc_id").alias("__m_own_id"), F.col("source").alias("__m_own_source"), F.xxhash64("text").alias("__m_own_text"))
+    rows = held.join(told, reduce(and_, [F.col(k.replace("__m_", "__m_own_")).eqNullSafe(F.col(k)) for k in keys]), "left")
+    times = F.coalesce("__m_copies", F.lit(1))
+    if told.where("__m_rows > 1").limit(1).count():
+        place = F.row_number().over(Window.partitionBy("__m_own_id", "__m_own_source", "__m_own_text").orderBy("__m_copies"))
+        n = F.coalesce("__m_rows", F.lit(1))
+        times = F.floor(times / n) + (place <= times % n).cast("int")
+    rows = rows.withColumn("__m_times", times.cast("int")).where("__m_times > 0").withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.col("__m_times"))))
     return rows.select(*docs.columns)

@@ -53,7 +53,7 @@ def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.mixing import mix_sources
 
-    return mix_sources(_table(spark, sf_dir, "documents"))
+    return mix_sources(_table(spark, sf_dir, "documents"), Scratch(spark, "op6")).drop("text_key")
 
 
 def op7_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
