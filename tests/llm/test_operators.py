@@ -294,12 +294,13 @@ def test_repeated_passages(spark, awkward, tmp_path):
 # 6: mixing
 
 
-def test_mixing(spark, awkward, nothing):
+def test_mixing(spark, awkward, nothing, scratch):
+    from topicloom.llm.common import Scratch
     from topicloom.llm.mixing import expand, mix_sources
 
     rows = [(k, " ".join(["w"] * (5 + k % 7)), "big" if k % 3 else f"small{k % 4}") for k in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    mixed = mix_sources(docs, entropy_gain=0.5, max_repeats=3.0, block_docs=32)
+    mixed = mix_sources(docs, scratch, entropy_gain=0.5, max_repeats=3.0, block_docs=32)
     out = mixed.collect()
     size = Counter()
     for k, t, s in rows:
@@ -322,12 +323,12 @@ def test_mixing(spark, awkward, nothing):
         spent[r.source] += r.copies * r.n_tokens
     for s, n in size.items():
         assert 0 <= spent[s] - passes[s] * n < 12  # at most one document over
-    again = {(r.doc_id, r.copies) for r in mix_sources(docs.repartition(7), entropy_gain=0.5, max_repeats=3.0, block_docs=32).collect()}
+    again = {(r.doc_id, r.copies) for r in mix_sources(docs.repartition(7), Scratch(spark, "test"), entropy_gain=0.5, max_repeats=3.0, block_docs=32).collect()}
     assert again == {(r.doc_id, r.copies) for r in out}
-    assert expand(docs, mixed).count() == sum(r.copies for r in out)
-    assert mix_sources(awkward).count() == awkward.count()
-    assert all(r.copies >= 1 for r in mix_sources(awkward).collect())
-    assert mix_sources(nothing).count() == 0
+    assert expand(docs, mixed, Scratch(spark, "test")).count() == sum(r.copies for r in out)
+    assert mix_sources(awkward, Scratch(spark, "test")).count() == awkward.count()
+    assert all(r.copies >= 1 for r in mix_sources(awkward, Scratch(spark, "test")).collect())
+    assert mix_sources(nothing, Scratch(spark, "test")).count() == 0
 
 
 # 7: vectors
@@ -470,7 +471,7 @@ def test_long_texts_in_segments(monkeypatch):
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 100, 5000).astype(np.uint8)
     monkeypatch.setattr(suffix, "SEGMENT", 700)
-    doc, start, windows, h, c, place = suffix.window_runs(raw, np.array([0, len(raw)]), 100)
+    doc, start, windows, h, place = suffix.window_runs(raw, np.array([0, len(raw)]), 100)
     covered = np.zeros(len(raw), int)
     for s, n in zip(start, windows, strict=True):
         covered[s : s + n] += 1
@@ -652,9 +653,10 @@ def test_pipeline_stages_by_brute_force(spark, scratch, tokenizers):
     now, rows = step("near", now)
     assert {r.doc_id: r.text for r in rows} == {k: t for k, t in before.items() if of[k] == k}
 
+    from topicloom.llm.common import Scratch
     from topicloom.llm.mixing import mix_sources
 
-    copies, before = {r.doc_id: r.copies for r in mix_sources(now).collect()}, {r.doc_id: r.text for r in rows}
+    copies, before = {r.doc_id: r.copies for r in mix_sources(now, Scratch(spark, "test")).collect()}, {r.doc_id: r.text for r in rows}
     now, rows = step("mixing", now)
     assert Counter((r.doc_id, r.text) for r in rows) == Counter({(k, before[k]): n for k, n in copies.items()}) and set(copies) == set(before)
 
@@ -686,7 +688,7 @@ def test_null_ids(spark, awkward, tokenizers):
     assert digest(read_orc(spark, scratch.path("t"))).count() == n
     assert near_duplicates(docs, Scratch(spark, "test")).count() == n
     assert dedup_lines(docs, Scratch(spark, "test")).count() == n
-    assert mix_sources(docs).count() == n
+    assert mix_sources(docs, Scratch(spark, "test")).count() == n
     assert quality_rules(docs, spark.read.parquet(f"{SF}/labels.parquet"), Scratch(spark, "test")).count() == n
     assert dedup_bytes(docs, Scratch(spark, "test")).count() == n
     assert scan_licenses(docs).where("doc_id is null").count() == 1

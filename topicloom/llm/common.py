@@ -46,6 +46,24 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def row_keys(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """docs with a unique ``__row`` in the order of ids, and whether that is other
+    than the id, which stands for its row unless some ids are null or repeated.
+    Then rows go by id, nulls last, and by the hash of their texts."""
+    if not docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).limit(1).count():
+        return docs.withColumn("__row", F.col(id_col)), False
+    ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(text_col))
+    return scratch.keep(ordered.withColumn("__row", F.monotonically_increasing_id()), "rows"), True
+
+
+def salted(side: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """side joined with a table of one row a key: the rows of a hot key are dealt
+    to ``salts`` tasks by another column, the other table is copied to each."""
+    salt = F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
+    copied = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return side.withColumn("__salt", salt).join(copied, [*keys, "__salt"], how).drop("__salt")
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column, and where each row starts (one more at the
     end); null is the empty text."""
@@ -186,7 +204,7 @@ def deal_blocks(left: DataFrame, right: DataFrame, keys: list[str], block: int =
         own, other = ("nl", "nr") if mark == 0 else ("nr", "nl")
         mine, theirs = F.pmod(F.xxhash64("id"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         l, r = (mine, theirs) if mark == 0 else (theirs, mine)
-        return side.join(sizes, keys).select(*keys, l.alias("l"), r.alias("r"), F.lit(mark).alias("side"), *rest)
+        return salted(side, sizes, keys, "id").select(*keys, l.alias("l"), r.alias("r"), F.lit(mark).alias("side"), *rest)
 
     return dealt(left, 0).union(dealt(right, 1)).repartition(*keys, "l", "r").sortWithinPartitions(*keys, "l", "r", "side")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import CHUNK_BYTES, Scratch, chunks, components, deal_blocks, mix, prefix_hash, range_hash, runs, texts, windows, words
+from topicloom.llm.common import CHUNK_BYTES, Scratch, chunks, components, deal_blocks, mix, prefix_hash, range_hash, row_keys, runs, salted, texts, windows, words
 
 BANDS, BAND_ROWS = 40, 5
 SHINGLE = 5
@@ -235,24 +235,37 @@ def exact_links(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFra
 def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 75, miss: float = 1e-4) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each document.
 
-    Null ids never lead a class: such a row is kept only if no other id has its
-    text. Null texts, and texts without words, have an empty set, link with nothing
-    and are kept. Texts of fewer than five words are one shingle. Rows that
-    repeat a doc_id count as one document only if their texts are alike; extra
-    columns are not read; an empty table gives an empty result.
+    Rows count one by one: rows that repeat a doc_id with other texts are judged
+    apart, and component_id is the smallest doc_id among the rows reachable. Null
+    ids come after all others, so they only lead a class of their own, whose
+    component_id is null. Null texts, and texts without words, have an empty set,
+    link with nothing and are kept. Texts of fewer than five words are one
+    shingle. Extra columns are not read; an empty table gives an empty result.
+    """
+    rows, other = row_keys(docs.select("doc_id", "text"), scratch)
+    classes = row_classes(rows.select(F.col("__row").alias("doc_id"), "text"), scratch, percent, miss)
+    if other:
+        ids = rows.select("__row", F.col("doc_id").alias("__id"))
+        lead = ids.select(F.col("__row").alias("component_id"), F.col("__id").alias("__lead"))
+        classes = classes.join(lead, "component_id").join(ids, classes["doc_id"] == ids["__row"]).select(F.col("__id").alias("doc_id"), "n_shingles", F.col("__lead").alias("component_id"))
+    return classes.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def row_classes(docs: DataFrame, scratch: Scratch, percent: int, miss: float) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents with unique ids.
 
     In each band's bucket the smallest id stands as leader and is paired with
     the others (one row a member, never all pairs of a bucket). Members that
     turn out to lie in another component than their leader are then compared, in
     blocks, with all members of the buckets of leaders of that component, so no
-    link that the bands can see is lost. Joins on hot buckets are split by
+    link that the bands can see is lost. Hot groups are salted or split by
     adaptive skew handling, blocks bound what a task holds.
     """
     threshold = percent / 100
-    docs = docs.select("doc_id", "text")
     sketch = scratch.keep(sketches(docs), "sketch")
     members = sketch.select("doc_id", "n_shingles", "k1", "k2")
-    reps = members.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    worded = members.where("n_shingles > 0")
+    reps = scratch.keep(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
     lone = sketch.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "bands", "low")
     lone = scratch.keep(lone, "lone")
     entries = lone.select("rep", F.explode("bands").alias("key"))
@@ -270,12 +283,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 75, miss:
     # members of buckets of three and more that lie in another component than their leader
     of = labels.select(F.col("id").alias("rep"), F.col("component").alias("c"))
     rest = crowd.where("n > 2").join(of, "rep", "left").select("leader", "rep", F.coalesce("c", "rep").alias("c")).distinct()
-    rest = rest.join(of.select(F.col("rep").alias("leader"), F.col("c").alias("lc")), "leader", "left").select(F.coalesce("lc", "leader").alias("g"), "rep", "c").distinct()
-    odd = scratch.keep(rest.where("c <> g"), "odd")
-    whole = rest.join(odd.select("g").distinct(), "g", "left_semi").join(low, "rep").join(docs.withColumnRenamed("doc_id", "rep"), "rep")
+    rest = scratch.keep(rest.join(of.select(F.col("rep").alias("leader"), F.col("c").alias("lc")), "leader", "left").select(F.coalesce("lc", "leader").alias("g"), "rep", "c").distinct(), "beside")
+    whole = salted(rest, rest.where("c <> g").select("g").distinct(), ["g"], "rep", "left_semi").join(low, "rep").join(docs.withColumnRenamed("doc_id", "rep"), "rep")
     whole = scratch.keep(whole.select("g", F.col("rep").alias("id"), "c", "low", "text"), "rest")
     more = scratch.keep(cross_links(whole.where("c <> g"), whole, percent, miss), "cross_links")
     labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch, "all")
+    scratch.drop("lone", "crowd", "star_left", "star_links", "beside", "rest")
 
-    classes = members.join(reps, ["k1", "k2"], "left").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return classes.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # rows without words, which have one key, stay out of the join
+    classes = worded.join(reps, ["k1", "k2"], "left").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return classes.union(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
