@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import Scratch
+from topicloom.llm.common import Scratch, row_keys
 from topicloom.llm.lines import dedup_passages
 from topicloom.llm.mixing import expand, mix_sources
 from topicloom.llm.near import near_duplicates
@@ -20,16 +20,6 @@ from topicloom.llm.quality import quality_rules
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _rows(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """docs with a unique ``__row`` in the order of ids, and whether that is other
-    than doc_id, which stands for its row unless some ids are null or repeated."""
-    docs = docs.select(*COLUMNS)
-    if not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").limit(1).count():
-        return docs.withColumn("__row", F.col("doc_id")), False
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return scratch.keep(ordered.withColumn("__row", F.monotonically_increasing_id()), "rows"), True
-
-
 def _judged(rows: DataFrame) -> DataFrame:
     """What operators read, with the row's key for an id."""
     return rows.select(F.col("__row").alias("doc_id"), "text")
@@ -43,7 +33,7 @@ def _without(rows: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "quality")
-    rows, other = _rows(docs, scratch)
+    rows, other = row_keys(docs.select(*COLUMNS), scratch)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     if other:
         labels = labels.join(rows.select("doc_id", "__row"), "doc_id").drop("doc_id").withColumnRenamed("__row", "doc_id")
@@ -58,12 +48,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "near")
-    rows, _ = _rows(docs, scratch)
+    rows, _ = row_keys(docs.select(*COLUMNS), scratch)
     return _without(rows, near_duplicates(_judged(rows), scratch).where(~F.col("kept")), scratch)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return expand(docs.select(*COLUMNS), mix_sources(docs))
+    scratch = Scratch(spark, "mixing")
+    return expand(docs.select(*COLUMNS), mix_sources(docs, scratch), scratch)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
