@@ -334,6 +334,25 @@ def test_mixing(spark, awkward, nothing, scratch):
 # 7: vectors
 
 
+def links_expected(rows):
+    """(labels, links) of (vec_id, embedding, label) rows, pair by pair."""
+    def healthy(v):
+        return bool(v) and not any(x is None or not np.isfinite(x) for x in v) and any(v)
+
+    def unit(v):
+        v = np.array(v, float) / max(map(abs, v))
+        return v / np.sqrt(v @ v)
+
+    good = [(k, unit(v), y) for k, v, y in rows if y is not None and healthy(v)]
+    return [(a, b) for i, (a, u, x) in enumerate(good) for b, v, y in good[:i] if x == y and len(u) == len(v) and u @ v >= 0.93]
+
+
+def assert_vectors(got, rows, links):
+    of, n = unions([r[0] for r in rows], links), Counter(x for p in links for x in p)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {k: (n[k], of[k], of[k] == k) for k in of}
+    assert len(got) == len(rows)
+
+
 def test_vectors(spark, scratch):
     from topicloom.llm.common import Scratch
     from topicloom.llm.vectors import vector_duplicates
@@ -345,24 +364,72 @@ def test_vectors(spark, scratch):
         v = base[k % 12] + rng.normal(scale=0.25, size=16)
         rows.append((k, [float(x) for x in v.astype(np.float32)], int(k % 2)))
     rows += [(400, None, 1), (401, [0.0] * 16, 1), (402, [float("nan")] + [1.0] * 15, 1), (403, rows[5][1], 1), (404, rows[5][1], None), (405, [None] + [1.0] * 15, 0), (406, [1.0, 2.0], 0), (407, [2.0, 4.0], 0), (408, [], 0)]
-    ids = [r[0] for r in rows]
-    links = []
-    for a, u, la in rows:
-        for b, v, lb in rows:
-            if a < b and la is not None and la == lb and u and v and len(u) == len(v) and not any(x is None or x != x for x in u + v) and any(u) and any(v):
-                x, y = np.array(u, np.float32).astype(float), np.array(v, np.float32).astype(float)
-                if x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93:
-                    links.append((a, b))
-    of, n = unions(ids, links), Counter(x for p in links for x in p)
+    links = links_expected(rows)
+    assert len(links) > 300
     table = spark.createDataFrame([(*r, 0, "k") for r in rows], "vec_id long, embedding array<float>, label int, copies long, dim string")
-    got = vector_duplicates(table, scratch, list_rows=50).collect()
-    assert len(got) == len(rows)
-    right = sum((r.n_links, r.component_id, r.kept) == (n[r.vec_id], of[r.vec_id], of[r.vec_id] == r.vec_id) for r in got)
-    assert right >= 0.97 * len(rows)
-    assert sum(r.n_links for r in got) >= 0.95 * 2 * len(links)
+    assert_vectors(vector_duplicates(table, scratch, list_rows=50).collect(), rows, links)
     assert vector_duplicates(table.where("false"), Scratch(spark, "test")).count() == 0
 
 
+def test_vectors_in_double_precision(spark, scratch):
+    """Numbers that have no single-precision form, and rows that repeat an id."""
+    from topicloom.llm.common import Scratch
+    from topicloom.llm.vectors import vector_duplicates
+
+    rows = [(1, [1.0, 2.0], 0), (2, [1.0, 1.0], 0), (3, [1e-50, 2e-50], 0), (4, [1e300, 1e300], 0), (5, [1e-200, -1e-200], 0), (6, [float("inf"), 1.0], 0), (7, [1.0, 1.0], 1), (8, [3e-320, 1e-310], 2)]
+    schema = "vec_id long, embedding array<double>, label int"
+    assert_vectors(vector_duplicates(spark.createDataFrame(rows, schema), scratch).collect(), rows, links_expected(rows))
+    twice = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [0.0, 1.0], 0)], schema)
+    got = sorted(tuple(r) for r in vector_duplicates(twice, Scratch(spark, "test")).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_vectors_against_sql(spark, tmp_path):
+    """Hundreds of links, the query and its SQL on one table."""
+    duckdb = pytest.importorskip("duckdb")
+    from topicloom.llm.queries import OP7_SQL, op7_pq_dedup
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 24))
+    near = x[rng.integers(0, 200, 300)] + rng.normal(scale=0.22, size=(300, 24))
+    made = [(k, [float(c) for c in v.astype(np.float32)], int(k % 3 == 0)) for k, v in enumerate(np.concatenate((x, near)))]
+    spark.createDataFrame(made, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(f"SELECT vec_id, n_links, component_id, kept FROM ({OP7_SQL})").fetchall()
+    assert sorted(tuple(r) for r in op7_pq_dedup(spark, str(tmp_path)).collect()) == sorted(want)
+    assert sum(r[1] for r in want) > 300
+
+
+def test_vectors_where_lists_outnumber_probes(spark, scratch):
+    from topicloom.llm.vectors import Quantiser, unit, vector_duplicates
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 32))
+    y = rng.normal(size=(600, 32))
+    u = unit(x[:600])
+    y = unit(y - (unit(y) * u).sum(1)[:, None] * u * np.sqrt((y * y).sum(1))[:, None])
+    c = rng.uniform(0.931, 0.97, 600)[:, None]
+    every = np.concatenate((x, c * u + np.sqrt(1 - c * c) * y))
+    model = Quantiser(every, 30, 8, 64)
+    near = model.probes(unit(every), 900)
+    assert len(np.unique(near[:, 0])) > 300 and (np.sort(near, 1) == np.arange(900)).all()
+    rows = [(k, [float(z) for z in v], 0) for k, v in enumerate(every)]
+    links = links_expected(rows)
+    got = vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), scratch, list_rows=4, probes=32).collect()
+    found, asked = sum(r.n_links for r in got), 2 * len(links)
+    assert len(links) >= 590 and 0.97 * asked <= found <= asked
+
+
+def test_samples_are_bounded(spark, scratch):
+    """However many tasks there are, no more rows reach the driver."""
+    from topicloom.llm.vectors import fitted
+
+    reps = spark.range(30000, numPartitions=64).select("id", F.array(F.rand(1), F.rand(2)).alias("embedding"), F.lit(2).alias("dim"))
+    plan = fitted(reps, 500, 1000, 2, 16)
+    assert len(plan[2].books[0]) == 16
+
+
 # 8: quality
 
 
@@ -403,6 +470,32 @@ def test_quality(spark, awkward, nothing, scratch):
     assert quality_rules(awkward, labels.where("false"), Scratch(spark, "test")).count() == awkward.count()
 
 
+def test_forest_on_held_out_labels(spark, scratch):
+    """Fitted on even ids, judged on odd ones: bad documents go, good ones stay."""
+    from topicloom.llm.quality import quality_rules
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    judged = quality_rules(spark.read.parquet(f"{sf}/documents.parquet"), labels.where("doc_id % 2 = 0"), scratch).where("not base_failed")
+    held = judged.join(labels.where("doc_id % 2 = 1"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()
+    good, bad = next(r for r in held if r.quality == 1), next(r for r in held if r.quality == 0)
+    assert bad.n > 100 and bad.kept <= 0.1 * bad.n
+    assert good.n > 1000 and good.kept >= 0.998 * good.n
+
+
+def test_labelled_rows_are_bounded(spark, scratch):
+    from topicloom.llm.common import Scratch
+    from topicloom.llm.quality import fit_forest, rule_stats
+
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), 30 + F.col("id") % 50), lambda k: (k * (F.col("id") + 3) % 1009).cast("string")))
+    docs = spark.range(4000, numPartitions=32).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 9 == 0, 0).otherwise(1).alias("quality"))
+    stats = rule_stats(docs)
+    few = fit_forest(stats, labels, scratch, labelled_rows=200, tree_rows=256)
+    assert 100 < few["size"] <= 200
+    assert fit_forest(stats.repartition(5), labels, Scratch(spark, "test"), labelled_rows=200) == few
+
+
 def test_forest_finds_anomalies():
     from topicloom.llm.quality import anomaly_score, grow_tree
 
