@@ -75,6 +75,26 @@ def test_splits(spark):
     assert [r.doc_id for r in corpus.numbered(docs.withColumnRenamed("doc_id", "k").repartition(5), ["k"]).orderBy("k").collect()] == list(range(8))
 
 
+def test_ids_are_dense_at_scale(spark):
+    """More rows than the range sampler sees, with a further column, at three widths."""
+    n = 400_000
+    rows = spark.range(0, n, numPartitions=7).select(((F.col("id") * 7919 + 13) % n).alias("k"), F.md5(F.col("id").cast("string")).alias("text"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for width in ("3", "16", "61"):
+            spark.conf.set("spark.sql.shuffle.partitions", width)
+            got = corpus.numbered(rows, ["k"]).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.max("doc_id").alias("last"), F.sum((F.col("k") != F.col("doc_id")).cast("int")).alias("off")).first()
+            assert tuple(got) == (n, n, n - 1, 0)
+            split = corpus.split_exact(rows, "k", 0.6, 1).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).collect()
+            assert {tuple(r) for r in split} == {("train", 240_000, 240_000), ("test", 160_000, 160_000)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    words = rows.select(F.col("k").alias("doc_id"), F.array(F.substring("text", 1, 4), F.substring("text", 5, 4)).alias("tokens"))
+    built = vocab.build_vocab(words, 0)
+    ids = built.where("word_id > 0").orderBy("word").collect()
+    assert [r.word_id for r in ids] == list(range(1, len(ids) + 1)) and len(ids) > 60_000
+
+
 def test_metrics(spark):
     same = spark.createDataFrame([("a", 0), ("a", 0), ("b", 1), ("b", 1)], "label string, topic int")
     assert metrics.agreement(same, "label", "topic").first().nmi == pytest.approx(1)
@@ -266,6 +286,23 @@ def test_trace(spark):
     lines = ["num words: 7", "doc: 1", "In-Sample NMI: 0.5", "resampling", "resampling: ", "doc: x", "In-Sample NMI: 9"]
     got = trace.parse(spark.createDataFrame([("r", k, v) for k, v in enumerate(lines)], "run string, line long, value string"), first_iter=100).collect()
     assert {(r.iter, r.metric, r.value) for r in got} == {(100, "num_words", "7"), (1, "in_sample_nmi", "0.5"), (1, "resampling", "")}
+    twice = [("a", 0, "doc: 3"), ("a", 1, "in-sample nmi: 10.5"), ("a", 2, "in-sample nmi: 9.5"), ("b", 0, "doc: 3"), ("b", 1, "in-sample nmi: 9"), ("b", 2, "in-sample nmi: 10")]
+    wide = trace.stat_pivot(trace.parse(spark.createDataFrame(twice, "run string, line long, value string")), "in_sample_nmi", ["a", "b"])
+    assert [tuple(r) for r in wide.collect()] == [(3, "9.5", "10")]
+
+
+def test_process_logs(spark, tmp_path):
+    for dataset, log, text in (("diff3", "b.log", "seed: 1\ndoc: 1\nin-sample nmi: 0.25\nresampling: \nresampling: \n"), ("diff3", "a.log", "doc: 1\nin-sample nmi: 0.5\ndoc: 2\nin-sample nmi: 0.75\n"), ("diff3", "c.log", "nothing: 1\n"), ("sim3", "a.log", "doc: 7\nnum words: 4\n")):
+        (tmp_path / "logs" / dataset).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "logs" / dataset / log).write_text(text)
+    assert trace.process_logs(spark, str(tmp_path / "logs"), str(tmp_path / "out")) == {"diff3": ["a.log", "b.log"], "sim3": ["a.log"]}
+
+    def read(name):
+        return [tuple(r) for r in spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out" / name)).collect()]
+
+    assert read("diff3_in_sample_nmi") == [("1", "0.5", "0.25"), ("2", "0.75", "NA")]
+    assert read("diff3_resampling") == [("1", "0", "2")] and read("sim3_num_words") == [("7", "4")]
+    assert read("sim3_in_sample_nmi") == []
 
 
 def test_sources(spark, tmp_path):

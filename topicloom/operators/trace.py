@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import metric_name
+from topicloom.sources.scratch import keep
 
 #: Metrics and events that a trace keeps.
 STATS = ("num_words", "init_in_sample_nmi", "in_sample_nmi", "out_of_sample_nmi", "out_of_sample_perplexity", "out_of_sample_log_likelihood", "out_of_sample_coherence")
@@ -13,7 +14,7 @@ EVENTS = ("resampling",)
 
 
 def parse(lines: DataFrame, iter_key: str = "doc", first_iter: int = 0) -> DataFrame:
-    """(run, iter, metric, value) from (run, line, value) of ``key: value``
+    """(run, iter, metric, value, line) from (run, line, value) of ``key: value``
     lines. Each belongs to the last line ``iter_key: number`` above it, or to
     ``first_iter``; what follows a bad number in its run is left out."""
     at = F.instr("value", ":")
@@ -22,13 +23,13 @@ def parse(lines: DataFrame, iter_key: str = "doc", first_iter: int = 0) -> DataF
     rows = rows.withColumn("_iter", F.when(mark, F.expr("try_cast(text as bigint)"))).withColumn("_bad", (mark & F.col("_iter").isNull()).cast("int"))
     w = Window.partitionBy("run").orderBy("line")
     rows = rows.withColumn("iter", F.coalesce(F.last("_iter", ignorenulls=True).over(w), F.lit(first_iter))).withColumn("_bad", F.max("_bad").over(w))
-    return rows.where((F.col("_bad") == 0) & ~mark).select("run", "iter", "metric", F.col("text").alias("value"))
+    return rows.where((F.col("_bad") == 0) & ~mark).select("run", "iter", "metric", F.col("text").alias("value"), "line")
 
 
 def stat_pivot(metrics: DataFrame, metric: str, runs: list[str]) -> DataFrame:
-    """iter x run of a metric's last value; iterations without any value go."""
+    """iter x run of a metric's last value, by line; iterations without any value go."""
     rows = metrics.where(F.col("metric") == metric).where(F.col("value") != "NA")
-    return rows.groupBy("iter").pivot("run", runs).agg(F.max("value"))
+    return rows.groupBy("iter").pivot("run", runs).agg(F.max_by("value", "line"))
 
 
 def count_pivot(metrics: DataFrame, metric: str, runs: list[str]) -> DataFrame:
@@ -51,3 +52,32 @@ def summary(long: DataFrame, *by: str, mult: float = 1.0) -> DataFrame:
 
 def write_tsv(wide: DataFrame, path: str) -> None:
     wide.orderBy("iter").coalesce(1).write.option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path)
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset, log, line, value) of the logs path/dataset/log. A file is read
+    by one task, so its lines keep their order."""
+    rows = spark.read.text(f"{path}/*/*", wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n", -1)).alias("line", "value"))
+    return rows.select(F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("dataset"), F.regexp_extract("file", "([^/]+)$", 1).alias("log"), "line", "value")
+
+
+def process_logs(spark: SparkSession, path: str, out: str, iter_key: str = "doc") -> dict[str, list[str]]:
+    """A table iter x run for each data set below ``path`` and each of STATS and
+    EVENTS, written to out/dataset_metric. Runs are numbered in the order of the
+    names of their logs; a log without an iteration or a tracked metric has no
+    run. Gives the logs of each data set."""
+    lines = read_logs(spark, path)
+    parsed = keep(parse(lines.select(F.concat_ws("/", "dataset", "log").alias("run"), "line", "value"), iter_key, -1), "trace")
+    parsed = parsed.where((F.col("iter") >= 0) & F.col("metric").isin(*STATS, *EVENTS)).withColumn("dataset", F.substring_index("run", "/", 1)).withColumn("log", F.substring_index("run", "/", -1))
+    logs: dict[str, list[str]] = {}
+    for r in sorted(parsed.select("dataset", "log").distinct().collect()):  # one row a log
+        logs.setdefault(r.dataset, []).append(r.log)
+    for dataset, names in logs.items():
+        number = F.create_map(*[F.lit(x) for k, log in enumerate(names) for x in (log, f"run.{k}")])
+        rows = parsed.where(F.col("dataset") == dataset).select(number[F.col("log")].alias("run"), "iter", "metric", "value", "line")
+        runs = [f"run.{k}" for k in range(len(names))]
+        for metric in STATS:
+            write_tsv(stat_pivot(rows, metric, runs), f"{out}/{dataset}_{metric}")
+        for metric in EVENTS:
+            write_tsv(count_pivot(rows, metric, runs), f"{out}/{dataset}_{metric}")
+    return logs

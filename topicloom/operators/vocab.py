@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.rng import token_hash, uniform
 from topicloom.functions.text import OOV
+from topicloom.sources.corpus import numbered
+from topicloom.sources.scratch import keep
 
 
 def long_tokens(docs: DataFrame, *keep: str) -> DataFrame:
@@ -21,10 +27,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def build_vocab(docs: DataFrame, oov_max_count: int = 1) -> DataFrame:
     """(word, word_id, n): words counted more than ``oov_max_count`` times have
-    dense ids from 1 in their order; the rest is one row, id 0. The ids need an
-    order over all words: one row a word, not a token."""
-    counts = word_counts(docs)
-    kept = counts.where(F.col("n") > oov_max_count).select("word", F.row_number().over(Window.orderBy("word")).alias("word_id"), "n")
+    dense ids from 1 in their order, given by ranges of words, not in one task; the
+    rest is one row, id 0. Counts are made and written once."""
+    counts = keep(word_counts(docs), "word_counts")
+    kept = numbered(counts.where(F.col("n") > oov_max_count), ["word"]).select("word", (F.col("doc_id") + 1).cast("int").alias("word_id"), "n")
     rest = counts.where(F.col("n") <= oov_max_count).agg(F.lit(OOV).alias("word"), F.lit(0).alias("word_id"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return rest.union(kept)
 
@@ -35,10 +41,28 @@ def encode_tokens(docs: DataFrame, vocab: DataFrame, *keep: str) -> DataFrame:
     return long_tokens(docs, *keep).join(vocab.select("word", "word_id").where("word_id > 0"), "word", "left").select("doc_id", *keep, "pos", F.coalesce("word_id", F.lit(0)).alias("word_id"))
 
 
-def encode_docs(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, word_ids), order kept."""
-    rows = encode_tokens(docs, vocab).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).alias("w"))
-    return rows.select("doc_id", F.col("w.word_id").alias("word_ids"))
+def encode_docs(docs: DataFrame, vocab: DataFrame, max_words: int = 2_000_000) -> DataFrame:
+    """(doc_id, word_ids), order kept; documents without tokens have none.
+
+    A vocabulary of up to ``max_words`` (some 60 MB) is sent to the tasks, which
+    look up whole batches without a shuffle; a larger one is joined."""
+    known = vocab.where("word_id > 0")
+    if known.limit(max_words + 1).count() > max_words:
+        rows = encode_tokens(docs, vocab).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word_id"))).alias("w"))
+        return rows.select("doc_id", F.col("w.word_id").alias("word_ids"))
+    table = known.select("word", F.col("word_id").cast("int").alias("word_id")).toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((table.column(0).combine_chunks(), table.column(1).combine_chunks()))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids = sent.value
+        for batch in batches:
+            tokens = batch.column(1)
+            found = pc.index_in(tokens.flatten().cast(words.type), value_set=words)
+            coded = pc.fill_null(ids.take(found), 0) if len(words) else pa.array([0] * len(found), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(tokens.offsets if not tokens.offset else pc.subtract(tokens.offsets, tokens.offsets[0]), coded)], names=["doc_id", "word_ids"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.where(F.size("tokens") > 0).select("doc_id", "tokens").mapInArrow(kernel, f"doc_id {kind}, word_ids array<int>")
 
 
 def strip_singletons(docs: DataFrame, replacement: str | None = None) -> DataFrame:
@@ -62,8 +86,6 @@ def take_first(docs: DataFrame, n: int | None, order: str = "doc_id") -> DataFra
 def prefix_split(docs: DataFrame, train_frac: float, order: str = "doc_id") -> DataFrame:
     """The first int(n * frac) documents are train, the rest eval. Ordinals come
     from counted ranges, not from one sorted task."""
-    from topicloom.sources.corpus import numbered
-
     n = docs.count()
     key = numbered(docs.select(F.col(order).alias("_o")), ["_o"]).select(F.col("_o").alias(order), F.col("doc_id").alias("ordinal"))
     return key.withColumn("part", F.when(F.col("ordinal") < int(n * train_frac), "train").otherwise("eval"))
@@ -71,8 +93,6 @@ def prefix_split(docs: DataFrame, train_frac: float, order: str = "doc_id") -> D
 
 def kfold(docs: DataFrame, k: int, order: str = "doc_id") -> DataFrame:
     """Contiguous folds from 0; the first n % k have one document more."""
-    from topicloom.sources.corpus import numbered
-
     n = docs.count()
     size, extra = divmod(n, k)
     key = numbered(docs.select(F.col(order).alias("_o")), ["_o"]).select(F.col("_o").alias(order), F.col("doc_id").alias("ordinal"))
@@ -85,8 +105,6 @@ def sample_without_replacement(docs: DataFrame, n: int, seed: int, key: str = "d
     """n rows by hashed priority (all, if there are fewer): what a reservoir
     holds at the end of a stream. A small n is a top-n without a full sort; a
     large one is cut off from counted ranges, so no task holds n rows."""
-    from topicloom.sources.corpus import numbered
-
     rows = docs.withColumn("priority", uniform(F.col(key), F.lit(3), 0, seed))
     if n <= 100_000:
         return rows.orderBy("priority", key).limit(n)

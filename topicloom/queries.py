@@ -519,7 +519,7 @@ def particle_resample(spark, d):
 LINES = "lines AS (SELECT 'run.' || (user_id % 3) AS run, event_id AS line, CASE WHEN event_id % 10 = 0 THEN 'doc: ' || event_id WHEN event_type = 'error' THEN 'resampling: 1' ELSE 'In-Sample NMI: ' || CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) END AS value FROM events)"
 PARSED = LINES + """,
 keyed AS (SELECT run, line, regexp_replace(lower(trim(substr(value, 1, instr(value, ':') - 1))), '[^a-zA-Z0-9_]', '_', 'g') AS metric, trim(substr(value, instr(value, ':') + 1)) AS value FROM lines),
-parsed AS (SELECT run, iter, metric, value FROM (SELECT *, coalesce(last_value(CASE WHEN metric = 'doc' THEN CAST(value AS BIGINT) END IGNORE NULLS) OVER (PARTITION BY run ORDER BY line), 0) AS iter FROM keyed) WHERE metric <> 'doc')"""
+parsed AS (SELECT run, line, iter, metric, value FROM (SELECT *, coalesce(last_value(CASE WHEN metric = 'doc' THEN CAST(value AS BIGINT) END IGNORE NULLS) OVER (PARTITION BY run ORDER BY line), 0) AS iter FROM keyed) WHERE metric <> 'doc')"""
 RUNS = ["run.0", "run.1", "run.2"]
 
 
@@ -533,12 +533,12 @@ def wide_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace(".", "_") for c in df.columns])
 
 
-@query("run:str iter:long metric:str value:str", PARSED + "\n--\nSELECT * FROM parsed")
+@query("run:str iter:long metric:str value:str", PARSED + "\n--\nSELECT run, iter, metric, value FROM parsed")
 def trace_parse(spark, d):
     return trace.parse(log_lines(spark, d))
 
 
-@query("iter:long run_0:str run_1:str run_2:str", PARSED + "\n--\nSELECT iter, " + ", ".join(f"max(value) FILTER (WHERE run = 'run.{k}') AS run_{k}" for k in range(3)) + " FROM parsed WHERE metric = 'in_sample_nmi' GROUP BY iter")
+@query("iter:long run_0:str run_1:str run_2:str", PARSED + "\n--\nSELECT iter, " + ", ".join(f"arg_max(value, line) FILTER (WHERE run = 'run.{k}') AS run_{k}" for k in range(3)) + " FROM parsed WHERE metric = 'in_sample_nmi' GROUP BY iter")
 def trace_pivot(spark, d):
     return wide_names(trace.stat_pivot(trace.parse(log_lines(spark, d)), "in_sample_nmi", RUNS))
 
@@ -548,7 +548,7 @@ def trace_count_pivot(spark, d):
     return wide_names(trace.count_pivot(trace.parse(log_lines(spark, d)), "resampling", RUNS))
 
 
-LONG = PARSED + ",\nlong AS (SELECT iter, run, max(value) AS v FROM parsed WHERE metric = 'in_sample_nmi' GROUP BY iter, run)"
+LONG = PARSED + ",\nlong AS (SELECT iter, run, arg_max(value, line) AS v FROM parsed WHERE metric = 'in_sample_nmi' GROUP BY iter, run)"
 
 
 @query("iter:long run:str val:double experiment:str", LONG + "\n--\nSELECT iter, run, CAST(v AS DOUBLE) AS val, 'e1' AS experiment FROM long")
@@ -562,7 +562,7 @@ def trace_summary(spark, d):
     return trace.summary(long, "experiment", "iter")
 
 
-@query("iter:long run_0:str run_1:str run_2:str", PARSED + "\n--\nSELECT iter, " + ", ".join(f"max(value) FILTER (WHERE run = 'run.{k}') AS run_{k}" for k in range(3)) + " FROM parsed WHERE metric = 'in_sample_nmi' GROUP BY iter")
+@query("iter:long run_0:str run_1:str run_2:str", PARSED + "\n--\nSELECT iter, " + ", ".join(f"arg_max(value, line) FILTER (WHERE run = 'run.{k}') AS run_{k}" for k in range(3)) + " FROM parsed WHERE metric = 'in_sample_nmi' GROUP BY iter")
 def trace_tsv(spark, d):
     path = scratch_path(spark, "trace")
     trace.write_tsv(trace.stat_pivot(trace.parse(log_lines(spark, d)), "in_sample_nmi", RUNS), path)

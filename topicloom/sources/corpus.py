@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions import text as T
 from topicloom.functions.rng import generator, uniform
+from topicloom.sources.scratch import keep
 
 CORPUS = "doc_id bigint, category string, split string, tokens array<string>"
 
@@ -45,15 +46,16 @@ def read_unlabelled(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Dense ids from 0 in the given order, without sorting into one task:
-    ranges of the order are counted, and their sums, one row a range, are laid
-    before the numbers within."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that both uses below have the same partitions
-    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    within = Window.partitionBy("_part").orderBy("_at")
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    """Dense ids from 0 in the given order, without sorting into one task. The
+    rows are dealt by ranges of the order, sorted within and written once with
+    their place; then the sizes of the ranges, one row each, are laid before the
+    places within. A second run of the ranges could draw other boundaries, so
+    both sides read what was written."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    held = keep(ranged, "ranged").withColumn("_part", F.shiftright("_at", 33)).withColumn("_k", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))
     ahead = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_ahead"))
-    return ranged.withColumn("_k", F.row_number().over(within) - 1).join(ahead, "_part").withColumn("doc_id", (F.col("_ahead") + F.col("_k")).cast("long")).drop("_part", "_at", "_n", "_ahead", "_k")
+    return held.join(ahead, "_part").withColumn("doc_id", (F.col("_ahead") + F.col("_k")).cast("long")).drop("_part", "_at", "_ahead", "_k")
 
 
 def write_corpus(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -80,6 +82,14 @@ def read_topic_list(spark: SparkSession, path: str) -> DataFrame:
     return parse_topics(rows)
 
 
+def sorted_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(file_no, file, size) of the visible files below a directory, in the order
+    of their paths: one row a file, so the order needs no data read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    files = files.select(F.col("path").alias("file"), F.col("length").alias("size"))
+    return numbered(files, ["file"]).select(F.col("doc_id").alias("file_no"), "file", "size")
+
+
 def parse_topics(rows: DataFrame) -> DataFrame:
     """(topic, value) to (topic, word, n)."""
     pairs = rows.withColumn("f", F.split(F.trim("value"), r"\s+", -1))
@@ -124,6 +134,14 @@ def transform_newswire(rows: DataFrame, key: str, text: str = "text", train_frac
     return docs.where(F.size("tokens") > 0).select("doc_id", F.lit("null").alias("category"), bernoulli_split(F.col("doc_id"), train_frac, seed).alias("split"), "tokens")
 
 
+def read_newswire(spark: SparkSession, path: str, pattern: str = "*.gz") -> DataFrame:
+    """(file_no, text) of the newswire files below a directory, each read whole
+    (a compressed file cannot be split), in the order of their paths."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    # only paths are ordered; texts stay where they are
+    return rows.join(numbered(rows.select("file"), ["file"]), "file").select(F.col("doc_id").alias("file_no"), "text")
+
+
 def split_exact(rows: DataFrame, key: str, train_frac: float = 0.6, seed: int = 0) -> DataFrame:
     """Shuffles by hash; the first int(frac * n) rows are train, the rest test."""
     shuffled = numbered(rows.withColumn("_u", uniform(F.col(key), F.lit(1), 0, seed)), ["_u", key]).drop("_u")

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """From ``spark.checkpoint.dir``; a local folder only where none is named."""
+    """From ``spark.checkpoint.dir``. Where none is named, a local session gets a
+    folder of its own; on a cluster that would be out of others' reach, so it raises."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="topicloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
