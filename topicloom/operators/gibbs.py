@@ -82,6 +82,29 @@ def learned(docs: list[list[int]], num_topics: int, vocab_size: int, alpha: floa
     return state
 
 
+def inferred(words: list[int], phi: list[list[float]], num_topics: int, alpha: float, iters: int, rng: np.random.Generator) -> list[int]:
+    """Topic counts of one unseen document after sweeps with the model frozen:
+    phi holds each word's probability by topic. Plain floats, as in a sweep."""
+    topics = range(num_topics)
+    z, dt = rng.integers(0, num_topics, len(words)).tolist(), [0] * num_topics
+    for k in z:
+        dt[k] += 1
+    for _ in range(iters):
+        for j, (w, u) in enumerate(zip(words, rng.random(len(words)).tolist(), strict=True)):
+            dt[z[j]] -= 1
+            row, total, sums = phi[w], 0.0, []
+            for k in topics:
+                total += row[k] * (dt[k] + alpha)
+                sums.append(total)
+            u *= total
+            new = 0
+            while new < num_topics - 1 and sums[new] <= u:
+                new += 1
+            z[j] = new
+            dt[new] += 1
+    return dt
+
+
 ASSIGNED = "run_id string, doc_id bigint, word_ids array<int>, topics array<int>"
 
 
@@ -112,29 +135,47 @@ def infer(docs: DataFrame, num_topics: int, alpha: float = 0.1, iters: int = 5,
         for batch in batches:
             out = []
             for doc, phis in zip(batch["doc_id"], batch["phis"], strict=True):
-                rng, n = generator(seed, "infer", int(doc)), len(phis)
-                z, dt = rng.integers(0, num_topics, n), np.zeros(num_topics)
-                np.add.at(dt, z, 1)
-                for _ in range(iters):
-                    for j, u in enumerate(rng.random(n)):
-                        dt[z[j]] -= 1
-                        c = np.cumsum(phis[j] * (dt + alpha))
-                        z[j] = min(int(np.searchsorted(c, u * c[-1], "right")), num_topics - 1)
-                        dt[z[j]] += 1
-                out.append((doc, int(dt.argmax()), dt.astype(np.int64).tolist()))
+                dt = inferred(range(len(phis)), [list(x) for x in phis], num_topics, alpha, iters, generator(seed, "infer", int(doc)))
+                out.append((doc, int(np.argmax(dt)), dt))
             yield pd.DataFrame(out, columns=["doc_id", "topic", "dt"])
 
     return docs.select("doc_id", "phis").mapInPandas(kernel, "doc_id bigint, topic int, dt array<bigint>")
 
 
+def infer_docs(docs: DataFrame, phi, num_topics: int, alpha: float = 0.1, iters: int = 5, seed: int = 0) -> DataFrame:
+    """The same for documents (doc_id, word_ids) and a model of
+    ``likelihood.sent_model``: words move as ids, and nothing is shuffled."""
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = phi.value.tolist()
+        for batch in batches:
+            rows = [(doc, inferred(words.tolist(), model, num_topics, alpha, iters, generator(seed, "infer", int(doc)))) for doc, words in zip(batch["doc_id"], batch["word_ids"], strict=True)]
+            yield pd.DataFrame([(doc, int(np.argmax(dt)), dt) for doc, dt in rows], columns=["doc_id", "topic", "dt"])
+
+    return docs.select("doc_id", "word_ids").mapInPandas(kernel, "doc_id bigint, topic int, dt array<bigint>")
+
+
+def counted(counts: DataFrame, num_topics: int, vocab_size: int, max_model_mb: int) -> np.ndarray:
+    """Words x topics of cells (topic, word_id, n) on the driver. Cells come in
+    columns of 16 bytes; a model whose cells or matrix could take more than
+    ``max_model_mb`` raises."""
+    if 16 * num_topics * vocab_size > max_model_mb << 20:
+        raise ValueError("the model is too large to send; use the joined form")
+    table = counts.select(F.col("topic").cast("int"), F.col("word_id").cast("int"), F.col("n").cast("long")).toArrow()
+    out = np.zeros((vocab_size, num_topics), np.int64)
+    np.add.at(out, (table.column(1).to_numpy(), table.column(0).to_numpy()), table.column(2).to_numpy())
+    return out
+
+
 def distributed_gibbs(docs: DataFrame, keep, vocab_size: int, num_topics: int, alpha: float = 0.1, beta: float = 0.1, iters: int = 20, seed: int = 0, max_model_mb: int = 512) -> DataFrame:
-    """(doc_id, word_ids, topics) after ``iters`` rounds in which partitions sweep
-    their documents against the counts of the round before, which are then
-    summed. An approximation of the exact chain. ``keep(df, name)`` writes a table
-    and reads it back, which cuts lineage. The model is broadcast (K * V counts);
+    """(doc_id, word_ids, topics) after ``iters`` rounds in which every document
+    is swept against the counts of the round before and its own changes; then
+    counts are summed. An approximation of the exact chain that is the same
+    however documents are partitioned. ``keep(df, name)`` writes a table and reads
+    it back, which cuts lineage. The model is sent to the tasks (K * V counts);
     beyond ``max_model_mb`` this raises, and ``counts.sync_sweep`` is the way."""
-    if 8 * num_topics * vocab_size > max_model_mb << 20:
-        raise ValueError("the model is too large to broadcast; use counts.sync_sweep")
+    if 16 * num_topics * vocab_size > max_model_mb << 20:
+        raise ValueError("the model is too large to send; use counts.sync_sweep")
     spark = docs.sparkSession
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,23 +186,25 @@ def distributed_gibbs(docs: DataFrame, keep, vocab_size: int, num_topics: int, a
     schema = "doc_id bigint, word_ids array<int>, topics array<int>"
     state = keep(docs.select("doc_id", "word_ids").mapInPandas(first, schema), "sweep_0")
     for k in range(iters):
-        tokens = state.select(F.explode(F.arrays_zip("word_ids", "topics")).alias("a")).select(F.col("a.word_ids").alias("w"), F.col("a.topics").alias("t"))
-        cells = tokens.groupBy("w", "t").agg(F.count("*").alias("n")).collect()  # at most K * V cells, checked above
-        model = np.zeros((vocab_size, num_topics), np.int64)
-        for r in cells:
-            model[r.w, r.t] = r.n
-        sent = spark.sparkContext.broadcast(model)
+        tokens = state.select(F.explode(F.arrays_zip("word_ids", "topics")).alias("a")).select(F.col("a.word_ids").alias("word_id"), F.col("a.topics").alias("topic"))
+        sent = spark.sparkContext.broadcast(counted(tokens.groupBy("word_id", "topic").agg(F.count("*").alias("n")), num_topics, vocab_size, max_model_mb))
 
         def sweep(batches: Iterator[pd.DataFrame], k: int = k, sent=sent) -> Iterator[pd.DataFrame]:
             local = GibbsState(num_topics, vocab_size, alpha, beta)
             local.tw, local.t = sent.value.tolist(), sent.value.sum(0).tolist()
             for batch in batches:
-                local.docs = [list(map(int, w)) for w in batch["word_ids"]]
-                local.z = [list(map(int, z)) for z in batch["topics"]]
-                local.dt = [np.bincount(z, minlength=num_topics).tolist() if len(z) else [0] * num_topics for z in local.z]
-                for i, d in enumerate(batch["doc_id"]):
-                    local.sweep(generator(seed, f"sweep{k}", int(d)), only=[i])
-                batch["topics"] = local.z
+                swept = []
+                for doc, words, topics in zip(batch["doc_id"], batch["word_ids"], batch["topics"], strict=True):
+                    words, was = words.tolist(), topics.tolist()
+                    local.docs, local.z, local.dt = [words], [list(was)], [np.bincount(was, minlength=num_topics).tolist() if was else [0] * num_topics]
+                    local.sweep(generator(seed, f"sweep{k}", int(doc)))
+                    swept.append(local.z[0])
+                    for w, old, new in zip(words, was, local.z[0], strict=True):  # the next document meets the counts as they were
+                        local.tw[w][new] -= 1
+                        local.tw[w][old] += 1
+                        local.t[new] -= 1
+                        local.t[old] += 1
+                batch["topics"] = swept
                 yield batch
 
         state = keep(state.mapInPandas(sweep, schema), f"sweep_{k + 1}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from topicloom.functions.rng import generator
 from topicloom.operators.counts import topic_model, unseen_phi
+from topicloom.operators.gibbs import counted
 
 
 def with_phi(tokens: DataFrame, counts: DataFrame, num_topics: int, vocab_size: int, beta: float) -> DataFrame:
@@ -61,6 +63,54 @@ def first_moment_arrow(docs: DataFrame, num_topics: int, alpha: float = 0.1) ->
     return docs.mapInPandas(kernel, "doc_id bigint, ll double, n bigint")
 
 
+def sent_model(counts: DataFrame, num_topics: int, vocab_size: int, beta: float, max_model_mb: int = 512):
+    """Word probabilities by topic (words x topics), broadcast behind a check of
+    their size; a larger model raises, and ``with_phi`` joins it."""
+    tw = counted(counts, num_topics, vocab_size, max_model_mb)
+    return counts.sparkSession.sparkContext.broadcast((tw + beta) / (tw.sum(0) + vocab_size * beta))
+
+
+def document_ll(words: list[int], phi: list[list[float]], num_topics: int, alpha: float) -> float:
+    """The first-moment likelihood of one document, in plain floats."""
+    dt, ll, k_alpha = [alpha] * num_topics, 0.0, num_topics * alpha
+    for n, w in enumerate(words):
+        x = [p * d for p, d in zip(phi[w], dt, strict=True)]
+        s = sum(x)
+        ll += math.log(s / (n + k_alpha))
+        dt = [d + y / s for d, y in zip(dt, x, strict=True)]
+    return ll
+
+
+def first_moment_docs(docs: DataFrame, phi, num_topics: int, alpha: float = 0.1) -> DataFrame:
+    """(doc_id, ll, n) of documents (doc_id, word_ids) and a model of
+    ``sent_model``: words move as ids, and nothing is shuffled."""
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = phi.value.tolist()
+        for batch in batches:
+            yield pd.DataFrame([(doc, document_ll(words.tolist(), model, num_topics, alpha), len(words)) for doc, words in zip(batch["doc_id"], batch["word_ids"], strict=True)], columns=["doc_id", "ll", "n"])
+
+    return docs.select("doc_id", "word_ids").mapInPandas(kernel, "doc_id bigint, ll double, n bigint")
+
+
+def particles_ll(phi: np.ndarray, num_topics: int, alpha: float, particles: int, rng: np.random.Generator) -> float:
+    """The left-to-right likelihood of one document, phi by position."""
+    n = len(phi)
+    z = np.zeros((particles, n), np.int64)
+    dt, row, ll = np.zeros((particles, num_topics)), np.arange(particles), 0.0
+    for j in range(n):
+        for i in range(j):
+            dt[row, z[:, i]] -= 1
+            c = np.cumsum(phi[i] * (dt + alpha), 1)
+            z[:, i] = np.minimum((c <= rng.random(particles)[:, None] * c[:, -1:]).sum(1), num_topics - 1)
+            dt[row, z[:, i]] += 1
+        c = np.cumsum(phi[j] * (dt + alpha) / (j + num_topics * alpha), 1)
+        ll += np.log(c[:, -1].mean())
+        z[:, j] = np.minimum((c <= rng.random(particles)[:, None] * c[:, -1:]).sum(1), num_topics - 1)
+        dt[row, z[:, j]] += 1
+    return float(ll)
+
+
 def left_to_right(docs: DataFrame, num_topics: int, alpha: float = 0.1, particles: int = 20, seed: int = 0) -> DataFrame:
     """(doc_id, ll, n): per position, particles resample the topics of earlier
     positions, sum the predictive probabilities and draw a topic. Quadratic in a
@@ -71,20 +121,7 @@ def left_to_right(docs: DataFrame, num_topics: int, alpha: float = 0.1, particle
             out = []
             for doc, phis in zip(batch["doc_id"], batch["phis"], strict=True):
                 phi = np.stack(list(phis)) if len(phis) else np.zeros((0, num_topics))
-                rng, n = generator(seed, "ltr", int(doc)), len(phis)
-                z = np.zeros((particles, n), np.int64)
-                dt, row, ll = np.zeros((particles, num_topics)), np.arange(particles), 0.0
-                for j in range(n):
-                    for i in range(j):
-                        dt[row, z[:, i]] -= 1
-                        c = np.cumsum(phi[i] * (dt + alpha), 1)
-                        z[:, i] = np.minimum((c <= rng.random(particles)[:, None] * c[:, -1:]).sum(1), num_topics - 1)
-                        dt[row, z[:, i]] += 1
-                    c = np.cumsum(phi[j] * (dt + alpha) / (j + num_topics * alpha), 1)
-                    ll += np.log(c[:, -1].mean())
-                    z[:, j] = np.minimum((c <= rng.random(particles)[:, None] * c[:, -1:]).sum(1), num_topics - 1)
-                    dt[row, z[:, j]] += 1
-                out.append((doc, ll, n))
+                out.append((doc, particles_ll(phi, num_topics, alpha, particles, generator(seed, "ltr", int(doc))), len(phi)))
             yield pd.DataFrame(out, columns=["doc_id", "ll", "n"])
 
     return docs.mapInPandas(kernel, "doc_id bigint, ll double, n bigint")

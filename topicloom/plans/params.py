@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, fields
-from typing import ClassVar
 
 
 def _parsed(text: object, default: object) -> object:
@@ -20,18 +19,15 @@ def _parsed(text: object, default: object) -> object:
 
 
 @dataclass(frozen=True)
-class BatchParams:
-    """For batch learning on unlabelled text; num_docs -1 takes all."""
+class ModelParams:
+    """What every workload takes."""
 
-    UNUSED: ClassVar[tuple[str, ...]] = ()
     debug: bool = False
     print_num_words_per_topic: int = 50
     shuffle_data: bool = False
     test_num_iters: int = 5
     alpha: float = 0.1
     beta: float = 0.1
-    num_docs: int = -1
-    num_iters: int = 100
     init_seed: int = -1
     num_topics: int = 3
     ltr_num_particles: int = 20
@@ -39,7 +35,7 @@ class BatchParams:
 
     @classmethod
     def of(cls, **given: object):
-        known = {f.name: f.default for f in fields(cls) if f.name not in cls.UNUSED}
+        known = {f.name: f.default for f in fields(cls)}
         if unknown := sorted(set(given) - set(known)):
             raise ValueError(f"unknown parameters: {', '.join(unknown)}")
         return cls(**{k: _parsed(v, known[k]) for k, v in given.items()})
@@ -49,11 +45,27 @@ class BatchParams:
 
 
 @dataclass(frozen=True)
-class FilterParams(BatchParams):
-    """For the online filter and labelled Gibbs runs; the reservoir and the
-    rejuvenation sample count documents."""
+class BatchParams(ModelParams):
+    """For batch learning on unlabelled text; num_docs -1 takes all."""
+
+    num_docs: int = -1
+    num_iters: int = 100
+
+
+@dataclass(frozen=True)
+class GibbsParams(ModelParams):
+    """For batch learning on labelled text; init_num_docs -1 takes all."""
+
+    init_num_docs: int = -1
+    init_num_iters: int = 100
+    coherence_num_words: int = 10
+    init_topic_list_filename: str = ""
+
+
+@dataclass(frozen=True)
+class FilterParams(ModelParams):
+    """For the online filter; the reservoir and the rejuvenation sample count documents."""
 
-    UNUSED: ClassVar[tuple[str, ...]] = ("num_docs", "num_iters")
     reservoir_size: int = 1000
     ess_threshold: float = 20.0
     resample_per_token: bool = False

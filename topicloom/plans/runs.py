@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.rng import generator
 from topicloom.operators import counts as C
-from topicloom.operators import gibbs, likelihood, metrics, selection, vocab
-from topicloom.plans.params import BatchParams, FilterParams
+from topicloom.operators import gibbs, likelihood, selection, vocab
+from topicloom.plans.evaluation import evaluate_models
+from topicloom.plans.params import BatchParams, FilterParams, GibbsParams, ModelParams
+from topicloom.sources.corpus import read_topic_list
 from topicloom.sources.scratch import keep
 from topicloom.streaming import particle
 
 
+@dataclass
+class Run:
+    """What a run gives: the seed it used, drawn or given; (iter, metric, value);
+    the last model (topic, word_id, n); (iter, topic, rank, word, n) of each
+    evaluated model; labels (doc_id, label) of training documents; the scores of
+    tuning; and with ``debug`` all particles' models and the reservoir."""
+
+    seed: int
+    metrics: DataFrame
+    model: DataFrame
+    topics: DataFrame
+    labels: DataFrame
+    scores: DataFrame | None = None
+    dump: DataFrame | None = None
+
+
 def fresh_seed(seed: int) -> int:
-    """A given seed as it is, else a random one, which the results report."""
+    """A given seed as it is, else a random one, which the run reports."""
     return seed if seed >= 0 else int(np.random.default_rng().integers(1, 1 << 31))
 
 
@@ -37,93 +57,168 @@ def long_ids(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode("word_ids").alias("pos", "word_id"))
 
 
-def evaluate(model: DataFrame, test: DataFrame, vocab_size: int, p: BatchParams, top_words: int = 10, labelled: bool = True) -> DataFrame:
-    """(metric, value) of a topic-word table on encoded documents: likelihood,
-    perplexity, coherence, NMI of inferred topics, left-to-right if asked."""
-    tokens = keep(long_ids(test), "test_tokens")
-    phis = keep(likelihood.with_phi(tokens, model, p.num_topics, vocab_size, p.beta), "phis")
-    ll = likelihood.perplexity(likelihood.first_moment(phis, p.num_topics, p.alpha))
-    parts = [ll.select(F.expr("stack(2, 'out_of_sample_log_likelihood', ll, 'out_of_sample_perplexity', perplexity) as (metric, value)"))]
-    top = C.ranked_words(model, top_words)
-    parts.append(metrics.coherence(tokens, top, p.num_topics).select(F.lit("out_of_sample_coherence").alias("metric"), F.col("coherence").alias("value")))
-    if labelled:
-        topics = gibbs.infer(phis, p.num_topics, p.alpha, p.test_num_iters, max(p.init_seed, 0)).select("doc_id", "topic")
-        rows = test.select("doc_id", "category").join(topics, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit(0)))
-        parts.append(metrics.agreement(rows, "category", "topic").select(F.lit("out_of_sample_nmi").alias("metric"), F.col("nmi").alias("value")))
-    if p.ltr_eval:
-        ltr = likelihood.perplexity(likelihood.left_to_right(phis, p.num_topics, p.alpha, p.ltr_num_particles, max(p.init_seed, 0)))
-        parts.append(ltr.select(F.expr("stack(2, 'out_of_sample_ltr_log_likelihood', ll, 'out_of_sample_ltr_perplexity', perplexity) as (metric, value)")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def evaluate(model: DataFrame, test: DataFrame, vocab_size: int, p: ModelParams, top_words: int = 10, labelled: bool = True) -> DataFrame:
+    """(metric, value) of one topic-word table on encoded documents."""
+    one = model.select(F.lit("run.0").alias("run_id"), F.lit(0).cast("long").alias("iter"), "topic", "word_id", "n")
+    return evaluate_models(one, test, vocab_size, p, labelled, top_words).select("metric", "value")
+
+
+def seed_list(spark: SparkSession, path: str, words: DataFrame, num_topics: int) -> list[tuple[int, int, int]]:
+    """(topic, word_id, count) of a topic list's words in the vocabulary: as many
+    rows as the list has. A list with more topics than the model raises."""
+    if not path:
+        return []
+    none = spark.createDataFrame([], "topic int, word_id int, n long")
+    return sorted((r.topic, r.word_id, r.n) for r in C.add_seed_topics(none, read_topic_list(spark, path), words, num_topics).collect())
+
+
+def training(rows: DataFrame, p: ModelParams, seed: int) -> DataFrame:
+    """Training documents of one run, in their order or shuffled by hash."""
+    order = vocab.shuffle_key(F.col("doc_id"), seed) if p.shuffle_data else F.col("doc_id")
+    return rows.where("split = 'train'").select(F.lit("run.0").alias("run_id"), F.lit(seed).cast("long").alias("seed"), order.alias("ord"), "doc_id", "category", "word_ids")
+
+
+def reported(models: DataFrame, words: DataFrame, p: ModelParams) -> DataFrame:
+    """(iter, topic, rank, word, n): the first words of every topic of each model."""
+    rank = F.row_number().over(Window.partitionBy("iter", "topic").orderBy(F.desc("n"), "word_id"))
+    top = models.where("n > 0").withColumn("rank", rank).where(F.col("rank") <= p.print_num_words_per_topic)
+    return top.join(words.select("word_id", "word"), "word_id").select("iter", "topic", "rank", "word", "n")
+
+
+def several(docs: DataFrame) -> bool:
+    return docs.select("category").distinct().limit(2).count() > 1
+
+
+def gibbs_trace(docs: DataFrame, params: dict, vocab_size: int, iters: int, every: int, debug: bool = False) -> DataFrame:
+    """REPLAYED rows of exact Gibbs over documents (run_id, seed, ord, doc_id,
+    category, word_ids): models and in-sample NMI (if there is more than one
+    category) before the first sweep, after each ``every`` and after the last."""
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ord", "doc_id"])
+        run, seed, category = rows["run_id"].iloc[0], int(rows["seed"].iloc[0]), [str(c) for c in rows["category"]]
+        state = gibbs.GibbsState(params["num_topics"], vocab_size, params["alpha"], params["beta"])
+        for topic, word, n in params.get("seed_topics", ()):
+            state.add_seed(topic, word, n)
+        state.start([[int(w) for w in words] for words in rows["word_ids"]], generator(seed, "init"))
+        rng = generator(seed, "sweep")
+        for k in range(iters + 1):
+            if k:
+                state.sweep(rng)
+            if k % every == 0 or k == iters:
+                if len(set(category)) > 1:
+                    yield particle.frame("event", run, iter=k, metric="in_sample_nmi", value=particle.nmi(category, state.labels()))
+                yield particle.model_rows(run, k, 0, np.array(state.tw))
+        yield particle.frame("label", run, iter=iters, doc_id=[int(d) for d in rows["doc_id"]], topic=state.labels())
+        if debug:
+            yield particle.model_rows(run, iters, 0, np.array(state.tw)).assign(kind="particle")
+
+    return docs.groupBy("run_id").applyInPandas(kernel, particle.REPLAYED)
+
 
+def _run(replayed: DataFrame, rows: DataFrame, words: DataFrame, size: int, p: ModelParams, seed: int, labelled: bool, coherence_words: int, scores: DataFrame | None = None) -> Run:
+    models = particle.models_of(replayed)
+    found = evaluate_models(models, rows.where("split = 'test'"), size, p, labelled, coherence_words)
+    found = keep(particle.events_of(replayed).unionByName(found).select("iter", "metric", "value"), "metrics")
+    last = models.agg(F.max("iter")).first()[0]
+    model = models.where(F.col("iter") == last).select("topic", "word_id", "n")
+    dump = replayed.where("kind in ('particle', 'reservoir')").drop("metric", "value") if p.debug else None
+    return Run(seed, found, model, reported(models, words, p), particle.labels_of(replayed).select("doc_id", "label"), scores, dump)
 
-def run_gibbs(docs: DataFrame, **given: object) -> tuple[DataFrame, DataFrame]:
-    """(topic-word table, metrics) of batch learning on labelled or unlabelled
-    documents (doc_id, category, split, tokens)."""
+
+def run_gibbs(docs: DataFrame, **given: object) -> Run:
+    """Batch learning on labelled documents (doc_id, category, split, tokens),
+    evaluated before the first sweep, after every tenth and after the last."""
+    p = GibbsParams.of(**given)
+    seed = fresh_seed(p.init_seed)
+    rows, words = encoded_corpus(docs)
+    size = words.count()
+    train = vocab.take_first(training(rows, p, seed), p.init_num_docs, "ord")
+    params = p.dict() | {"seed_topics": seed_list(docs.sparkSession, p.init_topic_list_filename, words, p.num_topics)}
+    replayed = keep(gibbs_trace(train, params, size, p.init_num_iters, 10, p.debug), "gibbs")
+    return _run(replayed, rows, words, size, p, seed, several(rows), p.coherence_num_words)
+
+
+def run_batch(docs: DataFrame, **given: object) -> Run:
+    """Batch learning on unlabelled documents, evaluated by likelihood before the
+    first sweep and after the last."""
     p = BatchParams.of(**given)
+    seed = fresh_seed(p.init_seed)
     rows, words = encoded_corpus(docs)
     size = words.count()
-    train = vocab.take_first(rows.where("split = 'train'"), p.num_docs)
-    train = train.withColumn("run_id", F.lit("run.0")).withColumn("seed", F.lit(fresh_seed(p.init_seed)))
-    state = keep(gibbs.gibbs_runs(train.select("run_id", "seed", "doc_id", "word_ids"), size, p.num_topics, p.alpha, p.beta, p.num_iters), "state")
-    model = keep(C.topic_word(gibbs.assignments(state)), "model")
-    return model, evaluate(model, rows.where("split = 'test'"), size, p)
+    train = vocab.take_first(training(rows, p, seed), p.num_docs, "ord").withColumn("category", F.lit("null"))
+    replayed = keep(gibbs_trace(train, p.dict(), size, p.num_iters, max(p.num_iters, 1), p.debug), "gibbs")
+    return _run(replayed, rows, words, size, p, seed, False, 0)
 
 
-def run_filter(docs: DataFrame, **given: object) -> tuple[DataFrame, DataFrame]:
-    """(topic-word table of the best particle, metrics) of online learning."""
+def run_filter(docs: DataFrame, **given: object) -> Run:
+    """Online learning: Gibbs on the first documents, tuned over several runs if
+    asked, whose winner's training documents alone seed the filter; then one pass
+    over the rest, evaluated after the initial documents, every 50 and the last."""
     p = FilterParams.of(**given)
+    seed = fresh_seed(p.init_seed)
     rows, words = encoded_corpus(docs)
     size = words.count()
-    train = rows.where("split = 'train'").select(F.lit("run.0").alias("run_id"), F.lit(fresh_seed(p.init_seed)).alias("seed"), F.col("doc_id").alias("ord"), "doc_id", "category", "word_ids")
-    if p.shuffle_data:
-        train = train.withColumn("ord", vocab.shuffle_key(F.col("doc_id"), max(p.init_seed, 0)))
-    if p.init_topic_list_filename:
-        raise ValueError("give seed topics as a table: see sources.read_topic_list and counts.add_seed_topics")
-    events = keep(particle.replay(train, p.dict(), size), "events")
-    model = keep(particle.replay(train, p.dict(), size, output="model"), "model").drop("run_id")
-    found = evaluate(model, rows.where("split = 'test'"), size, p, p.coherence_num_words)
-    return model, events.where("metric like 'final%'").select("metric", "value").unionByName(found)
-
-
-def select_model(docs: DataFrame, vocab_size: int, p: FilterParams, seed: int = 0) -> DataFrame:
-    """(run, fold, score) of init runs on documents (doc_id, category, word_ids):
-    0 folds score NMI on the training documents, 1 fold holds out a suffix, more
-    folds cross-validate. Scores are NMI, or minus the held-out perplexity."""
+    train = training(rows, p, seed)
+    params = p.dict() | {"seed_topics": seed_list(docs.sparkSession, p.init_topic_list_filename, words, p.num_topics)}
+    scores = None
+    if p.init_tune_num_runs > 1:
+        first = keep(vocab.take_first(train, p.init_num_docs, "ord"), "initial")
+        scores = keep(select_model(first, size, p, seed, params["seed_topics"]), "scores")
+        run, fold = winner(scores)
+        held = keep(with_folds(first, p).where((F.col("fold") == fold) & F.col("held")).select("doc_id"), "held")
+        train = train.join(held, "doc_id", "left_anti")
+        params |= {"init_num_docs": first.count() - held.count(), "gibbs_seed": tuning_seed(seed, run)}
+    replayed = keep(particle.replay_all(train, params, size, models=True, debug=p.debug), "filter")
+    return _run(replayed, rows, words, size, p, seed, several(rows), p.coherence_num_words, scores)
+
+
+def tuning_seed(seed: int, run: int) -> int:
+    return seed * 1000 + run
+
+
+def with_folds(docs: DataFrame, p: FilterParams) -> DataFrame:
+    """Documents by fold, and whether the fold holds them out: 0 folds hold out
+    none, 1 fold a suffix, more folds each its part."""
     if p.init_tune_num_cv_folds > 1:
-        folds = docs.join(vocab.kfold(docs.select("doc_id"), p.init_tune_num_cv_folds).select("doc_id", F.col("fold").alias("own")), "doc_id")
-        jobs = folds.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(p.init_tune_num_cv_folds - 1)))).withColumn("held", F.col("own") == F.col("fold"))
-    elif p.init_tune_num_cv_folds == 1:
-        jobs = docs.join(vocab.prefix_split(docs.select("doc_id"), p.init_tune_train_frac).select("doc_id", "part"), "doc_id").withColumn("fold", F.lit(0)).withColumn("held", F.col("part") == "eval")
-    else:
-        jobs = docs.withColumn("fold", F.lit(0)).withColumn("held", F.lit(False))
-    jobs = jobs.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(p.init_tune_num_runs - 1))))
+        own = vocab.kfold(docs.select("ord"), p.init_tune_num_cv_folds, "ord").select("ord", F.col("fold").alias("own"))
+        rows = docs.join(own, "ord").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(p.init_tune_num_cv_folds - 1))))
+        return rows.withColumn("held", F.col("own") == F.col("fold")).drop("own")
+    if p.init_tune_num_cv_folds == 1:
+        part = vocab.prefix_split(docs.select("ord"), p.init_tune_train_frac, "ord").select("ord", "part")
+        return docs.join(part, "ord").withColumn("fold", F.lit(0)).withColumn("held", F.col("part") == "eval").drop("part")
+    return docs.withColumn("fold", F.lit(0)).withColumn("held", F.lit(False))
+
+
+def select_model(docs: DataFrame, vocab_size: int, p: FilterParams, seed: int = 0, seeds: list[tuple[int, int, int]] = (), seed_of: list[int] | None = None) -> DataFrame:
+    """(run, fold, score) of init runs on documents (ord, doc_id, category,
+    word_ids): 0 folds score NMI on the training documents, 1 fold holds out a
+    suffix, more folds cross-validate. Scores are NMI, or minus the held-out
+    perplexity. Run k starts from a seed of its own, or from ``seed_of[k]``."""
+    jobs = with_folds(docs, p).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(p.init_tune_num_runs - 1))))
     k, alpha, beta = p.num_topics, p.alpha, p.beta
 
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id")
+        rows = rows.sort_values(["ord", "doc_id"])
         run, fold = int(rows["run"].iloc[0]), int(rows["fold"].iloc[0])
         fit, test = rows[~rows["held"]], rows[rows["held"]]
+        start = seed_of[run] if seed_of else tuning_seed(seed, run)
+        state = gibbs.learned([[int(w) for w in words] for words in fit["word_ids"]], k, vocab_size, alpha, beta, p.init_num_iters, start, seeds)
+        by_nmi = p.init_tune_eval_nmi or p.init_tune_num_cv_folds == 0
         if not len(test):
-            test = fit
-        state = gibbs.learned([list(map(int, w)) for w in fit["word_ids"]], k, vocab_size, alpha, beta, p.init_num_iters, seed * 1000 + run)
-        phi = (np.array(state.tw) + beta) / (np.array(state.t) + vocab_size * beta)
-        rng, ll, n, topics = generator(seed, "select", f"{run}.{fold}"), 0.0, 0, []
-        for words in test["word_ids"]:
-            dt = np.zeros(k)
-            for j, w in enumerate(words):
-                x = phi[w] * (dt + alpha) / (j + k * alpha)
-                ll += np.log(x.sum())
-                dt += x / x.sum()
-            n += len(words)
-            topics.append(int(dt.argmax()))
-        nmi = particle.nmi(test["category"].tolist(), state.labels() if test is fit else topics)
-        score = nmi if p.init_tune_eval_nmi or p.init_tune_num_cv_folds == 0 else -float(np.exp(-ll / max(n, 1)))
+            score = particle.nmi(fit["category"].tolist(), state.labels()) if by_nmi else float("-inf")
+        else:
+            phi = ((np.array(state.tw) + beta) / (np.array(state.t) + vocab_size * beta)).tolist()
+            held = [words.tolist() for words in test["word_ids"]]
+            if by_nmi:
+                counts = [gibbs.inferred(words, phi, k, alpha, p.test_num_iters, generator(start, f"select{fold}", int(doc))) for doc, words in zip(test["doc_id"], held, strict=True)]
+                score = particle.nmi(test["category"].tolist(), [int(np.argmax(dt)) for dt in counts])
+            else:
+                n = sum(map(len, held))
+                score = -float(np.exp(-sum(likelihood.document_ll(words, phi, k, alpha) for words in held) / n)) if n else float("-inf")
         return pd.DataFrame({"run": [run], "fold": [fold], "score": [score]})
 
-    return jobs.select("run", "fold", "held", "doc_id", "category", "word_ids").groupBy("run", "fold").applyInPandas(kernel, "run int, fold int, score double")
+    return jobs.select("run", "fold", "held", "ord", "doc_id", "category", "word_ids").groupBy("run", "fold").applyInPandas(kernel, "run int, fold int, score double")
 
 
 def best_of(scores: DataFrame) -> DataFrame:
@@ -131,9 +226,28 @@ def best_of(scores: DataFrame) -> DataFrame:
     return selection.best_run(selection.upper_median(scores, "run"))
 
 
+def winner(scores: DataFrame) -> tuple[int, int]:
+    """The best run, and the fold of its upper median (the lowest of ties)."""
+    run = best_of(scores).first().run
+    folds = sorted((r.score, r.fold) for r in scores.where(F.col("run") == run).collect())  # a row a fold
+    return run, folds[len(folds) // 2][1]
+
+
+def find_seeds(docs: DataFrame, tries: int, **given: object) -> DataFrame:
+    """(rank, seed, score): seeds of init runs, drawn from ``init_seed`` on, by the
+    NMI of their initial documents. A run with that ``init_seed`` starts so."""
+    p = FilterParams.of(**(given | {"init_tune_num_runs": tries, "init_tune_num_cv_folds": 0, "init_tune_eval_nmi": True}))
+    seed_of = generator(fresh_seed(p.init_seed), "seeds").choice(1 << 30, tries, replace=False).tolist()
+    rows, words = encoded_corpus(docs)
+    first = vocab.take_first(training(rows, p, 0), p.init_num_docs, "ord")
+    scores = select_model(first, words.count(), p, 0, seed_list(docs.sparkSession, p.init_topic_list_filename, words, p.num_topics), seed_of)
+    named = scores.select(F.array(*map(F.lit, seed_of))[F.col("run")].cast("long").alias("seed"), "score")
+    return named.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seed"))).select("rank", "seed", "score")  # a row a try
+
+
 def sweep(spark: SparkSession, docs: DataFrame, vocab_size: int, settings: dict[str, list], replicas: int = 1, base: dict | None = None) -> DataFrame:
     """Filter metrics for every combination of settings times replicas of seeds:
-    (settings..., replica, iter, metric, value). Each combination's replicas are
+    (settings..., run_id, iter, metric, value). Each combination's replicas are
     runs of one job, and each run a task."""
     out = None
     for values in product(*settings.values()):
@@ -141,7 +255,7 @@ def sweep(spark: SparkSession, docs: DataFrame, vocab_size: int, settings: dict[
         p = FilterParams.of(**{**(base or {}), **chosen})
         runs = spark.range(replicas).select(F.col("id").alias("seed"), F.format_string("run.%d", "id").alias("run_id"))
         rows = docs.crossJoin(F.broadcast(runs)).select("run_id", "seed", F.col("doc_id").alias("ord"), "doc_id", "category", "word_ids")  # replicas: a parameter
-        part = particle.replay(rows, p.dict(), vocab_size)
+        part = particle.events_of(particle.replay_all(rows, p.dict(), vocab_size))
         for name, value in reversed(chosen.items()):
             part = part.select(F.lit(value).alias(name), *part.columns)
         out = part if out is None else out.unionByName(part)

@@ -458,10 +458,16 @@ first AS (SELECT doc_id, len(phis) - 1 AS n, list_reduce(phis, lambda a, w: {{
   'n': a.n + 1, 'll': a.ll + ln(list_sum(list_transform(range(1, {K + 1}), lambda j: w.dt[j] * (a.dt[j] + {ALPHA}::DOUBLE))) / (a.n + {K * ALPHA}::DOUBLE))}}).ll AS ll FROM zero)"""
 
 
+def modelled(spark: SparkSession, d: str):
+    """Documents with word_ids, and the model of their hashed topics, sent to the tasks."""
+    docs = documents(spark, d)
+    words = keep(vocab.build_vocab(docs), "vocab")
+    ids = keep(vocab.encode_docs(docs, words), "encoded")
+    return ids, likelihood.sent_model(C.topic_word(C.initial_topics(runs.long_ids(ids), K, SEED)), K, words.count(), BETA)
+
+
 def first_moments(spark: SparkSession, d: str) -> DataFrame:
-    rows, size = assigned(spark, d)
-    rows = keep(rows, "assigned")
-    return likelihood.first_moment_arrow(likelihood.with_phi(rows, C.topic_word(rows), K, size, BETA), K, ALPHA)
+    return likelihood.first_moment_docs(*modelled(spark, d), K, ALPHA)
 
 
 @query("doc_id:long n:long ll:double", PHI + "\n--\nSELECT doc_id, n, ll FROM first")
@@ -610,9 +616,7 @@ def gibbs_distributed(spark, d):
 
 @query("doc_id:long topic:long")
 def gibbs_infer(spark, d):
-    rows, size = assigned(spark, d)
-    rows = keep(rows, "assigned")
-    return gibbs.infer(likelihood.with_phi(rows, C.topic_word(rows), K, size, BETA), K, ALPHA, 3, SEED)
+    return gibbs.infer_docs(*modelled(spark, d), K, ALPHA, 3, SEED)
 
 
 @query("doc_id:long n:long ll:double")
@@ -630,7 +634,7 @@ def generate_corpus(spark, d):
 @query("run_id:str iter:long metric:str value:double")
 def particle_filter_replay(spark, d):
     docs, size = turns(spark, d)
-    return particle.replay(docs, FILTER.dict(), size)
+    return particle.events_of(particle.replay_all(docs, FILTER.dict(), size))
 
 
 @query("run_id:str doc_id:long label:long")
@@ -653,14 +657,14 @@ def particle_filter_stream(spark, d):
 def model_select(spark, d):
     docs, size = turns(spark, d)
     p = FilterParams.of(num_topics=2, init_num_iters=3, init_tune_num_runs=2, init_tune_num_cv_folds=3)
-    return runs.best_of(runs.select_model(docs.select("doc_id", "category", "word_ids"), size, p, SEED))
+    return runs.best_of(runs.select_model(docs.select("ord", "doc_id", "category", "word_ids"), size, p, SEED))
 
 
 @query("num_topics:long run_id:str iter:long metric:str value:double")
 def param_sweep(spark, d):
     docs, size = turns(spark, d)
     base = FILTER.dict() | {"num_particles": 4, "init_num_docs": 10}
-    base = {k: v for k, v in base.items() if k not in ("num_docs", "num_iters", "num_topics")}
+    base.pop("num_topics")
     return runs.sweep(spark, docs.select("doc_id", "category", "word_ids"), size, {"num_topics": [2, 3]}, 2, base)
 
 
@@ -672,6 +676,33 @@ def eval_bundle(spark, d):
     return runs.evaluate(keep(C.topic_word(tokens), "model"), docs, size, p)
 
 
+def labelled_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Conversation turns with their role as category, three fifths for training."""
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("category"), T.prepared(F.col("text"), stop=T.STOP_WORDS).alias("tokens"))
+    return rows.withColumn("split", S.bernoulli_split(F.col("doc_id"), 0.6, SEED))
+
+
+@query("iter:long metric:str value:double")
+def run_filter(spark, d):
+    """A whole online run: tuned initial documents, the filter, evaluations on the way."""
+    return runs.run_filter(labelled_corpus(spark, d), **(FILTER.dict() | {"init_seed": SEED, "init_tune_num_runs": 2, "test_num_iters": 2})).metrics
+
+
+@query("iter:long metric:str value:double")
+def run_gibbs(spark, d):
+    return runs.run_gibbs(labelled_corpus(spark, d), init_seed=SEED, init_num_iters=12, test_num_iters=2).metrics
+
+
+@query("iter:long metric:str value:double")
+def run_batch(spark, d):
+    return runs.run_batch(labelled_corpus(spark, d), init_seed=SEED, num_iters=5).metrics
+
+
+@query("rank:long seed:long score:double")
+def seed_search(spark, d):
+    return runs.find_seeds(labelled_corpus(spark, d), 6, init_seed=SEED, init_num_docs=60, init_num_iters=5)
+
+
 @query("topic:long rank:long word:str n:long", COUNTS + "\n--\nSELECT r.topic, r.rank, coalesce(v.word, '_OOV_') AS word, r.n FROM (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY n DESC, word_id) AS rank, word_id, n FROM tw) r LEFT JOIN vocab v ON r.word_id = v.word_id WHERE r.rank <= 10")
 def topic_report(spark, d):
     """Flagship: the top words of every topic, from raw text on."""

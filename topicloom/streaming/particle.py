@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import io
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from topicloom.functions.rng import generator
 from topicloom.operators.gibbs import learned
@@ -47,6 +47,69 @@ def nmi(labels: list, topics: list) -> float:
     return float(2 * (c[i, j] * np.log(c[i, j] / (p[i] * q[j]))).sum() / h) if h > 0 else 0.0
 
 
+class Labels:
+    """Every particle's label of every document.
+
+    A label stands as it was given, with the number of resamplings before; which
+    of the labels a particle has now is told by its ancestors. So resampling
+    copies nothing. Once all particles have one ancestor, the labels given up to
+    then can't differ any more and are settled.
+    """
+
+    def __init__(self, particles: int):
+        self.particles, self.first = particles, 0  # the version before the first known resampling
+        self.sources: list[np.ndarray] = []
+        self.open: dict[int, tuple[int, np.ndarray]] = {}
+        self.given: set[int] = set()
+        self.settled: dict[int, int] = {}
+
+    @property
+    def version(self) -> int:
+        return self.first + len(self.sources)
+
+    def resampled(self, source: np.ndarray) -> None:
+        self.sources.append(source)
+
+    def give(self, doc: int, labels: np.ndarray) -> None:
+        self.settled.pop(doc, None)
+        self.open[doc] = (self.version, labels)
+        self.given.add(doc)
+
+    def ancestors(self, particle: int) -> np.ndarray:
+        """Of a particle, at each version from the first known one on."""
+        out = np.empty(len(self.sources) + 1, np.int64)
+        out[-1] = particle
+        for k in range(len(self.sources) - 1, -1, -1):
+            out[k] = self.sources[k][out[k + 1]]
+        return out
+
+    def of(self, particle: int, docs: Iterable[int] | None = None) -> dict[int, int]:
+        at = self.ancestors(particle)
+        held = self.open if docs is None else {d: self.open[d] for d in docs if d in self.open}
+        out = {d: int(x[at[v - self.first]]) for d, (v, x) in held.items()}
+        return out if docs is not None else self.settled | out
+
+    def settle(self) -> dict[int, int]:
+        """Labels that no longer differ between particles; they leave the open ones."""
+        every, k = np.arange(self.particles), len(self.sources)
+        while k and (every != every[0]).any():
+            k -= 1
+            every = self.sources[k][every]
+        at, one = {}, int(every[0])
+        for v in range(k, -1, -1) if (every == every[0]).all() else ():  # the one ancestor at each version up to there
+            at[v + self.first] = one
+            if v:
+                one = int(self.sources[v - 1][one])
+        out = {d: int(x[at.get(v, 0)]) for d, (v, x) in self.open.items() if v in at or (x == x[0]).all()}
+        for d in out:
+            del self.open[d]
+        self.settled |= out
+        oldest = min((v for v, _ in self.open.values()), default=self.version)
+        if oldest > self.first:
+            self.sources, self.first = self.sources[oldest - self.first :], oldest
+        return out
+
+
 class ParticleFilter:
     """The filter's whole state and its step."""
 
@@ -54,12 +117,15 @@ class ParticleFilter:
         self.p, self.v, self.seed = params, vocab_size, seed
         n, k = params["num_particles"], params["num_topics"]
         self.tw, self.t = np.zeros((n, vocab_size, k), np.int32), np.zeros((n, k), np.int64)
+        for topic, word, count in params.get("seed_topics", ()):
+            self.tw[:, word, topic] += count
+            self.t[:, topic] += count
         self.weights = np.full(n, 1.0 / n)
         self.reservoir: list[Stored] = []
-        self.seen, self.version = 0, 0
-        self.labels: dict[int, np.ndarray] = {}
-        self.category: dict[int, str] = {}
-        self.waiting: list[tuple[int, str, list[int]]] = []
+        self.seen, self.version, self.init_docs, self.tokens = 0, 0, 0, 0
+        self.labels = Labels(n)
+        self.moved: set[int] = set()  # slots of the reservoir that are other than when they were last written
+        self.waiting: list[tuple[int, list[int]]] = []
         self.ready = params["init_num_docs"] <= 0
 
     # construction
@@ -68,16 +134,17 @@ class ParticleFilter:
         """Gibbs on the first documents; its model goes to all particles, its
         assignments to the reservoir, with counts that match them."""
         p = self.p
-        docs = [w for _, _, w in self.waiting]
-        state = learned(docs, p["num_topics"], self.v, p["alpha"], p["beta"], p["init_num_iters"], self.seed, p.get("seed_topics", ()))
+        docs = [w for _, w in self.waiting]
+        state = learned(docs, p["num_topics"], self.v, p["alpha"], p["beta"], p["init_num_iters"], p.get("gibbs_seed", self.seed), p.get("seed_topics", ()))
         self.tw[:], self.t[:] = np.array(state.tw, np.int32), np.array(state.t)
         n = len(self.weights)
-        for (doc, _, words), z, label in zip(self.waiting, state.z, state.labels(), strict=True):
-            self.labels[doc] = np.full(n, label)
+        for (doc, words), z, label in zip(self.waiting, state.z, state.labels(), strict=True):
+            self.labels.give(doc, np.full(n, label))
+            self.tokens += len(words)
             out = self._offer(Stored(doc, np.array(words, np.int64), np.tile(np.array(z, np.int64), (n, 1))))
             if p["forget_stats"] and out is not None:
                 self._forget(out)
-        self.waiting, self.ready = [], True
+        self.init_docs, self.waiting, self.ready = len(docs), [], True
 
     def _rng(self, purpose: str) -> np.random.Generator:
         return generator(self.seed, purpose, self.seen)
@@ -90,147 +157,173 @@ class ParticleFilter:
         size = self.p["reservoir_size"]
         self.seen += 1
         if len(self.reservoir) < size:
+            self.moved.add(len(self.reservoir))
             self.reservoir.append(doc)
             return None
         slot = int(self._rng("reservoir").integers(0, self.seen)) if size else 0
         if slot >= size:
             return doc
+        self.moved.add(slot)
         out, self.reservoir[slot] = self.reservoir[slot], doc
         return out
 
     def _forget(self, doc: Stored) -> None:
-        for j in range(doc.z.shape[1]):
-            self._count(doc.words[j], doc.z[:, j], -1)
-
-    def _count(self, word: int, z: np.ndarray, by: int) -> None:
-        every = np.arange(len(z))
-        self.tw[every, word, z] += by
-        self.t[every, z] += by
+        every = np.arange(len(doc.z))
+        for word, z in zip(doc.words, doc.z.T, strict=True):
+            self.tw[every, word, z] -= 1
+        self.t -= self._dt(doc)
 
     def _dt(self, doc: Stored) -> np.ndarray:
-        k = self.p["num_topics"]
-        return np.stack([(doc.z == t).sum(1) for t in range(k)], 1).astype(np.int64)
+        n, k = len(doc.z), self.p["num_topics"]
+        return np.bincount((doc.z + np.arange(n)[:, None] * k).ravel(), minlength=n * k).reshape(n, k)
 
     # the step
 
-    def _posterior(self, word: int, dt: np.ndarray, n: int) -> np.ndarray:
-        p = self.p
-        x = (self.tw[:, word] + p["beta"]) * (dt + p["alpha"])
-        x /= self.t + self.v * p["beta"]
-        x /= n + p["num_topics"] * p["alpha"]
-        return x
-
-    @staticmethod
-    def _draw(pmf: np.ndarray, u: np.ndarray) -> np.ndarray:
-        c = np.cumsum(pmf, 1)
-        return np.minimum((c <= u[:, None] * c[:, -1:]).sum(1), pmf.shape[1] - 1)
-
-    def step(self, doc_id: int, category: str, words: list[int]) -> list[int]:
-        """Takes one document; gives the ids whose labels changed."""
-        self.category[doc_id] = category
+    def step(self, doc_id: int, words: list[int]) -> list[int]:
+        """Takes one document; gives the ids whose labels were given anew."""
         if not self.ready:
-            self.waiting.append((doc_id, category, words))
+            self.waiting.append((doc_id, words))
             if len(self.waiting) < self.p["init_num_docs"]:
                 return []
             self._initialise()
-            return list(self.labels)
-        p, n = self.p, len(self.weights)
+            return list(self.labels.open)
+        p, n, k = self.p, len(self.weights), self.p["num_topics"]
+        self.tokens += len(words)
         room = np.zeros((n, len(words)), np.int64)  # topics of the tokens so far are its first columns
         doc = Stored(doc_id, np.array(words, np.int64), room[:, :0])
         out = self._offer(doc)
         if p["forget_stats"] and out is not None and out is not doc:
             self._forget(out)
-        self.labels[doc_id] = np.zeros(n, np.int64)
-        changed, every, rng = {doc_id}, np.arange(n), self._rng("propagate")
-        dt = self._dt(doc)
-        for j, (word, u) in enumerate(zip(doc.words, rng.random((len(words), n)), strict=True)):
-            pmf = self._posterior(word, dt, j)
-            c = np.cumsum(pmf, 1)
-            self.weights *= c[:, -1]
-            self.weights /= self.weights.sum()
-            z = np.minimum((c <= u[:, None] * c[:, -1:]).sum(1), c.shape[1] - 1)
+        given = {doc_id}
+        # counts with their priors, kept up token by token; a particle's cell stands at row + topic, one of its model at block + word * k + topic
+        row, block = np.arange(n) * k, np.arange(n) * (self.v * k)
+        own, all_words = np.full((n, k), p["alpha"]), self.t + self.v * p["beta"]
+        flat_own, flat_all, model = own.ravel(), all_words.ravel(), self.tw.reshape(-1)
+        tw, beta, weights, each = self.tw, p["beta"], self.weights, p["resample_per_token"]
+        draws = self._rng("propagate").random((len(words), n))
+        for j, word in enumerate(words):
+            x = tw[:, word] + beta
+            x *= own
+            x /= all_words
+            c = x.cumsum(1)
+            mass = c[:, -1]
+            weights *= mass
+            if each or not j & 15:
+                weights /= weights.sum()
+            z = (c[:, :-1] <= (draws[j] * mass)[:, None]).sum(1)
             room[:, j] = z
-            doc.z = room[:, : j + 1]
-            dt[every, z] += 1
-            self._count(word, z, 1)
-            if p["resample_per_token"] and self.ess() < p["ess_threshold"]:
-                changed |= self._resample(doc)
+            at = row + z
+            flat_own[at] += 1
+            flat_all[at] += 1
+            model[block + (word * k + z)] += 1
+            if each and self.ess() < p["ess_threshold"]:
+                doc.z = room[:, : j + 1]
+                self.t = np.rint(all_words - self.v * beta).astype(np.int64)
+                given |= self._resample(doc)
                 room[:, : j + 1] = doc.z
-                doc.z, dt = room[:, : j + 1], self._dt(doc)
-        if not p["resample_per_token"] and self.ess() < p["ess_threshold"]:
-            changed |= self._resample(doc)
+                own[:], all_words[:] = self._dt(doc) + p["alpha"], self.t + self.v * beta
+                tw, weights, model = self.tw, self.weights, self.tw.reshape(-1)
+        doc.z = room
+        weights /= weights.sum()
+        self.t = np.rint(all_words - self.v * beta).astype(np.int64)
+        if not each and self.ess() < p["ess_threshold"]:
+            given |= self._resample(doc)
         if p["forget_stats"] and out is doc:
             self._forget(doc)
-        self.labels[doc_id] = self._dt(doc).argmax(1)
-        return list(changed)
+        self.labels.give(doc_id, self._dt(doc).argmax(1))
+        return list(given)
 
     def ess(self) -> float:
         return float(1.0 / (self.weights**2).sum())
 
     def _resample(self, doc: Stored) -> set[int]:
         """Multinomial resampling: picked particles keep their places, further
-        picks fill the others in order; then rejuvenation."""
+        picks fill the others in order; then rejuvenation, and new labels for the
+        documents of the reservoir."""
         n = len(self.weights)
         rng = self._rng(f"resample{self.version}")
         picks = np.minimum(np.searchsorted(np.cumsum(self.weights), rng.random(n), "right"), n - 1)
         times = np.bincount(picks, minlength=n)
         source = np.arange(n)
         source[times == 0] = np.repeat(np.arange(n), np.maximum(times - 1, 0))
-        self.tw, self.t = self.tw[source], self.t[source]
-        for d in self.reservoir if any(d is doc for d in self.reservoir) else [*self.reservoir, doc]:
-            d.z = d.z[source]
-        self.labels = {k: v[source] for k, v in self.labels.items()}
+        if (source != np.arange(n)).any():
+            self.tw, self.t = self.tw[source], self.t[source]
+            for d in self.reservoir if any(d is doc for d in self.reservoir) else [*self.reservoir, doc]:
+                d.z = d.z[source]
+            self.moved.update(range(len(self.reservoir)))
+        self.labels.resampled(source)
         self.weights = np.full(n, 1.0 / n)
         self.version += 1
         self._rejuvenate(rng)
         for d in self.reservoir:
-            self.labels[d.doc_id] = self._dt(d).argmax(1)
-        return set(self.labels)
+            self.labels.give(d.doc_id, self._dt(d).argmax(1))
+        return {d.doc_id for d in self.reservoir}
 
     def _rejuvenate(self, rng: np.random.Generator) -> None:
         """Gibbs sweeps over a uniform sample of the reservoir's documents, one
         sample for all particles."""
-        size, n, every = self.p["rejuv_sample_size"], len(self.reservoir), np.arange(len(self.weights))
-        picked = range(n) if size >= n else rng.choice(n, size, replace=False).tolist()
-        for k in picked:
-            doc = self.reservoir[k]
-            dt, n = self._dt(doc), doc.z.shape[1]
-            doc.z = doc.z.copy()
-            for _ in range(self.p["rejuv_mcmc_steps"]):
-                for j, u in enumerate(rng.random((n, len(every)))):
-                    word, old = doc.words[j], doc.z[:, j].copy()
-                    dt[every, old] -= 1
-                    self._count(word, old, -1)
-                    new = self._draw(self._posterior(word, dt, n - 1), u)
-                    doc.z[:, j] = new
-                    dt[every, new] += 1
-                    self._count(word, new, 1)
+        p, size, held = self.p, self.p["rejuv_sample_size"], len(self.reservoir)
+        n, k, beta = len(self.weights), p["num_topics"], p["beta"]
+        row, block, tw, model = np.arange(n) * k, np.arange(n) * (self.v * k), self.tw, self.tw.reshape(-1)
+        all_words = self.t + self.v * beta
+        flat_all = all_words.ravel()
+        for slot in range(held) if size >= held else rng.choice(held, size, replace=False).tolist():
+            doc = self.reservoir[slot]
+            self.moved.add(slot)
+            topics, own = np.ascontiguousarray(doc.z.T), self._dt(doc) + p["alpha"]
+            flat_own, words = own.ravel(), doc.words.tolist()
+            for _ in range(p["rejuv_mcmc_steps"]):
+                draws = rng.random((len(topics), n))
+                for j, word in enumerate(words[: len(topics)]):
+                    cell = block + word * k
+                    at = row + topics[j]
+                    flat_own[at] -= 1
+                    flat_all[at] -= 1
+                    model[cell + topics[j]] -= 1
+                    x = tw[:, word] + beta
+                    x *= own
+                    x /= all_words
+                    c = x.cumsum(1)
+                    z = (c[:, :-1] <= (draws[j] * c[:, -1])[:, None]).sum(1)
+                    topics[j] = z
+                    at = row + z
+                    flat_own[at] += 1
+                    flat_all[at] += 1
+                    model[cell + z] += 1
+            doc.z = np.ascontiguousarray(topics.T)
+        self.t = np.rint(all_words - self.v * beta).astype(np.int64)
 
     # results
 
     def best(self) -> int:
         return int(self.weights.argmax())
 
-    def in_sample_nmi(self) -> float:
-        ids, b = list(self.labels), self.best()
-        return nmi([self.category[d] for d in ids], [int(self.labels[d][b]) for d in ids])
-
     def finish(self) -> None:
         """A stream that ends within the initial documents is learned by Gibbs alone."""
         if not self.ready and self.waiting:
             self._initialise()
 
-    # state as bytes: one part for each particle, one for the rest
+    # state as bytes: what is small, then a part for each particle, slot and waiting document
+
+    SMALL = ("p", "v", "seed", "t", "weights", "seen", "version", "init_docs", "tokens", "ready")
+
+    def small(self) -> bytes:
+        """Counts of topics, weights and the ancestry of open labels."""
+        return pickle.dumps({k: getattr(self, k) for k in self.SMALL} | {"first": self.labels.first, "sources": self.labels.sources})
 
-    def parts(self) -> tuple[bytes, list[bytes]]:
-        rest = {k: v for k, v in self.__dict__.items() if k != "tw"}
-        return pickle.dumps(rest), [_packed(x) for x in self.tw]
+    def particle_parts(self) -> list[bytes]:
+        return [_packed(x) for x in self.tw]
 
     @classmethod
-    def restored(cls, rest: bytes, parts: list[bytes]) -> ParticleFilter:
-        out = cls.__new__(cls)
-        out.__dict__ = pickle.loads(rest)
-        out.tw = np.stack([np.load(io.BytesIO(x))["x"] for x in parts])
+    def restored(cls, small: bytes, particles: list[bytes], reservoir: list[bytes], waiting: list[bytes], labels: dict[int, bytes]) -> ParticleFilter:
+        out, held = cls.__new__(cls), pickle.loads(small)
+        for k in cls.SMALL:
+            setattr(out, k, held[k])
+        out.tw = np.stack([np.load(io.BytesIO(x))["x"] for x in particles])
+        out.reservoir, out.waiting, out.moved = [pickle.loads(x) for x in reservoir], [pickle.loads(x) for x in waiting], set()
+        out.labels = Labels(len(out.weights))
+        out.labels.first, out.labels.sources = held["first"], held["sources"]
+        out.labels.open = {d: pickle.loads(x)[:2] for d, x in labels.items()}
         return out
 
 
@@ -242,65 +335,152 @@ def _packed(x: np.ndarray) -> bytes:
 
 EVENTS = "run_id string, iter bigint, metric string, value double"
 LABELS = "run_id string, doc_id bigint, label int, version bigint"
+COUNTS = "run_id string, iter bigint, particle int, topic int, word_id int, n bigint"
+#: One row of any kind: an event, a label, a cell of a model, a document of the reservoir.
+REPLAYED = "kind string, run_id string, iter bigint, metric string, value double, doc_id bigint, particle int, topic int, word_id int, n bigint, ids array<int>"
+
+
+def frame(kind: str, run: str, **columns) -> pd.DataFrame:
+    kinds = dict(x.split() for x in REPLAYED.split(", "))
+    n = max((len(x) for x in columns.values() if isinstance(x, list | np.ndarray)), default=1)
+    out = pd.DataFrame({"kind": [kind] * n, "run_id": [run] * n})
+    for name in list(kinds)[2:]:
+        held = columns.get(name)
+        held = held if isinstance(held, list | np.ndarray) else [held] * n
+        # nullable integers, so that no id passes through a double
+        out[name] = pd.array(held, dtype={"bigint": "Int64", "int": "Int32", "double": "Float64"}[kinds[name]]) if kinds[name] in ("bigint", "int", "double") else held
+    return out
+
+
+def model_rows(run: str, k: int, particle: int, tw: np.ndarray) -> pd.DataFrame:
+    """The cells of a word x topic table."""
+    w, z = np.nonzero(tw)
+    return frame("model", run, iter=k, particle=particle, topic=z.astype(np.int32), word_id=w.astype(np.int32), n=tw[w, z].astype(np.int64))
+
+
+def replay_all(docs: DataFrame, params: dict, vocab_size: int, eval_every: int = 50, models: bool = False, debug: bool = False) -> DataFrame:
+    """REPLAYED rows of the filter over documents (run_id, seed, ord, doc_id,
+    category, word_ids) of many runs, each in the order of ``ord`` in a task of its
+    own, in one pass.
+
+    Events have the number of documents before as their ``iter``: num_words and
+    token (tokens before) of each document, resampling; after the initial ones,
+    every ``eval_every`` and all documents the NMI of all labels and of the initial
+    ones (if there is more than one category) and the effective sample size, and
+    the best particle's model if asked for; with ``debug``, all particles' models
+    and the reservoir at the end. Labels are the best particle's at the end."""
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ord", "doc_id"])
+        run, pf = rows["run_id"].iloc[0], ParticleFilter(params, vocab_size, int(rows["seed"].iloc[0]))
+        ids = [int(d) for d in rows["doc_id"]]
+        category = dict(zip(ids, map(str, rows["category"]), strict=True))
+        several = len(set(category.values())) > 1
+        initial = ids[: params["init_num_docs"]]
+        events: list[tuple[int, str, float]] = []
+        out: list[pd.DataFrame] = []
+
+        def evaluate(k: int) -> None:
+            nonlocal last
+            if k == last:  # as it was just evaluated
+                return
+            last = k
+            pf.labels.settle()
+            if several:
+                label = pf.labels.of(pf.best())
+                for name, docs in (("init_in_sample_nmi", initial), ("in_sample_nmi", list(label))):
+                    docs = [d for d in docs if d in label]
+                    events.append((k, name, nmi([category[d] for d in docs], [label[d] for d in docs])))
+            events.append((k, "ess", pf.ess()))
+            if models:
+                out.append(model_rows(run, k, 0, pf.tw[pf.best()]))
+
+        last = -1
+        for k, (doc, words) in enumerate(zip(ids, rows["word_ids"], strict=True)):
+            was, ready, words = pf.version, pf.ready, [int(w) for w in words]
+            if ready:
+                events += [(k, "num_words", len(words)), (k, "token", pf.tokens)]
+            pf.step(doc, words)
+            events += [(k, "resampling", 1.0)] * (pf.version - was)
+            if ready and k % eval_every == 0:
+                evaluate(k)
+            elif pf.ready and not ready:
+                evaluate(k + 1)
+            yield from out
+            out.clear()
+        pf.finish()
+        evaluate(len(ids))
+        yield frame("event", run, iter=[e[0] for e in events], metric=[e[1] for e in events], value=[float(e[2]) for e in events])
+        label = pf.labels.of(pf.best())
+        yield frame("label", run, iter=pf.version, doc_id=list(label), topic=[int(x) for x in label.values()])
+        yield from out
+        if debug:
+            for p, tw in enumerate(pf.tw):
+                yield model_rows(run, len(ids), p, tw).assign(kind="particle")
+            for d in pf.reservoir:
+                yield frame("reservoir", run, iter=len(ids), doc_id=d.doc_id, particle=list(range(len(d.z))), ids=[z.astype(np.int32).tolist() for z in d.z])
 
+    return docs.groupBy("run_id").applyInPandas(kernel, REPLAYED)
 
-def replay(docs: DataFrame, params: dict, vocab_size: int, eval_every: int = 50, output: str = "metrics") -> DataFrame:
-    """The filter over documents (run_id, seed, ord, doc_id, category, word_ids) of
-    many runs, each in the order of ``ord`` in a task of its own. Gives EVENTS
-    (in-sample NMI, effective sample size, resampling), final LABELS of the best
-    particle, or its topic-word counts."""
 
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord")
-        run, pf = rows["run_id"].iloc[0], ParticleFilter(params, vocab_size, int(rows["seed"].iloc[0]))
-        events = []
-        for k, (doc, category, words) in enumerate(zip(rows["doc_id"], rows["category"], rows["word_ids"], strict=True), 1):
-            was = pf.version
-            pf.step(int(doc), str(category), [int(w) for w in words])
-            events += [(run, k, "resampling", 1.0)] * (pf.version - was)
-            if pf.ready and k % eval_every == 0:
-                events += [(run, k, "in_sample_nmi", pf.in_sample_nmi()), (run, k, "ess", pf.ess())]
-        pf.finish()
-        events.append((run, len(rows), "final_in_sample_nmi", pf.in_sample_nmi()))
-        if output == "metrics":
-            return pd.DataFrame(events, columns=["run_id", "iter", "metric", "value"])
-        b = pf.best()
-        if output == "labels":
-            return pd.DataFrame([(run, d, int(x[b]), pf.version) for d, x in pf.labels.items()], columns=["run_id", "doc_id", "label", "version"])
-        w, z = np.nonzero(pf.tw[b])
-        return pd.DataFrame({"run_id": run, "topic": z.astype(np.int32), "word_id": w.astype(np.int32), "n": pf.tw[b][w, z].astype(np.int64)})
+def events_of(replayed: DataFrame) -> DataFrame:
+    return replayed.where("kind = 'event'").select("run_id", "iter", "metric", "value")
+
 
-    schema = {"metrics": EVENTS, "labels": LABELS, "model": "run_id string, topic int, word_id int, n bigint"}[output]
-    return docs.groupBy("run_id").applyInPandas(kernel, schema)
+def labels_of(replayed: DataFrame) -> DataFrame:
+    return replayed.where("kind = 'label'").select("run_id", "doc_id", F.col("topic").alias("label"), F.col("iter").alias("version"))
+
+
+def models_of(replayed: DataFrame, kind: str = "model") -> DataFrame:
+    return replayed.where(F.col("kind") == kind).select("run_id", "iter", "particle", "topic", "word_id", "n")
 
 
 class FilterProcessor(StatefulProcessor):
-    """Keeps a run's filter between micro-batches: one state row a particle, so
-    that no single value grows with the number of particles."""
+    """Keeps a run's filter between micro-batches. One state value holds what is
+    small (K numbers a particle, and the ancestry of labels not settled), one a
+    particle its model, one a slot of the reservoir its document, one a document
+    its label while particles differ on it; so no value grows with the stream."""
+
+    PARTS = ("particles", "slots", "waiting", "labels")
 
     def __init__(self, params: dict, vocab_size: int):
         self.params, self.vocab_size = params, vocab_size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rest = handle.getValueState("rest", StructType([StructField("bytes", BinaryType())]))
-        self.parts = handle.getMapState("parts", StructType([StructField("particle", IntegerType())]), StructType([StructField("bytes", BinaryType())]))
+        held, number, name = StructType([StructField("bytes", BinaryType())]), StructType([StructField("number", IntegerType())]), StructType([StructField("doc_id", LongType())])
+        self.small = handle.getValueState("small", held)
+        self.particles, self.slots, self.waiting = (handle.getMapState(x, number, held) for x in ("particles", "slots", "waiting"))
+        self.labels = handle.getMapState("labels", name, held)
+
+    def _restored(self) -> tuple[ParticleFilter, dict[int, int]]:
+        held = [{k[0]: bytes(v[0]) for k, v in state.iterator()} for state in (self.particles, self.slots, self.waiting)]
+        labels = {k[0]: bytes(v[0]) for k, v in self.labels.iterator()}
+        emitted = {d: pickle.loads(x)[2] for d, x in labels.items()}
+        return ParticleFilter.restored(bytes(self.small.get()[0]), *[[x[k] for k in sorted(x)] for x in held], labels), emitted
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ord")
-        if self.rest.exists():
-            held = {k[0]: v[0] for k, v in self.parts.iterator()}
-            pf = ParticleFilter.restored(bytes(self.rest.get()[0]), [bytes(held[k]) for k in sorted(held)])
-        else:
-            pf = ParticleFilter(self.params, self.vocab_size, int(batch["seed"].iloc[0]))
-        changed: set[int] = set()
-        for doc, category, words in zip(batch["doc_id"], batch["category"], batch["word_ids"], strict=True):
-            changed.update(pf.step(int(doc), str(category), [int(w) for w in words]))
-        rest, parts = pf.parts()
-        self.rest.update((rest,))
-        for k, part in enumerate(parts):
-            self.parts.updateValue((k,), (part,))
-        b, seen = pf.best(), pf.seen
-        yield pd.DataFrame([(key[0], d, int(pf.labels[d][b]), seen) for d in sorted(changed)], columns=["run_id", "doc_id", "label", "version"]).astype({"label": "int32"})
+        batch = pd.concat(list(rows)).sort_values(["ord", "doc_id"])
+        pf, emitted = self._restored() if self.small.exists() else (ParticleFilter(self.params, self.vocab_size, int(batch["seed"].iloc[0])), {})
+        before, was_waiting = set(emitted), len(pf.waiting)
+        for doc, words in zip(batch["doc_id"], batch["word_ids"], strict=True):
+            pf.step(int(doc), [int(w) for w in words])
+        now = pf.labels.of(pf.best(), list(pf.labels.open))
+        changed = {d: x for d, x in (now | pf.labels.settle()).items() if emitted.get(d) != x}
+        for k, part in enumerate(pf.particle_parts()):
+            self.particles.updateValue((k,), (part,))
+        for k in sorted(pf.moved):
+            self.slots.updateValue((k,), (pickle.dumps(pf.reservoir[k]),))
+        for k in range(was_waiting, len(pf.waiting)):
+            self.waiting.updateValue((k,), (pickle.dumps(pf.waiting[k]),))
+        for k in range(was_waiting if not pf.waiting else 0):
+            self.waiting.removeKey((k,))
+        for d, (version, given) in pf.labels.open.items():
+            if d in pf.labels.given or d in changed:
+                self.labels.updateValue((d,), (pickle.dumps((version, given, now[d])),))
+        for d in before - set(pf.labels.open):
+            self.labels.removeKey((d,))
+        self.small.update((pf.small(),))
+        yield pd.DataFrame([(key[0], d, x, pf.seen) for d, x in sorted(changed.items())], columns=["run_id", "doc_id", "label", "version"]).astype({"label": "int32"})
 
     def close(self) -> None:
         pass
@@ -308,9 +488,9 @@ class FilterProcessor(StatefulProcessor):
 
 def filter_stream(docs: DataFrame, params: dict, vocab_size: int) -> DataFrame:
     """LABELS updates of streamed documents (run_id, seed, ord, doc_id, category,
-    word_ids). A later version of a document's label replaces earlier ones. Needs
-    the RocksDB state store. Within a micro-batch documents go in the order of
-    ``ord``."""
+    word_ids): those of the best particle that are new or other than before, so
+    the latest ones are at any time what ``replay_all`` ends with. Needs the RocksDB
+    state store. Within a micro-batch documents go in the order of ``ord``."""
     return docs.groupBy("run_id").transformWithStateInPandas(statefulProcessor=FilterProcessor(params, vocab_size), outputStructType=LABELS, outputMode="Update", timeMode="None")
 
 
