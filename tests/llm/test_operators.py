@@ -139,29 +139,70 @@ def test_pruning_keeps_the_miss_probability():
 # 3: licenses
 
 
-def test_licenses(awkward, nothing, spark):
-    from topicloom.llm.licenses import TEMPLATES, scan_licenses
+def license_words(t):
+    return [w for w in re.split("[^a-z0-9]+", (t or "").lower()) if w]
 
-    def words(t):
-        return [w for w in re.split("[^a-z0-9]+", (t or "").lower()) if w]
 
-    def runs(t):
-        return {" ".join(t[i : i + 5]) for i in range(len(t) - 4)}
+def licenses_expected(rows):
+    """(doc_id, license, template) of texts that hold three quarters of a
+    template's shingles in one stretch of three of its size classes."""
+    from topicloom.llm.licenses import TEMPLATES
 
-    mit = TEMPLATES["mit"][1]
-    texts = {100: "intro words here " + mit + " and more", 101: " ".join(words(mit)[:18]) + " something else altogether", 102: "licensed"}
-    docs = awkward.select("doc_id", "text").union(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     want = set()
-    for r in docs.collect():
+    for doc, text in rows:
+        w = license_words(text)
+        at = defaultdict(list)
+        for i in range(len(w) - 4):
+            at[" ".join(w[i : i + 5])].append(i)
         for name, given in TEMPLATES.items():
             for k, t in enumerate(given):
-                s = runs(words(t))
-                if len(s & runs(words(r.text))) >= 0.75 * len(s):
-                    want.add((r.doc_id, name, k))
-    got = {(r.doc_id, r.license, r.template) for r in scan_licenses(docs).collect()}
-    assert got == want
-    assert {100, 13} <= {x[0] for x in got}
+                t = license_words(t)
+                s = {" ".join(t[i : i + 5]) for i in range(len(t) - 4)}
+                places = sorted(i for x in s for i in at[x])
+                reach = 1.5 * 2 ** int(np.ceil(np.log2(len(s))))
+                if any(len({" ".join(w[i : i + 5]) for i in places if p <= i < p + reach} & s) >= 0.75 * len(s) for p in places):
+                    want.add((doc, name, k))
+    return want
+
+
+def test_licenses(awkward, nothing, spark):
+    from topicloom.llm.licenses import MIT, scan_licenses
+
+    words = license_words(MIT)
+    texts = {100: "intro words here " + MIT + " and more", 101: " ".join(words[: len(words) * 8 // 10]) + " something else altogether", 102: "licensed", 103: " ".join(words[: len(words) // 2])}
+    rows = [(r.doc_id, r.text) for r in awkward.collect()] + list(texts.items())
+    docs = awkward.select("doc_id", "text").union(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    found = scan_licenses(docs).collect()
+    got = {(r.doc_id, r.license, r.template) for r in found}
+    assert got == licenses_expected(rows)
+    assert {100, 101, 13} <= {x[0] for x in got} and not {102, 103} & {x[0] for x in got}
+    whole = next(r for r in found if (r.doc_id, r.license, r.template) == (100, "mit", 1))
+    assert whole.containment == 1 and whole.first_word == 3 and whole.windows >= 1
+    assert next(r for r in found if (r.doc_id, r.license) == (101, "mit")).first_word == 0
     assert scan_licenses(nothing).count() == 0
+    # rows that repeat an id are read apart
+    twice = spark.createDataFrame([(1, MIT), (1, "nothing of the kind " * 60), (1, "Released under the MIT License")], "doc_id long, text string")
+    assert {(r.doc_id, r.license, r.template) for r in scan_licenses(twice).collect()} == {(1, "mit", 0), (1, "mit", 1)}
+
+
+def test_license_bands_miss_little(spark):
+    """Texts of all licenses with words changed, between other words: what the
+    bands retrieve against every stretch compared."""
+    from topicloom.llm.licenses import TEMPLATES, scan_licenses
+
+    rng = random.Random(7)
+    rows = []
+    for k in range(240):
+        name = rng.choice(sorted(TEMPLATES))
+        t = license_words(max(TEMPLATES[name], key=len))
+        for _ in range(rng.randint(0, max(1, len(t) // 18))):
+            t[rng.randrange(len(t))] = f"w{rng.random()}"[:6].replace(".", "")
+        around = [[f"x{rng.randrange(5000)}" for _ in range(rng.randint(0, 500))] for _ in "ab"]
+        rows.append((k, " ".join(around[0] + t + around[1])))
+    want = licenses_expected(rows)
+    got = {(r.doc_id, r.license, r.template) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(want) > 150
+    assert len(want - got) <= 0.01 * len(want)
 
 
 # 4: urls
