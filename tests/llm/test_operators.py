@@ -86,6 +86,66 @@ def test_token_orc(spark, awkward, nothing, scratch, tokenizers):
     assert digest(read_orc(spark, scratch.path("b"))).count() == 0
 
 
+def test_orc_prunes(spark, scratch, tokenizers):
+    """A written file has several stripes and row groups; statistics and the Bloom
+    filter on doc_id spare a reader nearly all of them."""
+    from pyarrow import orc
+
+    from topicloom.llm.tokens import read_orc, write_orc
+
+    n = 60_000
+    docs = spark.range(n).select((F.col("id") * 3).alias("doc_id"), F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(k))) for k in range(3)]).alias("text")).coalesce(1)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        write_orc(docs, scratch.path("many"), tokenizers["byte_bpe_50k.json"][0], 0, stripe_bytes=1 << 20, index_rows=1000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    import glob
+
+    files = glob.glob(f"{scratch.path('many').removeprefix('file:')}/*.orc")
+    stripes = sum(orc.ORCFile(f).nstripes for f in files)
+    assert stripes >= 3 and sum(orc.ORCFile(f).nrows for f in files) == n
+    raw = b"".join(open(f, "rb").read() for f in files)
+    jvm = spark._jvm
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(files[0]), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    footer = [reader.getStripes().get(k) for k in range(reader.getStripes().size())]
+    assert all(x.getIndexLength() > 0 for x in footer) and raw
+    stats = reader.getStripeStatistics()
+    ranges = [(stats.get(k).getColumnStatistics()[1].getMinimum(), stats.get(k).getColumnStatistics()[1].getMaximum()) for k in range(stats.size())]
+    assert all(a[1] < b[0] for a, b in zip(ranges[:-1], ranges[1:], strict=True))  # stripes hold ranges of ids
+
+    def rows_read(condition):
+        """Rows that leave the scan."""
+        df = spark.read.schema("doc_id bigint, ids array<int>").orc(scratch.path("many")).where(condition)
+        assert "PushedFilters: [" in df._jdf.queryExecution().explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        got = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        return got, plan
+
+    def scanned(condition):
+        spark.conf.set("spark.sql.orc.filterPushdown", "true")
+        df = spark.read.schema("doc_id bigint").orc(scratch.path("many")).where(condition)
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        # without pushing, the condition runs behind the scan; what the scan gives is what metadata left
+        plan = df._jdf.queryExecution().executedPlan()
+        df._jdf.queryExecution().toRdd().count()
+        leaves = plan.collectLeaves()
+        return leaves.apply(0).metrics().apply("numOutputRows").value()
+
+    one, _ = rows_read("doc_id = 90000")
+    assert len(one) == 1 and scanned("doc_id = 90000") <= 1000
+    assert scanned("doc_id = 90001") == 0  # within the range of a row group, but in no Bloom filter
+    assert scanned("doc_id between 30000 and 36000") <= 5000
+    assert scanned("doc_id >= 0") == n
+
+
 # 2: near duplicates
 
 
@@ -226,6 +286,25 @@ def test_urls(spark):
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string"), list(CONTRACT_RULES)).count() == 0
 
 
+def test_rules_without_tokens_and_rivals(spark):
+    """Rules without literal tokens are tried on every url; of unnamed rules that
+    fit, the first one counts."""
+    from topicloom.llm.urls import UrlRule, url_verdicts
+
+    rules = [UrlRule(r"\d{4}", (), "block"), UrlRule("beta", ("beta",), "allow"), UrlRule("alpha", ("alpha",), "block"), UrlRule("^[^/]*alpha", ("alpha",), "named", "alpha"), UrlRule("a.*z", (), "never", None)]
+    urls = ["http://x.y/2024", "http://x.y/beta/2024", "http://x.y/alpha/beta", "http://alpha/beta", "http://x.y/none", "http://alpha/z", None]
+    got = {r.url: (r.rule, r.verdict) for r in url_verdicts(spark.createDataFrame([(u,) for u in urls], "url string"), rules, default="open").collect()}
+
+    def judged(url):
+        m = re.search(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        at = fold(m[1]) + m[2] if m else ""
+        fit = [r for r in rules if re.search(r.pattern, at)]
+        best = max(fit, key=lambda r: (r.name is not None, len(r.name or ""), -rules.index(r)), default=None)
+        return (best.name, best.verdict) if best else (None, "open")
+
+    assert got == {u: judged(u) for u in urls} and {v for _, v in got.values()} == {"block", "allow", "named", "open"}
+
+
 # 5: lines
 
 
@@ -266,25 +345,24 @@ def lines_expected(rows, xxhash):
     return docs, out
 
 
-def test_lines(spark, awkward, nothing, scratch):
+@pytest.mark.parametrize("few_hashes", [False, True])
+def test_chunks(spark, awkward, nothing, scratch, monkeypatch, few_hashes):
+    """Chunks by the rolling rule; with hashes that say little, bytes decide alike."""
     xxhash = pytest.importorskip("xxhash")
+    from topicloom.llm import lines
     from topicloom.llm.common import Scratch
-    from topicloom.llm.lines import dedup_lines
 
+    if few_hashes:
+        monkeypatch.setattr(lines, "_pair", lambda column: [(F.length(column) % 7).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2")])
     extra = spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 1000).alias("doc_id"), "text")
     extra = extra.union(extra.limit(40).select(F.col("doc_id") + 5000, F.concat(F.lit("A new line in front\n"), "text")))
-    docs = awkward.select("doc_id", "text").union(extra)
-    before, want = lines_expected(docs.collect(), xxhash)
-    removed = 0
-    for r in dedup_lines(docs, scratch).collect():
-        text, gone = want[r.doc_id]
-        assert (r.text or "", r.removed_chunks) == (text, gone)
-        assert (r.text is None) == (before[r.doc_id] is None)
-        removed += gone
-    assert removed > 20
-    out = dedup_lines(awkward, Scratch(spark, "test"))
+    docs = awkward.dropDuplicates(["doc_id"]).select("doc_id", "text").union(extra)
+    _, want = lines_expected(docs.collect(), xxhash)
+    got = Counter(r.doc_id for r in lines.repeated_chunks(docs, scratch).collect())
+    assert got == Counter({d: gone for d, (_, gone) in want.items() if gone}) and sum(got.values()) > 20
+    out = lines.dedup_passages(awkward, Scratch(spark, "test"))
     assert out.count() == awkward.count() and set(awkward.columns) <= set(out.columns)
-    assert dedup_lines(nothing, Scratch(spark, "test")).count() == 0
+    assert lines.dedup_passages(nothing, Scratch(spark, "test")).count() == 0
 
 
 def passages_expected(rows, min_lines=2, min_chars=80):
@@ -680,6 +758,23 @@ def test_neighbours_share_a_shard(spark, scratch, tokenizers):
     assert np.mean([shard[int(score[k].argmax())] == shard[k] for k in range(240)]) > 0.8
 
 
+def test_packed_neighbours_score_above_random(spark, scratch, tokenizers):
+    """Documents that share a window are more alike than documents at random."""
+    from topicloom.llm.packing import pack
+
+    path, library = tokenizers["word_bpe_49k.json"]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 400 and 3000").orderBy("doc_id").limit(240).collect()]
+    ids = [[*library.encode(t, add_special_tokens=False).ids, 1] for _, t in rows]
+    score = bm25(ids)
+    np.fill_diagonal(score, np.nan)
+    at = {d: k for k, (d, _) in enumerate(rows)}
+    packed = defaultdict(list)
+    for r in pack(spark.createDataFrame(rows, "doc_id long, text string"), scratch, path, shard_tokens=sum(map(len, ids)) // 5).collect():
+        packed[r.sequence_id].append((r.offset, at[r.doc_id]))
+    together = [score[a, b] for x in packed.values() for (_, a), *rest in [sorted(x)] for _, b in rest if a != b]
+    assert len(together) > 50 and np.mean(together) > 1.5 * np.nanmean(score)
+
+
 def test_all_terms_of_a_seed_count(spark, scratch, tokenizers):
     """A neighbour that shares none of the seed's rarest words is found."""
     from topicloom.llm.packing import Index, pack
@@ -802,11 +897,48 @@ def test_pipeline_stages_by_brute_force(spark, scratch, tokenizers):
     assert all(covered[k] == Counter(dict.fromkeys(range(len(x)), copies[k])) for k, x in ids.items())
 
 
+def test_rows_that_repeat_an_id(spark, scratch):
+    """Each row is a document: nothing unique goes, nothing crashes."""
+    from topicloom.llm.common import Scratch
+    from topicloom.llm.lines import dedup_passages
+    from topicloom.llm.mixing import expand, mix_sources
+    from topicloom.llm.near import near_duplicates
+    from topicloom.llm.suffix import dedup_bytes
+
+    rng = random.Random(4)
+
+    def prose(n, sep=" "):
+        return sep.join(" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(12)) for _ in range(n))
+
+    def table(*rows):
+        return spark.createDataFrame(list(rows), "doc_id long, text string")
+
+    a, b = prose(20), prose(20)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_duplicates(table((0, a), (1, a), (1, b)), scratch).collect())
+    assert got == Counter([(0, 0, True), (1, 0, False), (1, 1, True)])
+
+    x, y = prose(20, "\n"), prose(20, "\n")
+    kept = {r.text for r in dedup_passages(table((0, x), (1, x), (1, y)), Scratch(spark, "test")).collect()}
+    assert kept == {x, "", y}
+
+    long = prose(30)
+    for rows in (((0, long), (1, long + " " + long), (1, "short")), ((0, long), (1, long + " " + long), (1, b))):
+        want = [long, rows[2][1]]
+        held = sorted((bytes(r.kept).decode() for r in dedup_bytes(table(*rows), Scratch(spark, "test")).collect()), key=len)
+        assert all(w in held for w in want) and len(held) == 3 and len(held[0]) <= 6
+
+    docs = spark.createDataFrame([(1, a, "s"), (1, b, "s"), (1, a, "t"), (2, prose(3), "t"), (3, a, "s"), (3, a, "s"), (None, b, "t"), (None, b, "t"), (None, a, None)], "doc_id long, text string, source string")
+    mixed = mix_sources(docs, Scratch(spark, "test"), max_repeats=5.0)
+    out = expand(docs, mixed, Scratch(spark, "test"))
+    assert mixed.count() == 9 and out.count() == mixed.agg(F.sum("copies")).first()[0]
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in docs.collect()}
+
+
 def test_null_ids(spark, awkward, tokenizers):
     """Rows without an id crash nothing and keep their place in the results."""
     from topicloom.llm.common import Scratch
     from topicloom.llm.licenses import scan_licenses
-    from topicloom.llm.lines import dedup_lines
+    from topicloom.llm.lines import dedup_passages
     from topicloom.llm.mixing import mix_sources
     from topicloom.llm.near import near_duplicates
     from topicloom.llm.packing import pack
@@ -821,7 +953,7 @@ def test_null_ids(spark, awkward, tokenizers):
     write_orc(docs, scratch.path("t"), tokenizers["byte_bpe_50k.json"][0], 0)
     assert digest(read_orc(spark, scratch.path("t"))).count() == n
     assert near_duplicates(docs, Scratch(spark, "test")).count() == n
-    assert dedup_lines(docs, Scratch(spark, "test")).count() == n
+    assert dedup_passages(docs, Scratch(spark, "test")).count() == n
     assert mix_sources(docs, Scratch(spark, "test")).count() == n
     assert quality_rules(docs, spark.read.parquet(f"{SF}/labels.parquet"), Scratch(spark, "test")).count() == n
     assert dedup_bytes(docs, Scratch(spark, "test")).count() == n

@@ -1,18 +1,20 @@
-"""Line dedup: of whole content-defined chunks, or of every repeated passage.
+"""Line dedup by content-defined chunks of lines.
 
 A rolling hash over the hashes of neighbouring lines chooses where chunks end,
 so an inserted line moves only the chunks beside it. Chunks of several lines
 that occur more than once anywhere keep their first occurrence; a repeat counts
 only if its bytes are equal.
 
-Passages need no boundary inside them: from each line on, and up to each line,
-the shortest run that is long enough is keyed. Any repeated run is covered by
-those runs within it, so what goes does not depend on where chunks end.
+A repeated passage may begin or end within a chunk, or hold no whole one. What
+boundaries cut off so is found by its runs of lines: from each line on, and up
+to each line, outside the chunks that are already gone, the shortest run that is
+long enough is keyed. Any repeated run is covered by those runs within it, so
+what goes does not depend on where chunks end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.common import Scratch, chunks, prefix_hash, range_hash
+from topicloom.llm.common import Scratch, chunks, prefix_hash, range_hash, row_keys
 
 WINDOW, DIVISOR, MIN_LINES, MIN_CHARS = 2, 3, 2, 80
 
@@ -49,67 +51,49 @@ def _numbers():
 
 
 def line_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, with_text: bool = False) -> DataFrame:
-    """Chunks that may be removed: (doc_id, k, h1, h2[, chunk])."""
+    """Chunks that may be removed: (doc_id, k, b, n, h1, h2[, chunk]), with their
+    number, first line and number of lines."""
 
     def build(k):
         begin, n = _chunk(k)
-        return F.struct(k.alias("k"), n.alias("n"), F.array_join(F.slice("__l_lines", begin + 1, n), "\n").alias("chunk"))
+        return F.struct(k.alias("k"), begin.alias("b"), n.alias("n"), F.array_join(F.slice("__l_lines", begin + 1, n), "\n").alias("chunk"))
 
     rows = _with_chunks(docs.select("doc_id", "text"), window, divisor).select("doc_id", F.explode(F.transform(_numbers(), build)).alias("c"))
-    rows = rows.select("doc_id", "c.k", "c.n", "c.chunk").where((F.col("n") >= min_lines) & (F.length("chunk") >= min_chars))
-    return rows.select("doc_id", "k", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(17), F.col("chunk"), F.length("chunk")).alias("h2"), *(["chunk"] if with_text else []))
+    rows = rows.select("doc_id", "c.k", "c.b", "c.n", "c.chunk").where((F.col("n") >= min_lines) & (F.length("chunk") >= min_chars))
+    return rows.select("doc_id", "k", "b", "n", *_pair("chunk"), *(["chunk"] if with_text else []))
+
+
+def _pair(column: str) -> list[F.Column]:
+    """128 bits of a text."""
+    return [F.xxhash64(column).alias("h1"), F.xxhash64(F.lit(17), F.col(column), F.length(column)).alias("h2")]
+
+
+def _later(spots: DataFrame, texts: Callable[[DataFrame], DataFrame], place: F.Column, scratch: Scratch, name: str) -> DataFrame:
+    """Of spots (h1, h2, ...), those equal in bytes to an earlier one by ``place``.
+    ``texts(asked)`` gives spots of the asked (h1, h2) with their bytes as ``own``.
+    Unequal bytes of one hash are told apart; map tasks keep one row of equal ones."""
+    keys = ["h1", "h2"]
+    again = scratch.keep(spots.groupBy(*keys).agg(F.count("*").alias("held")).where("held > 1").select(*keys), f"{name}_again")
+    kinds = texts(again).groupBy(*keys, "own").agg(F.min(place).alias("first"), F.count("*").alias("held"))
+    kinds = scratch.keep(kinds, f"{name}_kinds")
+    by_hash = kinds.groupBy(*keys).agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.max("held").alias("held"))
+    by_hash = scratch.keep(by_hash, f"{name}_hashes")
+    one = by_hash.where("kinds = 1 and held > 1").select(*keys, "first")
+    out = spots.join(one, keys).where(place > F.col("first")).drop("first", *keys)
+    if (mixed := by_hash.where("kinds > 1").select(*keys)).limit(1).count():  # unequal bytes of one hash
+        out = out.union(texts(mixed).join(kinds.where("held > 1").select(*keys, "own", "first"), [*keys, "own"]).where(place > F.col("first")).select(*out.columns))
+    return out
 
 
 def repeated_chunks(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
-    """(doc_id, k) of every chunk that is equal in bytes to an earlier one, by
-    (doc_id, k)."""
+    """(doc_id, k, b, n) of every chunk that is equal in bytes to an earlier one,
+    by (doc_id, k), of documents with unique ids."""
     spots = scratch.keep(line_chunks(docs, **how), "spots")
-    again = spots.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    texts = line_chunks(docs, with_text=True, **how).join(again, ["h1", "h2"], "left_semi")
-    # equal bytes meet in one group; partial sums shrink a chunk that many rows hold before it moves
-    variants = scratch.keep(texts.groupBy("h1", "h2", "chunk").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n")), "variants")
-    hashes = variants.groupBy("h1", "h2").agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.max("n").alias("n"))
-    one = hashes.where("kinds = 1 and n > 1").select("h1", "h2", "first")
-    out = spots.join(one, ["h1", "h2"]).where(F.struct("doc_id", "k") > F.col("first")).select("doc_id", "k")
-    if hashes.where("kinds > 1").limit(1).count():  # unequal chunks of one hash: by their bytes
-        mixed = hashes.where("kinds > 1").select("h1", "h2")
-        whole = line_chunks(docs, with_text=True, **how).join(mixed, ["h1", "h2"], "left_semi")
-        out = out.union(whole.join(variants.where("n > 1").select("h1", "h2", "chunk", "first"), ["h1", "h2", "chunk"]).where(F.struct("doc_id", "k") > F.col("first")).select("doc_id", "k"))
-    return out
-
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with repeated chunks cut out of ``text``, and the columns
-    n_lines, n_chunks, removed_chunks and removed_lines.
+    def texts(asked: DataFrame) -> DataFrame:
+        return line_chunks(docs, with_text=True, **how).withColumnRenamed("chunk", "own").join(asked, ["h1", "h2"], "left_semi")
 
-    The occurrence with the smallest (doc_id, place) stays. Rows that repeat a
-    doc_id count as one document. Null texts stay null, with no lines; a
-    document that loses all its lines stays with an empty text; an empty table
-    gives an empty result. Columns of docs with the added names are replaced.
-    """
-    how = {"window": window, "divisor": divisor, "min_lines": min_lines, "min_chars": min_chars}
-    gone = repeated_chunks(docs, scratch, **how).groupBy("doc_id").agg(F.collect_set("k").alias("__l_gone"))
-    added = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    rows = docs.drop(*added).join(gone, "doc_id", "left").select(*[c for c in docs.columns if c not in added], "__l_gone")
-    cut = _with_chunks(rows, window, divisor)
-
-    def lines_of(k):
-        begin, n = _chunk(k)
-        return F.slice("__l_lines", begin + 1, n)
-
-    left = F.flatten(F.transform(F.array_except(_numbers(), "__l_gone"), lines_of))
-    cut = cut.withColumn("__l_left", F.when(F.col("__l_gone").isNotNull(), left))
-    empty = F.col("text").isNull()
-    kept = F.when(F.col("__l_gone").isNull(), F.col("text")).otherwise(F.array_join("__l_left", "\n"))
-    n_lines = F.when(empty, 0).otherwise(F.size("__l_lines"))
-    names = [c for c in docs.columns if c not in added]
-    return cut.select(
-        *[kept.alias("text") if c == "text" else F.col(c) for c in names],
-        n_lines.cast("long").alias("n_lines"),
-        F.when(empty, 0).otherwise(F.size("__l_ends")).cast("long").alias("n_chunks"),
-        F.when(F.col("__l_gone").isNull(), 0).otherwise(F.size("__l_gone")).cast("long").alias("removed_chunks"),
-        F.when(F.col("__l_gone").isNull(), 0).otherwise(F.size("__l_lines") - F.size("__l_left")).cast("long").alias("removed_lines"),
-    )
+    return _later(spots, texts, F.struct("doc_id", "k"), scratch, "chunks")
 
 
 def shortest_runs(raw: np.ndarray, at: np.ndarray, min_lines: int, min_chars: int) -> tuple[np.ndarray, ...]:
@@ -137,34 +121,40 @@ def shortest_runs(raw: np.ndarray, at: np.ndarray, min_lines: int, min_chars: in
     return owner[a], a - first[owner[a]], b - a + 1, start[a], end[b]
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, __l_text, __l_gone): the numbers of the lines of each text, by its
-    hash, that lie in a run which is equal in bytes to an earlier one."""
-    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("__l_text", "b", "n", "h1", "h2"))])
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("__l_text"), F.col("text").alias("_text"))
+def repeated_runs(docs: DataFrame, gone: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, b, n) of runs of lines that are equal in bytes to an earlier one,
+    of documents with unique ids. Runs within one of the chunks ``gone`` (doc_id,
+    cut: [(b, n)]) are left out: their first occurrence stands elsewhere."""
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("b", "n", "h1", "h2"))])
+    keyed = docs.select("doc_id", F.col("text").alias("_text"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, at in chunks(batches, "_text"):
             doc, b, n, start, end = shortest_runs(raw, at, min_lines, min_chars)
+            breaks = np.concatenate(([0], np.cumsum(raw == 10)))
+            first = breaks[at] + np.arange(len(at))  # of each document, among all lines of the block
+            chunk = np.full(first[-1], -1)
+            for k, cut in enumerate(rows.column(2).to_pylist()):
+                for j, x in enumerate(cut or ()):
+                    chunk[first[k] + x["b"] : first[k] + x["b"] + x["n"]] = j
+            head, last = chunk[first[doc] + b], chunk[first[doc] + b + n - 1]
+            use = (head < 0) | (head != last)
+            doc, b, n, start, end = (x[use] for x in (doc, b, n, start, end))
             hashes = [range_hash(prefix_hash(raw, lane=k), start, end).view(np.int64) for k in (0, 1)]
-            own = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(own), rows.column(1).take(own), *map(pa.array, (b, n, *hashes))], names=kind.names)
-
-    place = F.struct("doc_id", "__l_text", "b")
-    spots = scratch.keep(keyed.mapInArrow(kernel, kind), "runs")
-    again = spots.groupBy("h1", "h2").agg(F.count("*").alias("held"), F.min(place).alias("first")).where("held > 1").drop("held")
-    marked = scratch.keep(spots.join(again, ["h1", "h2"]), "marked")
-    # only texts that hold a repeated run move, and of those only such runs
-    asked = marked.groupBy(F.col("doc_id").alias("__l_id"), F.col("__l_text").alias("__l_of")).agg(F.collect_set(F.struct("b", "n", "h1", "h2")).alias("asked"))
-    held = keyed.join(asked, F.col("doc_id").eqNullSafe(F.col("__l_id")) & (F.col("__l_text") == F.col("__l_of"))).withColumn("lines", F.split("_text", "\n", -1))
-    texts = held.select("doc_id", "__l_text", F.explode(F.transform("asked", lambda x: F.struct(x["b"].alias("b"), x["n"].alias("n"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.array_join(F.slice("lines", (x["b"] + 1).cast("int"), x["n"].cast("int")), "\n").alias("run")))).alias("x")).select("doc_id", "__l_text", "x.*")
-    mixed = scratch.keep(texts.groupBy("h1", "h2", "run").agg(F.count("*").alias("held")).groupBy("h1", "h2").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h1", "h2"), "mixed")
-    gone = marked
-    if mixed.limit(1).count():  # unequal runs of one hash: by their bytes
-        unequal = texts.join(mixed, ["h1", "h2"], "left_semi")
-        gone = marked.join(mixed, ["h1", "h2"], "left_anti").unionByName(unequal.join(unequal.groupBy("h1", "h2", "run").agg(F.min(place).alias("first")), ["h1", "h2", "run"]).drop("run"))
-    number = F.explode(F.sequence(F.col("b").cast("int"), (F.col("b") + F.col("n") - 1).cast("int")))
-    return gone.where(place > F.col("first")).select("doc_id", "__l_text", number.alias("line")).groupBy("doc_id", "__l_text").agg(F.collect_set("line").alias("__l_gone"))
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc)), *map(pa.array, (b, n, *hashes))], names=kind.names)
+
+    # one kind of join at every size: texts move once
+    left = keyed.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "_text", "cut")
+    spots = scratch.keep(left.mapInArrow(kernel, kind), "runs")
+
+    def texts(asked: DataFrame) -> DataFrame:
+        """Only texts that hold an asked run move, and of those only such runs."""
+        wanted = spots.join(asked, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("b", "n", "h1", "h2")).alias("asked"))
+        held = keyed.join(wanted.hint("merge"), "doc_id").withColumn("lines", F.split("_text", "\n", -1))
+        cut = F.transform("asked", lambda x: F.struct(x["b"].alias("b"), x["n"].alias("n"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.array_join(F.slice("lines", (x["b"] + 1).cast("int"), x["n"].cast("int")), "\n").alias("own")))
+        return held.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
+
+    return _later(spots, texts, F.struct("doc_id", "b"), scratch, "runs")
 
 
 def dedup_passages(docs: DataFrame, scratch: Scratch, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -173,15 +163,24 @@ def dedup_passages(docs: DataFrame, scratch: Scratch, window: int = WINDOW, divi
     columns n_lines, n_chunks, removed_chunks (those that lost all their lines)
     and removed_lines.
 
-    Whatever ``dedup_lines`` removes goes too, wherever chunks end. Rows that
-    repeat a doc_id and text count as one document. Null texts stay null, with no
-    lines; a document that loses all its lines stays with an empty text; an empty
-    table gives an empty result. Columns of docs with the added names are replaced.
+    Repeated chunks go first, then the runs that chunk ends cut off. Each row is a
+    document: rows that repeat a doc_id go by the hash of their texts, rows
+    without one come after all others. Null texts stay null, with no lines; a
+    document that loses all its lines stays with an empty text; an empty table
+    gives an empty result. Columns of docs with the added names are replaced.
     """
     added = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
     names = [c for c in docs.columns if c not in added]
-    gone = repeated_lines(docs, scratch, min_lines, min_chars).select(F.col("doc_id").alias("__l_id"), F.col("__l_text").alias("__l_of"), "__l_gone")
-    rows = docs.select(*names).join(gone, F.col("doc_id").eqNullSafe(F.col("__l_id")) & (F.xxhash64("text") == F.col("__l_of")), "left").drop("__l_id", "__l_of")
+    rows, _ = row_keys(docs.select(*names), scratch)
+    whole = rows.select(F.col("__row").alias("doc_id"), "text")
+    again = scratch.keep(repeated_chunks(whole, scratch, window=window, divisor=divisor, min_lines=min_lines, min_chars=min_chars), "chunks_gone")
+    cut = scratch.keep(again.groupBy("doc_id").agg(F.collect_list(F.struct("b", "n")).alias("cut")), "cut")
+    runs = repeated_runs(whole, cut, scratch, min_lines, min_chars)
+    ranges = again.select("doc_id", F.col("b").cast("long").alias("b"), F.col("n").cast("long").alias("n")).union(runs.select("doc_id", "b", "n"))
+    number = F.explode(F.sequence(F.col("b").cast("int"), (F.col("b") + F.col("n") - 1).cast("int")))
+    gone = scratch.keep(ranges.select(F.col("doc_id").alias("__l_row"), number.alias("line")).groupBy("__l_row").agg(F.collect_set("line").alias("__l_gone")), "lines_gone")
+    scratch.drop("spots", "runs", "cut", "chunks_gone", *(f"{x}_{y}" for x in ("chunks", "runs") for y in ("again", "kinds", "hashes")))
+    rows = rows.join(gone, F.col("__row") == F.col("__l_row"), "left").drop("__l_row", "__row")
     cut = _with_chunks(rows, window, divisor)
     of_line = F.flatten(F.transform(_numbers(), lambda k: F.array_repeat(k, _chunk(k)[1])))
     cut = cut.withColumn("__l_left", F.when(F.col("__l_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__l_lines") - 1), "__l_gone"))).withColumn("__l_of_line", F.when(F.col("__l_gone").isNotNull(), of_line))
