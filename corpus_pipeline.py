@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 what a stage returns and gives it to the next one. All but the last return the
-columns of documents.
+columns of documents; further columns are not read and not kept. In all stages a
+row is a document, also where its doc_id is null or repeated, and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ def _without(rows: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base rules and the forest, as they are. Null, empty and
+    short texts go; rows that repeat a doc_id are judged one by one, each with the
+    labels of that id; without labels the base rules alone decide."""
     scratch = Scratch(spark, "quality")
     rows, other = row_keys(docs.select(*COLUMNS), scratch)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -42,22 +47,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, without the lines of passages that an earlier row holds (by
+    doc_id, then text; those without an id come last). n_chars follows a text that
+    lost lines. A null text stays null; one that loses all its lines stays empty."""
     rows = dedup_passages(docs.select(*COLUMNS), Scratch(spark, "lines"))
     return rows.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first row of each group of near copies, by doc_id, then text; those
+    without an id come last. Rows without words, and null texts, all stay; of a row
+    that is repeated one stays."""
     scratch = Scratch(spark, "near")
     rows, _ = row_keys(docs.select(*COLUMNS), scratch)
     return _without(rows, near_duplicates(_judged(rows), scratch).where(~F.col("kept")), scratch)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, those of small sources more than once. A null source is one;
+    null and empty texts, and rows of sources without words, come once."""
     scratch = Scratch(spark, "mixing")
     return expand(docs.select(*COLUMNS), mix_sources(docs, scratch), scratch)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row, repeated ones too, in sequences of 2048 tokens. A
+    null or empty text is its end id alone."""
     import public_tokenizers
 
     return pack(docs, Scratch(spark, "packing"), public_tokenizers.path("word_bpe_49k.json"))
