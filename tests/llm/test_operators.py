@@ -853,6 +853,46 @@ def test_pipeline_rows_without_unique_ids(spark):
     assert near == Counter([(1, a), (2, b), (3, c), (None, d)])
 
 
+def test_pipeline_stages_on_awkward_rows(spark, awkward, nothing, tokenizers):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns, and
+    nothing at all, through each stage."""
+    import corpus_pipeline
+
+    library = tokenizers["word_bpe_49k.json"][1]
+    stages, columns = dict(corpus_pipeline.STAGES), corpus_pipeline.COLUMNS
+    docs = awkward.union(awkward.where("doc_id in (2, 6)").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+
+    def after(name):
+        out = stages[name](spark, docs, SF)
+        assert out.columns == columns
+        return out.collect()
+
+    stats = [stats_expected(t) for _, t, _ in rows]
+    good = Counter((d, t) for (d, t, _), s in zip(rows, stats, strict=True) if s[0] >= 20 and 100 * s[4] <= 30 * s[0])
+    kept = Counter((r.doc_id, r.text) for r in after("quality"))
+    assert not kept - good and kept[6, rows[6][1]] == 1
+
+    texts = after("lines")
+    assert len(texts) == len(rows) and sum(r.text is None for r in texts) == sum(t is None for _, t, _ in rows)
+    assert all(r.n_chars == len(r.text or "") for r in texts)
+
+    near = after("near")
+    wordless = [t for _, t, _ in rows if not WORD.search(t or "")]
+    assert sorted(map(str, (r.text for r in near if not WORD.search(r.text or "")))) == sorted(map(str, wordless))
+    sets = [shingles(t) for _, t, _ in rows if WORD.search(t or "")]
+    assert len([r for r in near if WORD.search(r.text or "")]) == len({min(k for k, y in enumerate(sets) if 100 * len(x & y) >= 75 * len(x | y)) for x in sets})
+
+    mixed = Counter((r.doc_id, r.text, r.source) for r in after("mixing"))
+    assert all(mixed[x] >= n for x, n in Counter(rows).items()) and set(mixed) == set(rows)
+    assert all(mixed[x] == n for x, n in Counter(rows).items() if not WORD.search(x[1] or ""))
+
+    pieces = stages["packing"](spark, docs, SF).collect()
+    assert sum(r.length for r in pieces) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _ in rows)
+    for name in stages:
+        assert stages[name](spark, nothing, SF).count() == 0
+
+
 def test_pipeline_stages_by_brute_force(spark, scratch, tokenizers):
     import corpus_pipeline
 
