@@ -885,7 +885,6 @@ def test_pipeline_stages_on_awkward_rows(spark, awkward, nothing, tokenizers):
 
     mixed = Counter((r.doc_id, r.text, r.source) for r in after("mixing"))
     assert all(mixed[x] >= n for x, n in Counter(rows).items()) and set(mixed) == set(rows)
-    assert all(mixed[x] == n for x, n in Counter(rows).items() if not WORD.search(x[1] or ""))
 
     pieces = stages["packing"](spark, docs, SF).collect()
     assert sum(r.length for r in pieces) == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _ in rows)

@@ -79,8 +79,8 @@ def mix_sources(docs: DataFrame, scratch: Scratch, entropy_gain: float = 0.5, ma
     the part pass takes documents in permuted order up to its token budget, so
     at most one document a source goes over. No source gets less than one pass.
     A null source is a source; rows without an id are permuted by their texts;
-    null and empty texts have no tokens and one copy, as has every document of a
-    source without tokens. Rows that repeat a doc_id get copies each, in the order
+    null and empty texts have no tokens, and come as often as others of their
+    source; every document of a source without tokens has one copy. Rows that repeat a doc_id get copies each, in the order
     of their sizes. Words are counted once and written. Extra columns are not
     read, and an empty table gives an empty result.
     """
