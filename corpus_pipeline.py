@@ -64,8 +64,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row, those of small sources more than once. A null source is one;
-    null and empty texts, and rows of sources without words, come once."""
+    """Every row, those of small sources more than once, null and empty texts
+    among them. A null source is a source; rows of one without words come once."""
     scratch = Scratch(spark, "mixing")
     return expand(docs.select(*COLUMNS), mix_sources(docs, scratch), scratch)
 
