@@ -740,8 +740,27 @@ def bm25(ids):
     return out
 
 
+def test_dealing_in_two_levels():
+    """More shards than a level has centres: alike vectors still meet."""
+    from topicloom.llm import packing
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(300, packing.DIMENSIONS))
+    x = (base[rng.integers(0, 300, 6000)] + 0.3 * rng.normal(size=(6000, packing.DIMENSIONS))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    was, packing.CENTRES = packing.CENTRES, 16
+    try:
+        deal = packing.Dealer(x[:3000], np.ones(3000), 100)
+    finally:
+        packing.CENTRES = was
+    of = deal(x)
+    assert [len(p) for _, p in deal.levels] == [16, 7] and 60 < len(np.unique(of)) <= 112
+    near = (x @ x.T - 2 * np.eye(6000)).argmax(1)
+    assert (of == of[near]).mean() > 0.5 and np.bincount(of).max() < 1200
+
+
 def test_neighbours_share_a_shard(spark, scratch, tokenizers):
-    from topicloom.llm.packing import pack
+    from topicloom.llm.packing import NUMBER_BITS, pack
 
     path, library = tokenizers["word_bpe_49k.json"]
     rng = random.Random(8)
@@ -753,7 +772,7 @@ def test_neighbours_share_a_shard(spark, scratch, tokenizers):
     score = bm25(ids)
     np.fill_diagonal(score, -1)
     rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), scratch, path, shard_tokens=sum(map(len, ids)) // 8).collect()
-    shard = {r.doc_id: (r.sequence_id - (1 << 62)) >> 32 for r in rows}
+    shard = {r.doc_id: (r.sequence_id - (1 << 62)) >> NUMBER_BITS for r in rows}
     assert len(set(shard.values())) >= 4
     assert np.mean([shard[int(score[k].argmax())] == shard[k] for k in range(240)]) > 0.8
 

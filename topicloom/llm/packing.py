@@ -20,14 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import Scratch
+from topicloom.llm.common import Scratch, salted
 from topicloom.llm.tokens import encoded, encoder_for
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 K1, B = 1.2, 0.75
 _FIRST = np.ones(1, bool)
-#: Of content vectors: their dimensions, and how many shards are fitted on, at least and for each shard.
-DIMENSIONS, SAMPLE, SAMPLE_EACH = 128, 20_000, 16
+#: Of content vectors: their dimensions, how many of them a token has, how many at most shards are fitted on, and how many centres at most a level has.
+DIMENSIONS, SPARSE, SAMPLE, CENTRES = 128, 8, 20_000, 1024
+#: Of a sequence_id in a shard: the bits of its number there, and of the part of a crowded shard.
+NUMBER_BITS, PART_BITS = 22, 20
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
@@ -94,21 +96,30 @@ def document_frequency(counts: DataFrame) -> DataFrame:
     return counts.select("ids").mapInArrow(kernel, "id bigint, df bigint").groupBy("id").agg(F.sum("df").alias("df"))
 
 
+def _terms(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The telling terms of a rest, and how often each occurs."""
+    ids = np.sort(ids, kind="stable")
+    at = np.flatnonzero(np.concatenate((_FIRST, ids[1:] != ids[:-1])))
+    t, n = ids[at], np.diff(np.append(at, len(ids)))
+    keep = idf[t] > 0
+    return t[keep], n[keep]
+
+
 @functools.cache
-def _directions(n: int) -> np.ndarray:
-    """A random direction for each token id."""
-    return np.random.default_rng(11).normal(size=(n, DIMENSIONS)).astype(np.float32)
+def _directions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A sparse random direction for each token id: SPARSE dimensions, and their signs."""
+    rng = np.random.default_rng(11)
+    return rng.integers(0, DIMENSIONS, (n, SPARSE)), rng.choice(np.array([-1, 1], np.float32), (n, SPARSE))
 
 
 def content_vectors(docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> np.ndarray:
     """BM25 weights of each rest, projected to unit vectors; zero if no term tells."""
     out = np.zeros((len(docs), DIMENSIONS), np.float32)
+    where, sign = _directions(len(idf))
     for k, ids in enumerate(docs):
-        t, n = np.unique(ids, return_counts=True)
-        keep = idf[t] > 0
-        t, n = t[keep], n[keep]
+        t, n = _terms(ids, idf)
         weight = idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ids) / mean_length))
-        out[k] = weight.astype(np.float32) @ _directions(len(idf))[t]
+        out[k] = np.bincount(where[t].ravel(), (sign[t] * weight.astype(np.float32)[:, None]).ravel(), DIMENSIONS)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -134,40 +145,64 @@ def fit_centres(vectors: np.ndarray, load: np.ndarray, k: int, rounds: int = 30)
     return centres, price
 
 
+class Dealer:
+    """Deals content vectors to about ``shards`` groups: by the nearest of up to
+    CENTRES centres, and by the nearest of as many again, for what is left of a
+    vector across its centre, as further groups need. Both levels are fitted on
+    one bounded sample, and both are small whatever the corpus is."""
+
+    def __init__(self, vectors: np.ndarray, load: np.ndarray, shards: int):
+        first = min(shards, CENTRES)
+        self.levels = [fit_centres(vectors, load, first)]
+        if shards > first:
+            rest = self._rest(vectors, nearest(vectors, *self.levels[0]))
+            self.levels.append(fit_centres(rest, load, min(-(-shards // first), CENTRES)))
+
+    def _rest(self, vectors: np.ndarray, of: np.ndarray) -> np.ndarray:
+        centre = self.levels[0][0][of]
+        rest = vectors - (vectors * centre).sum(1, keepdims=True) * centre
+        return rest / np.maximum(np.linalg.norm(rest, axis=1, keepdims=True), 1e-9)
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        of = nearest(vectors, *self.levels[0])
+        if len(self.levels) == 1:
+            return of
+        return of * len(self.levels[1][1]) + nearest(self._rest(vectors, of), *self.levels[1])
+
+
 def deal_by_content(tails: DataFrame, scratch: Scratch, sent, rests: int, count: int, shard_tokens: int, kind: np.dtype) -> DataFrame:
-    """tails (doc_id, start, n_tokens, salt, ids) with their ``shard``: the nearest
-    of about rests / shard_tokens centres, fitted on a sample. A centre whose rests
+    """tails (doc_id, start, n_tokens, salt, ids) with their ``shard``, one of
+    about rests / shard_tokens by content, and its ``part``: a shard whose rests
     come to more than twice shard_tokens (copies, mostly) is split by salt."""
     spark, shards = tails.sparkSession, max(1, -(-rests // shard_tokens))
-    if shards == 1:
-        return tails.withColumn("shard", F.lit(0))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = [np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in docs], pa.int64()), pa.array([x.tobytes() for x in content_vectors(docs, *sent.value)], pa.binary())], names=["load", "vector"])
 
-    share = max(SAMPLE, SAMPLE_EACH * shards) / count
-    sample = tails if share >= 1 else tails.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "n_tokens"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = sorted(tuple(r) for r in sample.mapInArrow(vectors, "load bigint, vector binary").collect())
+    share = 0.9 * SAMPLE / count
+    sample = tails if count <= SAMPLE else tails.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", "n_tokens"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # the threshold bounds the sample, unless very many rows are alike; then the limit does
+    rows = sorted(tuple(r) for r in sample.mapInArrow(vectors, "load bigint, vector binary").limit(SAMPLE).coalesce(1).collect()) if shards > 1 else []
     if not rows:
         rows = [(1, np.zeros(DIMENSIONS, np.float32).tobytes())]
-    fitted = spark.sparkContext.broadcast(fit_centres(np.stack([np.frombuffer(r[1], np.float32) for r in rows]), np.array([r[0] for r in rows], float), shards))
+    fitted = spark.sparkContext.broadcast(Dealer(np.stack([np.frombuffer(r[1], np.float32) for r in rows]), np.array([r[0] for r in rows], float), shards))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = nearest(content_vectors([np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")], *sent.value), *fitted.value)
-            yield batch.append_column("shard", pa.array(of, pa.int32()))
+            if shards == 1:
+                of = np.zeros(batch.num_rows)
+            else:
+                of = fitted.value(content_vectors([np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")], *sent.value))
+            yield batch.append_column("shard", pa.array(of.astype(np.int32)))
 
     dealt = scratch.keep(tails.mapInArrow(kernel, "doc_id bigint, start bigint, n_tokens bigint, salt bigint, ids binary, shard int"), "dealt")
-    split, base = [], shards
-    for r in dealt.groupBy("shard").agg(F.sum(F.col("n_tokens") - F.col("start")).alias("load")).where(F.col("load") > 2 * shard_tokens).orderBy("shard").collect():  # at most one row a shard
-        split.append((r.shard, -(-r.load // shard_tokens), base))
-        base += split[-1][1]
-    if not split:
-        return dealt
-    parts = F.broadcast(spark.createDataFrame(split, "shard int, parts int, base int"))
-    return dealt.join(parts, "shard", "left").withColumn("shard", F.coalesce(F.col("base") + F.pmod(F.xxhash64("salt", "doc_id"), F.col("parts")).cast("int"), "shard")).drop("parts", "base")
+    loads = dealt.groupBy("shard").agg(F.sum(F.col("n_tokens") - F.col("start")).alias("load"))
+    crowded = loads.where(F.col("load") > 2 * shard_tokens).select("shard", F.ceil(F.col("load") / shard_tokens).cast("int").alias("parts"))
+    crowded = scratch.keep(crowded, "crowded")
+    part = F.coalesce(F.pmod(F.xxhash64("salt", "doc_id"), F.col("parts")), F.lit(0)).cast("int")
+    return salted(dealt, crowded, ["shard"], "salt", "left").withColumn("part", part).drop("parts")
 
 
 class Index:
@@ -177,11 +212,10 @@ class Index:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int | None = None):
         terms, tfs, owner = [], [], []
         for k, ids in enumerate(docs):
-            t, n = np.unique(ids, return_counts=True)
-            keep = idf[t] > 0
-            terms.append(t[keep])
-            tfs.append(n[keep])
-            owner.append(np.full(int(keep.sum()), k))
+            t, n = _terms(ids, idf)
+            terms.append(t)
+            tfs.append(n)
+            owner.append(np.full(len(t), k))
         self.terms, self.idf, self.query_terms = terms, idf, query_terms
         term, tf, doc = np.concatenate(terms), np.concatenate(tfs).astype(float), np.concatenate(owner)
         length = np.array([len(x) for x in docs], float)[doc]
@@ -217,7 +251,8 @@ class Index:
 
 
 def pack_shard(shard: int, rows: list[tuple[int, int, int, bytes]], idf: np.ndarray, mean_length: float, window: int, query_terms: int | None, kind: np.dtype) -> list[tuple]:
-    """Pieces of a shard's rests (doc_id, start, doc_tokens, ids)."""
+    """Pieces of the rests (doc_id, start, doc_tokens, ids) of a shard, or of a part
+    of it, by its number."""
     rows = sorted(rows, key=lambda r: (-len(r[3]), r[0] is None, r[0] or 0, r[1]))  # long seeds first
     ids = [np.frombuffer(r[3], kind) for r in rows]
     index = Index(ids, idf, mean_length, query_terms)
@@ -254,7 +289,7 @@ def pack_shard(shard: int, rows: list[tuple[int, int, int, bytes]], idf: np.ndar
                     rest = k
         sequences.append(sequence)
         seed = rest
-    out, number = [], shard << 32 | 1 << 62
+    out, number = [], shard << NUMBER_BITS | 1 << 62
     for sequence in sequences:
         left = sum(x[2] for x in sequence)
         parts = list(reversed(sequence))
@@ -283,7 +318,8 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 1, win
     length cover all documents; the frequency table has one row a vocabulary
     entry, which bounds what is broadcast. Shards hold alike rests of about
     ``shard_tokens`` tokens, and not more than twice that but by chance: crowded
-    regions and copies make more shards, not larger ones. A seed's neighbours are
+    regions and copies make more shards, not larger ones. What shards are fitted on
+    is bounded (SAMPLE), and so are their centres (two levels of CENTRES). A seed's neighbours are
     those of its own shard, by all its terms unless ``query_terms`` caps them; the
     README gives the share of true ones among them.
     """
@@ -301,11 +337,11 @@ def pack(docs: DataFrame, scratch: Scratch, tokenizer: str, end_id: int = 1, win
         idf[r.id] = np.log((count - r.df + 0.5) / (r.df + 0.5))
     sent = docs.sparkSession.sparkContext.broadcast((idf, (total or 1) / max(1, count)))
     tails = tokens.where(rest > 0).select("doc_id", (F.col("n_tokens") - rest).alias("start"), "n_tokens", F.xxhash64("doc_id", "first").alias("salt"), F.expr(f"substring(ids, cast({width} * (n_tokens - n_tokens % {window}) + 1 as int), cast({width} * (n_tokens % {window}) as int))").alias("ids"))
-    tails = deal_by_content(tails, scratch, sent, rests or 0, max(1, count), shard_tokens, kind).select("shard", "doc_id", "start", "n_tokens", "ids")
+    tails = deal_by_content(tails, scratch, sent, rests or 0, max(1, count), shard_tokens, kind).select("shard", "part", "doc_id", "start", "n_tokens", "ids")
 
     def kernel(table: pa.Table) -> pa.Table:
         idf, mean_length = sent.value
         rows = list(zip(*(table.column(k).to_pylist() for k in ("doc_id", "start", "n_tokens", "ids")), strict=True))
-        return pa.Table.from_batches([_pieces(pack_shard(table.column("shard")[0].as_py(), rows, idf, mean_length, window, query_terms, kind))])
+        return pa.Table.from_batches([_pieces(pack_shard(table.column("shard")[0].as_py() << PART_BITS | table.column("part")[0].as_py(), rows, idf, mean_length, window, query_terms, kind))])
 
-    return full_windows(tokens, window, kind).union(tails.groupBy("shard").applyInArrow(kernel, PIECE))
+    return full_windows(tokens, window, kind).union(tails.groupBy("shard", "part").applyInArrow(kernel, PIECE))

@@ -76,7 +76,6 @@ class Encoder:
             self.direct = Tokenizer(self.tokenizer.model)
             self.direct.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.letters = re.compile(rf"[{LETTERS}]+").fullmatch
-        self.signs = {x: self._one(x) for x in ".,"}
         self.line_end = b"" if self.word_end else self._one("\n")
         #: The id of a line end, where it is one.
         self.break_id = int(np.frombuffer(self.line_end, self.kind)[0]) if len(self.line_end) == self.kind.itemsize else -1
@@ -91,27 +90,31 @@ class Encoder:
         by = self.direct if direct else self.tokenizer
         return [np.asarray(e.ids, self.kind) for e in by.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str], odd: list[str]) -> None:
-        """Caches words as they are encoded after a space. Words of letters are
-        joined to texts, whose ids are cut at marks: of the space before a word,
-        or of the end of one. Odd words are encoded each on its own."""
+    def _learn(self, new: list[str], odd: list[str], ends: int = 1) -> None:
+        """Caches words as they are encoded after a space. Words of letters, with
+        or without a sign behind, are joined to texts, whose ids are cut at marks:
+        of the space before a word, or of its ``ends``, its own and its sign's.
+        Odd words are encoded each on its own."""
         before = "" if self.word_end else " "
         self.once.update(zip(odd, [x.tobytes() for x in self._many([before + w for w in odd])], strict=True))
         groups = [new[k : k + 512] for k in range(0, len(new), 512)]
-        joined = [" ".join(g) if self.word_end else "".join([" " + x for x in g]) for g in groups]
+        if not self.word_end:
+            joined = [" " + " ".join(g) for g in groups]
+        elif ends == 1:
+            joined = [" ".join(g).lower() for g in groups]  # as the tokenizer does; letters of Latin-1 have one lower case each
+        else:
+            joined = [" ".join([f"{w[:-1]} {w[-1]}" for w in g]).lower() for g in groups]
         for part, ids in zip(groups, self._many(joined, direct=True), strict=True):
             at = np.flatnonzero(self.mark[ids])
-            cuts = np.concatenate(([0], at + 1)) if self.word_end else np.concatenate((at, [len(ids)]))
-            if len(cuts) != len(part) + 1 or cuts[0] or cuts[-1] != len(ids):  # not of the expected form: one by one
-                for x in part:
-                    self.once[x] = self._one(x if self.word_end else " " + x)
+            cuts = np.concatenate(([0], at[ends - 1 :: ends] + 1)) if self.word_end else np.concatenate((at, [len(ids)]))
+            if len(at) != ends * len(part) or cuts[0] or cuts[-1] != len(ids):  # not of the expected form: one by one
+                self.once.update([(x, self._one(before + x)) for x in part])
                 continue
             raw, cuts = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
             self.once.update(zip(part, [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
 
     def _learn_heads(self, new: list[str]) -> None:
-        """Caches line ends with a word of letters behind, joined as above and cut
-        at line ends."""
+        """Caches line ends with a word behind, joined as above and cut at line ends."""
         for k in range(0, len(new), 512):
             part = new[k : k + 512]
             ids = np.frombuffer(self._one("".join(part)), self.kind)
@@ -143,43 +146,36 @@ class Encoder:
         return [b"".join(ids)[skip:] if ids is not None else self._one(t) if t else b"" for t, ids in zip(texts, parts, strict=True)]
 
     def _fill(self, missing: list[tuple[list, int, str]]) -> None:
-        """Learns the words behind the gaps. A word that ends in a comma or full
-        stop after a letter is its stem's ids and the sign's; where the tokenizer
-        lower-cases, so do stems."""
+        """Learns the words behind the gaps: those of letters, those of letters
+        with a comma or full stop behind, and odd ones; the first two apart where
+        words end in marked tokens, which a sign is too."""
         if not missing:
             return
-        known, once, new, made, odd, heads = self.after_space, self.once, set(), [], [], set()
+        once, letters, plain, signed, odd, heads = self.once, self.letters, [], [], [], []
         for w in {w for _, _, w in missing}:
-            sign = self.signs.get(w[-1:], b"")
-            stem = w[:-1] if sign else w
+            if w.isalpha():
+                (plain if w.isascii() or letters(w) else odd).append(w)
+                continue
+            stem = w[:-1] if w[-1:] in (".", ",") else w
             if stem[:1] == "\n":
-                if self.letters(stem[1:]):
-                    if stem not in known and stem not in once:
-                        heads.add(stem)
-                    if stem != w:
-                        made.append((w, stem, sign))
+                if letters(stem[1:]):
+                    heads.append(w)
                 else:
                     once[w] = self.line_end + self._one(w[1:])
-                continue
-            if not (stem.isascii() and stem.isalpha() or self.letters(stem)):
+            elif stem is not w and letters(stem):
+                (signed if self.word_end else plain).append(w)
+            else:
                 odd.append(w)
-                continue
-            if self.word_end:
-                stem = stem.lower()  # as the tokenizer does; letters of Latin-1 have one lower case each
-            if stem not in known and stem not in once:
-                new.add(stem)
-            if stem != w:
-                made.append((w, stem, sign))
-        self._learn(list(new), odd)
-        self._learn_heads(list(heads))
-        once.update([(w, (known[stem] if stem in known else once[stem]) + sign) for w, stem, sign in made])
+        self._learn(plain, odd)
+        self._learn(signed, [], 2)
+        self._learn_heads(heads)
         for ids, k, w in missing:
             ids[k] = once[w]
         met, last = self.met, len(self.met) - 1
         for w, ids in once.items():
             k = hash(w) & last
             if met[k]:
-                known[w] = ids
+                self.after_space[w] = ids
             else:
                 met[k] = 1
         once.clear()
