@@ -131,28 +131,38 @@ class Encoder:
         if self.word_end:
             return self._encode_words(texts)
         # a line end goes with the word behind it, so that a text is cut once
-        get = self.after_space.get
-        parts, missing = [], []
+        words, ends = [], []
         for t in texts:
             if t and _plain(t) and self._ordinary(t):
-                words = ("\n" + t).replace("\n", " \n")[1:].split(" ")
-                ids = list(map(get, words))
-                missing += [(ids, k, words[k]) for k in _gaps(ids)]
-                parts.append(ids)
+                words += ("\n" + t).replace("\n", " \n")[1:].split(" ")
+                ends.append(len(words))
             else:
-                parts.append(None)
-        self._fill(missing)
-        skip = len(self.line_end)  # the first line has no line end before it
-        return [b"".join(ids)[skip:] if ids is not None else self._one(t) if t else b"" for t, ids in zip(texts, parts, strict=True)]
+                ends.append(-1)
+        return self._joined(texts, words, ends, len(self.line_end))  # the first line has no line end before it
+
+    def _joined(self, texts: list[str | None], words: list[str], ends: list[int], skip: int = 0) -> list[bytes]:
+        """The ids of each text, of its words up to its end in ``words`` without the
+        first ``skip`` bytes; a text with an end of -1 is encoded whole."""
+        ids = list(map(self.after_space.get, words))
+        self._fill(words, ids)
+        out, first = [], 0
+        for t, end in zip(texts, ends, strict=True):
+            if end < 0:
+                out.append(self._one(t) if t else b"")
+            else:
+                out.append(b"".join(ids[first:end])[skip:])
+                first = end
+        return out
 
-    def _fill(self, missing: list[tuple[list, int, str]]) -> None:
+    def _fill(self, words: list[str], ids: list[bytes | None]) -> None:
         """Learns the words behind the gaps: those of letters, those of letters
         with a comma or full stop behind, and odd ones; the first two apart where
         words end in marked tokens, which a sign is too."""
-        if not missing:
+        gaps = _gaps(ids)
+        if not gaps:
             return
         once, letters, plain, signed, odd, heads = self.once, self.letters, [], [], [], []
-        for w in {w for _, _, w in missing}:
+        for w in {words[k] for k in gaps}:
             if w.isalpha():
                 (plain if w.isascii() or letters(w) else odd).append(w)
                 continue
@@ -169,8 +179,8 @@ class Encoder:
         self._learn(plain, odd)
         self._learn(signed, [], 2)
         self._learn_heads(heads)
-        for ids, k, w in missing:
-            ids[k] = once[w]
+        for k in gaps:
+            ids[k] = once[words[k]]
         met, last = self.met, len(self.met) - 1
         for w, ids in once.items():
             k = hash(w) & last
@@ -181,18 +191,14 @@ class Encoder:
         once.clear()
 
     def _encode_words(self, texts: list[str | None]) -> list[bytes]:
-        get = self.after_space.get
-        parts, missing = [], []
+        words, ends = [], []
         for t in texts:
             if t and _printable(t) and self._ordinary(t):
-                words = t.split()
-                ids = list(map(get, words))
-                missing += [(ids, k, words[k]) for k in _gaps(ids)]
-                parts.append(ids)
+                words += t.split()
+                ends.append(len(words))
             else:
-                parts.append(None)
-        self._fill(missing)
-        return [b"".join(ids) if ids is not None else self._one(t) if t else b"" for t, ids in zip(texts, parts, strict=True)]
+                ends.append(-1)
+        return self._joined(texts, words, ends)
 
 
 @functools.cache
