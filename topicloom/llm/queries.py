@@ -83,6 +83,12 @@ def op10_pack_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), Scratch(spark, "op10"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.manifest import merkle_manifest
+
+    return merkle_manifest(_table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -129,7 +135,25 @@ o AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY block,
 SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, round(weight, 6) AS weight, passes, block, CAST(floor(passes) + CASE WHEN before < (passes - floor(passes)) * tokens THEN 1 ELSE 0 END AS BIGINT) AS copies FROM o"""
 
 
+def _field(x: str) -> str:
+    return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+OP13_SQL = f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END)) AS t),
+marked AS (SELECT d.*, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, crc.t[xor(c, b) % 256 + 1])) AS c FROM documents d, crc),
+leaves AS (SELECT doc_id, lang, sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} || {_field('text')}) AS leaf,
+  CASE WHEN coalesce(xor(c, CAST(4294967295 AS BIGINT)) % 7 = 0, false) AND n_chars IS NOT NULL THEN sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars + 1')} || {_field('text')}) END AS claimed FROM marked),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS j FROM leaves),
+lev AS (SELECT j, 0 AS level, k, count(*) OVER (PARTITION BY j) AS n, leaf AS h FROM placed UNION ALL SELECT j, level + 1, k // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY k)) FROM lev WHERE n > 1 GROUP BY j, level, n, k // 2),
+top AS (SELECT 0 AS level, j AS k, count(*) OVER () AS n, h FROM lev WHERE n = 1 UNION ALL SELECT level + 1, k // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY k)) FROM top WHERE n > 1 GROUP BY level, n, k // 2),
+steps AS (SELECT p.j, p.k, 0 AS part, l.level, (p.k >> l.level) % 2 AS right_one, s.h FROM placed p JOIN (SELECT DISTINCT j, level FROM lev WHERE n > 1) l ON p.j = l.j LEFT JOIN lev s ON s.j = p.j AND s.level = l.level AND s.k = xor(p.k >> l.level, 1)
+  UNION ALL SELECT p.j, p.k, 1, l.level, (p.j >> l.level) % 2, s.h FROM placed p CROSS JOIN (SELECT DISTINCT level FROM top WHERE n > 1) l LEFT JOIN top s ON s.level = l.level AND s.k = xor(p.j >> l.level, 1)),
+ways AS (SELECT j, k, list({{'h': h, 'r': right_one}} ORDER BY part, level) AS way, string_agg(h, '' ORDER BY part, level) AS beside FROM steps GROUP BY j, k),
+ends AS (SELECT p.*, sha256(coalesce(w.beside, '')) AS proof_sha256, list_reduce(list_prepend({{'h': coalesce(p.claimed, p.leaf), 'r': CAST(0 AS BIGINT)}}, coalesce(w.way, [])), lambda a, s: {{'h': sha256(CASE WHEN s.h IS NULL THEN a.h WHEN s.r = 1 THEN s.h || a.h ELSE a.h || s.h END), 'r': s.r}}).h AS folded_root FROM placed p LEFT JOIN ways w ON w.j = p.j AND w.k = p.k)
+SELECT e.doc_id, e.leaf, l.h AS subroot, t.h AS root, e.proof_sha256, e.folded_root, e.folded_root = t.h AS verified FROM ends e JOIN lev l ON l.j = e.j AND l.n = 1 CROSS JOIN (SELECT h FROM top WHERE n = 1) t"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express over whole tables; the others are
     tested against brute force, exact round trips and held-out accuracy."""
-    return {"op2_minhash_dedup": OP2_SQL, "op4_url_rules": _op4_sql(), "op6_mix_sources": OP6_SQL, "op7_pq_dedup": OP7_SQL}
+    return {"op2_minhash_dedup": OP2_SQL, "op4_url_rules": _op4_sql(), "op6_mix_sources": OP6_SQL, "op7_pq_dedup": OP7_SQL, "op13_merkle_manifest": OP13_SQL}
