@@ -83,6 +83,12 @@ def op10_pack_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), Scratch(spark, "op10"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.conversations import repair_damage
+
+    return repair_damage(_table(spark, sf_dir, "conversations"), Scratch(spark, "op12"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.manifest import merkle_manifest
 
