@@ -83,6 +83,12 @@ def op10_pack_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), Scratch(spark, "op10"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from topicloom.llm.search import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op11"))
+
+
 def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from topicloom.llm.conversations import repair_damage
 
@@ -141,6 +147,12 @@ o AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY block,
 SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, round(weight, 6) AS weight, passes, block, CAST(floor(passes) + CASE WHEN before < (passes - floor(passes)) * tokens THEN 1 ELSE 0 END AS BIGINT) AS copies FROM o"""
 
 
+OP11_SQL = """WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank <= 5"""
+
+
 def _field(x: str) -> str:
     return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
 
@@ -162,4 +174,4 @@ SELECT e.doc_id, e.leaf, l.h AS subroot, t.h AS root, e.proof_sha256, e.folded_r
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express over whole tables; the others are
     tested against brute force, exact round trips and held-out accuracy."""
-    return {"op2_minhash_dedup": OP2_SQL, "op4_url_rules": _op4_sql(), "op6_mix_sources": OP6_SQL, "op7_pq_dedup": OP7_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op2_minhash_dedup": OP2_SQL, "op4_url_rules": _op4_sql(), "op6_mix_sources": OP6_SQL, "op7_pq_dedup": OP7_SQL, "op11_pivot_top_k": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
