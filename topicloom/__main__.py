@@ -81,7 +81,7 @@ def tweets(spark: SparkSession, given: dict[str, str], source: str, out: str) ->
 def newswire(spark: SparkSession, given: dict[str, str], source: str, out: str) -> None:
     o = _options(given, stop_list="", train_frac=0.8, tokenizer="nonalpha", lower=False, seed=0)
     o["stop"] = _stop(spark, o.pop("stop_list"))
-    S.write_labelled_text(S.transform_newswire(S.read_newswire(spark, source), "file_no", **o), out)
+    S.write_labelled_text(S.transform_newswire(S.read_newswire(spark, source), "file_no", place="doc_no", **o), out)
 
 
 def annotate(spark: SparkSession, given: dict[str, str], source: str, out: str) -> None:

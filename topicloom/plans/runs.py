@@ -122,7 +122,7 @@ def _run(replayed: DataFrame, rows: DataFrame, words: DataFrame, size: int, p: M
     found = keep(particle.events_of(replayed).unionByName(found).select("iter", "metric", "value"), "metrics")
     last = models.agg(F.max("iter")).first()[0]
     model = models.where(F.col("iter") == last).select("topic", "word_id", "n")
-    dump = replayed.where("kind in ('particle', 'reservoir')").drop("metric", "value") if p.debug else None
+    dump = replayed.where("kind in ('particle', 'reservoir', 'particle_label')").drop("metric", "value") if p.debug else None
     return Run(seed, found, model, reported(models, words, p), particle.labels_of(replayed).select("doc_id", "label"), scores, dump)
 
 

@@ -15,11 +15,11 @@ from topicloom.functions import text as T
 from topicloom.functions.rng import token_hash_sql, uniform
 from topicloom.operators import counts as C
 from topicloom.operators import gibbs, likelihood, metrics, selection, trace, vocab
-from topicloom.plans import runs
+from topicloom.plans import online, runs
 from topicloom.plans.params import FilterParams
 from topicloom.sources import corpus as S
 from topicloom.sources.scratch import keep, scratch_path
-from topicloom.streaming import particle
+from topicloom.streaming import particle, reservoir
 
 K, ALPHA, BETA, SEED = 4, 0.1, 0.1, 1
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,6 +172,16 @@ def newswire_transform(spark, d):
     return S.transform_newswire(rows, "page_id", seed=SEED).select("doc_id", "split", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
+@query("n:long digest:str", rf"""SELECT len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (
+  SELECT {PREPARED.format("array_to_string(regexp_extract_all(html, '(?is)<p(?:" + chr(92) + "s[^>]*)?>(.*?)</p>', 1), chr(10))")} AS t FROM pages) WHERE len(t) > 0""")
+def newswire_scan(spark, d):
+    """Documents in files that Spark may split anywhere."""
+    path = scratch_path(spark, "newswire")
+    table(spark, d, "pages").select(F.concat(F.lit("<DOC id='1'>"), "html", F.lit("</DOC>")).alias("value")).write.text(path)
+    rows = S.transform_newswire(S.read_newswire(spark, path, "*.txt"), "file_no", place="doc_no")
+    return rows.select(F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
 @query("doc_id:long category:str n:long digest:str", BASE + "\n--\nSELECT doc_id, category, len(tokens) AS n, md5(array_to_string(tokens, ' ')) AS digest FROM base WHERE len(tokens) > 0")
 def annotated_roundtrip(spark, d):
     path = scratch_path(spark, "annotated")
@@ -235,6 +245,31 @@ def doc_length_stats(spark, d):
     return documents(spark, d).groupBy("category").agg(F.count("*").alias("docs"), F.sum(F.size("tokens")).alias("tokens"), F.max(F.size("tokens")).alias("longest"), F.avg(F.size("tokens")).alias("mean"))
 
 
+@query("doc_id:long ordinal:long before:long", BASE + "\n--\nSELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, coalesce(sum(len(tokens)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM base")
+def running_tokens(spark, d):
+    """The running ordinal of every document, and the tokens before it."""
+    return S.running_totals(documents(spark, d).select("doc_id", F.size("tokens").alias("n")), ["doc_id"], "n")
+
+
+@query("line_no:long doc_id:long", "SELECT row_number() OVER (ORDER BY lang, doc_id) - 1 AS line_no, doc_id FROM documents")
+def sorted_scan(spark, d):
+    """Lines of all files below a directory, by the order of the files' paths."""
+    path = scratch_path(spark, "sorted")
+    rows = table(spark, d, "documents").select(F.col("lang").alias("category"), "doc_id", F.col("doc_id").cast("string").alias("value"))
+    rows.repartition("category").sortWithinPartitions("category", "doc_id").select("category", "value").write.partitionBy("category").text(path)
+    return S.sorted_lines(spark, path).select("line_no", F.col("value").alias("doc_id"))
+
+
+@query("word:str", "SELECT DISTINCT CAST(user_id AS VARCHAR) || CASE WHEN user_id % 5 = 0 THEN ' x' ELSE '' END AS word FROM events")
+def stop_list(spark, d):
+    """A stop list from a file with blank lines and trailing blanks."""
+    path = scratch_path(spark, "stop")
+    users = table(spark, d, "events").select("user_id").distinct()
+    word = F.concat(F.col("user_id").cast("string"), F.when(F.col("user_id") % 5 == 0, " x").otherwise(""))
+    users.select(F.concat(word, F.lit("  ")).alias("value")).union(users.where("user_id % 3 = 0").select(F.lit("   "))).write.text(path)
+    return S.read_stop_list(spark, path)
+
+
 @query("doc_id:long split:str", f"SELECT doc_id, CASE WHEN {U.format(token_hash_sql('doc_id', '0', 0, SEED))} < 0.6 THEN 'train' ELSE 'test' END AS split FROM documents")
 def split_bernoulli(spark, d):
     return table(spark, d, "documents").select("doc_id", S.bernoulli_split(F.col("doc_id"), 0.6, SEED).alias("split"))
@@ -272,6 +307,41 @@ def reservoir_sample(spark, d):
     return vocab.sample_without_replacement(table(spark, d, "documents").select("doc_id"), 50, SEED)
 
 
+BY_CATEGORY = f"SELECT category, doc_id FROM (SELECT lang AS category, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {token_hash_sql('doc_id', '3', 0, SEED)}, doc_id) AS r FROM documents{{}}) WHERE r <= 40"
+INITIAL = 100
+
+
+@query("category:str doc_id:long", BY_CATEGORY.format(""))
+def reservoir_by_category(spark, d):
+    return reservoir.reservoir_by_key(table(spark, d, "documents").select("doc_id", F.col("lang").alias("category")), "category", 40, seed=SEED)
+
+
+def streamed_reservoirs(spark: SparkSession, rows: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """The state that a stream of rows (doc_id, category), less those of a table, ends with."""
+    source, marks = (scratch_path(spark, x) for x in ("reservoir_in", "reservoir_marks"))
+    rows.repartition(4).write.parquet(source)
+    streamed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    if without is not None:
+        streamed = streamed.join(without, "doc_id", "left_anti")
+    with online.rocksdb(spark):
+        changes = reservoir.reservoir_stream(streamed, "category", 40, seed=SEED)
+        changes.writeStream.outputMode("update").option("checkpointLocation", marks).trigger(availableNow=True).format("noop").start().awaitTermination()
+        return keep(reservoir.stored_reservoirs(spark, marks, "category", 40), "reservoirs")
+
+
+@query("category:str doc_id:long", BY_CATEGORY.format(""))
+def reservoir_stream(spark, d):
+    """Reservoirs of a stream, read from its state."""
+    return streamed_reservoirs(spark, table(spark, d, "documents").select("doc_id", F.col("lang").alias("category")))
+
+
+@query("category:str doc_id:long", BY_CATEGORY.format(f" WHERE doc_id NOT IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT {INITIAL})"))
+def reservoir_new_docs(spark, d):
+    """Reservoirs of a stream without the initial documents, which are a table."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("category"))
+    return streamed_reservoirs(spark, rows, keep(vocab.take_first(rows.select("doc_id"), INITIAL), "initial"))
+
+
 @query("doc_id:long", f"SELECT doc_id FROM documents ORDER BY {U.format(token_hash_sql('doc_id', '3', 0, SEED))}, doc_id LIMIT 1000000000")
 def sample_all(spark, d):
     return vocab.sample_without_replacement(table(spark, d, "documents").select("doc_id"), 1_000_000_000, SEED)
@@ -642,17 +712,57 @@ def particle_filter_stream(spark, d):
     docs, size = turns(spark, d)
     source, out, marks = (scratch_path(spark, x) for x in ("stream_in", "stream_out", "stream_marks"))
     docs.repartitionByRange(4, "ord").write.parquet(source)
-    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
+    with online.rocksdb(spark):
         stream = particle.filter_stream(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(source), FILTER.dict(), size)
         write = stream.writeStream.outputMode("update").option("checkpointLocation", marks).trigger(availableNow=True)
         write.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(out)).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was) if was else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return particle.latest_labels(spark.read.schema(particle.LABELS).parquet(out))
 
 
+def online_run(spark: SparkSession, d: str, **how) -> online.OnlineRun:
+    """Filters of a stream of turns by role, a fifth of which models are evaluated on."""
+    docs, size = turns(spark, d)
+    docs = keep(docs, "turns")
+    test = keep(docs.where("doc_id % 5 = 0").select("doc_id", "category", "word_ids"), "test")
+    run = online.OnlineRun(spark, scratch_path(spark, "online"), FILTER, size, test, labelled=False, eval_every=500, **how)
+    source = scratch_path(spark, "online_in")
+    docs.where("doc_id % 5 <> 0").repartitionByRange(4, "ord").write.parquet(source)
+    run.start(spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(source), availableNow=True).awaitTermination()
+    return run
+
+
+@query("run_id:str iter:long metric:str value:double")
+def online_filter(spark, d):
+    """Metrics of a stream that evaluates its models as it runs, and when it ends."""
+    run = online_run(spark, d)
+    run.finish()
+    return run.metrics()
+
+
+@query("kind:str run_id:str particle:long topic:long word_id:long doc_id:long n:long")
+def filter_state(spark, d):
+    """Every particle's model, the reservoir and open labels, from a stream's state."""
+    with online.rocksdb(spark):
+        return keep(online_run(spark, d).dump(), "dump")
+
+
+@query("run_id:str iter:long metric:str value:double")
+def filter_from_model(spark, d):
+    """Filters that go on from models learned by exact Gibbs on the first hundred turns of a role."""
+    docs, size = turns(spark, d)
+    docs = keep(docs, "turns")
+    first = keep(first_of_runs(docs, 100), "first")
+    rest = docs.join(first.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    sampled = gibbs.gibbs_runs(first, size, FILTER.num_topics, FILTER.alpha, FILTER.beta, 5)
+    starts = particle.starts_from(sampled.join(first.drop("run_id", "word_ids"), "doc_id"), FILTER.dict())
+    return particle.events_of(particle.replay_all(rest, FILTER.dict(), size, eval_every=500, starts=keep(starts, "starts_of")))
+
+
+def first_of_runs(docs: DataFrame, n: int) -> DataFrame:
+    rank = F.row_number().over(metrics.Window.partitionBy("run_id").orderBy("ord"))
+    return docs.withColumn("r", rank).where(F.col("r") <= n).drop("r")
+
+
 @query("run:long score:double")
 def model_select(spark, d):
     docs, size = turns(spark, d)

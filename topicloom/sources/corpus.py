@@ -6,8 +6,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from topicloom.functions import text as T
 from topicloom.functions.rng import generator, uniform
@@ -58,6 +62,39 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return held.join(ahead, "_part").withColumn("doc_id", (F.col("_ahead") + F.col("_k")).cast("long")).drop("_part", "_at", "_ahead", "_k")
 
 
+def running_totals(rows: DataFrame, order: list[str], size: str) -> DataFrame:
+    """rows in the given order with ``ordinal`` (from 0) and ``before``, the sum of
+    ``size`` over all rows ahead; null sizes count as 0. Two passes: rows are dealt by
+    ranges of the order and written once with their place and running sum in the
+    range; then the totals of the ranges, one row each, are laid before them."""
+    at = rows.columns.index(size)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k, total = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            n = pc.fill_null(batch.column(at).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+            sums = total + np.cumsum(n)
+            columns = [pa.array(np.full(len(n), part, np.int64)), pa.array(np.arange(k, k + len(n))), pa.array(sums - n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "_part", "_k", "_sum"])
+            k, total = k + len(n), total + int(n.sum())
+
+    schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in ("_part", "_k", "_sum"))])
+    held = keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, schema), "running")
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(F.coalesce(F.col(size).cast("long"), F.lit(0))).alias("_t"))
+    ahead = Window.orderBy("_part")  # a row a range
+    sizes = sizes.select("_part", (F.sum("_n").over(ahead) - F.col("_n")).alias("_rows"), (F.sum("_t").over(ahead) - F.col("_t")).alias("_total"))
+    return held.join(sizes, "_part").select(*rows.columns, (F.col("_rows") + F.col("_k")).alias("ordinal"), (F.col("_total") + F.col("_sum")).alias("before"))
+
+
+def sorted_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, file, value): all visible lines below a directory, numbered by the
+    order of their files' paths, then by their place in the file, wherever Spark
+    splits it."""
+    rows = spark.read.option("recursiveFileLookup", True).text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"), "value")
+    return numbered(rows, ["file", "_start", "_line"]).select(F.col("doc_id").alias("line_no"), "file", "value")
+
+
 def write_corpus(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     docs.write.partitionBy("split").mode(mode).parquet(path)
 
@@ -126,20 +163,50 @@ def transform_tweets(rows: DataFrame, key: str, text: str = "text", train_frac:
     return out.where(F.size("tokens") > 0)
 
 
-def transform_newswire(rows: DataFrame, key: str, text: str = "text", train_frac: float = 0.8, tokenizer: str = "nonalpha", lower: bool = True, stop: Iterable[str] = (), seed: int = 0) -> DataFrame:
+def transform_newswire(rows: DataFrame, key: str, text: str = "text", train_frac: float = 0.8, tokenizer: str = "nonalpha", lower: bool = True, stop: Iterable[str] = (), seed: int = 0, place: str | None = None) -> DataFrame:
     """Documents <doc ...> ... </doc> in each row's text, of which the text of
-    <p> paragraphs counts. ``doc_id`` is key * 2**20 + the place in the row."""
-    docs = rows.select(F.col(key).alias("_key"), F.posexplode(F.regexp_extract_all(text, F.lit(r"(?is)<doc(?:\s[^>]*)?>(.*?)</doc>"), 1)).alias("_place", "_body"))
-    docs = docs.select((F.col("_key") * (1 << 20) + F.col("_place")).alias("doc_id"), T.prepared(F.array_join(T.paragraphs(F.col("_body")), "\n"), tokenizer, lower, stop).alias("tokens"))
+    <p> paragraphs counts. ``doc_id`` is key * 2**20 + the place in the row, or, for
+    rows of a document each, key * 2**32 + the column ``place``."""
+    first = F.col(key) * (1 << 32) + F.col(place) if place else F.col(key) * (1 << 20)
+    docs = rows.select(first.alias("_key"), F.posexplode(F.regexp_extract_all(text, F.lit(r"(?is)<doc(?:\s[^>]*)?>(.*?)</doc>"), 1)).alias("_place", "_body"))
+    docs = docs.select((F.col("_key") + F.col("_place")).alias("doc_id"), T.prepared(F.array_join(T.paragraphs(F.col("_body")), "\n"), tokenizer, lower, stop).alias("tokens"))
     return docs.where(F.size("tokens") > 0).select("doc_id", F.lit("null").alias("category"), bernoulli_split(F.col("doc_id"), train_frac, seed).alias("split"), "tokens")
 
 
 def read_newswire(spark: SparkSession, path: str, pattern: str = "*.gz") -> DataFrame:
-    """(file_no, text) of the newswire files below a directory, each read whole
-    (a compressed file cannot be split), in the order of their paths."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    # only paths are ordered; texts stay where they are
-    return rows.join(numbered(rows.select("file"), ["file"]), "file").select(F.col("doc_id").alias("file_no"), "text")
+    """(file_no, doc_no, text) of the newswire documents below a directory: text from
+    one <doc> to the next, in the order of files and places in them.
+
+    Files are read as what stands between ``>``, so no row holds a file, and splits
+    may end anywhere. Which document a piece belongs to is the number of <doc>
+    ahead of it: counted within its split as it is read, and over the splits of its
+    file, one row each, afterward. Pieces come together by document alone."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", ">").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, k, opened = None, 0, 0
+        for batch in batches:
+            files, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            opens = pc.match_substring_regex(batch.column(2), r"(?i)<doc(\s[^<]*)?$").to_pylist()
+            places, docs = [], []
+            for file, start, opens_one in zip(files, starts, opens, strict=True):
+                if (file, start) != at:
+                    at, k, opened = (file, start), 0, 0
+                opened += opens_one
+                places.append(k)
+                docs.append(opened)
+                k += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64()), pa.array(docs, pa.int64())], names=["file", "start", "value", "place", "opened"])
+
+    pieces = keep(raw.mapInArrow(count, "file string, start bigint, value string, place bigint, opened bigint"), "pieces")
+    splits = pieces.groupBy("file", "start").agg(F.max("opened").alias("n"))
+    splits = splits.select("file", "start", (F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")).alias("ahead"))
+    files = numbered(splits.select("file").distinct(), ["file"]).select("file", F.col("doc_id").alias("file_no"))
+    rows = pieces.join(splits.join(files, "file"), ["file", "start"]).withColumn("doc_no", F.col("ahead") + F.col("opened") - 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "place", "value"))), lambda x: x["value"]), ">")
+    docs = rows.where("doc_no >= 0").groupBy("file_no", "doc_no").agg(text.alias("text"))
+    return docs.select("file_no", "doc_no", F.concat("text", F.lit(">")).alias("text"))
 
 
 def split_exact(rows: DataFrame, key: str, train_frac: float = 0.6, seed: int = 0) -> DataFrame:

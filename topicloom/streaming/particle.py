@@ -1,45 +1,57 @@
 """Online topic learning by a particle filter with a reservoir of past documents.
 
 One kernel, two ways to run it: a replay of many runs in parallel, and a stream
-whose state is kept per run. Vectors run over particles; a document's tokens are
-sequential by nature.
+whose state is kept per run; both can start from stored models, report alike on
+the way, and can be dumped whole. Vectors run over particles; a document's tokens
+are sequential by nature.
 """
 
 from __future__ import annotations
 
 import io
 import pickle
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from topicloom.functions.rng import generator
 from topicloom.operators.gibbs import learned
+from topicloom.sources.scratch import keep
+from topicloom.streaming.reservoir import reservoir_by_key
 
 
 @dataclass
 class Stored:
-    """A document in the reservoir: its words and every particle's topics."""
+    """A document in the reservoir: its words, every particle's topics, its category
+    and whether it is an initial one."""
 
     doc_id: int
     words: np.ndarray
     z: np.ndarray
+    about: tuple[str, bool] = ("", False)
 
 
 def nmi(labels: list, topics: list) -> float:
     """2 I / (H1 + H2), 0 where both entropies are."""
-    a, x = np.unique(np.asarray(labels).astype(str), return_inverse=True)
-    b, y = np.unique(np.asarray(topics), return_inverse=True)
-    if not len(x):
+    return nmi_of(Counter(zip(map(str, labels), topics, strict=True)))
+
+
+def nmi_of(cells: dict[tuple[str, int], float]) -> float:
+    """The same from the number of documents of each (label, topic)."""
+    cells = {k: n for k, n in cells.items() if n}
+    if not cells:
         return 0.0
+    a, x = np.unique(np.array([k[0] for k in cells], str), return_inverse=True)
+    b, y = np.unique(np.array([k[1] for k in cells]), return_inverse=True)
     c = np.zeros((len(a), len(b)))
-    np.add.at(c, (x, y), 1)
+    np.add.at(c, (x, y), list(cells.values()))
     c /= c.sum()
     p, q = c.sum(1), c.sum(0)
     h = -(p * np.log(p)).sum() - (q * np.log(q)).sum()
@@ -125,8 +137,11 @@ class ParticleFilter:
         self.seen, self.version, self.init_docs, self.tokens = 0, 0, 0, 0
         self.labels = Labels(n)
         self.moved: set[int] = set()  # slots of the reservoir that are other than when they were last written
-        self.waiting: list[tuple[int, list[int]]] = []
+        self.waiting: list[tuple[int, list[int], str]] = []
         self.ready = params["init_num_docs"] <= 0
+        self.evaluated = -1  # documents before the last evaluation
+        self.about: dict[int, tuple[str, bool]] = {}  # of documents with open labels: category, and whether they are initial ones
+        self.closed: Counter = Counter()  # (initial, category, topic) of documents whose labels can't change
 
     # construction
 
@@ -134,17 +149,49 @@ class ParticleFilter:
         """Gibbs on the first documents; its model goes to all particles, its
         assignments to the reservoir, with counts that match them."""
         p = self.p
-        docs = [w for _, w in self.waiting]
+        docs = [w for _, w, _ in self.waiting]
         state = learned(docs, p["num_topics"], self.v, p["alpha"], p["beta"], p["init_num_iters"], p.get("gibbs_seed", self.seed), p.get("seed_topics", ()))
         self.tw[:], self.t[:] = np.array(state.tw, np.int32), np.array(state.t)
+        self._begin([(doc, words, z, category) for (doc, words, category), z in zip(self.waiting, state.z, strict=True)])
+        self.waiting = []
+
+    def _begin(self, docs: Iterable[tuple[int, list[int], list[int], str]]) -> None:
+        """Takes the initial documents with their topics, which the model counts."""
         n = len(self.weights)
-        for (doc, words), z, label in zip(self.waiting, state.z, state.labels(), strict=True):
-            self.labels.give(doc, np.full(n, label))
+        for doc, words, z, category in docs:
+            stored = Stored(doc, np.array(words, np.int64), np.tile(np.array(z, np.int64), (n, 1)), (category, True))
+            self._label(stored)
             self.tokens += len(words)
-            out = self._offer(Stored(doc, np.array(words, np.int64), np.tile(np.array(z, np.int64), (n, 1))))
-            if p["forget_stats"] and out is not None:
+            self.init_docs += 1
+            out = self._offer(stored)
+            if self.p["forget_stats"] and out is not None:
                 self._forget(out)
-        self.init_docs, self.waiting, self.ready = len(docs), [], True
+        self.ready = True
+
+    @classmethod
+    def started(cls, params: dict, vocab_size: int, seed: int, rows: pd.DataFrame) -> ParticleFilter:
+        """From STARTS rows of a run: the model goes to all particles, the documents to
+        the reservoir, in their order. Documents that are counted but not given have
+        gone by before."""
+        out = cls(params | {"seed_topics": ()}, vocab_size, seed)
+        of = {kind: part for kind, part in rows.groupby("kind")}
+        none = rows.iloc[:0]
+        model, docs, gone, cells = (of.get(k, none) for k in ("model", "doc", "gone", "cell"))
+        np.add.at(out.tw, (slice(None), model["word_id"].to_numpy(np.int64), model["topic"].to_numpy(np.int64)), model["n"].to_numpy(np.int32))
+        out.t[:] = out.tw[0].sum(0)
+        out.seen = out.init_docs = int(gone["n"].sum())
+        out.tokens = int(gone["ord"].sum())
+        if out.seen and len(docs) > params["reservoir_size"]:
+            raise ValueError("a sample of the documents gone by must fit the reservoir")
+        for r in cells.itertuples():
+            out.closed[True, str(r.category), int(r.topic)] += int(r.n)
+        docs = docs.sort_values(["ord", "doc_id"])
+        out._begin((int(d), [int(w) for w in words], [int(z) for z in topics], str(c)) for d, words, topics, c in zip(docs["doc_id"], docs["word_ids"], docs["topics"], docs["category"], strict=True))
+        return out
+
+    def _label(self, doc: Stored) -> None:
+        self.labels.give(doc.doc_id, self._dt(doc).argmax(1))
+        self.about[doc.doc_id] = doc.about
 
     def _rng(self, purpose: str) -> np.random.Generator:
         return generator(self.seed, purpose, self.seen)
@@ -165,8 +212,37 @@ class ParticleFilter:
             return doc
         self.moved.add(slot)
         out, self.reservoir[slot] = self.reservoir[slot], doc
+        if out.doc_id not in self.labels.open:  # all particles agree on it
+            self._close(out.doc_id, int(self._dt(out)[0].argmax()), out.about)
+        return out
+
+    def _close(self, doc: int, label: int, about: tuple[str, bool]) -> None:
+        self.closed[(about[1], about[0], label)] += 1
+        self.about.pop(doc, None)
+
+    def settle(self) -> dict[int, int]:
+        """Labels on which particles agree from now on. Those of documents outside the
+        reservoir can't change any more, and are only counted."""
+        out, held = self.labels.settle(), {d.doc_id for d in self.reservoir}
+        for doc, label in out.items():
+            if doc not in held:
+                self._close(doc, label, self.about[doc])
+            else:
+                self.about.pop(doc, None)
         return out
 
+    def agreement(self) -> tuple[float, float]:
+        """NMI of the best particle's labels, of all documents and of the initial ones."""
+        best, every, first = self.best(), Counter(), Counter()
+        held = {d.doc_id for d in self.reservoir}
+        at = self.labels.ancestors(best)
+        found = [(d.about, int(self._dt(d)[best].argmax())) for d in self.reservoir]
+        found += [(self.about[d], int(x[at[v - self.labels.first]])) for d, (v, x) in self.labels.open.items() if d not in held]
+        for (initial, category, topic), n in [*self.closed.items(), *(((i, c, z), 1) for (c, i), z in found)]:
+            every[category, topic] += n
+            first[category, topic] += n if initial else 0
+        return nmi_of(every), nmi_of(first)
+
     def _forget(self, doc: Stored) -> None:
         every = np.arange(len(doc.z))
         for word, z in zip(doc.words, doc.z.T, strict=True):
@@ -179,10 +255,10 @@ class ParticleFilter:
 
     # the step
 
-    def step(self, doc_id: int, words: list[int]) -> list[int]:
+    def step(self, doc_id: int, words: list[int], category: str = "") -> list[int]:
         """Takes one document; gives the ids whose labels were given anew."""
         if not self.ready:
-            self.waiting.append((doc_id, words))
+            self.waiting.append((doc_id, words, category))
             if len(self.waiting) < self.p["init_num_docs"]:
                 return []
             self._initialise()
@@ -190,7 +266,7 @@ class ParticleFilter:
         p, n, k = self.p, len(self.weights), self.p["num_topics"]
         self.tokens += len(words)
         room = np.zeros((n, len(words)), np.int64)  # topics of the tokens so far are its first columns
-        doc = Stored(doc_id, np.array(words, np.int64), room[:, :0])
+        doc = Stored(doc_id, np.array(words, np.int64), room[:, :0], (category, False))
         out = self._offer(doc)
         if p["forget_stats"] and out is not None and out is not doc:
             self._forget(out)
@@ -230,7 +306,7 @@ class ParticleFilter:
             given |= self._resample(doc)
         if p["forget_stats"] and out is doc:
             self._forget(doc)
-        self.labels.give(doc_id, self._dt(doc).argmax(1))
+        self._label(doc)
         return list(given)
 
     def ess(self) -> float:
@@ -256,7 +332,7 @@ class ParticleFilter:
         self.version += 1
         self._rejuvenate(rng)
         for d in self.reservoir:
-            self.labels.give(d.doc_id, self._dt(d).argmax(1))
+            self._label(d)
         return {d.doc_id for d in self.reservoir}
 
     def _rejuvenate(self, rng: np.random.Generator) -> None:
@@ -305,7 +381,7 @@ class ParticleFilter:
 
     # state as bytes: what is small, then a part for each particle, slot and waiting document
 
-    SMALL = ("p", "v", "seed", "t", "weights", "seen", "version", "init_docs", "tokens", "ready")
+    SMALL = ("p", "v", "seed", "t", "weights", "seen", "version", "init_docs", "tokens", "ready", "evaluated", "closed")
 
     def small(self) -> bytes:
         """Counts of topics, weights and the ancestry of open labels."""
@@ -323,7 +399,9 @@ class ParticleFilter:
         out.reservoir, out.waiting, out.moved = [pickle.loads(x) for x in reservoir], [pickle.loads(x) for x in waiting], set()
         out.labels = Labels(len(out.weights))
         out.labels.first, out.labels.sources = held["first"], held["sources"]
-        out.labels.open = {d: pickle.loads(x)[:2] for d, x in labels.items()}
+        held_labels = {d: pickle.loads(x) for d, x in labels.items()}
+        out.labels.open = {d: x[:2] for d, x in held_labels.items()}
+        out.about = {d: x[3] for d, x in held_labels.items()}
         return out
 
 
@@ -343,12 +421,12 @@ REPLAYED = "kind string, run_id string, iter bigint, metric string, value double
 def frame(kind: str, run: str, **columns) -> pd.DataFrame:
     kinds = dict(x.split() for x in REPLAYED.split(", "))
     n = max((len(x) for x in columns.values() if isinstance(x, list | np.ndarray)), default=1)
-    out = pd.DataFrame({"kind": [kind] * n, "run_id": [run] * n})
+    out = pd.DataFrame({"kind": pd.Series([kind] * n, dtype=object), "run_id": pd.Series([run] * n, dtype=object)})
     for name in list(kinds)[2:]:
         held = columns.get(name)
         held = held if isinstance(held, list | np.ndarray) else [held] * n
         # nullable integers, so that no id passes through a double
-        out[name] = pd.array(held, dtype={"bigint": "Int64", "int": "Int32", "double": "Float64"}[kinds[name]]) if kinds[name] in ("bigint", "int", "double") else held
+        out[name] = pd.array(held, dtype={"bigint": "Int64", "int": "Int32", "double": "Float64"}[kinds[name]]) if kinds[name] in ("bigint", "int", "double") else pd.Series(held, dtype=object)
     return out
 
 
@@ -358,69 +436,145 @@ def model_rows(run: str, k: int, particle: int, tw: np.ndarray) -> pd.DataFrame:
     return frame("model", run, iter=k, particle=particle, topic=z.astype(np.int32), word_id=w.astype(np.int32), n=tw[w, z].astype(np.int64))
 
 
-def replay_all(docs: DataFrame, params: dict, vocab_size: int, eval_every: int = 50, models: bool = False, debug: bool = False) -> DataFrame:
-    """REPLAYED rows of the filter over documents (run_id, seed, ord, doc_id,
-    category, word_ids) of many runs, each in the order of ``ord`` in a task of its
-    own, in one pass.
+class Recorder:
+    """Steps a filter and tells REPLAYED rows of what happens on the way.
 
     Events have the number of documents before as their ``iter``: num_words and
     token (tokens before) of each document, resampling; after the initial ones,
-    every ``eval_every`` and all documents the NMI of all labels and of the initial
-    ones (if there is more than one category) and the effective sample size, and
-    the best particle's model if asked for; with ``debug``, all particles' models
-    and the reservoir at the end. Labels are the best particle's at the end."""
+    every ``eval_every`` and, once it is told so, all documents the NMI of all labels
+    and of the initial ones (if ``labelled``) and the effective sample size, and the
+    best particle's model if asked for."""
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ord", "doc_id"])
-        run, pf = rows["run_id"].iloc[0], ParticleFilter(params, vocab_size, int(rows["seed"].iloc[0]))
-        ids = [int(d) for d in rows["doc_id"]]
-        category = dict(zip(ids, map(str, rows["category"]), strict=True))
-        several = len(set(category.values())) > 1
-        initial = ids[: params["init_num_docs"]]
-        events: list[tuple[int, str, float]] = []
-        out: list[pd.DataFrame] = []
-
-        def evaluate(k: int) -> None:
-            nonlocal last
-            if k == last:  # as it was just evaluated
-                return
-            last = k
-            pf.labels.settle()
-            if several:
-                label = pf.labels.of(pf.best())
-                for name, docs in (("init_in_sample_nmi", initial), ("in_sample_nmi", list(label))):
-                    docs = [d for d in docs if d in label]
-                    events.append((k, name, nmi([category[d] for d in docs], [label[d] for d in docs])))
-            events.append((k, "ess", pf.ess()))
-            if models:
-                out.append(model_rows(run, k, 0, pf.tw[pf.best()]))
-
-        last = -1
-        for k, (doc, words) in enumerate(zip(ids, rows["word_ids"], strict=True)):
-            was, ready, words = pf.version, pf.ready, [int(w) for w in words]
-            if ready:
-                events += [(k, "num_words", len(words)), (k, "token", pf.tokens)]
-            pf.step(doc, words)
-            events += [(k, "resampling", 1.0)] * (pf.version - was)
-            if ready and k % eval_every == 0:
-                evaluate(k)
-            elif pf.ready and not ready:
-                evaluate(k + 1)
-            yield from out
-            out.clear()
+    def __init__(self, pf: ParticleFilter, run: str, eval_every: int, models: bool, labelled: bool):
+        self.pf, self.run, self.eval_every, self.models, self.labelled = pf, run, eval_every, models, labelled
+        self.events: list[tuple[int, str, float]] = []
+        self.settled: dict[int, int] = {}  # labels that settled on the way
+
+    @property
+    def before(self) -> int:
+        return self.pf.seen + len(self.pf.waiting)
+
+    def evaluate(self, k: int) -> Iterator[pd.DataFrame]:
+        pf = self.pf
+        if k == pf.evaluated:
+            return
+        pf.evaluated = k
+        self.settled |= pf.settle()
+        if self.labelled:
+            every, first = pf.agreement()
+            self.events += [(k, "init_in_sample_nmi", first), (k, "in_sample_nmi", every)]
+        self.events.append((k, "ess", pf.ess()))
+        if self.models:
+            yield model_rows(self.run, k, 0, pf.tw[pf.best()])
+
+    def start(self) -> Iterator[pd.DataFrame]:
+        """Of a filter that starts from a stored model."""
+        if self.pf.ready and self.pf.seen and self.pf.evaluated < 0:
+            yield from self.evaluate(self.pf.seen)
+
+    def step(self, doc: int, words: list[int], category: str) -> Iterator[pd.DataFrame]:
+        pf, k = self.pf, self.before
+        was, ready = pf.version, pf.ready
+        if ready:
+            self.events += [(k, "num_words", len(words)), (k, "token", pf.tokens)]
+        pf.step(doc, words, category)
+        self.events += [(k, "resampling", 1.0)] * (pf.version - was)
+        if ready and k % self.eval_every == 0:
+            yield from self.evaluate(k)
+        elif pf.ready and not ready:
+            yield from self.evaluate(k + 1)
+
+    def told(self) -> Iterator[pd.DataFrame]:
+        if self.events:
+            yield frame("event", self.run, iter=[e[0] for e in self.events], metric=[e[1] for e in self.events], value=[float(e[2]) for e in self.events])
+        self.events = []
+
+    def dump(self) -> Iterator[pd.DataFrame]:
+        """All particles' models, the reservoir, documents that wait for the first
+        step, and all particles' labels of documents on which they differ; on the
+        others they have the emitted one."""
+        pf, k = self.pf, self.before
+        for p, tw in enumerate(pf.tw):
+            if tw.any():
+                yield model_rows(self.run, k, p, tw).assign(kind="particle")
+        for doc, words, _ in pf.waiting:
+            yield frame("waiting", self.run, iter=k, doc_id=doc, ids=[words])
+        for d in pf.reservoir:
+            yield frame("reservoir", self.run, iter=k, doc_id=d.doc_id, particle=list(range(len(d.z))), ids=[z.astype(np.int32).tolist() for z in d.z])
+        for p in range(len(pf.weights)) if pf.labels.open else ():
+            label = pf.labels.of(p, list(pf.labels.open))
+            yield frame("particle_label", self.run, iter=k, particle=p, doc_id=list(label), topic=list(label.values()))
+
+
+#: What a run starts from: cells of a model (topic, word_id, n), documents with their
+#: topics in their order, documents that are counted in the model but not given (their
+#: number n, and their tokens as ord), and the latter by (category, topic, n).
+STARTS = "run_id string, seed bigint, kind string, topic int, word_id int, n bigint, ord bigint, doc_id bigint, category string, word_ids array<int>, topics array<int>"
+
+
+def starts_from(assigned: DataFrame, params: dict) -> DataFrame:
+    """STARTS rows from documents with topics (run_id, seed, ord, doc_id, category,
+    word_ids, topics), whichever sampler gave them. Of a run with more documents
+    than the reservoir holds, those of lowest hashed priority are in it; with
+    ``forget_stats`` the model counts them alone, else all."""
+    size = params["reservoir_size"]
+    docs = assigned.select("run_id", F.col("seed").cast("long").alias("seed"), F.col("ord").cast("long").alias("ord"), F.col("doc_id").cast("long").alias("doc_id"), F.col("category").cast("string").alias("category"), "word_ids", "topics")
+    held = reservoir_by_key(docs.select("run_id", "doc_id"), "run_id", size, "doc_id").select("run_id", "doc_id", F.lit(True).alias("held"))
+    docs = keep(docs.join(held, ["run_id", "doc_id"], "left").withColumn("held", F.coalesce("held", F.lit(False))), "starts")
+    counted = docs.where("held") if params["forget_stats"] else docs
+    tokens = counted.select("run_id", "seed", F.explode(F.arrays_zip("word_ids", "topics")).alias("a")).select("run_id", "seed", F.col("a.topics").alias("topic"), F.col("a.word_ids").alias("word_id"))
+    parts = [
+        tokens.groupBy("run_id", "seed", "topic", "word_id").agg(F.count("*").alias("n")).withColumn("kind", F.lit("model")),
+        docs.where("held").withColumn("kind", F.lit("doc")),
+    ]
+    gone = docs.where("not held")
+    label = F.coalesce(F.array_position(F.transform(F.sequence(F.lit(0), F.lit(params["num_topics"] - 1)), lambda k: F.size(F.filter("topics", lambda z: z == k))), F.array_max(F.transform(F.sequence(F.lit(0), F.lit(params["num_topics"] - 1)), lambda k: F.size(F.filter("topics", lambda z: z == k))))), F.lit(1)) - 1
+    parts.append(gone.groupBy("run_id", "seed").agg(F.count("*").alias("n"), F.sum(F.size("word_ids")).alias("ord")).withColumn("kind", F.lit("gone")))
+    parts.append(gone.withColumn("topic", label.cast("int")).groupBy("run_id", "seed", "category", "topic").agg(F.count("*").alias("n")).withColumn("kind", F.lit("cell")))
+    for topic, word, n in params.get("seed_topics", ()):  # a parameter
+        parts.append(docs.select("run_id", "seed").distinct().withColumns({"kind": F.lit("model"), "topic": F.lit(topic), "word_id": F.lit(word), "n": F.lit(n).cast("long")}))
+    fields = [x.split() for x in STARTS.split(", ")]
+    out = None
+    for part in parts:
+        part = part.select(*[(F.col(c) if c in part.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields])
+        out = part if out is None else out.union(part)
+    return out
+
+
+def replay_all(docs: DataFrame, params: dict, vocab_size: int, eval_every: int = 50, models: bool = False, debug: bool = False, starts: DataFrame | None = None) -> DataFrame:
+    """REPLAYED rows of the filter over documents (run_id, seed, ord, doc_id,
+    category, word_ids) of many runs, each in the order of ``ord`` in a task of its
+    own, in one pass: those of a Recorder, the best particle's labels at the end, and
+    with ``debug`` the whole state then. Runs that have STARTS rows start from them."""
+
+    def run_of(run: str, rows: pd.DataFrame, pf: ParticleFilter, several: bool) -> Iterator[pd.DataFrame]:
+        recorder = Recorder(pf, run, eval_every, models, several)
+        yield from recorder.start()
+        for doc, words, category in zip(rows["doc_id"], rows["word_ids"], rows["category"], strict=True):
+            yield from recorder.step(int(doc), [int(w) for w in words], str(category))
         pf.finish()
-        evaluate(len(ids))
-        yield frame("event", run, iter=[e[0] for e in events], metric=[e[1] for e in events], value=[float(e[2]) for e in events])
+        yield from recorder.evaluate(recorder.before)
+        yield from recorder.told()
         label = pf.labels.of(pf.best())
         yield frame("label", run, iter=pf.version, doc_id=list(label), topic=[int(x) for x in label.values()])
-        yield from out
         if debug:
-            for p, tw in enumerate(pf.tw):
-                yield model_rows(run, len(ids), p, tw).assign(kind="particle")
-            for d in pf.reservoir:
-                yield frame("reservoir", run, iter=len(ids), doc_id=d.doc_id, particle=list(range(len(d.z))), ids=[z.astype(np.int32).tolist() for z in d.z])
+            pf.settle()
+            yield from recorder.dump()
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ord", "doc_id"])
+        yield from run_of(rows["run_id"].iloc[0], rows, ParticleFilter(params, vocab_size, int(rows["seed"].iloc[0])), rows["category"].astype(str).nunique() > 1)
 
-    return docs.groupBy("run_id").applyInPandas(kernel, REPLAYED)
+    def begun(key: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ord", "doc_id"])
+        seed = int((rows if len(rows) else start)["seed"].iloc[0])
+        pf = ParticleFilter.started(params, vocab_size, seed, start) if len(start) else ParticleFilter(params, vocab_size, seed)
+        names = {*rows["category"].astype(str), *start["category"].dropna().astype(str)}
+        return pd.concat(list(run_of(key[0], rows, pf, len(names) > 1)))
+
+    if starts is None:
+        return docs.groupBy("run_id").applyInPandas(kernel, REPLAYED)
+    return docs.groupBy("run_id").cogroup(starts.groupBy("run_id")).applyInPandas(begun, REPLAYED)
 
 
 def events_of(replayed: DataFrame) -> DataFrame:
@@ -435,63 +589,131 @@ def models_of(replayed: DataFrame, kind: str = "model") -> DataFrame:
     return replayed.where(F.col("kind") == kind).select("run_id", "iter", "particle", "topic", "word_id", "n")
 
 
+BYTES, NUMBER, DOC = (StructType([StructField(name, kind)]) for name, kind in (("bytes", BinaryType()), ("number", IntegerType()), ("doc_id", LongType())))
+#: State variables that map a number, or a document, to bytes.
+MAPS = ("particles", "slots", "waiting", "labels", "starting")
+
+
+def restored_filter(small: bytes | None, maps: dict[str, dict[int, bytes]], params: dict, vocab_size: int, seed: int | None = None) -> ParticleFilter:
+    """A run's filter from the values of its state. A run that has met no document yet
+    holds at most the rows it starts from."""
+    if small is not None:
+        parts = [[maps[x][k] for k in sorted(maps[x])] for x in ("particles", "slots", "waiting")]
+        return ParticleFilter.restored(small, *parts, maps["labels"])
+    if maps["starting"]:
+        rows = pd.concat([pickle.loads(maps["starting"][k]) for k in sorted(maps["starting"])])
+        return ParticleFilter.started(params, vocab_size, int(rows["seed"].iloc[0]) if seed is None else seed, rows)
+    return ParticleFilter(params, vocab_size, seed or 0)
+
+
 class FilterProcessor(StatefulProcessor):
     """Keeps a run's filter between micro-batches. One state value holds what is
     small (K numbers a particle, and the ancestry of labels not settled), one a
     particle its model, one a slot of the reservoir its document, one a document
-    its label while particles differ on it; so no value grows with the stream."""
-
-    PARTS = ("particles", "slots", "waiting", "labels")
+    its label while particles differ on it; so no value grows with the stream. A run
+    in the initial state starts from its rows, which come in parts."""
 
-    def __init__(self, params: dict, vocab_size: int):
-        self.params, self.vocab_size = params, vocab_size
+    def __init__(self, params: dict, vocab_size: int, eval_every: int = 50, models: bool = False, labelled: bool = False):
+        self.params, self.vocab_size, self.how = params, vocab_size, (eval_every, models, labelled)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        held, number, name = StructType([StructField("bytes", BinaryType())]), StructType([StructField("number", IntegerType())]), StructType([StructField("doc_id", LongType())])
-        self.small = handle.getValueState("small", held)
-        self.particles, self.slots, self.waiting = (handle.getMapState(x, number, held) for x in ("particles", "slots", "waiting"))
-        self.labels = handle.getMapState("labels", name, held)
+        self.small = handle.getValueState("small", BYTES)
+        self.maps = {x: handle.getMapState(x, DOC if x == "labels" else NUMBER, BYTES) for x in MAPS}
 
-    def _restored(self) -> tuple[ParticleFilter, dict[int, int]]:
-        held = [{k[0]: bytes(v[0]) for k, v in state.iterator()} for state in (self.particles, self.slots, self.waiting)]
-        labels = {k[0]: bytes(v[0]) for k, v in self.labels.iterator()}
-        emitted = {d: pickle.loads(x)[2] for d, x in labels.items()}
-        return ParticleFilter.restored(bytes(self.small.get()[0]), *[[x[k] for k in sorted(x)] for x in held], labels), emitted
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        held = self.maps["starting"]
+        held.updateValue((sum(1 for _ in held.keys()),), (pickle.dumps(initialState),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ord", "doc_id"])
-        pf, emitted = self._restored() if self.small.exists() else (ParticleFilter(self.params, self.vocab_size, int(batch["seed"].iloc[0])), {})
+        small = bytes(self.small.get()[0]) if self.small.exists() else None
+        values = {x: {k[0]: bytes(v[0]) for k, v in state.iterator()} for x, state in self.maps.items()}
+        emitted = {d: pickle.loads(x)[2] for d, x in values["labels"].items()}
+        pf = restored_filter(small, values, self.params, self.vocab_size, int(batch["seed"].iloc[0]))
         before, was_waiting = set(emitted), len(pf.waiting)
-        for doc, words in zip(batch["doc_id"], batch["word_ids"], strict=True):
-            pf.step(int(doc), [int(w) for w in words])
+        if small is None:
+            was_waiting = 0
+            for k in values["starting"]:
+                self.maps["starting"].removeKey((k,))
+        recorder = Recorder(pf, key[0], *self.how)
+        yield from recorder.start()
+        for doc, words, category in zip(batch["doc_id"], batch["word_ids"], batch["category"], strict=True):
+            yield from recorder.step(int(doc), [int(w) for w in words], str(category))
         now = pf.labels.of(pf.best(), list(pf.labels.open))
-        changed = {d: x for d, x in (now | pf.labels.settle()).items() if emitted.get(d) != x}
+        about = dict(pf.about)
+        changed = {d: x for d, x in (recorder.settled | now | pf.settle()).items() if emitted.get(d) != x}
         for k, part in enumerate(pf.particle_parts()):
-            self.particles.updateValue((k,), (part,))
+            self.maps["particles"].updateValue((k,), (part,))
         for k in sorted(pf.moved):
-            self.slots.updateValue((k,), (pickle.dumps(pf.reservoir[k]),))
+            self.maps["slots"].updateValue((k,), (pickle.dumps(pf.reservoir[k]),))
         for k in range(was_waiting, len(pf.waiting)):
-            self.waiting.updateValue((k,), (pickle.dumps(pf.waiting[k]),))
+            self.maps["waiting"].updateValue((k,), (pickle.dumps(pf.waiting[k]),))
         for k in range(was_waiting if not pf.waiting else 0):
-            self.waiting.removeKey((k,))
+            self.maps["waiting"].removeKey((k,))
         for d, (version, given) in pf.labels.open.items():
             if d in pf.labels.given or d in changed:
-                self.labels.updateValue((d,), (pickle.dumps((version, given, now[d])),))
+                self.maps["labels"].updateValue((d,), (pickle.dumps((version, given, now[d], about[d])),))
         for d in before - set(pf.labels.open):
-            self.labels.removeKey((d,))
+            self.maps["labels"].removeKey((d,))
         self.small.update((pf.small(),))
-        yield pd.DataFrame([(key[0], d, x, pf.seen) for d, x in sorted(changed.items())], columns=["run_id", "doc_id", "label", "version"]).astype({"label": "int32"})
+        yield from recorder.told()
+        if changed:
+            yield frame("label", key[0], iter=pf.seen, doc_id=sorted(changed), topic=[changed[d] for d in sorted(changed)])
 
     def close(self) -> None:
         pass
 
 
-def filter_stream(docs: DataFrame, params: dict, vocab_size: int) -> DataFrame:
-    """LABELS updates of streamed documents (run_id, seed, ord, doc_id, category,
-    word_ids): those of the best particle that are new or other than before, so
-    the latest ones are at any time what ``replay_all`` ends with. Needs the RocksDB
-    state store. Within a micro-batch documents go in the order of ``ord``."""
-    return docs.groupBy("run_id").transformWithStateInPandas(statefulProcessor=FilterProcessor(params, vocab_size), outputStructType=LABELS, outputMode="Update", timeMode="None")
+def report_stream(docs: DataFrame, params: dict, vocab_size: int, eval_every: int = 50, models: bool = True, labelled: bool = False, starts: DataFrame | None = None) -> DataFrame:
+    """REPLAYED rows of streamed documents (run_id, seed, ord, doc_id, category,
+    word_ids): what a Recorder tells, and labels of the best particle that are new or
+    other than before. Needs the RocksDB state store. Within a micro-batch documents
+    go in the order of ``ord``. Runs that have STARTS rows start from them."""
+    processor = FilterProcessor(params, vocab_size, eval_every, models, labelled)
+    initial = None if starts is None else starts.groupBy("run_id")
+    return docs.groupBy("run_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=REPLAYED, outputMode="Update", timeMode="None", initialState=initial)
+
+
+def filter_stream(docs: DataFrame, params: dict, vocab_size: int, starts: DataFrame | None = None) -> DataFrame:
+    """LABELS updates of ``report_stream``: the latest ones are at any time what
+    ``replay_all`` ends with."""
+    return labels_of(report_stream(docs, params, vocab_size, models=False, starts=starts))
+
+
+def stored_rows(spark: SparkSession, checkpoint: str, params: dict, vocab_size: int, eval_every: int = 50, models: bool = True, labelled: bool = False, finish: bool = False, batch: int | None = None) -> DataFrame:
+    """REPLAYED rows of the state in a stream's checkpoint, live or stopped, after its
+    last micro-batch or the given one: a Recorder's dump. With ``finish`` as if the
+    stream ended there: also the last evaluation and the best particle's labels on
+    which particles still differed. Runs are read in parallel, each in a task."""
+
+    def state(name: str, value: str, place: str) -> DataFrame:
+        reader = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name)
+        reader = reader if batch is None else reader.option("batchId", batch)
+        return reader.load().select(F.col("key.run_id").alias("run_id"), F.lit(name).alias("name"), F.expr(place).cast("long").alias("k"), F.col(value).alias("held"))
+
+    rows = state("small", "value.bytes", "0")
+    for name in MAPS:
+        rows = rows.union(state(name, "user_map_value.bytes", "user_map_key.doc_id" if name == "labels" else "user_map_key.number"))
+
+    def restore(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        maps = {x: {} for x in ("small", *MAPS)}
+        for name, k, held in zip(rows["name"], rows["k"], rows["held"], strict=True):
+            maps[name][k] = bytes(held)
+        pf = restored_filter(maps["small"].get(0), maps, params, vocab_size)
+        recorder, out = Recorder(pf, key[0], eval_every, models, labelled), []
+        if finish:
+            emitted = {d: pickle.loads(x)[2] for d, x in maps["labels"].items()}
+            pf.finish()
+            out += recorder.evaluate(recorder.before)
+            label = recorder.settled | pf.labels.of(pf.best(), list(pf.labels.open))
+            changed = {d: x for d, x in sorted(label.items()) if emitted.get(d) != x}
+            if changed:
+                out.append(frame("label", key[0], iter=pf.seen + 1, doc_id=list(changed), topic=list(changed.values())))
+            pf.settle()
+        out += [*recorder.told(), *recorder.dump()]
+        return pd.concat(out or [frame("event", key[0], iter=[])])
+
+    return rows.groupBy("run_id").applyInPandas(restore, REPLAYED)
 
 
 def latest_labels(updates: DataFrame) -> DataFrame:
