@@ -5,7 +5,7 @@ batch PATH                            learn from an unlabelled corpus
 seeds PATH CATEGORIES TRIES           rank seeds by their initial runs
 newsgroups TRAIN TEST OUT             [--stop_list= --tokenizer= --lower= --remove_header= --remove_walls=]
 tweets|newswire IN OUT                [--stop_list= --train_frac= --seed=; newswire: --tokenizer= --lower=]
-annotate|flatten IN OUT               a labelled corpus to annotated documents and back
+annotate|flatten IN OUT               a labelled corpus to annotated documents and back [--format=binary|compact|json; flatten: --stop_list= --lower=]
 generate OUT                          [--num_docs= --num_words= --num_topics= --vocab_size= --alpha= --beta= --train_frac= --seed=]
 traces LOGS OUT                       tables of metrics [--iter_key=doc]
 """
@@ -23,6 +23,7 @@ from topicloom.operators.trace import process_logs
 from topicloom.plans import runs
 from topicloom.plans.params import _parsed
 from topicloom.sources import corpus as S
+from topicloom.sources.thrift import read_documents, write_documents
 
 
 def _options(given: dict[str, str], **defaults: object) -> dict:
@@ -85,13 +86,19 @@ def newswire(spark: SparkSession, given: dict[str, str], source: str, out: str)
 
 
 def annotate(spark: SparkSession, given: dict[str, str], source: str, out: str) -> None:
-    _options(given)
-    S.write_annotated(S.read_labelled(spark, source), out)
+    o = _options(given, format="binary")
+    docs = S.read_labelled(spark, source)
+    if o["format"] == "json":
+        S.write_annotated(docs, out)
+    else:
+        write_documents(S.annotate(docs), out, o["format"])
 
 
 def flatten(spark: SparkSession, given: dict[str, str], source: str, out: str) -> None:
-    o = _options(given, stop_list="", lower=False)
-    S.write_labelled_text(S.read_annotated(spark, source, lower=o["lower"], stop=_stop(spark, o["stop_list"])), out)
+    o = _options(given, stop_list="", lower=False, format="binary")
+    how = {"lower": o["lower"], "stop": _stop(spark, o["stop_list"])}
+    docs = S.read_annotated(spark, source, **how) if o["format"] == "json" else S.flatten_annotated(read_documents(spark, source, o["format"]), **how)
+    S.write_labelled_text(docs, out)
 
 
 def generate(spark: SparkSession, given: dict[str, str], out: str) -> None:

@@ -18,6 +18,7 @@ from topicloom.operators import gibbs, likelihood, metrics, selection, trace, vo
 from topicloom.plans import online, runs
 from topicloom.plans.params import FilterParams
 from topicloom.sources import corpus as S
+from topicloom.sources import thrift
 from topicloom.sources.scratch import keep, scratch_path
 from topicloom.streaming import particle, reservoir
 
@@ -189,6 +190,15 @@ def annotated_roundtrip(spark, d):
     return S.read_annotated(spark, path).select("doc_id", "category", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
+@query("doc_id:long category:str n:long digest:str", BASE + "\n--\nSELECT doc_id, category, len(tokens) AS n, md5(array_to_string(tokens, ' ')) AS digest FROM base WHERE len(tokens) > 0 AND category IN ('en', 'es')")
+def annotated_bytes(spark, d):
+    """Annotated documents as Thrift structs; the filter on categories leaves files out."""
+    path = scratch_path(spark, "thrift")
+    thrift.write_documents(S.annotate(documents(spark, d).withColumn("split", S.bernoulli_split(F.col("doc_id"), 0.6, SEED))), path, "compact")
+    rows = thrift.read_documents(spark, path, "compact").where(F.col("category").isin("en", "es"))
+    return S.flatten_annotated(rows).select("doc_id", "category", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
 @query("doc_id:long category:str split:str n:long digest:str", BASE + f"\n--\nSELECT doc_id, category, CASE WHEN {U.format(token_hash_sql('doc_id', '0', 0, SEED))} < 0.6 THEN 'train' ELSE 'test' END AS split, len(tokens) AS n, md5(array_to_string(tokens, ' ')) AS digest FROM base WHERE category IN ('en', 'fr')")
 def labelled_corpus_scan(spark, d):
     path = scratch_path(spark, "labelled")
