@@ -17,7 +17,7 @@ from topicloom.operators import gibbs, likelihood, selection, vocab
 from topicloom.plans.evaluation import evaluate_models
 from topicloom.plans.params import BatchParams, FilterParams, GibbsParams, ModelParams
 from topicloom.sources.corpus import read_topic_list
-from topicloom.sources.scratch import keep
+from topicloom.sources.scratch import keep, spread
 from topicloom.streaming import particle
 
 
@@ -45,6 +45,7 @@ def fresh_seed(seed: int) -> int:
 def encoded_corpus(docs: DataFrame, oov_max_count: int = 1, test_in_vocab: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents with word_ids, vocabulary): words of training documents only,
     unless asked otherwise. Both are written once and read by every step."""
+    docs = spread(docs)
     train = docs if test_in_vocab else docs.where("split = 'train'")
     words = keep(vocab.build_vocab(train, oov_max_count), "vocab")
     ids = vocab.encode_docs(docs, words)

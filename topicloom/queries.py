@@ -19,7 +19,7 @@ from topicloom.plans import online, runs
 from topicloom.plans.params import FilterParams
 from topicloom.sources import corpus as S
 from topicloom.sources import thrift
-from topicloom.sources.scratch import keep, scratch_path
+from topicloom.sources.scratch import keep, scratch_path, spread
 from topicloom.streaming import particle, reservoir
 
 K, ALPHA, BETA, SEED = 4, 0.1, 0.1, 1
@@ -52,7 +52,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, stop: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, category, tokens) of all documents; the language is the label."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"), T.prepared(F.col("text"), stop=stop).alias("tokens"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return rows.select("doc_id", F.col("lang").alias("category"), T.prepared(F.col("text"), stop=stop).alias("tokens"))
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:

@@ -30,3 +30,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
+    """df in two parts for each core, where its files are so small that a few tasks
+    would read them all; what is larger comes in many parts anyway."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(2 * cores) if size < cores * part_bytes else df
