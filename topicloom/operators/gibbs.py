@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.rng import generator
+from topicloom.sources.scratch import by_group
 
 
 class GibbsState:
@@ -119,7 +120,7 @@ def gibbs_runs(docs: DataFrame, vocab_size: int, num_topics: int = 3, alpha: flo
         state = learned([list(map(int, w)) for w in rows["word_ids"]], num_topics, vocab_size, alpha, beta, iters, int(rows["seed"].iloc[0]))
         return pd.DataFrame({"run_id": rows["run_id"].to_numpy(), "doc_id": rows["doc_id"].to_numpy(), "word_ids": state.docs, "topics": state.z})
 
-    return docs.groupBy("run_id").applyInPandas(kernel, ASSIGNED)
+    return by_group(docs, "run_id").groupBy("run_id").applyInPandas(kernel, ASSIGNED)
 
 
 def assignments(runs: DataFrame) -> DataFrame:
@@ -173,9 +174,9 @@ def distributed_gibbs(docs: DataFrame, keep, vocab_size: int, num_topics: int, a
     counts are summed. An approximation of the exact chain that is the same
     however documents are partitioned. ``keep(df, name)`` writes a table and reads
     it back, which cuts lineage. The model is sent to the tasks (K * V counts);
-    beyond ``max_model_mb`` this raises, and ``counts.sync_sweep`` is the way."""
+    beyond ``max_model_mb`` this raises, and ``rotation.rotating_gibbs`` is the way."""
     if 16 * num_topics * vocab_size > max_model_mb << 20:
-        raise ValueError("the model is too large to send; use counts.sync_sweep")
+        raise ValueError("the model is too large to send; use rotation.rotating_gibbs")
     spark = docs.sparkSession
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,20 +191,17 @@ def distributed_gibbs(docs: DataFrame, keep, vocab_size: int, num_topics: int, a
         sent = spark.sparkContext.broadcast(counted(tokens.groupBy("word_id", "topic").agg(F.count("*").alias("n")), num_topics, vocab_size, max_model_mb))
 
         def sweep(batches: Iterator[pd.DataFrame], k: int = k, sent=sent) -> Iterator[pd.DataFrame]:
-            local = GibbsState(num_topics, vocab_size, alpha, beta)
-            local.tw, local.t = sent.value.tolist(), sent.value.sum(0).tolist()
+            local = GibbsState(num_topics, 0, alpha, beta)
+            local.v, totals = vocab_size, sent.value.sum(0).tolist()
             for batch in batches:
                 swept = []
                 for doc, words, topics in zip(batch["doc_id"], batch["word_ids"], batch["topics"], strict=True):
-                    words, was = words.tolist(), topics.tolist()
-                    local.docs, local.z, local.dt = [words], [list(was)], [np.bincount(was, minlength=num_topics).tolist() if was else [0] * num_topics]
+                    own = np.unique(words)  # each document meets the counts of the round before, so it changes copies of its words' rows
+                    local.tw, local.t = dict(zip(own.tolist(), sent.value[own].tolist(), strict=True)), list(totals)
+                    was = topics.tolist()
+                    local.docs, local.z, local.dt = [words.tolist()], [was], [np.bincount(was, minlength=num_topics).tolist() if was else [0] * num_topics]
                     local.sweep(generator(seed, f"sweep{k}", int(doc)))
-                    swept.append(local.z[0])
-                    for w, old, new in zip(words, was, local.z[0], strict=True):  # the next document meets the counts as they were
-                        local.tw[w][new] -= 1
-                        local.tw[w][old] += 1
-                        local.t[new] -= 1
-                        local.t[old] += 1
+                    swept.append(was)
                 batch["topics"] = swept
                 yield batch
 

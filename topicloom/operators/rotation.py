@@ -141,8 +141,8 @@ def rotating_gibbs(docs: DataFrame, keep: Callable, vocab_size: int, num_topics:
     """(doc_id, word_ids, topics) after ``iters`` sweeps over documents (doc_id,
     word_ids). ``keep(df, name)`` writes a table and reads it back.
 
-    There are as many ``blocks`` as the session has cores, or as slices of
-    ``slice_mb`` the model needs, if these are more. With one block this is the
+    There are as many ``blocks`` as the session has cores, up to 64, or as slices of
+    ``slice_mb`` the model needs, if these are more; a round has a task a block. With one block this is the
     exact chain. With more, words' counts are exact at each draw, and only the K
     totals are those of the round's start and the block's own changes; so the result
     depends on the number of blocks, but not on how Spark partitions or where tasks
@@ -150,7 +150,7 @@ def rotating_gibbs(docs: DataFrame, keep: Callable, vocab_size: int, num_topics:
     draws by Metropolis-Hastings steps; unless told, from 100 topics on."""
     spark = docs.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    blocks = blocks or max(cores, -(-CELL * vocab_size * num_topics // (slice_mb << 20)))
+    blocks = blocks or max(min(cores, 64), -(-CELL * vocab_size * num_topics // (slice_mb << 20)))
     sparse = num_topics >= 100 if sparse is None else sparse
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from topicloom.functions.rng import generator
 from topicloom.operators import gibbs, likelihood
 from topicloom.plans.params import ModelParams
-from topicloom.sources.scratch import keep
-from topicloom.streaming.particle import nmi
+from topicloom.sources.scratch import by_group, keep
+from topicloom.streaming.particle import nmi_of
 
 PARTS = "run_id string, iter bigint, kind string, a string, i int, j int, value double"
 METRICS = "run_id string, iter bigint, metric string, value double"
@@ -24,25 +24,32 @@ def top_words(tw: np.ndarray, n: int) -> list[list[int]]:
     return [[int(w) for w in np.lexsort((np.arange(len(c)), -c))[:n] if c[w] > 0] for c in tw.T]
 
 
-def evaluate_models(models: DataFrame, test: DataFrame, vocab_size: int, p: ModelParams, labelled: bool = True, coherence_words: int = 0, block_docs: int = 10_000) -> DataFrame:
+def evaluate_models(models: DataFrame, test: DataFrame, vocab_size: int, p: ModelParams, labelled: bool = True, coherence_words: int = 0, block_docs: int = 10_000, group_mb: int = 64) -> DataFrame:
     """(run_id, iter, metric, value) of topic-word tables (run_id, iter, topic,
     word_id, n) on encoded documents (doc_id, category, word_ids).
 
     Log likelihood and perplexity by first moments; the left-to-right ones,
     coherence of ``coherence_words`` top words and NMI of inferred topics if asked
-    for. Every model meets every block of about ``block_docs`` documents in a task
-    of its own, which gives sums and counts; those, at most categories x topics
-    and topics x words squared a model, are added up. Without documents the
-    likelihood is 0, the perplexity null and the NMI 0."""
+    for. Models are dealt into groups of as many as ``group_mb`` holds, and every
+    group meets every block of about ``block_docs`` documents in a task of its own,
+    so documents move once a group. A task gives sums and counts; those, at most
+    categories x topics and topics x words squared a model, are added up. Without
+    documents the likelihood is 0, the perplexity null and the NMI 0."""
     k, alpha, beta, seed = p.num_topics, p.alpha, p.beta, max(p.init_seed, 0)
     models = models.select("run_id", "iter", "topic", "word_id", "n")
     test = test.select("doc_id", "category", "word_ids")
     blocks = max(1, -(-test.count() // block_docs))
-    which = keep(models.select("run_id", "iter").distinct(), "models")
-    docs = test.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).crossJoin(F.broadcast(which))  # models: as many as evaluations were asked for
-    sides = models.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    which = keep(models.select("run_id", "iter").distinct(), "models")  # as many as evaluations were asked for
+    together = max(1, min(16, (group_mb << 20) // (16 * vocab_size * k)))
+    groups = max(1, -(-which.count() // together))
+    docs = test.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    sides = models.withColumn("group", F.pmod(F.xxhash64("run_id", "iter"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def score(key: tuple, model: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame(columns=[x.split()[0] for x in PARTS.split(", ")]).astype({"iter": "int64", "i": "Int32", "j": "Int32", "value": "float64"})
+        return pd.concat([none, *(score_one(named, one, docs) for named, one in model.groupby(["run_id", "iter"]))])
+
+    def score_one(key: tuple, model: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         tw = np.zeros((vocab_size, k), np.int64)
         np.add.at(tw, (model["word_id"].to_numpy(np.int64), model["topic"].to_numpy(np.int64)), model["n"].to_numpy(np.int64))
         phi = (tw + beta) / (tw.sum(0) + vocab_size * beta)
@@ -68,7 +75,7 @@ def evaluate_models(models: DataFrame, test: DataFrame, vocab_size: int, p: Mode
         out += [("words", str(t), len(best), None, 0.0) for t, best in enumerate(top)]
         return pd.DataFrame([(key[0], key[1], *x) for x in out], columns=[x.split()[0] for x in PARTS.split(", ")]).astype({"i": "Int32", "j": "Int32"})
 
-    parts = sides.groupBy("run_id", "iter", "block").cogroup(docs.groupBy("run_id", "iter", "block")).applyInPandas(score, PARTS)
+    parts = by_group(sides, "group", "block").groupBy("group", "block").cogroup(by_group(docs, "group", "block").groupBy("group", "block")).applyInPandas(score, PARTS)
     sums = keep(parts.groupBy("run_id", "iter", "kind", "a", "i", "j").agg(F.sum("value").alias("value")), "sums")
 
     def finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -79,8 +86,7 @@ def evaluate_models(models: DataFrame, test: DataFrame, vocab_size: int, p: Mode
             out += [("out_of_sample_ltr_log_likelihood", one.get("ltr", 0.0)), ("out_of_sample_ltr_perplexity", float(np.exp(-one["ltr"] / n)) if n else None)]
         if labelled:
             cells = rows[rows["kind"] == "cell"]
-            each = cells["value"].to_numpy(np.int64)
-            out.append(("out_of_sample_nmi", nmi(np.repeat(cells["a"].to_numpy(str), each).tolist(), np.repeat(cells["i"].to_numpy(np.int64), each).tolist())))
+            out.append(("out_of_sample_nmi", nmi_of({(r.a, int(r.i)): r.value for r in cells.itertuples()})))
         if coherence_words:
             held = {(r.a, int(r.i), int(r.j)): r.value for r in rows[rows["kind"] == "held"].itertuples()}
             total = 0.0

@@ -32,6 +32,7 @@ class ModelParams:
     num_topics: int = 3
     ltr_num_particles: int = 20
     ltr_eval: bool = False
+    skip_oov: bool = False
 
     @classmethod
     def of(cls, **given: object):

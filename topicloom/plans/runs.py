@@ -17,7 +17,7 @@ from topicloom.operators import gibbs, likelihood, selection, vocab
 from topicloom.plans.evaluation import evaluate_models
 from topicloom.plans.params import BatchParams, FilterParams, GibbsParams, ModelParams
 from topicloom.sources.corpus import read_topic_list
-from topicloom.sources.scratch import keep, spread
+from topicloom.sources.scratch import by_group, keep, spread
 from topicloom.streaming import particle
 
 
@@ -80,9 +80,10 @@ def training(rows: DataFrame, p: ModelParams, seed: int) -> DataFrame:
 
 
 def reported(models: DataFrame, words: DataFrame, p: ModelParams) -> DataFrame:
-    """(iter, topic, rank, word, n): the first words of every topic of each model."""
+    """(iter, topic, rank, word, n): the first words of every topic of each model;
+    with ``skip_oov`` without the row of unknown words."""
     rank = F.row_number().over(Window.partitionBy("iter", "topic").orderBy(F.desc("n"), "word_id"))
-    top = models.where("n > 0").withColumn("rank", rank).where(F.col("rank") <= p.print_num_words_per_topic)
+    top = models.where("n > 0" + (" and word_id > 0" if p.skip_oov else "")).withColumn("rank", rank).where(F.col("rank") <= p.print_num_words_per_topic)
     return top.join(words.select("word_id", "word"), "word_id").select("iter", "topic", "rank", "word", "n")
 
 
@@ -114,7 +115,7 @@ def gibbs_trace(docs: DataFrame, params: dict, vocab_size: int, iters: int, ever
         if debug:
             yield particle.model_rows(run, iters, 0, np.array(state.tw)).assign(kind="particle")
 
-    return docs.groupBy("run_id").applyInPandas(kernel, particle.REPLAYED)
+    return by_group(docs, "run_id").groupBy("run_id").applyInPandas(kernel, particle.REPLAYED)
 
 
 def _run(replayed: DataFrame, rows: DataFrame, words: DataFrame, size: int, p: ModelParams, seed: int, labelled: bool, coherence_words: int, scores: DataFrame | None = None) -> Run:
@@ -219,7 +220,7 @@ def select_model(docs: DataFrame, vocab_size: int, p: FilterParams, seed: int =
                 score = -float(np.exp(-sum(likelihood.document_ll(words, phi, k, alpha) for words in held) / n)) if n else float("-inf")
         return pd.DataFrame({"run": [run], "fold": [fold], "score": [score]})
 
-    return jobs.select("run", "fold", "held", "ord", "doc_id", "category", "word_ids").groupBy("run", "fold").applyInPandas(kernel, "run int, fold int, score double")
+    return by_group(jobs.select("run", "fold", "held", "ord", "doc_id", "category", "word_ids"), "run", "fold").groupBy("run", "fold").applyInPandas(kernel, "run int, fold int, score double")
 
 
 def best_of(scores: DataFrame) -> DataFrame:
@@ -248,16 +249,12 @@ def find_seeds(docs: DataFrame, tries: int, **given: object) -> DataFrame:
 
 def sweep(spark: SparkSession, docs: DataFrame, vocab_size: int, settings: dict[str, list], replicas: int = 1, base: dict | None = None) -> DataFrame:
     """Filter metrics for every combination of settings times replicas of seeds:
-    (settings..., run_id, iter, metric, value). Each combination's replicas are
-    runs of one job, and each run a task."""
-    out = None
-    for values in product(*settings.values()):
-        chosen = dict(zip(settings, values, strict=True))
-        p = FilterParams.of(**{**(base or {}), **chosen})
-        runs = spark.range(replicas).select(F.col("id").alias("seed"), F.format_string("run.%d", "id").alias("run_id"))
-        rows = docs.crossJoin(F.broadcast(runs)).select("run_id", "seed", F.col("doc_id").alias("ord"), "doc_id", "category", "word_ids")  # replicas: a parameter
-        part = particle.events_of(particle.replay_all(rows, p.dict(), vocab_size))
-        for name, value in reversed(chosen.items()):
-            part = part.select(F.lit(value).alias(name), *part.columns)
-        out = part if out is None else out.unionByName(part)
-    return out
+    (settings..., run_id, iter, metric, value). All are runs of one job, each a task,
+    whatever their number."""
+    chosen = [dict(zip(settings, values, strict=True)) for values in product(*settings.values())]
+    params = [FilterParams.of(**{**(base or {}), **c}).dict() for c in chosen]
+    copies = F.explode(F.sequence(F.lit(0), F.lit(len(chosen) * replicas - 1))).alias("copy")  # a parameter
+    rows = docs.select("doc_id", "category", "word_ids", copies).select(F.format_string("%d/run.%d", F.floor(F.col("copy") / replicas), F.col("copy") % replicas).alias("run_id"), (F.col("copy") % replicas).cast("long").alias("seed"), F.col("doc_id").alias("ord"), "doc_id", "category", "word_ids")
+    found = particle.events_of(particle.replay_all(rows, params, vocab_size)).withColumn("_k", F.substring_index("run_id", "/", 1).cast("int"))
+    names = [F.array(*[F.lit(c[name]) for c in chosen])[F.col("_k")].alias(name) for name in settings]
+    return found.select(*names, F.substring_index("run_id", "/", -1).alias("run_id"), "iter", "metric", "value")

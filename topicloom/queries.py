@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import text as T
 from topicloom.functions.rng import token_hash_sql, uniform
 from topicloom.operators import counts as C
-from topicloom.operators import gibbs, likelihood, metrics, selection, trace, vocab
+from topicloom.operators import gibbs, likelihood, metrics, rotation, selection, trace, vocab
 from topicloom.plans import online, runs
 from topicloom.plans.params import FilterParams
 from topicloom.sources import corpus as S
@@ -68,6 +68,12 @@ def assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return C.initial_topics(tokens, K, SEED), size
 
 
+def kept_assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The same written, for what reads tokens several times."""
+    tokens, size = assigned(spark, sf_dir)
+    return keep(tokens, "assigned"), size
+
+
 # pieces of SQL
 
 SPACE = r"[ \t\n\x0B\f\r]+"
@@ -500,7 +506,7 @@ def coherence(spark, d):
 
 @query("doc_id:long topic:long mass:double", COUNTS + grid(False) + "\n--\nSELECT doc_id, k AS topic, sum(p) AS mass FROM grid GROUP BY doc_id, k")
 def posterior_grid(spark, d):
-    rows, size = assigned(spark, d)
+    rows, size = kept_assigned(spark, d)
     joined, totals = C.with_counts(rows, K)
     p = joined.select("doc_id", C.posterior_array(totals, size, ALPHA, BETA, False).alias("p"))
     sums = p.groupBy("doc_id").agg(*[F.sum(F.get("p", F.lit(k))).alias(f"m{k}") for k in range(K)])
@@ -509,7 +515,7 @@ def posterior_grid(spark, d):
 
 @query("doc_id:long n:long ll:double", COUNTS + grid(False) + "\n--\nSELECT doc_id, count(*) AS n, sum(ln(s)) AS ll FROM (SELECT doc_id, pos, sum(p) AS s FROM grid GROUP BY doc_id, pos) GROUP BY doc_id")
 def predictive_prob(spark, d):
-    rows, size = assigned(spark, d)
+    rows, size = kept_assigned(spark, d)
     joined, totals = C.with_counts(rows, K)
     s = F.aggregate(C.posterior_array(totals, size, ALPHA, BETA, False), F.lit(0.0), lambda a, x: a + x)
     return joined.select("doc_id", s.alias("s")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.ln("s")).alias("ll"))
@@ -517,7 +523,7 @@ def predictive_prob(spark, d):
 
 @query("doc_id:long pos:long topic:long", COUNTS + grid(False) + drawn(1) + "\n--\nSELECT doc_id, pos, topic FROM swept")
 def sample_topic(spark, d):
-    rows, size = assigned(spark, d)
+    rows, size = kept_assigned(spark, d)
     joined, totals = C.with_counts(rows, K)
     p = joined.select("doc_id", "pos", C.posterior_array(totals, size, ALPHA, BETA, False).alias("p"))
     return p.select("doc_id", "pos", C.draw(F.col("p"), uniform(F.col("doc_id"), F.col("pos"), 1, SEED), K).alias("topic"))
@@ -525,7 +531,7 @@ def sample_topic(spark, d):
 
 @query("topic:long word_id:long n:long", COUNTS + grid(True) + drawn(1) + "\n--\nSELECT topic, word_id, count(*) AS n FROM swept GROUP BY ALL")
 def gibbs_sync_sweep(spark, d):
-    rows, size = assigned(spark, d)
+    rows, size = kept_assigned(spark, d)
     return C.topic_word(C.sync_sweep(rows, K, size, 1, ALPHA, BETA, SEED))
 
 
@@ -656,6 +662,25 @@ def trace_tsv(spark, d):
     return wide_names(spark.read.option("sep", "\t").option("header", True).option("nullValue", "NA").csv(path))
 
 
+@query("dataset:str metric:str iter:long value:str", LINES + """,
+keyed AS (SELECT run, line, regexp_replace(lower(trim(substr(value, 1, instr(value, ':') - 1))), '[^a-zA-Z0-9_]', '_', 'g') AS metric, trim(substr(value, instr(value, ':') + 1)) AS value FROM lines),
+marked AS (SELECT * FROM (SELECT *, last_value(CASE WHEN metric = 'doc' THEN CAST(value AS BIGINT) END IGNORE NULLS) OVER (PARTITION BY run ORDER BY line) AS iter FROM keyed) WHERE metric <> 'doc' AND iter IS NOT NULL)
+--
+SELECT 'dataset=' || run AS dataset, metric, iter, CASE WHEN metric = 'resampling' THEN CAST(count(*) AS VARCHAR) ELSE arg_max(value, line) END AS value FROM marked GROUP BY run, metric, iter""")
+def trace_directory(spark, d):
+    """Tables of metrics from a directory of logs, one log a data set."""
+    logs, out = scratch_path(spark, "logs"), scratch_path(spark, "tables")
+    rows = log_lines(spark, d).withColumnRenamed("run", "dataset")
+    rows.repartition("dataset").sortWithinPartitions("dataset", "line").select("dataset", "value").write.partitionBy("dataset").text(logs)
+    found = None
+    for dataset in trace.process_logs(spark, logs, out):  # a few data sets
+        for metric in ("in_sample_nmi", "resampling"):
+            one = spark.read.option("sep", "\t").option("header", True).option("nullValue", "NA").schema("iter bigint, value string").csv(f"{out}/{dataset}_{metric}")
+            one = one.select(F.lit(dataset).alias("dataset"), F.lit(metric).alias("metric"), "iter", "value")
+            found = one if found is None else found.union(one)
+    return found
+
+
 @query("event_type:str run:long score:double", "SELECT event_type, run, score FROM (SELECT event_type, event_id AS run, value AS score, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1")
 def best_run(spark, d):
     return selection.best_run(table(spark, d, "events").select("event_type", F.col("event_id").alias("run"), F.col("value").alias("score")), "event_type")
@@ -695,6 +720,15 @@ def gibbs_distributed(spark, d):
     return C.topic_word(gibbs.assignments(state.withColumn("run_id", F.lit("run.0"))))
 
 
+@query("topic:long word_id:long n:long")
+def gibbs_rotating(spark, d):
+    """Many topics, documents and words in blocks that meet in turn."""
+    docs = documents(spark, d)
+    words = keep(vocab.build_vocab(docs), "vocab")
+    state = rotation.rotating_gibbs(keep(vocab.encode_docs(docs, words), "encoded"), keep, words.count(), 128, ALPHA, BETA, 1, SEED, blocks=4)
+    return C.topic_word(gibbs.assignments(state.withColumn("run_id", F.lit("run.0"))))
+
+
 @query("doc_id:long topic:long")
 def gibbs_infer(spark, d):
     return gibbs.infer_docs(*modelled(spark, d), K, ALPHA, 3, SEED)

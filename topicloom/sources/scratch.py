@@ -38,3 +38,10 @@ def spread(df: DataFrame, part_bytes: int = 32 << 20) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(2 * cores) if size < cores * part_bytes else df
+
+
+def by_group(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys for work that takes long a group, however few bytes it has:
+    a stated number of parts is one that Spark does not merge again."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)

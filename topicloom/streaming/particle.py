@@ -23,7 +23,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from topicloom.functions.rng import generator
 from topicloom.operators.gibbs import learned
-from topicloom.sources.scratch import keep
+from topicloom.sources.scratch import by_group, keep
 from topicloom.streaming.reservoir import reservoir_by_key
 
 
@@ -541,11 +541,15 @@ def starts_from(assigned: DataFrame, params: dict) -> DataFrame:
     return out
 
 
-def replay_all(docs: DataFrame, params: dict, vocab_size: int, eval_every: int = 50, models: bool = False, debug: bool = False, starts: DataFrame | None = None) -> DataFrame:
+def replay_all(docs: DataFrame, params: dict | list[dict], vocab_size: int, eval_every: int = 50, models: bool = False, debug: bool = False, starts: DataFrame | None = None) -> DataFrame:
     """REPLAYED rows of the filter over documents (run_id, seed, ord, doc_id,
     category, word_ids) of many runs, each in the order of ``ord`` in a task of its
     own, in one pass: those of a Recorder, the best particle's labels at the end, and
-    with ``debug`` the whole state then. Runs that have STARTS rows start from them."""
+    with ``debug`` the whole state then. Runs that have STARTS rows start from them. Of a list
+    of parameters, a run has those whose place stands before the slash of its id."""
+
+    def own(run: str) -> dict:
+        return params if isinstance(params, dict) else params[int(run.split("/")[0])]
 
     def run_of(run: str, rows: pd.DataFrame, pf: ParticleFilter, several: bool) -> Iterator[pd.DataFrame]:
         recorder = Recorder(pf, run, eval_every, models, several)
@@ -563,18 +567,19 @@ def replay_all(docs: DataFrame, params: dict, vocab_size: int, eval_every: int =
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["ord", "doc_id"])
-        yield from run_of(rows["run_id"].iloc[0], rows, ParticleFilter(params, vocab_size, int(rows["seed"].iloc[0])), rows["category"].astype(str).nunique() > 1)
+        run = rows["run_id"].iloc[0]
+        yield from run_of(run, rows, ParticleFilter(own(run), vocab_size, int(rows["seed"].iloc[0])), rows["category"].astype(str).nunique() > 1)
 
     def begun(key: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ord", "doc_id"])
         seed = int((rows if len(rows) else start)["seed"].iloc[0])
-        pf = ParticleFilter.started(params, vocab_size, seed, start) if len(start) else ParticleFilter(params, vocab_size, seed)
+        pf = ParticleFilter.started(own(key[0]), vocab_size, seed, start) if len(start) else ParticleFilter(own(key[0]), vocab_size, seed)
         names = {*rows["category"].astype(str), *start["category"].dropna().astype(str)}
         return pd.concat(list(run_of(key[0], rows, pf, len(names) > 1)))
 
     if starts is None:
-        return docs.groupBy("run_id").applyInPandas(kernel, REPLAYED)
-    return docs.groupBy("run_id").cogroup(starts.groupBy("run_id")).applyInPandas(begun, REPLAYED)
+        return by_group(docs, "run_id").groupBy("run_id").applyInPandas(kernel, REPLAYED)
+    return by_group(docs, "run_id").groupBy("run_id").cogroup(by_group(starts, "run_id").groupBy("run_id")).applyInPandas(begun, REPLAYED)
 
 
 def events_of(replayed: DataFrame) -> DataFrame:
@@ -713,7 +718,7 @@ def stored_rows(spark: SparkSession, checkpoint: str, params: dict, vocab_size:
         out += [*recorder.told(), *recorder.dump()]
         return pd.concat(out or [frame("event", key[0], iter=[])])
 
-    return rows.groupBy("run_id").applyInPandas(restore, REPLAYED)
+    return by_group(rows, "run_id").groupBy("run_id").applyInPandas(restore, REPLAYED)
 
 
 def latest_labels(updates: DataFrame) -> DataFrame:
