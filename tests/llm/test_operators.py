@@ -1021,3 +1021,24 @@ def test_null_ids(spark, awkward, tokenizers):
     vectors = spark.createDataFrame([(1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (2, [1.0, 2.1], 0), (None, None, None)], "vec_id long, embedding array<float>, label int")
     got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in vector_duplicates(vectors, Scratch(spark, "test")).collect()), key=str)
     assert got == [(0, 0, None, True), (0, 0, None, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_packing_of_very_many_tiny_rests():
+    """Rests without a term go by their place, and neighbours by one partial sort, so
+    time grows with the rests."""
+    import time
+
+    from topicloom.llm.packing import pack_shard
+
+    kind, idf = np.dtype(np.uint16), np.array([0.0, -1.0, 2.0])
+    took = []
+    for n in (20000, 160000):
+        rows = [(k, 0, 1, np.array([1 + (k % 1000 == 0)], kind).tobytes()) for k in range(n)]
+        began = time.process_time()
+        pieces = pack_shard(3, rows, idf, 1.0, 2048, None, kind)
+        took.append(time.process_time() - began)
+        assert sorted(p[0] for p in pieces) == list(range(n)) and {p[2] for p in pieces} == {1}
+        assert len({p[5] for p in pieces}) <= n // 2048 + 11
+    assert took[1] < 20 * took[0]
+    first = {p[0] for p in pieces if p[5] == pieces[0][5]}
+    assert {k for k in range(n) if k % 1000 == 0} <= first or len(first) == 2048  # those that share the seed's term come first

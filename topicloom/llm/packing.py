@@ -25,6 +25,7 @@ from topicloom.llm.tokens import encoded, encoder_for
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 K1, B = 1.2, 0.75
+_ONE = np.ones(1, np.int64)
 _FIRST = np.ones(1, bool)
 #: Of content vectors: their dimensions, how many of them a token has, how many at most shards are fitted on, and how many centres at most a level has.
 DIMENSIONS, SPARSE, SAMPLE, CENTRES = 128, 8, 20_000, 1024
@@ -98,6 +99,8 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 def _terms(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The telling terms of a rest, and how often each occurs."""
+    if len(ids) == 1:
+        return (ids, _ONE) if idf[ids[0]] > 0 else (ids[:0], _ONE[:0])
     ids = np.sort(ids, kind="stable")
     at = np.flatnonzero(np.concatenate((_FIRST, ids[1:] != ids[:-1])))
     t, n = ids[at], np.diff(np.append(at, len(ids)))
@@ -250,6 +253,15 @@ class Index:
         return common + np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size)
 
 
+def _nearest(scores: np.ndarray, unused: np.ndarray, most: int) -> list[int]:
+    """Unused documents with a score, the highest first, then by place: at least
+    the ``most`` first ones, from one partial sort."""
+    hits = np.flatnonzero(unused & (scores > 0))
+    if len(hits) > most:
+        hits = hits[scores[hits] >= -np.partition(-scores[hits], most - 1)[most - 1]]
+    return hits[np.argsort(-scores[hits], kind="stable")].tolist()
+
+
 def pack_shard(shard: int, rows: list[tuple[int, int, int, bytes]], idf: np.ndarray, mean_length: float, window: int, query_terms: int | None, kind: np.dtype) -> list[tuple]:
     """Pieces of the rests (doc_id, start, doc_tokens, ids) of a shard, or of a part
     of it, by its number."""
@@ -273,20 +285,24 @@ def pack_shard(shard: int, rows: list[tuple[int, int, int, bytes]], idf: np.ndar
         done[seed] += take
         room -= take
         rest = None
-        if room and unused.any():
-            score = np.where(unused, index.scores(seed), -1.0)
-            while room:
-                k = int(score.argmax())
-                if score[k] < 0:
+        near = _nearest(index.scores(seed), unused, room) if room and len(index.terms[seed]) else []
+        at = 0
+        while room:
+            if at < len(near):
+                k, at = near[at], at + 1
+            else:  # what is left shares no term with the seed, and goes by its place
+                while cursor < len(rows) and not unused[cursor]:
+                    cursor += 1
+                if cursor == len(rows):
                     break
-                take = min(room, len(ids[k]))
-                sequence.append((k, 0, take))
-                done[k] = take
-                room -= take
-                unused[k] = False
-                score[k] = -1.0
-                if take < len(ids[k]):
-                    rest = k
+                k = cursor
+            take = min(room, len(ids[k]))
+            sequence.append((k, 0, take))
+            done[k] = take
+            room -= take
+            unused[k] = False
+            if take < len(ids[k]):
+                rest = k
         sequences.append(sequence)
         seed = rest
     out, number = [], shard << NUMBER_BITS | 1 << 62
