@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from topicloom.operators import gibbs
+from topicloom.operators import gibbs, vocab
 from topicloom.plans import online, runs
 from topicloom.plans.params import FilterParams
 from topicloom.sources import corpus
@@ -122,6 +122,25 @@ def test_a_run_that_meets_no_document(spark, learned, tmp_path):
     assert {(r.run_id, r.doc_id) for r in dump.where("kind = 'waiting'").collect()} == {("run.0", r.doc_id) for r in train.limit(3).collect()}
 
 
+def test_texts_are_encoded_on_the_stream(spark, tmp_path):
+    """From tokens to metrics in one query, as a run over the same documents."""
+    docs = corpus.generate_corpus(spark, 120, 12, 3, 30, seed=6)
+    run = runs.run_filter(docs, **SMALL)
+    train = runs.keep(docs.where("split = 'train'").select("doc_id", "category", "tokens"), "tokens")
+    words = runs.keep(vocab.build_vocab(train), "words")
+    test = runs.keep(vocab.encode_rows(docs.where("split = 'test'").select("doc_id", "category", "tokens"), words), "coded")
+    rows, _ = runs.encoded_corpus(docs)
+    assert {(r.doc_id, *r.word_ids) for r in test.collect()} == {(r.doc_id, *r.word_ids) for r in rows.where("split = 'test'").collect()}
+    in_files(train.withColumn("ord", F.col("doc_id")), str(tmp_path / "in"), 3)
+    read = spark.readStream.schema("doc_id long, category string, tokens array<string>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = online.OnlineRun(spark, str(tmp_path / "run"), FilterParams.of(**SMALL), words.count(), test)
+    stream.start(online.stream_documents(read, words, 1), availableNow=True).awaitTermination()
+    stream.finish()
+    assert told(stream.metrics()) == told(run.metrics)
+    odd = spark.createDataFrame([(1, None, "x"), (2, [], "y"), (3, ["nowhere", words.where("word_id = 1").first().word], None)], "doc_id long, tokens array<string>, more string")
+    assert [tuple(r) for r in vocab.encode_rows(odd, words).orderBy("doc_id").collect()] == [(1, [], "x"), (2, [], "y"), (3, [0, 1], None)]
+
+
 def test_reservoirs(spark, tmp_path):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise((F.col("id") % 50).cast("string")).alias("category"), F.concat(F.lit("t"), "id").alias("text"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("extra"))
     want = {}

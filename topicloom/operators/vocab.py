@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from topicloom.functions.rng import token_hash, uniform
 from topicloom.functions.text import OOV
@@ -65,6 +66,31 @@ def encode_docs(docs: DataFrame, vocab: DataFrame, max_words: int = 2_000_000) -
     return docs.where(F.size("tokens") > 0).select("doc_id", "tokens").mapInArrow(kernel, f"doc_id {kind}, word_ids array<int>")
 
 
+def encode_rows(docs: DataFrame, vocab: DataFrame, max_words: int = 2_000_000) -> DataFrame:
+    """docs with ``word_ids`` in place of ``tokens``, all other columns and rows as they
+    are; also for streams, as nothing is shuffled. A vocabulary of more than
+    ``max_words`` raises."""
+    known = vocab.where("word_id > 0").select("word", F.col("word_id").cast("int").alias("word_id"))
+    table = known.limit(max_words + 1).toArrow()
+    if table.num_rows > max_words:
+        raise ValueError("the vocabulary is too large to send")
+    sent = vocab.sparkSession.sparkContext.broadcast((table.column(0).combine_chunks(), table.column(1).combine_chunks()))
+    at = docs.columns.index("tokens")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids = sent.value
+        for batch in batches:
+            tokens = pc.fill_null(batch.column(at), []) if batch.column(at).null_count else batch.column(at)
+            flat = tokens.flatten()
+            coded = pc.fill_null(ids.take(pc.index_in(flat.cast(words.type), value_set=words)), 0) if len(words) else pa.array([0] * len(flat), pa.int32())
+            offsets = pc.subtract(tokens.offsets, tokens.offsets[0])
+            columns = [pa.ListArray.from_arrays(offsets, coded) if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:at], "word_ids", *batch.schema.names[at + 1 :]])
+
+    fields = [StructField("word_ids", ArrayType(IntegerType())) if f.name == "tokens" else f for f in docs.schema.fields]
+    return docs.mapInArrow(kernel, StructType(fields))
+
+
 def strip_singletons(docs: DataFrame, replacement: str | None = None) -> DataFrame:
     """Words that occur once in the corpus go, or become the replacement;
     documents left empty go."""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from topicloom.operators import vocab
 from topicloom.plans.evaluation import METRICS, evaluate_models
 from topicloom.plans.params import FilterParams
 from topicloom.streaming import particle
@@ -95,3 +96,11 @@ class OnlineRun:
         models = particle.models_of(self.rows())
         last = models.groupBy("run_id").agg(F.max("iter").alias("iter"))
         return models.join(last, ["run_id", "iter"]).select("run_id", "topic", "word_id", "n")
+
+
+def stream_documents(docs: DataFrame, words: DataFrame, seed: int, run_id: str = "run.0") -> DataFrame:
+    """What an OnlineRun learns from, of streamed documents (doc_id, category, tokens)
+    and a vocabulary that is known before; unknown words have id 0. Documents are taken
+    in the order of doc_id within a micro-batch, and as they arrive between them."""
+    rows = docs.select(F.lit(run_id).alias("run_id"), F.lit(seed).cast("long").alias("seed"), F.col("doc_id").cast("long").alias("ord"), F.col("doc_id").cast("long").alias("doc_id"), "category", "tokens")
+    return vocab.encode_rows(rows, words)
