@@ -166,6 +166,15 @@ def newsgroup_transform(spark, d):
     return out.select("doc_id", "category", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
+@query("category:str split:str digest:str", "SELECT 'category=' || (item_id % 4) AS category, 'train' AS split, md5(text || chr(10)) AS digest FROM benchmark")
+def newsgroup_tree(spark, d):
+    """Posts as files in folders of categories, one a file."""
+    path = scratch_path(spark, "tree")
+    rows = table(spark, d, "benchmark").select((F.col("item_id") % 4).alias("category"), F.col("text").alias("value"))
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("category").text(path)
+    return S.read_newsgroup_tree(spark, path, "train").select("category", "split", F.md5("text").alias("digest"))
+
+
 @query("doc_id:long split:str n:long digest:str", rf"""SELECT doc_id, CASE WHEN {U.format(token_hash_sql('doc_id', '0', 0, SEED))} < 0.6 THEN 'train' ELSE 'test' END AS split, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (
   SELECT conv_id * 1000 + turn AS doc_id, list_filter(regexp_split_to_array(substr(text, instr(text, ' ') + 1), '{SPACE}'), lambda x: x <> '' AND NOT regexp_matches(x, '[^a-zA-Z]')) AS t FROM conversations) WHERE len(t) > 0""")
 def tweet_transform(spark, d):
