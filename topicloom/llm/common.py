@@ -18,6 +18,8 @@ from topicloom.sources.scratch import shared_dir
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Text bytes that one kernel call handles; a longer document is handled alone.
 CHUNK_BYTES = 1 << 20
+#: A longer document is read in pieces of so many bytes.
+PIECE_BYTES = CHUNK_BYTES
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -141,6 +143,80 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
+def is_long(raw: np.ndarray, at: np.ndarray) -> bool:
+    """Whether a block is one document that has to be read in pieces."""
+    return len(at) == 2 and len(raw) > PIECE_BYTES
+
+
+def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """range_hash of any byte ranges. Sums are taken piece by piece and kept at
+    the ends of ranges alone, so memory follows the ranges, not the bytes."""
+    if len(raw) <= 2 * PIECE_BYTES:
+        return range_hash(prefix_hash(raw, lane=lane), start, end)
+    places = np.unique(np.concatenate((start, end)))
+    sums, inverse = np.zeros(len(places), np.uint64), np.zeros(len(places), np.uint64)
+    before = np.zeros(1, np.uint64)
+    for low in range(0, len(raw) + 1, PIECE_BYTES):
+        own = prefix_hash(raw[low : low + PIECE_BYTES], lane=lane)
+        up, down = (np.uint64(pow(int(x), low, 1 << 64)) for x in (_BASE, _BASE_INV))
+        a, b = np.searchsorted(places, (low, low + PIECE_BYTES))
+        local = places[a:b] - low
+        sums[a:b] = before + own[local] * up
+        inverse[a:b] = powers(len(own))[1][local] * down
+        before += own[-1:] * up
+    first = np.searchsorted(places, start)
+    return mix((sums[np.searchsorted(places, end)] - sums[first]) * inverse[first] + (end - start).astype(np.uint64))
+
+
+def run_values(raw: np.ndarray, breaks: bytes, fold: bool = False, lane: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes (those of range_hash) of one text's maximal runs of bytes other than
+    ``breaks``, and which runs hold a word, piece by piece. A run that goes on
+    beyond a piece carries its sum into the next."""
+    stop = np.zeros(256, bool)
+    stop[list(breaks)] = True
+    held = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, bool)
+    for low in range(0, len(raw), PIECE_BYTES):
+        piece = raw[low : low + PIECE_BYTES]
+        edges = np.flatnonzero(np.diff(~stop[piece], prepend=False, append=False))
+        start, end = edges[::2], edges[1::2]
+        sums = prefix_hash(piece, fold, lane)
+        value, size = (sums[end] - sums[start]) * powers(len(sums))[1][start], end - start
+        solid = np.concatenate(([0], np.cumsum(~_white()[piece])))
+        solid = solid[end] > solid[start]
+        if held[1][0]:
+            if len(start) and start[0] == 0:
+                value[:1] = held[0] + value[:1] * np.uint64(pow(int(_BASE), int(held[1][0]), 1 << 64))
+                size[0] += held[1][0]
+                solid[0] |= held[2][0]
+            else:
+                value, size, solid = (np.concatenate(x) for x in zip(held, (value, size, solid), strict=True))
+        held = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, bool)
+        if len(end) and end[-1] == len(piece) and low + len(piece) < len(raw):
+            held = value[-1:], size[-1:], solid[-1:]
+            value, size, solid = value[:-1], size[:-1], solid[:-1]
+        yield mix(value + size.astype(np.uint64)), solid
+
+
+def word_windows(raw: np.ndarray, size: int, fold: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of one text's words and of its runs of ``size`` words, piece by piece."""
+    tail = np.empty(0, np.uint64)
+    for value, _ in run_values(raw, WHITE, fold):
+        tail = np.concatenate((tail, value))
+        yield value, windows(tail, size)
+        tail = tail[max(0, len(tail) - size + 1) :]
+
+
+def characters_before(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Code points before each of some sorted places, counted piece by piece."""
+    out, before = np.zeros(len(places), np.int64), 0
+    for low in range(0, len(raw) + 1, PIECE_BYTES):
+        seen = np.concatenate(([0], np.cumsum((raw[low : low + PIECE_BYTES] & 0xC0) != 0x80)))
+        a, b = np.searchsorted(places, (low, low + PIECE_BYTES))
+        out[a:b] = before + seen[places[a:b] - low]
+        before += int(seen[-1])
+    return out
+
+
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts and ends in bytes, and each document's first word number
     (one more at the end). Words don't cross documents."""

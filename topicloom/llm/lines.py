@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.llm.common import Scratch, chunks, prefix_hash, range_hash, row_keys
+from topicloom.llm.common import Scratch, characters_before, chunks, row_keys, span_hash
 
 WINDOW, DIVISOR, MIN_LINES, MIN_CHARS = 2, 3, 2, 80
 
@@ -110,8 +110,7 @@ def shortest_runs(raw: np.ndarray, at: np.ndarray, min_lines: int, min_chars: in
     end = np.concatenate((breaks, at[1:]))
     end = end[np.lexsort((end, np.concatenate((holder, docs))))]
     first = np.searchsorted(owner, np.arange(n_docs + 1))
-    chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-    begins, ends, line = chars[start], chars[end], np.arange(len(start))
+    begins, ends, line = characters_before(raw, start), characters_before(raw, end), np.arange(len(start))
     last = np.maximum(line + min_lines - 1, np.searchsorted(ends, begins + min_chars, "left"))
     onward = last < first[owner + 1]
     head = np.minimum(line - min_lines + 1, np.searchsorted(begins, ends - min_chars, "right") - 1)
@@ -131,8 +130,7 @@ def repeated_runs(docs: DataFrame, gone: DataFrame, scratch: Scratch, min_lines:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, at in chunks(batches, "_text"):
             doc, b, n, start, end = shortest_runs(raw, at, min_lines, min_chars)
-            breaks = np.concatenate(([0], np.cumsum(raw == 10)))
-            first = breaks[at] + np.arange(len(at))  # of each document, among all lines of the block
+            first = np.searchsorted(np.flatnonzero(raw == 10), at) + np.arange(len(at))  # of each document, among all lines of the block
             chunk = np.full(first[-1], -1)
             for k, cut in enumerate(rows.column(2).to_pylist()):
                 for j, x in enumerate(cut or ()):
@@ -140,7 +138,7 @@ def repeated_runs(docs: DataFrame, gone: DataFrame, scratch: Scratch, min_lines:
             head, last = chunk[first[doc] + b], chunk[first[doc] + b + n - 1]
             use = (head < 0) | (head != last)
             doc, b, n, start, end = (x[use] for x in (doc, b, n, start, end))
-            hashes = [range_hash(prefix_hash(raw, lane=k), start, end).view(np.int64) for k in (0, 1)]
+            hashes = [span_hash(raw, start, end, k).view(np.int64) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc)), *map(pa.array, (b, n, *hashes))], names=kind.names)
 
     # one kind of join at every size: texts move once

@@ -18,17 +18,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import CHUNK_BYTES, Scratch, chunks, components, deal_blocks, mix, prefix_hash, range_hash, row_keys, runs, salted, texts, windows, words
+from topicloom.llm.common import CHUNK_BYTES, WHITE, Scratch, chunks, components, deal_blocks, is_long, mix, prefix_hash, range_hash, row_keys, run_values, runs, salted, texts, windows, word_windows, words
 
 BANDS, BAND_ROWS = 40, 5
 SHINGLE = 5
 SKETCH = "n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, low binary"
 
 
+def _long_set(raw: np.ndarray, size: int) -> np.ndarray:
+    """The shingle set of one long text, whose pieces leave distinct values alone."""
+    few, parts = [], []
+    for value, run in word_windows(raw, size, fold=True):
+        if len(run):
+            parts.append(np.unique(run))
+        elif not parts:
+            few.append(value)
+    if not parts:
+        value = np.concatenate(few)
+        return windows(value, len(value)) ^ np.uint64(len(value)) if len(value) else value
+    joined = np.concatenate(parts)
+    parts.clear()
+    joined.sort()
+    new = np.ones(len(joined), bool)
+    np.not_equal(joined[1:], joined[:-1], out=new[1:])
+    return joined[new]
+
+
 def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each document; A-Z are folded."""
     if not len(raw):
         return [np.empty(0, np.uint64)] * (len(at) - 1)
+    if is_long(raw, at):
+        return [_long_set(raw, size)]
     start, end, first = words(raw, at)
     value = range_hash(prefix_hash(raw, fold=True), start, end)
     run = windows(value, size)
@@ -45,9 +66,18 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> list[n
 
 def _sequence_keys(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """128 bits of each document's folded word sequence."""
+    keys = np.zeros((len(at) - 1, 2), np.uint64)
+    if is_long(raw, at):
+        for lane in (0, 1):
+            n, total = 0, np.zeros(1, np.uint64)
+            for value, _ in run_values(raw, WHITE, True, lane):
+                step = np.arange(n, n + len(value), dtype=np.uint64)
+                total += mix(value + step * np.uint64(0xA24BAED4963EE407)).sum(dtype=np.uint64)
+                n += len(value)
+            keys[:, lane] = mix(total + np.uint64(n))
+        return keys
     start, end, first = words(raw, at)
     n = np.diff(first)
-    keys = np.zeros((len(at) - 1, 2), np.uint64)
     for lane in (0, 1):
         value = range_hash(prefix_hash(raw, fold=True, lane=lane), start, end)
         step = np.arange(len(value), dtype=np.uint64) - np.repeat(first[:-1], n).astype(np.uint64)

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import Scratch, chunks, prefix_hash, range_hash, windows, words
+from topicloom.llm import common
+from topicloom.llm.common import WHITE, Scratch, chunks, is_long, prefix_hash, range_hash, run_values, windows, word_windows, words
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Characters that count as symbols.
@@ -38,11 +39,48 @@ def _firsts(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return twice, later
 
 
+def _long_stats(raw: np.ndarray, window: int) -> dict[str, np.ndarray]:
+    """text_stats of one long text, of which only a hash a line and a window of
+    words is held."""
+    white, symbol = (np.zeros(256, bool) for _ in range(2))
+    white[list(WHITE)], symbol[list(SYMBOLS)] = True, True
+    step = common.PIECE_BYTES
+    n_words = word_chars = n_symbols = 0
+    for k in range(0, len(raw), step):
+        piece = raw[k : k + step]
+        word_chars += int(np.count_nonzero(((piece & 0xC0) != 0x80) & ~white[piece]))
+        n_symbols += int(np.count_nonzero(symbol[piece]))
+    line = np.concatenate([value[held] for value, held in run_values(raw, b"\n")])
+    n_dup_lines = len(line) - len(np.unique(line))
+    del line
+    parts = []
+    for value, run in word_windows(raw, window):
+        n_words += len(value)
+        parts.append(run)
+    runs = np.concatenate(parts)
+    del parts
+    value = np.sort(runs)
+    same = value[1:] == value[:-1]
+    same[1:] &= value[1:-1] != value[:-2]  # the first repeat of a value alone
+    again = value[1:][same]
+    del value, same
+    inside = np.zeros(n_words, bool)
+    for k in range(0, len(runs) if len(again) else 0, step):
+        part = runs[k : k + step]
+        hit = np.flatnonzero(again[np.minimum(np.searchsorted(again, part), len(again) - 1)] == part) + k
+        for j in range(window):
+            inside[hit + j] = True
+    found = n_words, word_chars, n_symbols, n_dup_lines, int(np.count_nonzero(inside))
+    return {k: np.array([x], np.int64) for k, x in zip(STATS, found, strict=True)}
+
+
 def text_stats(raw: np.ndarray, at: np.ndarray, window: int = 8) -> dict[str, np.ndarray]:
     """The statistics of each document in one block of bytes."""
     n_docs = len(at) - 1
     if not len(raw):
         return {k: np.zeros(n_docs, np.int64) for k in STATS}
+    if is_long(raw, at):
+        return _long_stats(raw, window)
     start, end, first = words(raw, at)
     n_words = np.diff(first)
     word_doc = np.repeat(np.arange(n_docs), n_words)

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import Scratch, chunks, powers, prefix_hash, range_hash, row_keys, runs
+from topicloom.llm.common import Scratch, chunks, powers, prefix_hash, row_keys, runs, span_hash
 
 GRAM = 24
-SEGMENT = 1 << 23
+SEGMENT = 1 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -235,6 +235,25 @@ def _contexts(docs: DataFrame, asked: DataFrame, length: int, held_contexts: int
     lists = asked.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("_h"))
     rows = docs.select("doc_id", F.col("text").alias("_text")).join(lists, "doc_id").select("doc_id", "_text", "_h").sortWithinPartitions("doc_id")
 
+    def sent(raw: np.ndarray, at: np.ndarray, ids: np.ndarray, code: np.ndarray, seen: set[bytes], doc: np.ndarray, start: np.ndarray, windows: np.ndarray, h: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        begin = at[doc] + start
+        held: list[bytes | None] = []
+        for a, b in zip(begin.tolist(), (begin + windows + length - 1).tolist(), strict=True):
+            x = raw[a:b].tobytes()
+            if x in seen:
+                held.append(None)
+            else:
+                held.append(x)
+                seen.add(x)
+        column, to = pa.array(held, pa.binary()), start + windows + length - 1
+        again = np.asarray(column.is_null())
+        # repeats that follow one another become one row
+        joined = np.append(False, again[1:] & again[:-1] & (doc[1:] == doc[:-1]) & (start[1:] <= to[:-1]))
+        keep = np.flatnonzero(~joined)
+        to = to[np.append(keep[1:], len(to)) - 1]
+        columns = (pa.array(x[keep]) for x in (h.view(np.int64), code, ids[doc], start))
+        return pa.RecordBatch.from_arrays([*columns, column.take(pa.array(keep)), pa.array(place[keep]), pa.array(to)], names=["h", "c", "doc", "start", "bytes", "place", "to"])
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for rows, raw, at in chunks(batches, "_text"):
@@ -246,28 +265,12 @@ def _contexts(docs: DataFrame, asked: DataFrame, length: int, held_contexts: int
             pick = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h) if len(wanted) else np.empty(0, np.int64)
             if not len(pick):
                 continue
-            doc, start, windows, h, place = doc[pick], start[pick], windows[pick], h[pick], place[pick]
-            begin = at[doc] + start
-            end = begin + windows + length - 1
-            code = range_hash(prefix_hash(raw), begin, end).view(np.int64)
-            held: list[bytes | None] = []
-            for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-                x = raw[a:b].tobytes()
-                if x in seen:
-                    held.append(None)
-                else:
-                    held.append(x)
-                    seen.add(x)
-            if len(seen) > held_contexts:
-                seen = set()
-            column, to = pa.array(held, pa.binary()), start + windows + length - 1
-            again = np.asarray(column.is_null())
-            # repeats that follow one another become one row
-            joined = np.append(False, again[1:] & again[:-1] & (doc[1:] == doc[:-1]) & (start[1:] <= to[:-1]))
-            keep = np.flatnonzero(~joined)
-            to = to[np.append(keep[1:], len(to)) - 1]
-            columns = (pa.array(x[keep]) for x in (h.view(np.int64), code, ids[doc], start))
-            yield pa.RecordBatch.from_arrays([*columns, column.take(pa.array(keep)), pa.array(place[keep]), pa.array(to)], names=["h", "c", "doc", "start", "bytes", "place", "to"])
+            code = span_hash(raw, at[doc[pick]] + start[pick], at[doc[pick]] + start[pick] + windows[pick] + length - 1).view(np.int64)
+            for k in range(0, len(pick), held_contexts):  # a long text has very many
+                own = pick[k : k + held_contexts]
+                yield sent(raw, at, ids, code[k : k + held_contexts], seen, *(x[own] for x in (doc, start, windows, h, place)))
+                if len(seen) > held_contexts:
+                    seen.clear()
 
     return rows.mapInArrow(kernel, CONTEXT)
 
@@ -389,6 +392,21 @@ def _lane_ranges(contexts: DataFrame, length: int, held_bytes: int = 8 << 20, la
     return rows.repartition("h", "salt").sortWithinPartitions("h", "salt", "c", "doc", "start").mapInArrow(kernel, RANGES)
 
 
+def without(own: np.ndarray, low: pa.Array | None, high: pa.Array | None) -> tuple[int, int, bytes]:
+    """Bytes and runs that ranges [low, high) take from a text, and what is left."""
+    if low is None or not len(low):
+        return 0, 0, own.tobytes()
+    low, high = low.to_numpy(), high.to_numpy()
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    new = np.append(True, low[1:] > high[:-1])
+    low, high = low[new], high[np.append(np.flatnonzero(new)[1:], len(new)) - 1]
+    step = np.zeros(len(own) + 1, np.int8)
+    step[low] = 1
+    step[high] = -1
+    return int((high - low).sum()), len(low), own[np.cumsum(step, dtype=np.int8)[:-1] == 0].tobytes()
+
+
 def _edges(contexts: DataFrame, scratch: Scratch, length: int, lane_contexts: int) -> DataFrame:
     """(doc, from, to) of all ranges that repeat earlier windows of their anchor.
 
@@ -433,20 +451,12 @@ def dedup_bytes(docs: DataFrame, scratch: Scratch, length: int = 100, lane_conte
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, at in chunks(batches, "_text"):
             sizes, removed, spans, kept = np.diff(at), [], [], []
-            for k, (a, b) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+            for k in range(part.num_rows):
                 own = raw[at[k] : at[k + 1]]
-                if a:
-                    depth = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(depth, np.array(a), 1)
-                    np.add.at(depth, np.array(b), -1)
-                    out = np.cumsum(depth)[:-1] > 0
-                    removed.append(int(out.sum()))
-                    spans.append(int(out[0]) + int((out[1:] & ~out[:-1]).sum()))
-                    kept.append(own[~out].tobytes())
-                else:
-                    removed.append(0)
-                    spans.append(0)
-                    kept.append(own.tobytes())
+                n, cut, left = without(own, *(part.column(c)[k].values for c in (2, 3)))
+                removed.append(n)
+                spans.append(cut)
+                kept.append(left)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return rows.mapInArrow(kernel, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
