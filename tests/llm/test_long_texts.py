@@ -54,6 +54,14 @@ def test_what_ranges_leave():
     assert without(own, None, None) == (0, 0, own.tobytes())
 
 
+def test_lanes_without_repeats():
+    from topicloom.llm.suffix import repeated_windows
+
+    lane = np.array([1, 2]), np.array([0, 0]), [b"abcdefgh", b"hgfedcba"], False
+    (doc, low, high), (_, _, windows) = repeated_windows([lane], 5)
+    assert not len(doc) and not len(low) and not len(high) and windows == []
+
+
 PEAK = """
 import resource, sys
 import numpy as np

@@ -318,7 +318,7 @@ def repeated_windows(lanes: list[tuple[np.ndarray, np.ndarray, list[bytes], bool
     cut = np.ones(len(place), bool)
     cut[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)
     at = np.flatnonzero(cut)
-    last = np.append(at[1:], len(place)) - 1
+    last = np.append(at[1:], len(place))[: len(at)] - 1
     return (doc[at], place[at], place[last] + length), first
 
 
