@@ -4,6 +4,7 @@ import glob
 import math
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -486,3 +487,44 @@ def test_library_stands_alone():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert not re.search(r"topicloom\.llm|corpus_pipeline", path.read_text()), path
+
+
+def test_a_spooled_chain_is_the_chain_and_holds_a_chunk():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 50, int(n)).astype(np.int32) for n in rng.integers(0, 40, 300)]
+    want = gibbs.learned([d.tolist() for d in docs], 3, 50, 0.1, 0.1, 2, 7, [(1, 4, 9)])
+    state = gibbs.GibbsState(3, 50, 0.1, 0.1)
+    state.add_seed(1, 4, 9)
+    spool = gibbs.Spool(state, 7, chunk=500)
+    for words in docs:
+        spool.add(words)
+    spool.flush()
+    for _ in range(2):
+        spool.sweep()
+    assert len(spool.places) > 5 and state.tw == want.tw and state.t == want.t and spool.labels() == want.labels()
+    assert [z for held in spool.taken() for z in held.z] == want.z
+
+    def peak(n):
+        tracemalloc.start()
+        gibbs.spooled((np.full(500, k % 50, np.int32) for k in range(n)), 3, 50, 0.1, 0.1, 1, 7)
+        try:
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    gibbs.Spool.__init__.__defaults__, was = (20_000,), gibbs.Spool.__init__.__defaults__
+    try:
+        assert peak(1200) < 1.3 * peak(200)
+    finally:
+        gibbs.Spool.__init__.__defaults__ = was
+
+
+def test_runs_in_one_task_are_sampled_apart(spark):
+    rows = [(f"r{d % 5}", 1, d, [d % 7, 3, 1][: d % 4]) for d in range(60)]
+    docs = spark.createDataFrame(rows, "run_id string, seed int, doc_id long, word_ids array<int>")
+    found = {(r.run_id, r.doc_id): list(r.topics) for r in gibbs.gibbs_runs(docs, 7, 3, iters=2).collect()}
+    want = {}
+    for k in range(5):
+        own = [(d, w) for run, _, d, w in rows if run == f"r{k}"]
+        want |= {(f"r{k}", d): z for (d, _), z in zip(own, gibbs.learned([w for _, w in own], 3, 7, 0.1, 0.1, 2, 1).z, strict=True)}
+    assert found == want

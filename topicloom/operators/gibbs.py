@@ -3,10 +3,13 @@ inference on unseen documents in parallel; and a distributed approximation."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,14 @@ class GibbsState:
                     self.tw[w][z] += 1
                     self.t[z] += 1
 
+    def take(self, docs: list[list[int]], z: list[list[int]]) -> None:
+        """Documents whose topics the model counts already, in place of those held."""
+        self.docs, self.z = docs, z
+        self.dt = [[0] * self.k for _ in docs]
+        for topics, counts in zip(z, self.dt, strict=True):
+            for k in topics:
+                counts[k] += 1
+
     def sweep(self, rng: np.random.Generator, learn: bool = True, only: list[int] | None = None) -> None:
         """Each token in order leaves, draws its topic from the posterior, and
         comes back; with ``learn`` off the model stays as it is."""
@@ -72,6 +83,74 @@ class GibbsState:
         return [max(range(self.k), key=lambda k: (c[k], -k)) if any(c) else 0 for c in self.dt]
 
 
+class Spool:
+    """One chain over documents that lie, with their topics, in a temporary file of the
+    task: memory holds the model and a chunk of about ``chunk`` tokens, however many
+    documents there are. Draws are those of a chain over all of them at once."""
+
+    def __init__(self, state: GibbsState, seed: int, chunk: int = 1 << 19):
+        self.state, self.chunk, self.file = state, chunk, tempfile.TemporaryFile()
+        self.init, self.rng = generator(seed, "init"), generator(seed, "sweep")
+        self.places: list[tuple[int, np.ndarray]] = []
+        self.waiting: list[list[int]] = []
+        self.size = 0
+
+    def add(self, words: np.ndarray) -> None:
+        """The next document, which gets its first topics."""
+        self.waiting.append(words.tolist())
+        self.size += len(words)
+        if self.size >= self.chunk or len(self.waiting) >= self.chunk:
+            self.flush()
+
+    def flush(self) -> None:
+        self.state.start(self.waiting, self.init)
+        self.places.append((self.file.seek(0, 2), np.array([len(d) for d in self.waiting], np.int64)))
+        for part in (self.waiting, self.state.z):
+            self.file.write(np.fromiter(chain.from_iterable(part), np.int32, self.size))
+        self.waiting, self.size = [], 0
+
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(lengths, words, topics) of the documents, in order."""
+        if self.waiting:
+            self.flush()
+        for offset, sizes in self.places:
+            self.file.seek(offset)
+            words, z = (np.frombuffer(self.file.read(4 * int(sizes.sum())), np.int32) for _ in range(2))
+            yield sizes, words, z
+
+    def taken(self) -> Iterator[GibbsState]:
+        """The state, holding one chunk after another."""
+        for sizes, words, z in self.chunks():
+            ends = np.cumsum(sizes).tolist()
+            spans = list(zip([0, *ends[:-1]], ends, strict=True))
+            self.state.take(*([x[a:b] for a, b in spans] for x in (words.tolist(), z.tolist())))
+            yield self.state
+
+    def sweep(self) -> None:
+        for (offset, sizes), state in zip(self.places, self.taken(), strict=True):
+            state.sweep(self.rng)
+            self.file.seek(offset + 4 * int(sizes.sum()))
+            self.file.write(np.fromiter(chain.from_iterable(state.z), np.int32, int(sizes.sum())))
+
+    def labels(self) -> list[int]:
+        return [label for state in self.taken() for label in state.labels()]
+
+
+def spooled(docs: Iterable[np.ndarray], num_topics: int, vocab_size: int, alpha: float, beta: float, iters: int, seed: int, seeds: list[tuple[int, int, int]] = ()) -> Spool:
+    """What ``learned`` gives, for more documents than fit."""
+    state = GibbsState(num_topics, vocab_size, alpha, beta)
+    for topic, word, n in seeds:
+        state.add_seed(topic, word, n)
+    out = Spool(state, seed)
+    for words in docs:
+        out.add(words)
+    if out.waiting:
+        out.flush()
+    for _ in range(iters):
+        out.sweep()
+    return out
+
+
 def learned(docs: list[list[int]], num_topics: int, vocab_size: int, alpha: float, beta: float, iters: int, seed: int, seeds: list[tuple[int, int, int]] = ()) -> GibbsState:
     state = GibbsState(num_topics, vocab_size, alpha, beta)
     for topic, word, n in seeds:
@@ -111,16 +190,42 @@ ASSIGNED = "run_id string, doc_id bigint, word_ids array<int>, topics array<int>
 
 def gibbs_runs(docs: DataFrame, vocab_size: int, num_topics: int = 3, alpha: float = 0.1, beta: float = 0.1, iters: int = 100) -> DataFrame:
     """ASSIGNED rows for documents (run_id, seed, doc_id, word_ids): every run is
-    sampled exactly, in the order of doc_id, in a task of its own. A run is one
-    Markov chain, so its documents must fit a task; use ``distributed_gibbs`` for
-    a corpus that does not."""
-
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id")
-        state = learned([list(map(int, w)) for w in rows["word_ids"]], num_topics, vocab_size, alpha, beta, iters, int(rows["seed"].iloc[0]))
-        return pd.DataFrame({"run_id": rows["run_id"].to_numpy(), "doc_id": rows["doc_id"].to_numpy(), "word_ids": state.docs, "topics": state.z})
-
-    return by_group(docs, "run_id").groupBy("run_id").applyInPandas(kernel, ASSIGNED)
+    sampled exactly, in the order of doc_id, by one task. A run is one Markov chain,
+    so its time is that of one core; its documents come in batches and lie in a file
+    (``Spool``). ``distributed_gibbs`` spreads a corpus over tasks."""
+
+    def sampled(run: str, spool: Spool, ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if spool.waiting:
+            spool.flush()
+        for _ in range(iters):
+            spool.sweep()
+        ids, at = np.concatenate(ids), 0
+        for sizes, words, z in spool.chunks():
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (words, z)]
+            yield pa.RecordBatch.from_arrays([pa.array([run] * len(sizes), pa.string()), pa.array(ids[at : at + len(sizes)], pa.int64()), *lists], names=["run_id", "doc_id", "word_ids", "topics"])
+            at += len(sizes)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, spool, ids = None, None, []
+        for batch in batches:
+            runs, words = batch.column(0).to_pylist(), batch.column(3)
+            flat, offsets = words.values.to_numpy(), words.offsets.to_numpy()
+            at = [0, *(i for i in range(1, len(runs)) if runs[i] != runs[i - 1])]
+            for a, b in zip(at, [*at[1:], len(runs)], strict=True):
+                if spool is None or runs[a] != run:
+                    if spool:
+                        yield from sampled(run, spool, ids)
+                    run, ids = runs[a], []
+                    spool = Spool(GibbsState(num_topics, vocab_size, alpha, beta), batch.column(1)[a].as_py())
+                ids.append(batch.column(2)[a:b].to_numpy())
+                for i in range(a, b):
+                    spool.add(flat[offsets[i] : offsets[i + 1]])
+        if spool:
+            yield from sampled(run, spool, ids)
+
+    rows = docs.select(F.col("run_id").cast("string").alias("run_id"), F.col("seed").cast("long").alias("seed"), F.col("doc_id").cast("long").alias("doc_id"), F.col("word_ids").cast("array<int>").alias("word_ids"))
+    return by_group(rows, "run_id").sortWithinPartitions("run_id", "doc_id").mapInArrow(kernel, ASSIGNED)
 
 
 def assignments(runs: DataFrame) -> DataFrame:

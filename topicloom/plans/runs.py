@@ -205,10 +205,11 @@ def select_model(docs: DataFrame, vocab_size: int, p: FilterParams, seed: int =
         run, fold = int(rows["run"].iloc[0]), int(rows["fold"].iloc[0])
         fit, test = rows[~rows["held"]], rows[rows["held"]]
         start = seed_of[run] if seed_of else tuning_seed(seed, run)
-        state = gibbs.learned([[int(w) for w in words] for words in fit["word_ids"]], k, vocab_size, alpha, beta, p.init_num_iters, start, seeds)
+        spool = gibbs.spooled(fit["word_ids"], k, vocab_size, alpha, beta, p.init_num_iters, start, seeds)
+        state = spool.state
         by_nmi = p.init_tune_eval_nmi or p.init_tune_num_cv_folds == 0
         if not len(test):
-            score = particle.nmi(fit["category"].tolist(), state.labels()) if by_nmi else float("-inf")
+            score = particle.nmi(fit["category"].tolist(), spool.labels()) if by_nmi else float("-inf")
         else:
             phi = ((np.array(state.tw) + beta) / (np.array(state.t) + vocab_size * beta)).tolist()
             held = [words.tolist() for words in test["word_ids"]]
