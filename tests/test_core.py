@@ -528,3 +528,20 @@ def test_runs_in_one_task_are_sampled_apart(spark):
         own = [(d, w) for run, _, d, w in rows if run == f"r{k}"]
         want |= {(f"r{k}", d): z for (d, _), z in zip(own, gibbs.learned([w for _, w in own], 3, 7, 0.1, 0.1, 2, 1).z, strict=True)}
     assert found == want
+
+
+@pytest.mark.parametrize("k, forget, size", [(2, False, 6), (3, True, 4), (4, False, 0), (3, False, 30)])
+def test_plain_numbers_are_what_vectors_are(monkeypatch, k, forget, size):
+    rng = random.Random(k)
+    docs = [[rng.randrange(30) for _ in range(rng.choice([0, 1, 7, 25]))] for _ in range(60)]
+    params = FilterParams.of(num_particles=5, num_topics=k, reservoir_size=size, init_num_docs=8, init_num_iters=2, rejuv_sample_size=3, rejuv_mcmc_steps=2, ess_threshold=4.0, forget_stats=forget).dict()
+
+    def state():
+        pf = particle.ParticleFilter(params, 30, 5)
+        for d, words in enumerate(docs):
+            pf.step(d, words, "a")
+        return pf.tw.tolist(), pf.t.tolist(), pf.weights.tolist(), [d.z.tolist() for d in pf.reservoir], pf.version, pf.labels.of(pf.best())
+
+    plain = state()
+    monkeypatch.setattr(particle, "FEW_PARTICLES", 0)
+    assert plain == state() and plain[4] > 0

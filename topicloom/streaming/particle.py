@@ -27,6 +27,10 @@ from topicloom.sources.scratch import by_group, keep
 from topicloom.streaming.reservoir import reservoir_by_key
 
 
+#: Particles and topics up to which plain numbers beat vectors, which cost more to start.
+FEW_PARTICLES, FEW_TOPICS = 16, 4
+
+
 @dataclass
 class Stored:
     """A document in the reservoir: its words, every particle's topics, its category
@@ -271,6 +275,25 @@ class ParticleFilter:
         if p["forget_stats"] and out is not None and out is not doc:
             self._forget(out)
         given = {doc_id}
+        if self._few() and not p["resample_per_token"]:
+            room = self._propagate_few(doc.words, self._rng("propagate").random((len(words), n)))
+        else:
+            given |= self._propagate(doc, room)
+        weights = self.weights
+        doc.z = room
+        weights /= weights.sum()
+        if not p["resample_per_token"] and self.ess() < p["ess_threshold"]:
+            given |= self._resample(doc)
+        if p["forget_stats"] and out is doc:
+            self._forget(doc)
+        self._label(doc)
+        return list(given)
+
+    def _propagate(self, doc: Stored, room: np.ndarray) -> set[int]:
+        """Every particle's topics of a new document's tokens, into ``room``; vectors run
+        over particles. Gives the ids whose labels were given anew."""
+        p, n, k = self.p, len(self.weights), self.p["num_topics"]
+        words, given = doc.words.tolist(), set()
         # counts with their priors, kept up token by token; a particle's cell stands at row + topic, one of its model at block + word * k + topic
         row, block = np.arange(n) * k, np.arange(n) * (self.v * k)
         own, all_words = np.full((n, k), p["alpha"]), self.t + self.v * p["beta"]
@@ -299,15 +322,66 @@ class ParticleFilter:
                 room[:, : j + 1] = doc.z
                 own[:], all_words[:] = self._dt(doc) + p["alpha"], self.t + self.v * beta
                 tw, weights, model = self.tw, self.weights, self.tw.reshape(-1)
-        doc.z = room
-        weights /= weights.sum()
         self.t = np.rint(all_words - self.v * beta).astype(np.int64)
-        if not each and self.ess() < p["ess_threshold"]:
-            given |= self._resample(doc)
-        if p["forget_stats"] and out is doc:
-            self._forget(doc)
-        self._label(doc)
-        return list(given)
+        return given
+
+    def _few(self) -> bool:
+        return len(self.weights) <= FEW_PARTICLES and self.p["num_topics"] <= FEW_TOPICS
+
+    def _plain(self, words: np.ndarray) -> tuple[list, list, dict[int, int]]:
+        """Every particle's counts of the words, its totals with their priors, and the
+        words' places. Topics are filled up to FEW_TOPICS with ones of no mass."""
+        own, n, k = np.unique(words), len(self.weights), self.p["num_topics"]
+        rows = np.zeros((n, len(own), FEW_TOPICS), np.int64)
+        rows[:, :, :k] = self.tw[:, own]
+        below = np.ones((n, FEW_TOPICS))
+        below[:, :k] = self.t + self.v * self.p["beta"]
+        return rows.tolist(), below.tolist(), {w: i for i, w in enumerate(own.tolist())}
+
+    def _cells(self, words: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Places in the flat models of every particle's topics z of words."""
+        k = self.p["num_topics"]
+        return np.arange(len(z))[:, None] * (self.v * k) + words * k + z
+
+    def _totals(self, below: list[list[float]]) -> None:
+        self.t = np.rint(np.array(below)[:, : self.p["num_topics"]] - self.v * self.p["beta"]).astype(np.int64)
+
+    def _propagate_few(self, words: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """The same topics in plain numbers. A particle's tokens go one after another, as
+        particles meet in the weights alone."""
+        n, k, beta = len(self.weights), self.p["num_topics"], self.p["beta"]
+        rows, totals, at = self._plain(words)
+        places = [at[w] for w in words.tolist()]
+        masses, room = np.empty((n, len(places))), np.empty((n, len(places)), np.int64)
+        for m in range(n):
+            model, below, own, mass, topics = rows[m], totals[m], [self.p["alpha"]] * k + [0.0] * (FEW_TOPICS - k), [], []
+            for i, u in zip(places, draws[:, m].tolist(), strict=True):
+                row = model[i]
+                r0, r1, r2, r3 = row
+                a0, a1, a2, a3 = own
+                b0, b1, b2, b3 = below
+                c0 = (r0 + beta) * a0 / b0
+                c1 = c0 + (r1 + beta) * a1 / b1
+                c2 = c1 + (r2 + beta) * a2 / b2
+                c3 = c2 + (r3 + beta) * a3 / b3
+                u *= c3
+                z = 0 if u < c0 else 1 if u < c1 else 2 if u < c2 else 3
+                if z >= k:
+                    z = k - 1
+                topics.append(z)
+                mass.append(c3)
+                row[z] += 1
+                own[z] += 1.0
+                below[z] += 1.0
+            masses[m], room[m] = mass, topics
+        np.add.at(self.tw.reshape(-1), self._cells(words, room).ravel(), 1)
+        self._totals(totals)
+        weights = self.weights
+        for j, mass in enumerate(np.ascontiguousarray(masses.T)):
+            weights *= mass
+            if not j & 15:
+                weights /= weights.sum()
+        return room
 
     def ess(self) -> float:
         return float(1.0 / (self.weights**2).sum())
@@ -323,7 +397,8 @@ class ParticleFilter:
         source = np.arange(n)
         source[times == 0] = np.repeat(np.arange(n), np.maximum(times - 1, 0))
         if (source != np.arange(n)).any():
-            self.tw, self.t = self.tw[source], self.t[source]
+            gone = np.flatnonzero(source != np.arange(n))  # what they become keeps its place
+            self.tw[gone], self.t[gone] = self.tw[source[gone]], self.t[source[gone]]
             for d in self.reservoir if any(d is doc for d in self.reservoir) else [*self.reservoir, doc]:
                 d.z = d.z[source]
             self.moved.update(range(len(self.reservoir)))
@@ -339,13 +414,20 @@ class ParticleFilter:
         """Gibbs sweeps over a uniform sample of the reservoir's documents, one
         sample for all particles."""
         p, size, held = self.p, self.p["rejuv_sample_size"], len(self.reservoir)
+        slots = list(range(held)) if size >= held else rng.choice(held, size, replace=False).tolist()
+        self.moved.update(slots)
+        if self._few():
+            self._sweep_few([self.reservoir[slot] for slot in slots], rng)
+        else:
+            self._sweep([self.reservoir[slot] for slot in slots], rng)
+
+    def _sweep(self, docs: list[Stored], rng: np.random.Generator) -> None:
+        p = self.p
         n, k, beta = len(self.weights), p["num_topics"], p["beta"]
         row, block, tw, model = np.arange(n) * k, np.arange(n) * (self.v * k), self.tw, self.tw.reshape(-1)
         all_words = self.t + self.v * beta
         flat_all = all_words.ravel()
-        for slot in range(held) if size >= held else rng.choice(held, size, replace=False).tolist():
-            doc = self.reservoir[slot]
-            self.moved.add(slot)
+        for doc in docs:
             topics, own = np.ascontiguousarray(doc.z.T), self._dt(doc) + p["alpha"]
             flat_own, words = own.ravel(), doc.words.tolist()
             for _ in range(p["rejuv_mcmc_steps"]):
@@ -369,6 +451,51 @@ class ParticleFilter:
             doc.z = np.ascontiguousarray(topics.T)
         self.t = np.rint(all_words - self.v * beta).astype(np.int64)
 
+    def _sweep_few(self, docs: list[Stored], rng: np.random.Generator) -> None:
+        """The same in plain numbers: one particle after another goes over all documents."""
+        p, n, k = self.p, len(self.weights), self.p["num_topics"]
+        alpha, beta, steps = p["alpha"], p["beta"], p["rejuv_mcmc_steps"]
+        if not docs:
+            return
+        words = [d.words[: d.z.shape[1]] for d in docs]
+        rows, totals, at = self._plain(np.concatenate(words))
+        work = []
+        for doc, held in zip(docs, words, strict=True):
+            own = np.zeros((n, FEW_TOPICS))
+            own[:, :k] = self._dt(doc) + alpha
+            work.append(([at[w] for w in held.tolist()], doc.z.tolist(), own.tolist(), [rng.random((len(held), n)).T.tolist() for _ in range(steps)]))
+        for m in range(n):
+            model, below = rows[m], totals[m]
+            for places, z, every, draws in work:
+                topics, own = z[m], every[m]
+                for step in draws:
+                    for j, (i, u) in enumerate(zip(places, step[m], strict=True)):
+                        row, old = model[i], topics[j]
+                        row[old] -= 1
+                        own[old] -= 1.0
+                        below[old] -= 1.0
+                        r0, r1, r2, r3 = row
+                        a0, a1, a2, a3 = own
+                        b0, b1, b2, b3 = below
+                        c0 = (r0 + beta) * a0 / b0
+                        c1 = c0 + (r1 + beta) * a1 / b1
+                        c2 = c1 + (r2 + beta) * a2 / b2
+                        u *= c2 + (r3 + beta) * a3 / b3
+                        new = 0 if u < c0 else 1 if u < c1 else 2 if u < c2 else 3
+                        if new >= k:
+                            new = k - 1
+                        topics[j] = new
+                        row[new] += 1
+                        own[new] += 1.0
+                        below[new] += 1.0
+        model = self.tw.reshape(-1)
+        for doc, held, (_, z, _, _) in zip(docs, words, work, strict=True):
+            was, doc.z = doc.z, np.array(z, np.int64).reshape(n, -1)
+            moved = was != doc.z
+            np.subtract.at(model, self._cells(held, was)[moved], 1)
+            np.add.at(model, self._cells(held, doc.z)[moved], 1)
+        self._totals(totals)
+
     # results
 
     def best(self) -> int:
