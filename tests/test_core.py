@@ -545,3 +545,41 @@ def test_plain_numbers_are_what_vectors_are(monkeypatch, k, forget, size):
     plain = state()
     monkeypatch.setattr(particle, "FEW_PARTICLES", 0)
     assert plain == state() and plain[4] > 0
+
+
+def test_left_to_right_of_many_is_that_of_each(spark):
+    rng, k, alpha, particles = np.random.default_rng(2), 3, 0.1, 4
+    docs = [rng.random((int(n), k)) for n in [0, 1, 9, 4, 9, 30]]
+    found = likelihood.particles_lls(docs, k, alpha, particles, [generator(1, "ltr", d) for d in range(len(docs))])
+    for d, phi in enumerate(docs):
+        own, z, dt, ll = generator(1, "ltr", d), np.zeros((particles, len(phi)), int), np.zeros((particles, k)), 0.0
+        for j in range(len(phi)):
+            for i in range(j + 1):
+                u = own.random(particles)
+                for m in range(particles):
+                    dt[m, z[m, i]] -= i < j
+                c = np.cumsum(phi[i] * (dt + alpha), 1)
+                ll += np.log((c[:, -1] / (j + k * alpha)).mean()) if i == j else 0.0
+                z[:, i] = (c[:, :-1] <= (u * c[:, -1])[:, None]).sum(1)
+                for m in range(particles):
+                    dt[m, z[m, i]] += 1
+        assert found[d] == pytest.approx(ll, abs=1e-9)
+    # few bytes are work for many tasks: documents stay dealt
+    tokens = spark.createDataFrame([(d, j, j, 0) for d in range(40) for j in range(3)], "doc_id long, pos int, word_id int, topic int")
+    phis = likelihood.with_phi(tokens, counts.topic_word(tokens), 2, 3, 0.1)
+    assert phis.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_documents_side_by_side_are_each_alone():
+    rng, k = np.random.default_rng(3), 3
+    phi = rng.random((20, k))
+    docs = [rng.integers(0, 20, int(n)).astype(np.int32) for n in [5, 0, 40, 1, 40, 7]]
+    alone = [gibbs.inferred(d.tolist(), phi.tolist(), k, 0.1, 4, generator(1, "infer", i)) for i, d in enumerate(docs)]
+    assert gibbs.inferred_all(docs, phi, k, 0.1, 4, [generator(1, "infer", i) for i in range(len(docs))]).tolist() == alone
+    for words, ll in zip(docs, likelihood.document_lls(docs, phi, k, 0.1), strict=True):
+        dt, want = np.full(k, 0.1), 0.0
+        for n, w in enumerate(words):
+            x = phi[w] * dt
+            want, dt = want + math.log(x.sum() / (n + 0.3)), dt + x / x.sum()
+        assert ll == pytest.approx(want, abs=1e-9)
+    assert not len(likelihood.document_lls([], phi, k, 0.1)) and not len(gibbs.inferred_all([], phi, k, 0.1, 1, []))

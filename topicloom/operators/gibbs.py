@@ -4,7 +4,7 @@ inference on unseen documents in parallel; and a distributed approximation."""
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.rng import generator
+from topicloom.operators.lanes import columns, dealt
 from topicloom.sources.scratch import by_group
 
 
@@ -185,6 +186,29 @@ def inferred(words: list[int], phi: list[list[float]], num_topics: int, alpha: f
     return dt
 
 
+def inferred_all(docs: Sequence[np.ndarray], phi: np.ndarray, num_topics: int, alpha: float, iters: int, rngs: Sequence[np.random.Generator]) -> np.ndarray:
+    """What ``inferred`` gives for each of many documents of word ids."""
+    out = np.zeros((len(docs), num_topics), np.int64)
+    for group, longer in dealt([len(d) for d in docs], 1 << 18):
+        words, longest = columns(docs, group, len(longer)), len(longer)
+        z, dt = columns([rngs[d].integers(0, num_topics, len(docs[d])) for d in group.tolist()], np.arange(len(group)), longest), np.zeros((len(group), num_topics))
+        flat, row = dt.reshape(-1), np.arange(len(group)) * num_topics
+        for j, b in enumerate(longer.tolist()):
+            flat[row[:b] + z[j, :b]] += 1
+        for _ in range(iters):
+            draws = columns([rngs[d].random(len(docs[d])) for d in group.tolist()], np.arange(len(group)), longest)
+            for j, b in enumerate(longer.tolist()):
+                flat[row[:b] + z[j, :b]] -= 1
+                c = dt[:b] + alpha
+                c *= phi[words[j, :b]]
+                for k in range(1, num_topics):
+                    c[:, k] += c[:, k - 1]
+                z[j, :b] = (c[:, :-1] <= (draws[j, :b] * c[:, -1])[:, None]).sum(1)
+                flat[row[:b] + z[j, :b]] += 1
+        out[group] = dt
+    return out
+
+
 ASSIGNED = "run_id string, doc_id bigint, word_ids array<int>, topics array<int>"
 
 
@@ -253,10 +277,9 @@ def infer_docs(docs: DataFrame, phi, num_topics: int, alpha: float = 0.1, iters:
     ``likelihood.sent_model``: words move as ids, and nothing is shuffled."""
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = phi.value.tolist()
         for batch in batches:
-            rows = [(doc, inferred(words.tolist(), model, num_topics, alpha, iters, generator(seed, "infer", int(doc)))) for doc, words in zip(batch["doc_id"], batch["word_ids"], strict=True)]
-            yield pd.DataFrame([(doc, int(np.argmax(dt)), dt) for doc, dt in rows], columns=["doc_id", "topic", "dt"])
+            dt = inferred_all(batch["word_ids"].tolist(), phi.value, num_topics, alpha, iters, [generator(seed, "infer", int(doc)) for doc in batch["doc_id"]])
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "topic": dt.argmax(1), "dt": list(dt)})
 
     return docs.select("doc_id", "word_ids").mapInPandas(kernel, "doc_id bigint, topic int, dt array<bigint>")
 

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.rng import generator
 from topicloom.operators.counts import topic_model, unseen_phi
 from topicloom.operators.gibbs import counted
+from topicloom.operators.lanes import columns, dealt
+from topicloom.sources.scratch import by_group
 
 
 def with_phi(tokens: DataFrame, counts: DataFrame, num_topics: int, vocab_size: int, beta: float) -> DataFrame:
     """(doc_id, phis): each document's word probabilities by topic, in order."""
     none = F.array(*map(F.lit, unseen_phi(counts, num_topics, vocab_size, beta)))
     rows = tokens.join(topic_model(counts, num_topics, vocab_size, beta), "word_id", "left").select("doc_id", "pos", F.coalesce("phi", none).alias("phi"))
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "phi"))).alias("w")).select("doc_id", F.col("w.phi").alias("phis"))
+    return by_group(rows, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "phi"))).alias("w")).select("doc_id", F.col("w.phi").alias("phis"))
 
 
 def first_moment(docs: DataFrame, num_topics: int, alpha: float = 0.1) -> DataFrame:
@@ -70,15 +72,20 @@ def sent_model(counts: DataFrame, num_topics: int, vocab_size: int, beta: float,
     return counts.sparkSession.sparkContext.broadcast((tw + beta) / (tw.sum(0) + vocab_size * beta))
 
 
-def document_ll(words: list[int], phi: list[list[float]], num_topics: int, alpha: float) -> float:
-    """The first-moment likelihood of one document, in plain floats."""
-    dt, ll, k_alpha = [alpha] * num_topics, 0.0, num_topics * alpha
-    for n, w in enumerate(words):
-        x = [p * d for p, d in zip(phi[w], dt, strict=True)]
-        s = sum(x)
-        ll += math.log(s / (n + k_alpha))
-        dt = [d + y / s for d, y in zip(dt, x, strict=True)]
-    return ll
+def document_lls(docs: Sequence[np.ndarray], phi: np.ndarray, num_topics: int, alpha: float) -> np.ndarray:
+    """The first-moment likelihoods of documents of word ids."""
+    out, k_alpha = np.zeros(len(docs)), num_topics * alpha
+    for group, longer in dealt([len(d) for d in docs]):
+        words, dt, ll = columns(docs, group, len(longer)), np.full((len(group), num_topics), alpha), np.zeros(len(group))
+        for n, b in enumerate(longer.tolist()):
+            x = phi[words[n, :b]]
+            x *= dt[:b]
+            s = x.sum(1)
+            ll[:b] += np.log(s / (n + k_alpha))
+            x /= s[:, None]
+            dt[:b] += x
+        out[group] = ll
+    return out
 
 
 def first_moment_docs(docs: DataFrame, phi, num_topics: int, alpha: float = 0.1) -> DataFrame:
@@ -86,29 +93,43 @@ def first_moment_docs(docs: DataFrame, phi, num_topics: int, alpha: float = 0.1)
     ``sent_model``: words move as ids, and nothing is shuffled."""
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = phi.value.tolist()
         for batch in batches:
-            yield pd.DataFrame([(doc, document_ll(words.tolist(), model, num_topics, alpha), len(words)) for doc, words in zip(batch["doc_id"], batch["word_ids"], strict=True)], columns=["doc_id", "ll", "n"])
+            words = batch["word_ids"].tolist()
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ll": document_lls(words, phi.value, num_topics, alpha), "n": [len(w) for w in words]})
 
     return docs.select("doc_id", "word_ids").mapInPandas(kernel, "doc_id bigint, ll double, n bigint")
 
 
-def particles_ll(phi: np.ndarray, num_topics: int, alpha: float, particles: int, rng: np.random.Generator) -> float:
-    """The left-to-right likelihood of one document, phi by position."""
-    n = len(phi)
-    z = np.zeros((particles, n), np.int64)
-    dt, row, ll = np.zeros((particles, num_topics)), np.arange(particles), 0.0
-    for j in range(n):
-        for i in range(j):
-            dt[row, z[:, i]] -= 1
-            c = np.cumsum(phi[i] * (dt + alpha), 1)
-            z[:, i] = np.minimum((c <= rng.random(particles)[:, None] * c[:, -1:]).sum(1), num_topics - 1)
-            dt[row, z[:, i]] += 1
-        c = np.cumsum(phi[j] * (dt + alpha) / (j + num_topics * alpha), 1)
-        ll += np.log(c[:, -1].mean())
-        z[:, j] = np.minimum((c <= rng.random(particles)[:, None] * c[:, -1:]).sum(1), num_topics - 1)
-        dt[row, z[:, j]] += 1
-    return float(ll)
+def particles_lls(docs: Sequence[np.ndarray], num_topics: int, alpha: float, particles: int, rngs: Sequence[np.random.Generator]) -> np.ndarray:
+    """The left-to-right likelihoods of documents, each by its words' phi, with a
+    generator of its own. Particles of all documents of like length go together."""
+    out, k_alpha = np.zeros(len(docs)), num_topics * alpha
+    for group, longer in dealt([len(d) for d in docs], max(1, (1 << 20) // particles)):
+        phi = np.zeros((len(longer), num_topics, len(group), 1))
+        for c, d in enumerate(group.tolist()):
+            phi[: len(docs[d]), :, c, 0] = docs[d]
+        size = len(group) * particles
+        z, dt, ll = np.zeros((len(longer), len(group), particles), np.int64), np.zeros((num_topics, len(group), particles)), np.zeros(len(group))
+        flat, lane = dt.reshape(-1), np.arange(size).reshape(len(group), particles)
+        for j, b in enumerate(longer.tolist()):
+            draws = np.empty((j + 1, b, particles))
+            for c, d in enumerate(group[:b].tolist()):
+                draws[:, c] = rngs[d].random((j + 1, particles))
+            for i in range(j + 1):
+                if i < j:
+                    flat[z[i, :b] * size + lane[:b]] -= 1
+                c = dt[:, :b] + alpha
+                c *= phi[i, :, :b]
+                if i == j:
+                    c /= j + k_alpha
+                for k in range(1, num_topics):
+                    c[k] += c[k - 1]
+                if i == j:
+                    ll[:b] += np.log(c[-1].mean(1))
+                z[i, :b] = (c[:-1] <= draws[i] * c[-1]).sum(0)
+                flat[z[i, :b] * size + lane[:b]] += 1
+        out[group] = ll
+    return out
 
 
 def left_to_right(docs: DataFrame, num_topics: int, alpha: float = 0.1, particles: int = 20, seed: int = 0) -> DataFrame:
@@ -116,15 +137,15 @@ def left_to_right(docs: DataFrame, num_topics: int, alpha: float = 0.1, particle
     positions, sum the predictive probabilities and draw a topic. Quadratic in a
     document's length, documents are independent; particles go together."""
 
-    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, phis in zip(batch["doc_id"], batch["phis"], strict=True):
-                phi = np.stack(list(phis)) if len(phis) else np.zeros((0, num_topics))
-                out.append((doc, particles_ll(phi, num_topics, alpha, particles, generator(seed, "ltr", int(doc))), len(phi)))
-            yield pd.DataFrame(out, columns=["doc_id", "ll", "n"])
+            ids, lists = batch.column(0).to_pylist(), batch.column(1)
+            phi, ends = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, num_topics), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            held = [phi[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            lls = particles_lls(held, num_topics, alpha, particles, [generator(seed, "ltr", int(d)) for d in ids])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lls), pa.array(np.diff(ends), pa.int64())], names=["doc_id", "ll", "n"])
 
-    return docs.mapInPandas(kernel, "doc_id bigint, ll double, n bigint")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "phis").mapInArrow(kernel, "doc_id bigint, ll double, n bigint")
 
 
 def perplexity(lls: DataFrame) -> DataFrame:

@@ -211,14 +211,14 @@ def select_model(docs: DataFrame, vocab_size: int, p: FilterParams, seed: int =
         if not len(test):
             score = particle.nmi(fit["category"].tolist(), spool.labels()) if by_nmi else float("-inf")
         else:
-            phi = ((np.array(state.tw) + beta) / (np.array(state.t) + vocab_size * beta)).tolist()
-            held = [words.tolist() for words in test["word_ids"]]
+            phi = (np.array(state.tw) + beta) / (np.array(state.t) + vocab_size * beta)
+            held = test["word_ids"].tolist()
             if by_nmi:
-                counts = [gibbs.inferred(words, phi, k, alpha, p.test_num_iters, generator(start, f"select{fold}", int(doc))) for doc, words in zip(test["doc_id"], held, strict=True)]
-                score = particle.nmi(test["category"].tolist(), [int(np.argmax(dt)) for dt in counts])
+                counts = gibbs.inferred_all(held, phi, k, alpha, p.test_num_iters, [generator(start, f"select{fold}", int(doc)) for doc in test["doc_id"]])
+                score = particle.nmi(test["category"].tolist(), counts.argmax(1).tolist())
             else:
                 n = sum(map(len, held))
-                score = -float(np.exp(-sum(likelihood.document_ll(words, phi, k, alpha) for words in held) / n)) if n else float("-inf")
+                score = -float(np.exp(-likelihood.document_lls(held, phi, k, alpha).sum() / n)) if n else float("-inf")
         return pd.DataFrame({"run": [run], "fold": [fold], "score": [score]})
 
     return by_group(jobs.select("run", "fold", "held", "ord", "doc_id", "category", "word_ids"), "run", "fold").groupBy("run", "fold").applyInPandas(kernel, "run int, fold int, score double")
