@@ -2,7 +2,9 @@
 
 import random
 import struct
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,3 +82,28 @@ def test_failed_writes_leave_nothing(spark, docs, tmp_path):
 def test_nothing(spark, docs, tmp_path):
     thrift.write_documents(corpus.annotate(docs.where("false")), str(tmp_path / "out"))
     assert thrift.read_documents(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_trees_in_memory_are_few(tmp_path):
+    def peaks(n):
+        tokens = [{"text": f"word{k}"} for k in range(300)]
+        rows = [{"doc_id": d, "category": "a", "split": "train", "sections": [{"sentences": [{"tokenizations": [{"tokens": tokens}]}]}]} for d in range(n)]
+        batch, path = pa.RecordBatch.from_pylist(rows, thrift.ARROW), str(tmp_path / str(n))
+        del rows
+        writer = thrift.AnnotatedWriter({"path": path, "protocol": "compact", "filebytes": "20000"}, False)
+        tracemalloc.start()
+        writer.commit([writer.write(iter([batch]))])
+        wrote = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        whole = thrift.AnnotatedWriter({"path": path + "w", "protocol": "compact"}, False)
+        whole.commit([whole.write(iter([batch]))])
+        reader = thrift.AnnotatedReader({"path": path + "w", "protocol": "compact"})
+        tracemalloc.start()
+        found = sum(b.num_rows for part in reader.partitions() for b in reader.read(part))
+        read = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == n
+        return wrote, read
+
+    few, many = peaks(50), peaks(800)
+    assert many[0] < 2 * few[0] and many[1] < 8 * few[1]

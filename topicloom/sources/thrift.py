@@ -180,6 +180,8 @@ _TOKENS = pa.list_(pa.struct([("text", pa.string())]))
 _SECTIONS = pa.list_(pa.struct([("sentences", pa.list_(pa.struct([("tokenizations", pa.list_(pa.struct([("tokens", _TOKENS)])))])))]))
 ARROW = pa.schema([("doc_id", pa.int64()), ("category", pa.string()), ("split", pa.string()), ("sections", _SECTIONS)])
 NULL = "__null__"
+#: Bytes of a file that are trees at a time; a tree takes many times its bytes.
+PIECE_BYTES = 1 << 19
 
 
 def from_tree(tree: dict) -> list[dict]:
@@ -241,14 +243,14 @@ class AnnotatedReader(DataSourceReader):
         for path in partition.paths:
             with system.open_input_file(path) as file:
                 reader = Reader(file.read(), self.compact)
-            of, rows = _folder_values(path), []
+            of, rows, begun = _folder_values(path), [], 0
             try:
                 while reader.at < len(reader.raw):
                     tree = reader.struct(COMMUNICATION)
                     rows.append({"doc_id": int(tree["id"]), "category": of.get("category"), "split": of.get("split"), "sections": from_tree(tree)})
-                    if len(rows) == 1000:
+                    if len(rows) == 1000 or reader.at - begun >= PIECE_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, ARROW)
-                        rows = []
+                        rows, begun = [], reader.at
             except (ValueError, KeyError, struct.error, RecursionError) as e:
                 raise ValueError(f"{path} is corrupt: {e}") from e
             if rows:
@@ -287,7 +289,7 @@ class AnnotatedWriter(DataSourceArrowWriter):
             files.append((f"{there}/{name}", f"{root}/{folder}/{name}"))
 
         for batch in iterator:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):  # a document's tree at a time
                 names = ("split", "category")
                 folder = "/".join(f"{k}={NULL if row[k] is None else quote(row[k], safe='')}" for k in names)
                 raw = encoded(to_tree(row["doc_id"], row["sections"]), COMMUNICATION, self.compact)
