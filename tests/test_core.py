@@ -583,3 +583,9 @@ def test_documents_side_by_side_are_each_alone():
             want, dt = want + math.log(x.sum() / (n + 0.3)), dt + x / x.sum()
         assert ll == pytest.approx(want, abs=1e-9)
     assert not len(likelihood.document_lls([], phi, k, 0.1)) and not len(gibbs.inferred_all([], phi, k, 0.1, 1, []))
+
+
+def test_document_frequencies_do_not_meet_at_words(spark):
+    """Tokens are looked up where they are; a frequent word is no single task."""
+    plan = core.QUERIES["doc_freq"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

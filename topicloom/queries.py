@@ -483,7 +483,9 @@ def nmi(spark, d):
 
 @query("word_id:long df:long", ENCODED + "\n--\nSELECT word_id, count(DISTINCT doc_id) AS df FROM enc GROUP BY word_id")
 def doc_freq(spark, d):
-    return metrics.document_frequency(encoded(spark, d)[0])
+    docs = documents(spark, d)
+    ids = vocab.encode_docs(docs, keep(vocab.build_vocab(docs), "vocab"))
+    return metrics.document_frequency(ids.select("doc_id", F.explode(F.array_distinct("word_ids")).alias("word_id")))
 
 
 TOP = """,
