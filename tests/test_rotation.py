@@ -139,3 +139,18 @@ def test_rotation_learns_and_counts_stay_whole(spark, blocks, sparse):
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, word_ids array<int>")
     assert rotation.rotating_gibbs(none, keep, 10, 3, iters=1, blocks=2).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [3, 4])
+def test_each_block_has_a_task_of_its_own(spark, blocks):
+    docs, vocab = corpus_of(spark)
+    rounds = []
+
+    def held(df, name):
+        out = keep(df, name)
+        if name.startswith("rotation_0_"):
+            rounds.append({r.f for r in out.where("kind = 1").select(F.input_file_name().alias("f")).distinct().collect()})
+        return out
+
+    rotation.rotating_gibbs(docs.select("doc_id", "word_ids"), held, vocab, 4, iters=1, seed=1, blocks=blocks)
+    assert [len(x) for x in rounds] == [blocks] * blocks  # a task writes one file

@@ -10,6 +10,7 @@ cost does not depend on their number.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,17 +31,29 @@ class Alias:
     """Draws from fixed weights, each in the same time: a topic's column holds its own
     share and that of one other topic."""
 
+    __slots__ = ("other", "share", "weights")
+
     def __init__(self, weights: list[float]):
         n, total = len(weights), sum(weights)
-        self.weights, self.share, self.other = weights, [1.0] * n, list(range(n))
-        scaled = [x * n / total for x in weights]
-        low, high = [k for k in range(n) if scaled[k] < 1], [k for k in range(n) if scaled[k] >= 1]
+        share, other = [x * n / total for x in weights], list(range(n))
+        low, high = [], []
+        for k, x in enumerate(share):
+            (low if x < 1 else high).append(k)
         while low and high:
-            k, j = low.pop(), high[-1]
-            self.share[k], self.other[k] = scaled[k], j
-            scaled[j] -= 1 - scaled[k]
-            if scaled[j] < 1:
-                low.append(high.pop())
+            j = high[-1]
+            left = share[j]
+            while low:  # as long as this column fills others
+                k = low.pop()
+                other[k] = j
+                left -= 1 - share[k]
+                if left < 1:
+                    low.append(high.pop())
+                    break
+            share[j] = left
+        for k in (*low, *high):
+            share[k] = 1.0
+        # a slice holds a table for each of its words: numbers are packed
+        self.weights, self.share, self.other = array("d", weights), array("d", share), array("i", other)
 
     def draw(self, u: float) -> int:
         u *= len(self.share)
@@ -67,11 +80,14 @@ class Slice:
         for z, n in zip(topics, counts, strict=True):
             row[z] = n
 
+    def made(self, word: int) -> Alias:
+        beta, vb = self.beta, self.vb
+        return Alias([(n + beta) / (t + vb) for n, t in zip(self.rows[word], self.t, strict=True)])
+
     def table(self, word: int) -> Alias:
         alias, used = self.tables.get(word, (None, self.k))
         if used >= self.k:
-            row, t, beta, vb = self.rows[word], self.t, self.beta, self.vb
-            alias, used = Alias([(row[k] + beta) / (t[k] + vb) for k in range(self.k)]), 0
+            alias, used = self.made(word), 0
         self.tables[word] = (alias, used + 1)
         return alias
 
@@ -88,25 +104,37 @@ class Slice:
         return new
 
     def stepped(self, word: int, z: int, j: int, topics: list[int], counts: dict[int, int], draws: Iterator[float]) -> int:
-        """From the topic z of the token at j, which counts leave out."""
-        row, t, alpha, beta, vb, n = self.rows[word], self.t, self.alpha, self.beta, self.vb, len(topics) - 1
+        """From the topic z of the token at j, which counts leave out. The parts of z's
+        posterior are kept while z stays: this is where a sweep's time goes."""
+        row, t, alpha, beta, vb, size, n = self.rows[word], self.t, self.alpha, self.beta, self.vb, self.k, len(topics) - 1
+        table, used = self.tables.get(word, (None, size))
+        ends, held = n + size * alpha, counts.get
+        w, d = row[z] + beta, t[z] + vb
         for _ in range(self.steps):
-            alias = self.table(word)
-            new = alias.draw(next(draws))
+            if used >= size:
+                table, used = self.made(word), 0
+            used += 1
+            u = next(draws) * size
+            new = int(u)
+            if u - new >= table.share[new]:
+                new = table.other[new]
             u = next(draws)
             if new != z:
-                here = (counts.get(z, 0) + alpha) * (row[z] + beta) / (t[z] + vb) * alias.weights[new]
-                if u * here < (counts.get(new, 0) + alpha) * (row[new] + beta) / (t[new] + vb) * alias.weights[z]:
-                    z = new
-            at = next(draws) * (n + self.k * alpha)
+                w_new, d_new, weights = row[new] + beta, t[new] + vb, table.weights
+                if u * ((held(z, 0) + alpha) * w / d * weights[new]) < (held(new, 0) + alpha) * w_new / d_new * weights[z]:
+                    z, w, d = new, w_new, d_new
+            at = next(draws) * ends
             u = next(draws)
             if at < n:
                 at = int(at)
                 new = topics[at + (at >= j)]
             else:
-                new = min(int((at - n) / alpha), self.k - 1)
-            if new != z and u * (row[z] + beta) * (t[new] + vb) < (row[new] + beta) * (t[z] + vb):
-                z = new
+                new = min(int((at - n) / alpha), size - 1)
+            if new != z:
+                w_new, d_new = row[new] + beta, t[new] + vb
+                if u * w * d_new < w_new * d:
+                    z, w, d = new, w_new, d_new
+        self.tables[word] = (table, used)
         return z
 
     def sweep(self, words: list[int], topics: list[int], mine: list[int], rng: np.random.Generator, sparse: bool) -> None:
@@ -200,7 +228,7 @@ def rotating_gibbs(docs: DataFrame, keep: Callable, vocab_size: int, num_topics:
                     yield _batch(out[a : a + 1000])
 
             place = F.when(F.col("kind") == WORD, F.pmod(F.col("block") - turn, F.lit(blocks))).otherwise(F.col("block")).cast("int")
-            met = state.where(F.col("kind") != TOTALS).withColumn("place", place).repartition(blocks, "place").sortWithinPartitions("place", "kind", "id")
+            met = state.where(F.col("kind") != TOTALS).withColumn("place", place).repartitionById(blocks, F.col("place")).sortWithinPartitions("place", "kind", "id")
             state = keep(met.mapInArrow(rotate, ROWS), f"rotation_{k}_{turn}")
             for r in state.where(F.col("kind") == TOTALS).select("a").collect():  # K numbers a block
                 totals = [x + y for x, y in zip(totals, r.a, strict=True)]
