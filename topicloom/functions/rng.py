@@ -26,6 +26,18 @@ def uniform(doc: Column, pos: Column, sweep: int, seed: int) -> Column:
     return token_hash(doc, pos, sweep, seed) / F.lit(float(MODULUS))
 
 
+def hash_array(doc: np.ndarray, pos: np.ndarray, sweep: int, seed: int) -> np.ndarray:
+    """``token_hash`` of arrays."""
+    h = (doc.astype(np.int64) % MODULUS * 1103515245 + pos.astype(np.int64) * 12345 + (sweep * 40503 + seed)) % MODULUS
+    for _ in range(2):
+        h = (h * h + 48271) % MODULUS
+    return h
+
+
+def uniform_array(doc: np.ndarray, pos: np.ndarray, sweep: int, seed: int) -> np.ndarray:
+    return hash_array(doc, pos, sweep, seed) / float(MODULUS)
+
+
 def token_hash_sql(doc: str, pos: str, sweep: int, seed: int) -> str:
     h = f"((({doc}) % {MODULUS}) * 1103515245 + ({pos}) * 12345 + {sweep * 40503 + seed}) % {MODULUS}"
     for _ in range(2):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import text as T
 from topicloom.functions.rng import token_hash_sql, uniform
 from topicloom.operators import counts as C
+from topicloom.operators import documents as D
 from topicloom.operators import gibbs, likelihood, metrics, rotation, selection, trace, vocab
 from topicloom.plans import online, runs
 from topicloom.plans.params import FilterParams
@@ -68,10 +69,11 @@ def assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return C.initial_topics(tokens, K, SEED), size
 
 
-def kept_assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """The same written, for what reads tokens several times."""
-    tokens, size = assigned(spark, sf_dir)
-    return keep(tokens, "assigned"), size
+def kept_documents(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """(doc_id, word_ids, topics) written, and the vocabulary's size: tokens stay in their documents."""
+    docs = documents(spark, d)
+    words = keep(vocab.build_vocab(docs), "vocab")
+    return keep(D.initial_topics(vocab.encode_docs(docs, words), K, SEED), "assigned"), words.count()
 
 
 # pieces of SQL
@@ -517,33 +519,26 @@ def coherence(spark, d):
 
 @query("doc_id:long topic:long mass:double", COUNTS + grid(False) + "\n--\nSELECT doc_id, k AS topic, sum(p) AS mass FROM grid GROUP BY doc_id, k")
 def posterior_grid(spark, d):
-    rows, size = kept_assigned(spark, d)
-    joined, totals = C.with_counts(rows, K)
-    p = joined.select("doc_id", C.posterior_array(totals, size, ALPHA, BETA, False).alias("p"))
-    sums = p.groupBy("doc_id").agg(*[F.sum(F.get("p", F.lit(k))).alias(f"m{k}") for k in range(K)])
-    return sums.select("doc_id", F.posexplode(F.array(*[f"m{k}" for k in range(K)])).alias("topic", "mass"))
+    rows, size = kept_documents(spark, d)
+    return D.topic_mass(rows, K, size, ALPHA, BETA).select("doc_id", F.posexplode("mass").alias("topic", "mass"))
 
 
 @query("doc_id:long n:long ll:double", COUNTS + grid(False) + "\n--\nSELECT doc_id, count(*) AS n, sum(ln(s)) AS ll FROM (SELECT doc_id, pos, sum(p) AS s FROM grid GROUP BY doc_id, pos) GROUP BY doc_id")
 def predictive_prob(spark, d):
-    rows, size = kept_assigned(spark, d)
-    joined, totals = C.with_counts(rows, K)
-    s = F.aggregate(C.posterior_array(totals, size, ALPHA, BETA, False), F.lit(0.0), lambda a, x: a + x)
-    return joined.select("doc_id", s.alias("s")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.ln("s")).alias("ll"))
+    rows, size = kept_documents(spark, d)
+    return D.log_predictive(rows, K, size, ALPHA, BETA)
 
 
 @query("doc_id:long pos:long topic:long", COUNTS + grid(False) + drawn(1) + "\n--\nSELECT doc_id, pos, topic FROM swept")
 def sample_topic(spark, d):
-    rows, size = kept_assigned(spark, d)
-    joined, totals = C.with_counts(rows, K)
-    p = joined.select("doc_id", "pos", C.posterior_array(totals, size, ALPHA, BETA, False).alias("p"))
-    return p.select("doc_id", "pos", C.draw(F.col("p"), uniform(F.col("doc_id"), F.col("pos"), 1, SEED), K).alias("topic"))
+    rows, size = kept_documents(spark, d)
+    return D.drawn(rows, K, size, 1, ALPHA, BETA, SEED).select("doc_id", F.posexplode("topics").alias("pos", "topic"))
 
 
 @query("topic:long word_id:long n:long", COUNTS + grid(True) + drawn(1) + "\n--\nSELECT topic, word_id, count(*) AS n FROM swept GROUP BY ALL")
 def gibbs_sync_sweep(spark, d):
-    rows, size = kept_assigned(spark, d)
-    return C.topic_word(C.sync_sweep(rows, K, size, 1, ALPHA, BETA, SEED))
+    rows, size = kept_documents(spark, d)
+    return D.topic_word(D.drawn(rows, K, size, 1, ALPHA, BETA, SEED, leave_out=True), K)
 
 
 PHI = COUNTS + f""",
