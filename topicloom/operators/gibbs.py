@@ -209,6 +209,52 @@ def inferred_all(docs: Sequence[np.ndarray], phi: np.ndarray, num_topics: int, a
     return out
 
 
+def swept_all(docs: Sequence[np.ndarray], topics: Sequence[np.ndarray], model: np.ndarray, totals: np.ndarray, vocab_size: int, alpha: float, beta: float, rngs: Sequence[np.random.Generator]) -> list[np.ndarray]:
+    """The topics after a ``GibbsState.sweep`` of each of many documents, which meets the
+    counts (words x topics, and all words') and its own changes alone: documents go side
+    by side, with copies of their own words' rows."""
+    k = model.shape[1]
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(docs)
+    for group, longer in dealt([len(d) for d in docs], min(1 << 20, max(1, (1 << 22) // k))):
+        longest, own = len(longer), np.arange(len(group))
+        sizes = [len(docs[d]) for d in group.tolist()]
+        if sum(sizes) < 16 * longest:  # a step of arrays takes as long as some 16 tokens one by one
+            for d in group.tolist():
+                one, mine = GibbsState(k, 0, alpha, beta), np.unique(docs[d])
+                one.v, one.t, one.tw = vocab_size, totals.tolist(), dict(zip(mine.tolist(), model[mine].tolist(), strict=True))
+                one.take([docs[d].tolist()], [topics[d].tolist()])
+                one.sweep(rngs[d])
+                out[d] = np.array(one.z[0], np.int32)
+            continue
+        z = columns(topics, group, longest).astype(np.int64)
+        of, words = np.repeat(own, sizes), np.concatenate([docs[d] for d in group.tolist()]).astype(np.int64)
+        held, at = np.unique(of * len(model) + words, return_inverse=True)
+        tw, ends = model[held % max(1, len(model))].astype(float), np.cumsum(sizes).tolist()
+        places = columns([at[e - n : e] for e, n in zip(ends, sizes, strict=True)], own, longest) if longest else None
+        draws = columns([rngs[d].random(len(docs[d])) for d in group.tolist()], own, longest) if longest else None
+        dt = np.bincount(of * k + np.concatenate([topics[d] for d in group.tolist()]).astype(np.int64), minlength=len(group) * k).astype(float)
+        t, row = np.tile(totals.astype(float), len(group)), own * k
+        for j, b in enumerate(longer.tolist()):
+            cells, mine = places[j, :b] * k, row[:b] + z[j, :b]
+            tw.reshape(-1)[cells + z[j, :b]] -= 1
+            t[mine] -= 1
+            dt[mine] -= 1
+            p = tw[places[j, :b]]
+            p += beta
+            p /= t[: b * k].reshape(b, k) + vocab_size * beta
+            p *= dt[: b * k].reshape(b, k) + alpha
+            for c in range(1, k):
+                p[:, c] += p[:, c - 1]
+            z[j, :b] = (p[:, :-1] <= (draws[j, :b] * p[:, -1])[:, None]).sum(1)
+            mine = row[:b] + z[j, :b]
+            tw.reshape(-1)[cells + z[j, :b]] += 1
+            t[mine] += 1
+            dt[mine] += 1
+        for c, d in enumerate(group.tolist()):
+            out[d] = z[: sizes[c], c].astype(np.int32)
+    return out
+
+
 ASSIGNED = "run_id string, doc_id bigint, word_ids array<int>, topics array<int>"
 
 
@@ -319,18 +365,10 @@ def distributed_gibbs(docs: DataFrame, keep, vocab_size: int, num_topics: int, a
         sent = spark.sparkContext.broadcast(counted(tokens.groupBy("word_id", "topic").agg(F.count("*").alias("n")), num_topics, vocab_size, max_model_mb))
 
         def sweep(batches: Iterator[pd.DataFrame], k: int = k, sent=sent) -> Iterator[pd.DataFrame]:
-            local = GibbsState(num_topics, 0, alpha, beta)
-            local.v, totals = vocab_size, sent.value.sum(0).tolist()
+            totals = sent.value.sum(0)
             for batch in batches:
-                swept = []
-                for doc, words, topics in zip(batch["doc_id"], batch["word_ids"], batch["topics"], strict=True):
-                    own = np.unique(words)  # each document meets the counts of the round before, so it changes copies of its words' rows
-                    local.tw, local.t = dict(zip(own.tolist(), sent.value[own].tolist(), strict=True)), list(totals)
-                    was = topics.tolist()
-                    local.docs, local.z, local.dt = [words.tolist()], [was], [np.bincount(was, minlength=num_topics).tolist() if was else [0] * num_topics]
-                    local.sweep(generator(seed, f"sweep{k}", int(doc)))
-                    swept.append(was)
-                batch["topics"] = swept
+                rngs = [generator(seed, f"sweep{k}", int(doc)) for doc in batch["doc_id"]]
+                batch["topics"] = swept_all(batch["word_ids"].tolist(), batch["topics"].tolist(), sent.value, totals, vocab_size, alpha, beta, rngs)
                 yield batch
 
         state = keep(state.mapInPandas(sweep, schema), f"sweep_{k + 1}")
