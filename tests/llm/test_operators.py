@@ -1042,3 +1042,16 @@ def test_packing_of_very_many_tiny_rests():
     assert took[1] < 20 * took[0]
     first = {p[0] for p in pieces if p[5] == pieces[0][5]}
     assert {k for k in range(n) if k % 1000 == 0} <= first or len(first) == 2048  # those that share the seed's term come first
+
+
+def test_line_dedup_joins_alike_at_every_size(spark):
+    """Small tables are not broadcast, so what moves grows with the input, not faster."""
+    from topicloom.llm import lines
+    from topicloom.llm.common import Scratch
+
+    docs = spark.createDataFrame([(k, "\n".join([f"{'a' * 60} one", f"{'b' * 60} two", f"last {k % 2}"])) for k in range(4)], "doc_id long, text string")
+    scratch = Scratch(spark, "lines")
+    again = lines.repeated_chunks(docs, scratch)
+    cut = scratch.keep(again.groupBy("doc_id").agg(F.collect_list(F.struct("b", "n")).alias("cut")), "cut")
+    for out in (again, lines.repeated_runs(docs, cut, scratch), lines.dedup_passages(docs, Scratch(spark, "passages"))):
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()

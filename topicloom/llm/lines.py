@@ -71,7 +71,8 @@ def _pair(column: str) -> list[F.Column]:
 def _later(spots: DataFrame, texts: Callable[[DataFrame], DataFrame], place: F.Column, scratch: Scratch, name: str) -> DataFrame:
     """Of spots (h1, h2, ...), those equal in bytes to an earlier one by ``place``.
     ``texts(asked)`` gives spots of the asked (h1, h2) with their bytes as ``own``.
-    Unequal bytes of one hash are told apart; map tasks keep one row of equal ones."""
+    Unequal bytes of one hash are told apart; map tasks keep one row of equal ones.
+    Joins are of one kind at every size, so what moves grows with the input."""
     keys = ["h1", "h2"]
     again = scratch.keep(spots.groupBy(*keys).agg(F.count("*").alias("held")).where("held > 1").select(*keys), f"{name}_again")
     kinds = texts(again).groupBy(*keys, "own").agg(F.min(place).alias("first"), F.count("*").alias("held"))
@@ -79,7 +80,7 @@ def _later(spots: DataFrame, texts: Callable[[DataFrame], DataFrame], place: F.C
     by_hash = kinds.groupBy(*keys).agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.max("held").alias("held"))
     by_hash = scratch.keep(by_hash, f"{name}_hashes")
     one = by_hash.where("kinds = 1 and held > 1").select(*keys, "first")
-    out = spots.join(one, keys).where(place > F.col("first")).drop("first", *keys)
+    out = spots.join(one.hint("merge"), keys).where(place > F.col("first")).drop("first", *keys)
     if (mixed := by_hash.where("kinds > 1").select(*keys)).limit(1).count():  # unequal bytes of one hash
         out = out.union(texts(mixed).join(kinds.where("held > 1").select(*keys, "own", "first"), [*keys, "own"]).where(place > F.col("first")).select(*out.columns))
     return out
@@ -91,7 +92,7 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     spots = scratch.keep(line_chunks(docs, **how), "spots")
 
     def texts(asked: DataFrame) -> DataFrame:
-        return line_chunks(docs, with_text=True, **how).withColumnRenamed("chunk", "own").join(asked, ["h1", "h2"], "left_semi")
+        return line_chunks(docs, with_text=True, **how).withColumnRenamed("chunk", "own").join(asked.hint("merge"), ["h1", "h2"], "left_semi")
 
     return _later(spots, texts, F.struct("doc_id", "k"), scratch, "chunks")
 
@@ -147,7 +148,7 @@ def repeated_runs(docs: DataFrame, gone: DataFrame, scratch: Scratch, min_lines:
 
     def texts(asked: DataFrame) -> DataFrame:
         """Only texts that hold an asked run move, and of those only such runs."""
-        wanted = spots.join(asked, ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("b", "n", "h1", "h2")).alias("asked"))
+        wanted = spots.join(asked.hint("merge"), ["h1", "h2"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("b", "n", "h1", "h2")).alias("asked"))
         held = keyed.join(wanted.hint("merge"), "doc_id").withColumn("lines", F.split("_text", "\n", -1))
         cut = F.transform("asked", lambda x: F.struct(x["b"].alias("b"), x["n"].alias("n"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.array_join(F.slice("lines", (x["b"] + 1).cast("int"), x["n"].cast("int")), "\n").alias("own")))
         return held.select("doc_id", F.explode(cut).alias("x")).select("doc_id", "x.*")
@@ -178,7 +179,7 @@ def dedup_passages(docs: DataFrame, scratch: Scratch, window: int = WINDOW, divi
     number = F.explode(F.sequence(F.col("b").cast("int"), (F.col("b") + F.col("n") - 1).cast("int")))
     gone = scratch.keep(ranges.select(F.col("doc_id").alias("__l_row"), number.alias("line")).groupBy("__l_row").agg(F.collect_set("line").alias("__l_gone")), "lines_gone")
     scratch.drop("spots", "runs", "cut", "chunks_gone", *(f"{x}_{y}" for x in ("chunks", "runs") for y in ("again", "kinds", "hashes")))
-    rows = rows.join(gone, F.col("__row") == F.col("__l_row"), "left").drop("__l_row", "__row")
+    rows = rows.join(gone.hint("merge"), F.col("__row") == F.col("__l_row"), "left").drop("__l_row", "__row")
     cut = _with_chunks(rows, window, divisor)
     of_line = F.flatten(F.transform(_numbers(), lambda k: F.array_repeat(k, _chunk(k)[1])))
     cut = cut.withColumn("__l_left", F.when(F.col("__l_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__l_lines") - 1), "__l_gone"))).withColumn("__l_of_line", F.when(F.col("__l_gone").isNotNull(), of_line))
