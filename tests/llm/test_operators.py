@@ -67,6 +67,27 @@ def test_encoder_equals_the_library(tokenizers, name):
             assert np.frombuffer(ids, e.kind).tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_with_signs_are_learned_together(tokenizers, name):
+    """Letters with a run of signs behind: ids are the library's, and few texts are
+    given to it, not one a word."""
+    from topicloom.llm.tokens import SIGNS, Encoder
+
+    path, library = tokenizers[name]
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéñßÀÖXYZ", k=6)) + "".join(rng.choices(SIGNS, k=rng.randint(0, 4))) for _ in range(4000)]
+    texts = [" ".join(words[k : k + 40]) for k in range(0, len(words), 40)] + ["it's, 'tis' a'.' b.'s c,'ll d!\ne?? f\n***", ",,, ... a", "STRASSE... ß!!\nİ.. K.."]
+    e, given = Encoder(path), []
+    many, one = e._many, e._one
+    e._many = lambda x, direct=False: given.extend(x) or many(x, direct)
+    e._one = lambda x: given.append(x) or one(x)
+    for _ in range(3):
+        for t, ids in zip(texts, e.encode(texts), strict=True):
+            assert np.frombuffer(ids, e.kind).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    signs = {w.lstrip("abcdeéñßÀÖXYZ") for w in words}
+    assert len(given) < len(signs) + 200 < len(words)
+
+
 def test_token_orc(spark, awkward, nothing, scratch, tokenizers):
     from topicloom.llm.tokens import digest, read_orc, write_orc
 

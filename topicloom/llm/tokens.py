@@ -12,11 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
+#: Signs that a tokenizer cuts off letters before them and keeps in one run; not the apostrophe, which begins endings such as 's.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 def _printable(text: str) -> bool:
     """Whether line ends and spaces are the only white space and there are no
@@ -29,17 +32,6 @@ def _plain(text: str) -> bool:
     return not ("  " in text or "\n " in text or " \n" in text or "\n\n" in text) and _printable(text)
 
 
-def _gaps(ids: list) -> list[int]:
-    """Where None stands; a search, not a loop over all."""
-    out, k = [], -1
-    try:
-        while True:
-            k = ids.index(None, k + 1)
-            out.append(k)
-    except ValueError:
-        return out
-
-
 class Encoder:
     """Whole-text encoding with the tokenizers library, through a cache of
     words.
@@ -61,6 +53,7 @@ class Encoder:
         #: How ids are held: little-endian, 16 bits where the vocabulary fits.
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.after_space: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}  # of runs of signs behind letters
         self.once: dict[str, bytes] = {}  # new in this block of texts
         self.met = bytearray(1 << 23)  # by hash, whether a word was in a block before
         self.limit = limit
@@ -90,24 +83,18 @@ class Encoder:
         by = self.direct if direct else self.tokenizer
         return [np.asarray(e.ids, self.kind) for e in by.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str], odd: list[str], ends: int = 1) -> None:
-        """Caches words as they are encoded after a space. Words of letters, with
-        or without a sign behind, are joined to texts, whose ids are cut at marks:
-        of the space before a word, or of its ``ends``, its own and its sign's.
-        Odd words are encoded each on its own."""
+    def _learn(self, new: list[str], odd: list[str]) -> None:
+        """Caches words as they are encoded after a space. Words of letters are
+        joined to texts, whose ids are cut at marks, of the space before a word or
+        of its end. Odd words are encoded each on its own."""
         before = "" if self.word_end else " "
         self.once.update(zip(odd, [x.tobytes() for x in self._many([before + w for w in odd])], strict=True))
         groups = [new[k : k + 512] for k in range(0, len(new), 512)]
-        if not self.word_end:
-            joined = [" " + " ".join(g) for g in groups]
-        elif ends == 1:
-            joined = [" ".join(g).lower() for g in groups]  # as the tokenizer does; letters of Latin-1 have one lower case each
-        else:
-            joined = [" ".join([f"{w[:-1]} {w[-1]}" for w in g]).lower() for g in groups]
+        joined = [before + " ".join(g) for g in groups]
         for part, ids in zip(groups, self._many(joined, direct=True), strict=True):
             at = np.flatnonzero(self.mark[ids])
-            cuts = np.concatenate(([0], at[ends - 1 :: ends] + 1)) if self.word_end else np.concatenate((at, [len(ids)]))
-            if len(at) != ends * len(part) or cuts[0] or cuts[-1] != len(ids):  # not of the expected form: one by one
+            cuts = np.concatenate(([0], at + 1)) if self.word_end else np.concatenate((at, [len(ids)]))
+            if len(at) != len(part) or cuts[0] or cuts[-1] != len(ids):  # not of the expected form: one by one
                 self.once.update([(x, self._one(before + x)) for x in part])
                 continue
             raw, cuts = ids.tobytes(), (cuts * self.kind.itemsize).tolist()
@@ -128,56 +115,69 @@ class Encoder:
         """The ids of each text, as bytes of ``kind``; null is empty."""
         if len(self.after_space) > self.limit:
             self.after_space.clear()
+        if len(self.signs) > self.limit // 8:
+            self.signs.clear()
+        # white space or, for a byte-level vocabulary, cuts before spaces; a line end goes with the word behind it, so that a text is cut once
+        plain = _printable if self.word_end else _plain
+        whole = [not (t and plain(t) and self._ordinary(t)) for t in texts]
+        cut = [t for t, w in zip(texts, whole, strict=True) if not w]
         if self.word_end:
-            return self._encode_words(texts)
-        # a line end goes with the word behind it, so that a text is cut once
-        words, ends = [], []
-        for t in texts:
-            if t and _plain(t) and self._ordinary(t):
-                words += ("\n" + t).replace("\n", " \n")[1:].split(" ")
-                ends.append(len(words))
-            else:
-                ends.append(-1)
-        return self._joined(texts, words, ends, len(self.line_end))  # the first line has no line end before it
-
-    def _joined(self, texts: list[str | None], words: list[str], ends: list[int], skip: int = 0) -> list[bytes]:
-        """The ids of each text, of its words up to its end in ``words`` without the
-        first ``skip`` bytes; a text with an end of -1 is encoded whole."""
+            words = pc.ascii_split_whitespace(pa.array(cut, pa.large_string()))
+        else:
+            words = pc.split_pattern(pa.array([("\n" + t).replace("\n", " \n")[1:] for t in cut], pa.large_string()), " ")
+        joined = iter(self._joined(words, len(self.line_end)))  # the first line has no line end before it
+        return [(self._one(t) if t else b"") if w else next(joined) for t, w in zip(texts, whole, strict=True)]
+
+    def _joined(self, texts: pa.ListArray, skip: int) -> list[bytes]:
+        """The ids of each text of words, without the first ``skip`` bytes. Each
+        word of the block is looked up once."""
+        held = texts.flatten().dictionary_encode()
+        words = held.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.after_space.get, words))
         self._fill(words, ids)
-        out, first = [], 0
-        for t, end in zip(texts, ends, strict=True):
-            if end < 0:
-                out.append(self._one(t) if t else b"")
-            else:
-                out.append(b"".join(ids[first:end])[skip:])
-                first = end
-        return out
+        ids = pa.array(ids, pa.large_binary()).take(held.indices)
+        _, at, raw = ids.buffers()
+        if raw is None:
+            return [b""] * len(texts)
+        at, raw = np.frombuffer(at, np.int64)[texts.offsets.to_numpy()].tolist(), memoryview(raw)
+        return [bytes(raw[a + skip : b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def _fill(self, words: list[str], ids: list[bytes | None]) -> None:
         """Learns the words behind the gaps: those of letters, those of letters
-        with a comma or full stop behind, and odd ones; the first two apart where
-        words end in marked tokens, which a sign is too."""
-        gaps = _gaps(ids)
+        with signs behind, whose ids are those of the letters and of the signs, as
+        the tokenizer always cuts between them, and odd ones."""
+        gaps = [k for k, x in enumerate(ids) if x is None]
         if not gaps:
             return
-        once, letters, plain, signed, odd, heads = self.once, self.letters, [], [], [], []
-        for w in {words[k] for k in gaps}:
-            if w.isalpha():
-                (plain if w.isascii() or letters(w) else odd).append(w)
-                continue
-            stem = w[:-1] if w[-1:] in (".", ",") else w
-            if stem[:1] == "\n":
+        once, known, letters, new, signed, stems, odd, heads = self.once, self.after_space, self.letters, set(), [], [], [], []
+        for w in [words[k] for k in gaps]:
+            stem = w.rstrip(SIGNS)
+            if stem.isalpha():
+                if not (stem.isascii() or letters(stem)):
+                    odd.append(w)
+                    continue
+                if self.word_end:  # the tokenizer does so; letters of Latin-1 have one lower case each
+                    stem = stem.lower()
+                if stem != w:
+                    signed.append(w)
+                    stems.append(stem)
+                    if stem in known:
+                        continue
+                new.add(stem)
+            elif stem[:1] == "\n":
                 if letters(stem[1:]):
                     heads.append(w)
                 else:
                     once[w] = self.line_end + self._one(w[1:])
-            elif stem is not w and letters(stem):
-                (signed if self.word_end else plain).append(w)
             else:
                 odd.append(w)
-        self._learn(plain, odd)
-        self._learn(signed, [], 2)
+        self._learn(list(new), odd)
+        for w, stem in zip(signed, stems, strict=True):
+            sign = w[len(stem) :]
+            behind = self.signs.get(sign)
+            if behind is None:
+                behind = self.signs[sign] = self._one(sign)
+            once[w] = (once.get(stem) or known[stem]) + behind
         self._learn_heads(heads)
         for k in gaps:
             ids[k] = once[words[k]]
@@ -190,16 +190,6 @@ class Encoder:
                 met[k] = 1
         once.clear()
 
-    def _encode_words(self, texts: list[str | None]) -> list[bytes]:
-        words, ends = [], []
-        for t in texts:
-            if t and _printable(t) and self._ordinary(t):
-                words += t.split()
-                ends.append(len(words))
-            else:
-                ends.append(-1)
-        return self._joined(texts, words, ends)
-
 
 @functools.cache
 def encoder_for(path: str) -> Encoder:
