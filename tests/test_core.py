@@ -407,6 +407,40 @@ def test_trace(spark):
     assert [tuple(r) for r in wide.collect()] == [(3, "9.5", "10")]
 
 
+def test_a_run_is_parsed_in_blocks(spark, tmp_path):
+    """One run's lines, wherever blocks and splits end: values are those of a plain
+    loop, and no task has them all."""
+    lines = [f"doc: {k}" if k % 50 == 7 else f"In-Sample NMI: {k}" for k in range(600)]
+    want, at = set(), -1
+    for line in lines:
+        key, value = line.split(": ")
+        at = int(value) if key == "doc" else at
+        want |= {(at, value)} if key != "doc" else set()
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "500", "spark.sql.files.openCostInBytes": "1"}
+    was = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.createDataFrame([("r", k << 16, v) for k, v in enumerate(lines)], "run string, line long, value string")
+        got = trace.parse(rows, first_iter=-1).select("iter", "value", F.spark_partition_id().alias("part")).collect()
+        assert {(r.iter, r.value) for r in got} == want and len(got) == len(want) and len({r.part for r in got}) > 1
+        bad = rows.union(spark.createDataFrame([("r", (300 << 16) + 1, "doc: x")], rows.schema))
+        assert {r.value for r in trace.parse(bad, first_iter=-1).collect()} == {v for _, v in want if int(v) <= 300}
+        (tmp_path / "logs" / "d").mkdir(parents=True)
+        (tmp_path / "logs" / "d" / "a.log").write_bytes("\r\n".join(lines).encode())
+        read = trace.read_logs(spark, str(tmp_path / "logs")).orderBy("line").collect()
+        assert [(r.dataset, r.log, r.value) for r in read] == [("d", "a.log", v) for v in lines]
+        assert trace.process_logs(spark, str(tmp_path / "logs"), str(tmp_path / "out")) == {"d": ["a.log"]}
+        table = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out" / "d_in_sample_nmi")).collect()
+        last = {}
+        for i, v in sorted(want, key=lambda x: int(x[1])):
+            last[i] = v
+        assert sorted((int(r.iter), r["run.0"]) for r in table) == sorted((i, v) for i, v in last.items() if i >= 0)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_process_logs(spark, tmp_path):
     for dataset, log, text in (("diff3", "b.log", "seed: 1\ndoc: 1\nin-sample nmi: 0.25\nresampling: \nresampling: \n"), ("diff3", "a.log", "doc: 1\nin-sample nmi: 0.5\ndoc: 2\nin-sample nmi: 0.75\n"), ("diff3", "c.log", "nothing: 1\n"), ("sim3", "a.log", "doc: 7\nnum words: 4\n")):
         (tmp_path / "logs" / dataset).mkdir(parents=True, exist_ok=True)
