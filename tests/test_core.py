@@ -5,6 +5,7 @@ import math
 import os
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -67,6 +68,28 @@ def test_vocabulary(spark):
     assert stripped[1] == ["a", "c", "RARE"]
 
 
+def test_single_words_go_without_moving_the_others(spark):
+    """Against a plain loop, single words at ends and beside each other, repeated and
+    null ids; no join is by word, which would bring a frequent word into one task."""
+    rng = random.Random(4)
+    rows = [(k if k % 7 else None, [rng.choice("abcde") if rng.random() < 0.5 else f"w{rng.randrange(300)}" for _ in range(rng.randrange(12))]) for k in range(60)]
+    rows += [(100, ["only", "lonely"]), (101, ["first", "a", "last"]), (102, []), (103, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    n = Counter(w for _, t in rows for w in t or [])
+    for twice in (False, True):
+        held: dict = {}
+        for k, t in rows:
+            key = k if not twice or k is None else k % 50
+            held.setdefault(key, []).extend((p, w) for p, w in enumerate(t or []))
+        frame = docs.withColumn("doc_id", F.col("doc_id") % 50) if twice else docs
+        for rare in (None, "RARE"):
+            out = vocab.strip_singletons(frame, rare)
+            got = {r.doc_id: r.tokens for r in out.collect()}
+            want = {k: [w if n[w] > 1 else rare for _, w in sorted(t) if n[w] > 1 or rare] for k, t in held.items()}
+            assert got == {k: t for k, t in want.items() if t}
+    assert not [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x and "word#" in x]
+
+
 def test_splits(spark):
     docs = spark.range(8).select(F.col("id").alias("doc_id"))
     sizes = vocab.kfold(docs, 3).groupBy("fold").count().orderBy("fold").collect()

@@ -93,12 +93,25 @@ def encode_rows(docs: DataFrame, vocab: DataFrame, max_words: int = 2_000_000) -
 
 def strip_singletons(docs: DataFrame, replacement: str | None = None) -> DataFrame:
     """Words that occur once in the corpus go, or become the replacement;
-    documents left empty go."""
-    once = word_counts(docs).where("n = 1").select("word", F.lit(True).alias("once"))
-    marked = long_tokens(docs).join(once, "word", "left")
-    marked = marked.withColumn("word", F.when(F.col("once"), F.lit(replacement)).otherwise(F.col("word"))).where("word is not null")
-    out = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
-    return out.select("doc_id", F.col("w.word").alias("tokens"))
+    documents left empty go. Rows of one doc_id are one document, by place.
+
+    Documents stay whole: only the places of single words move to them, and what
+    stands between these places is joined again."""
+    docs = keep(docs.select("doc_id", "tokens"), "stripped").where(F.size("tokens") > 0)  # tokens are made once
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        placed = docs.select("doc_id", F.transform("tokens", lambda t, k: F.struct(k.alias("pos"), t.alias("word"))).alias("w"))
+        placed = placed.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("w"))).alias("w"))
+        docs = keep(placed.select("doc_id", F.col("w.word").alias("tokens")), "merged")
+    # a word that is counted once has one place, which is its lowest
+    once = long_tokens(docs).groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("pos").alias("pos")).where("n = 1")
+    gaps = once.groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("gaps")).withColumnRenamed("doc_id", "_doc")
+    rows = docs.join(gaps, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    between = F.expr("transform(gaps, (p, k) -> slice(tokens, if(k = 0, 1, gaps[k - 1] + 2), p - if(k = 0, 0, gaps[k - 1] + 1)))")
+    if replacement is not None:
+        between = F.transform(between, lambda x: F.concat(x, F.array(F.lit(replacement))))
+    behind = F.expr("slice(tokens, gaps[size(gaps) - 1] + 2, size(tokens))")
+    left = F.when(F.col("gaps").isNull(), F.col("tokens")).otherwise(F.concat(F.flatten(between), behind))
+    return rows.select("doc_id", left.alias("tokens")).where(F.size("tokens") > 0)
 
 
 def shuffle_key(doc: Column, seed: int) -> Column:
