@@ -12,7 +12,7 @@ import io
 import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ from topicloom.streaming.reservoir import reservoir_by_key
 
 #: Particles and topics up to which plain numbers beat vectors, which cost more to start.
 FEW_PARTICLES, FEW_TOPICS = 16, 4
+#: Resamplings that words may lie behind before all of them are brought up.
+EPOCHS = 4096
 
 
 @dataclass
@@ -40,6 +42,10 @@ class Stored:
     words: np.ndarray
     z: np.ndarray
     about: tuple[str, bool] = ("", False)
+    counted: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False, compare=False)  # topics, and their counts, as last asked for
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counted": None}
 
 
 def nmi(labels: list, topics: list) -> float:
@@ -126,13 +132,58 @@ class Labels:
         return out
 
 
+class Models:
+    """Every particle's counts of words and topics, by word.
+
+    Resampling copies nothing: a word's counts stand as they were when it was last met,
+    with the number of resamplings (epoch) then, and are taken from each particle's
+    ancestor of that epoch when it is met again. So a step costs as much as the words of
+    its documents, however large the vocabulary is."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, n = rows, rows.shape[1]  # words x particles x topics
+        self.epoch, self.open, self.at = 0, 0, np.zeros(len(rows), np.int32)
+        # each particle's ancestor at every epoch; up to ``open`` all have the same one
+        self.ancestors = np.tile(np.arange(n), (EPOCHS + 1, 1))
+
+    def resampled(self, source: np.ndarray) -> None:
+        if self.epoch == EPOCHS:
+            self.met()
+        known = self.ancestors[self.open : self.epoch + 1]
+        known[:] = known[:, source]
+        one = (known == known[:, :1]).all(1)
+        self.open += len(one) - 1 if one.all() else int(one.argmin())
+        self.epoch += 1
+
+    def meet(self, words: np.ndarray) -> None:
+        """Brings different words up to the last resampling."""
+        old = words[self.at[words] != self.epoch]
+        if len(old):
+            self.rows[old] = self.rows[old[:, None], self.ancestors[self.at[old]]]
+            self.at[old] = self.epoch
+
+    def met(self, part: int = 1 << 16) -> np.ndarray:
+        """All words, brought up."""
+        if self.epoch:
+            for a in range(0, len(self.rows), part):
+                self.meet(np.arange(a, min(a + part, len(self.rows))))
+            self.ancestors[: self.epoch + 1] = np.arange(self.rows.shape[1])
+            self.epoch, self.open = 0, 0
+            self.at[:] = 0
+        return self.rows
+
+    def of(self, particle: int) -> np.ndarray:
+        """Words x topics of one particle."""
+        return self.rows[np.arange(len(self.rows)), self.ancestors[self.at, particle]]
+
+
 class ParticleFilter:
     """The filter's whole state and its step."""
 
     def __init__(self, params: dict, vocab_size: int, seed: int):
         self.p, self.v, self.seed = params, vocab_size, seed
         n, k = params["num_particles"], params["num_topics"]
-        self.tw, self.t = np.zeros((n, vocab_size, k), np.int32), np.zeros((n, k), np.int64)
+        self.models, self.t = Models(np.zeros((vocab_size, n, k), np.int32)), np.zeros((n, k), np.int64)
         for topic, word, count in params.get("seed_topics", ()):
             self.tw[:, word, topic] += count
             self.t[:, topic] += count
@@ -147,6 +198,11 @@ class ParticleFilter:
         self.about: dict[int, tuple[str, bool]] = {}  # of documents with open labels: category, and whether they are initial ones
         self.closed: Counter = Counter()  # (initial, category, topic) of documents whose labels can't change
 
+    @property
+    def tw(self) -> np.ndarray:
+        """Every particle's counts of words and topics, particles first."""
+        return self.models.met().transpose(1, 0, 2)
+
     # construction
 
     def _initialise(self) -> None:
@@ -248,14 +304,16 @@ class ParticleFilter:
         return nmi_of(every), nmi_of(first)
 
     def _forget(self, doc: Stored) -> None:
-        every = np.arange(len(doc.z))
-        for word, z in zip(doc.words, doc.z.T, strict=True):
-            self.tw[every, word, z] -= 1
+        self.models.meet(np.unique(doc.words))
+        np.subtract.at(self.models.rows.reshape(-1), self._cells(doc.words, doc.z).ravel(), 1)
         self.t -= self._dt(doc)
 
     def _dt(self, doc: Stored) -> np.ndarray:
-        n, k = len(doc.z), self.p["num_topics"]
-        return np.bincount((doc.z + np.arange(n)[:, None] * k).ravel(), minlength=n * k).reshape(n, k)
+        """Every particle's counts of a document's topics; kept as long as these stand."""
+        if doc.counted is None or doc.counted[0] is not doc.z:
+            n, k = len(doc.z), self.p["num_topics"]
+            doc.counted = doc.z, np.bincount((doc.z + np.arange(n)[:, None] * k).ravel(), minlength=n * k).reshape(n, k)
+        return doc.counted[1]
 
     # the step
 
@@ -294,14 +352,15 @@ class ParticleFilter:
         over particles. Gives the ids whose labels were given anew."""
         p, n, k = self.p, len(self.weights), self.p["num_topics"]
         words, given = doc.words.tolist(), set()
-        # counts with their priors, kept up token by token; a particle's cell stands at row + topic, one of its model at block + word * k + topic
-        row, block = np.arange(n) * k, np.arange(n) * (self.v * k)
+        # counts with their priors, kept up token by token; a particle's cell stands at row + topic, one of its model at word * n * k + row + topic
+        own_words, row = np.unique(doc.words), np.arange(n) * k
+        self.models.meet(own_words)
         own, all_words = np.full((n, k), p["alpha"]), self.t + self.v * p["beta"]
-        flat_own, flat_all, model = own.ravel(), all_words.ravel(), self.tw.reshape(-1)
-        tw, beta, weights, each = self.tw, p["beta"], self.weights, p["resample_per_token"]
+        flat_own, flat_all, model = own.ravel(), all_words.ravel(), self.models.rows.reshape(-1)
+        tw, beta, weights, each = self.models.rows, p["beta"], self.weights, p["resample_per_token"]
         draws = self._rng("propagate").random((len(words), n))
         for j, word in enumerate(words):
-            x = tw[:, word] + beta
+            x = tw[word] + beta
             x *= own
             x /= all_words
             c = x.cumsum(1)
@@ -314,14 +373,15 @@ class ParticleFilter:
             at = row + z
             flat_own[at] += 1
             flat_all[at] += 1
-            model[block + (word * k + z)] += 1
+            model[word * n * k + at] += 1
             if each and self.ess() < p["ess_threshold"]:
                 doc.z = room[:, : j + 1]
                 self.t = np.rint(all_words - self.v * beta).astype(np.int64)
                 given |= self._resample(doc)
                 room[:, : j + 1] = doc.z
                 own[:], all_words[:] = self._dt(doc) + p["alpha"], self.t + self.v * beta
-                tw, weights, model = self.tw, self.weights, self.tw.reshape(-1)
+                weights = self.weights
+                self.models.meet(own_words)
         self.t = np.rint(all_words - self.v * beta).astype(np.int64)
         return given
 
@@ -329,59 +389,78 @@ class ParticleFilter:
         return len(self.weights) <= FEW_PARTICLES and self.p["num_topics"] <= FEW_TOPICS
 
     def _plain(self, words: np.ndarray) -> tuple[list, list, dict[int, int]]:
-        """Every particle's counts of the words, its totals with their priors, and the
-        words' places. Topics are filled up to FEW_TOPICS with ones of no mass."""
+        """Every particle's counts of the words by topic, its totals with their priors, and
+        the words' places. Topics are filled up to FEW_TOPICS with ones of no mass."""
         own, n, k = np.unique(words), len(self.weights), self.p["num_topics"]
-        rows = np.zeros((n, len(own), FEW_TOPICS), np.int64)
-        rows[:, :, :k] = self.tw[:, own]
+        self.models.meet(own)
+        rows = np.zeros((n, FEW_TOPICS, len(own)), np.int32)
+        rows[:, :k] = self.models.rows[own].transpose(1, 2, 0)
         below = np.ones((n, FEW_TOPICS))
         below[:, :k] = self.t + self.v * self.p["beta"]
         return rows.tolist(), below.tolist(), {w: i for i, w in enumerate(own.tolist())}
 
     def _cells(self, words: np.ndarray, z: np.ndarray) -> np.ndarray:
         """Places in the flat models of every particle's topics z of words."""
-        k = self.p["num_topics"]
-        return np.arange(len(z))[:, None] * (self.v * k) + words * k + z
+        n, k = len(z), self.p["num_topics"]
+        return words * (n * k) + np.arange(0, n * k, k)[:, None] + z
 
     def _totals(self, below: list[list[float]]) -> None:
         self.t = np.rint(np.array(below)[:, : self.p["num_topics"]] - self.v * self.p["beta"]).astype(np.int64)
 
     def _propagate_few(self, words: np.ndarray, draws: np.ndarray) -> np.ndarray:
         """The same topics in plain numbers. A particle's tokens go one after another, as
-        particles meet in the weights alone."""
-        n, k, beta = len(self.weights), self.p["num_topics"], self.p["beta"]
+        particles meet in the weights alone. Counts of the document and of all words are
+        variables, as a token changes one of each."""
+        n, beta, last = len(self.weights), self.p["beta"], self.p["num_topics"] - 1
         rows, totals, at = self._plain(words)
         places = [at[w] for w in words.tolist()]
         masses, room = np.empty((n, len(places))), np.empty((n, len(places)), np.int64)
-        for m in range(n):
-            model, below, own, mass, topics = rows[m], totals[m], [self.p["alpha"]] * k + [0.0] * (FEW_TOPICS - k), [], []
-            for i, u in zip(places, draws[:, m].tolist(), strict=True):
-                row = model[i]
-                r0, r1, r2, r3 = row
-                a0, a1, a2, a3 = own
-                b0, b1, b2, b3 = below
-                c0 = (r0 + beta) * a0 / b0
-                c1 = c0 + (r1 + beta) * a1 / b1
-                c2 = c1 + (r2 + beta) * a2 / b2
-                c3 = c2 + (r3 + beta) * a3 / b3
-                u *= c3
-                z = 0 if u < c0 else 1 if u < c1 else 2 if u < c2 else 3
-                if z >= k:
-                    z = k - 1
-                topics.append(z)
+        four, first = last == 3, [self.p["alpha"]] * (last + 1) + [0.0] * (FEW_TOPICS - last - 1)
+        for m, own_draws in enumerate(np.ascontiguousarray(draws.T).tolist()):
+            (n0, n1, n2, n3), mass, topics = rows[m], [], []
+            a0, a1, a2, a3 = first
+            b0, b1, b2, b3 = totals[m]
+            for i, u in zip(places, own_draws, strict=True):
+                c0 = (n0[i] + beta) * a0 / b0
+                c1 = c0 + (n1[i] + beta) * a1 / b1
+                c2 = c1 + (n2[i] + beta) * a2 / b2
+                c3 = c2 + (n3[i] + beta) * a3 / b3 if four else c2
                 mass.append(c3)
-                row[z] += 1
-                own[z] += 1.0
-                below[z] += 1.0
-            masses[m], room[m] = mass, topics
-        np.add.at(self.tw.reshape(-1), self._cells(words, room).ravel(), 1)
+                u *= c3
+                if u < c0 or not last:
+                    topics.append(0)
+                    n0[i] += 1
+                    a0 += 1.0
+                    b0 += 1.0
+                elif u < c1 or last == 1:
+                    topics.append(1)
+                    n1[i] += 1
+                    a1 += 1.0
+                    b1 += 1.0
+                elif u < c2 or last == 2:
+                    topics.append(2)
+                    n2[i] += 1
+                    a2 += 1.0
+                    b2 += 1.0
+                else:
+                    topics.append(3)
+                    n3[i] += 1
+                    a3 += 1.0
+                    b3 += 1.0
+            masses[m], room[m], totals[m] = mass, topics, [b0, b1, b2, b3]
+        np.add.at(self.models.rows.reshape(-1), self._cells(words, room).ravel(), 1)
         self._totals(totals)
+        self._weigh(np.ascontiguousarray(masses.T))
+        return room
+
+    def _weigh(self, masses: np.ndarray) -> None:
+        """Weights times the masses of tokens (rows) one after another, brought to a sum of
+        one at every sixteenth."""
         weights = self.weights
-        for j, mass in enumerate(np.ascontiguousarray(masses.T)):
-            weights *= mass
-            if not j & 15:
+        for a in range(-15, len(masses), 16):
+            weights[:] = np.multiply.reduce(np.vstack([weights, masses[max(a, 0) : a + 16]]), axis=0)
+            if a + 15 < len(masses):
                 weights /= weights.sum()
-        return room
 
     def ess(self) -> float:
         return float(1.0 / (self.weights**2).sum())
@@ -397,17 +476,20 @@ class ParticleFilter:
         source = np.arange(n)
         source[times == 0] = np.repeat(np.arange(n), np.maximum(times - 1, 0))
         if (source != np.arange(n)).any():
-            gone = np.flatnonzero(source != np.arange(n))  # what they become keeps its place
-            self.tw[gone], self.t[gone] = self.tw[source[gone]], self.t[source[gone]]
+            self.models.resampled(source)
+            self.t = self.t[source]
             for d in self.reservoir if any(d is doc for d in self.reservoir) else [*self.reservoir, doc]:
-                d.z = d.z[source]
+                counts, d.z = self._dt(d), d.z[source]
+                d.counted = d.z, counts[source]
             self.moved.update(range(len(self.reservoir)))
         self.labels.resampled(source)
         self.weights = np.full(n, 1.0 / n)
         self.version += 1
         self._rejuvenate(rng)
-        for d in self.reservoir:
-            self._label(d)
+        if self.reservoir:
+            for d, label in zip(self.reservoir, np.stack([self._dt(d) for d in self.reservoir]).argmax(2), strict=True):
+                self.labels.give(d.doc_id, label)
+                self.about[d.doc_id] = d.about
         return {d.doc_id for d in self.reservoir}
 
     def _rejuvenate(self, rng: np.random.Generator) -> None:
@@ -424,7 +506,9 @@ class ParticleFilter:
     def _sweep(self, docs: list[Stored], rng: np.random.Generator) -> None:
         p = self.p
         n, k, beta = len(self.weights), p["num_topics"], p["beta"]
-        row, block, tw, model = np.arange(n) * k, np.arange(n) * (self.v * k), self.tw, self.tw.reshape(-1)
+        row, tw, model = np.arange(n) * k, self.models.rows, self.models.rows.reshape(-1)
+        if docs:
+            self.models.meet(np.unique(np.concatenate([d.words for d in docs])))
         all_words = self.t + self.v * beta
         flat_all = all_words.ravel()
         for doc in docs:
@@ -433,12 +517,11 @@ class ParticleFilter:
             for _ in range(p["rejuv_mcmc_steps"]):
                 draws = rng.random((len(topics), n))
                 for j, word in enumerate(words[: len(topics)]):
-                    cell = block + word * k
                     at = row + topics[j]
                     flat_own[at] -= 1
                     flat_all[at] -= 1
-                    model[cell + topics[j]] -= 1
-                    x = tw[:, word] + beta
+                    model[word * n * k + at] -= 1
+                    x = tw[word] + beta
                     x *= own
                     x /= all_words
                     c = x.cumsum(1)
@@ -447,7 +530,7 @@ class ParticleFilter:
                     at = row + z
                     flat_own[at] += 1
                     flat_all[at] += 1
-                    model[cell + z] += 1
+                    model[word * n * k + at] += 1
             doc.z = np.ascontiguousarray(topics.T)
         self.t = np.rint(all_words - self.v * beta).astype(np.int64)
 
@@ -464,31 +547,59 @@ class ParticleFilter:
             own = np.zeros((n, FEW_TOPICS))
             own[:, :k] = self._dt(doc) + alpha
             work.append(([at[w] for w in held.tolist()], doc.z.tolist(), own.tolist(), [rng.random((len(held), n)).T.tolist() for _ in range(steps)]))
+        last, four = k - 1, k == 4
         for m in range(n):
-            model, below = rows[m], totals[m]
+            n0, n1, n2, n3 = rows[m]
+            b0, b1, b2, b3 = totals[m]
             for places, z, every, draws in work:
-                topics, own = z[m], every[m]
+                topics = z[m]
+                a0, a1, a2, a3 = every[m]
                 for step in draws:
-                    for j, (i, u) in enumerate(zip(places, step[m], strict=True)):
-                        row, old = model[i], topics[j]
-                        row[old] -= 1
-                        own[old] -= 1.0
-                        below[old] -= 1.0
-                        r0, r1, r2, r3 = row
-                        a0, a1, a2, a3 = own
-                        b0, b1, b2, b3 = below
-                        c0 = (r0 + beta) * a0 / b0
-                        c1 = c0 + (r1 + beta) * a1 / b1
-                        c2 = c1 + (r2 + beta) * a2 / b2
-                        u *= c2 + (r3 + beta) * a3 / b3
-                        new = 0 if u < c0 else 1 if u < c1 else 2 if u < c2 else 3
-                        if new >= k:
-                            new = k - 1
-                        topics[j] = new
-                        row[new] += 1
-                        own[new] += 1.0
-                        below[new] += 1.0
-        model = self.tw.reshape(-1)
+                    for j, (i, u, old) in enumerate(zip(places, step[m], topics, strict=True)):
+                        if old == 0:
+                            n0[i] -= 1
+                            a0 -= 1.0
+                            b0 -= 1.0
+                        elif old == 1:
+                            n1[i] -= 1
+                            a1 -= 1.0
+                            b1 -= 1.0
+                        elif old == 2:
+                            n2[i] -= 1
+                            a2 -= 1.0
+                            b2 -= 1.0
+                        else:
+                            n3[i] -= 1
+                            a3 -= 1.0
+                            b3 -= 1.0
+                        c0 = (n0[i] + beta) * a0 / b0
+                        c1 = c0 + (n1[i] + beta) * a1 / b1
+                        c2 = c1 + (n2[i] + beta) * a2 / b2
+                        u *= c2 + (n3[i] + beta) * a3 / b3 if four else c2
+                        if u < c0 or not last:
+                            new = 0
+                            n0[i] += 1
+                            a0 += 1.0
+                            b0 += 1.0
+                        elif u < c1 or last == 1:
+                            new = 1
+                            n1[i] += 1
+                            a1 += 1.0
+                            b1 += 1.0
+                        elif u < c2 or last == 2:
+                            new = 2
+                            n2[i] += 1
+                            a2 += 1.0
+                            b2 += 1.0
+                        else:
+                            new = 3
+                            n3[i] += 1
+                            a3 += 1.0
+                            b3 += 1.0
+                        if new != old:
+                            topics[j] = new
+            totals[m] = [b0, b1, b2, b3]
+        model = self.models.rows.reshape(-1)
         for doc, held, (_, z, _, _) in zip(docs, words, work, strict=True):
             was, doc.z = doc.z, np.array(z, np.int64).reshape(n, -1)
             moved = was != doc.z
@@ -515,14 +626,14 @@ class ParticleFilter:
         return pickle.dumps({k: getattr(self, k) for k in self.SMALL} | {"first": self.labels.first, "sources": self.labels.sources})
 
     def particle_parts(self) -> list[bytes]:
-        return [_packed(x) for x in self.tw]
+        return [_packed(np.ascontiguousarray(x)) for x in self.tw]
 
     @classmethod
     def restored(cls, small: bytes, particles: list[bytes], reservoir: list[bytes], waiting: list[bytes], labels: dict[int, bytes]) -> ParticleFilter:
         out, held = cls.__new__(cls), pickle.loads(small)
         for k in cls.SMALL:
             setattr(out, k, held[k])
-        out.tw = np.stack([np.load(io.BytesIO(x))["x"] for x in particles])
+        out.models = Models(np.stack([np.load(io.BytesIO(x))["x"] for x in particles], axis=1))
         out.reservoir, out.waiting, out.moved = [pickle.loads(x) for x in reservoir], [pickle.loads(x) for x in waiting], set()
         out.labels = Labels(len(out.weights))
         out.labels.first, out.labels.sources = held["first"], held["sources"]
@@ -592,7 +703,7 @@ class Recorder:
             self.events += [(k, "init_in_sample_nmi", first), (k, "in_sample_nmi", every)]
         self.events.append((k, "ess", pf.ess()))
         if self.models:
-            yield model_rows(self.run, k, 0, pf.tw[pf.best()])
+            yield model_rows(self.run, k, 0, pf.models.of(pf.best()))
 
     def start(self) -> Iterator[pd.DataFrame]:
         """Of a filter that starts from a stored model."""
