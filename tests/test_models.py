@@ -1,10 +1,13 @@
-"""Models of particles that resampling doesn't copy."""
+"""Models of particles that resampling doesn't copy, and sweeps for few topics."""
 
+import time
 import tracemalloc
 
 import numpy as np
 import pytest
 
+from topicloom.functions.rng import generator as rng_of
+from topicloom.operators import gibbs
 from topicloom.plans.params import FilterParams
 from topicloom.streaming import particle
 
@@ -47,3 +50,33 @@ def test_a_step_costs_as_much_as_its_words(monkeypatch, few):
             tracemalloc.stop()
 
     assert peak(400_000) < 2 * peak(20)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 5])
+def test_a_sweep_with_variables_is_the_sweep(monkeypatch, k):
+    rng = np.random.default_rng(k)
+    docs = [rng.integers(0, 50, int(n)).tolist() for n in rng.integers(0, 60, 80)]
+
+    def chain():
+        state = gibbs.learned(docs, k, 50, 0.1, 0.1, 3, 7, [(0, 4, 9)])
+        state.sweep(rng_of(7, "more"), only=[3, 1, 60])
+        return state.tw, state.t, state.z, state.dt, state.labels()
+
+    few = chain()
+    monkeypatch.setattr(gibbs, "FEW_TOPICS", 0)
+    assert chain() == few
+
+
+def test_few_topics_are_swept_faster(monkeypatch):
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 500, 300).astype(np.int32) for _ in range(200)]
+
+    def seconds():
+        spool = gibbs.spooled(docs, 4, 500, 0.1, 0.1, 0, 7)
+        began = time.process_time()
+        spool.sweep()
+        return time.process_time() - began
+
+    few = min(seconds() for _ in range(3))
+    monkeypatch.setattr(gibbs, "FEW_TOPICS", 0)
+    assert few < 0.9 * min(seconds() for _ in range(3))

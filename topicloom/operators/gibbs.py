@@ -18,6 +18,10 @@ from topicloom.operators.lanes import columns, dealt
 from topicloom.sources.scratch import by_group
 
 
+#: Topics up to which a sweep has a variable for each.
+FEW_TOPICS = 4
+
+
 class GibbsState:
     """Counts and assignments of one run. Plain lists: a token touches K numbers,
     for which they are faster than arrays."""
@@ -46,17 +50,20 @@ class GibbsState:
                     self.tw[w][z] += 1
                     self.t[z] += 1
 
-    def take(self, docs: list[list[int]], z: list[list[int]]) -> None:
-        """Documents whose topics the model counts already, in place of those held."""
-        self.docs, self.z = docs, z
-        self.dt = [[0] * self.k for _ in docs]
-        for topics, counts in zip(z, self.dt, strict=True):
+    def take(self, docs: list[list[int]], z: list[list[int]], dt: list[list[int]] | None = None) -> None:
+        """Documents whose topics the model counts already, in place of those held, and
+        their counts of topics, if they are known."""
+        self.docs, self.z, self.dt = docs, z, dt or [[0] * self.k for _ in docs]
+        for topics, counts in () if dt else zip(z, self.dt, strict=True):
             for k in topics:
                 counts[k] += 1
 
     def sweep(self, rng: np.random.Generator, learn: bool = True, only: list[int] | None = None) -> None:
         """Each token in order leaves, draws its topic from the posterior, and
         comes back; with ``learn`` off the model stays as it is."""
+        if learn and 1 < self.k <= FEW_TOPICS:
+            self._sweep_few(rng, range(len(self.docs)) if only is None else only)
+            return
         alpha, beta, vb, tw, t, topics = self.alpha, self.beta, self.v * self.beta, self.tw, self.t, range(self.k)
         for d in range(len(self.docs)) if only is None else only:
             words, z, dt = self.docs[d], self.z[d], self.dt[d]
@@ -80,6 +87,78 @@ class GibbsState:
                     row[new] += 1
                     t[new] += 1
 
+    def _sweep_few(self, rng: np.random.Generator, docs: Iterable[int]) -> None:
+        """The same for two to FEW_TOPICS topics, whose counts are variables: a token
+        changes those of one or two. What others add up to is kept with its prior. A topic
+        beyond the last has no mass."""
+        k, alpha, beta, vb, tw = self.k, self.alpha, self.beta, self.v * self.beta, self.tw
+        none, last, four, three = [0.0] * (FEW_TOPICS - k), k - 1, k == 4, k == 3
+        r2 = r3 = 0
+        t0, t1, t2, t3 = [*map(float, self.t), *none]
+        q0, q1, q2, q3 = t0 + vb, t1 + vb, t2 + vb, t3 + vb
+        for d in docs:
+            words, z = self.docs[d], self.z[d]
+            d0, d1, d2, d3 = [*map(float, self.dt[d]), *none]
+            p0, p1, p2, p3 = d0 + alpha, d1 + alpha, d2 + alpha if k > 2 else 0.0, d3 + alpha if four else 0.0
+            for j, (w, u, old) in enumerate(zip(words, rng.random(len(words)).tolist(), z, strict=True)):
+                row = tw[w]
+                if four:
+                    r0, r1, r2, r3 = row
+                elif three:
+                    r0, r1, r2 = row
+                else:
+                    r0, r1 = row
+                if old == 0:
+                    r0 -= 1
+                    t0 -= 1.0
+                    d0 -= 1.0
+                    q0, p0 = t0 + vb, d0 + alpha
+                elif old == 1:
+                    r1 -= 1
+                    t1 -= 1.0
+                    d1 -= 1.0
+                    q1, p1 = t1 + vb, d1 + alpha
+                elif old == 2:
+                    r2 -= 1
+                    t2 -= 1.0
+                    d2 -= 1.0
+                    q2, p2 = t2 + vb, d2 + alpha
+                else:
+                    r3 -= 1
+                    t3 -= 1.0
+                    d3 -= 1.0
+                    q3, p3 = t3 + vb, d3 + alpha
+                c0 = (r0 + beta) / q0 * p0
+                c1 = c0 + (r1 + beta) / q1 * p1
+                c2 = c1 + (r2 + beta) / q2 * p2
+                u *= c2 + (r3 + beta) / q3 * p3 if four else c2
+                if u < c0:
+                    new = 0
+                    t0 += 1.0
+                    d0 += 1.0
+                    q0, p0 = t0 + vb, d0 + alpha
+                elif u < c1 or last == 1:
+                    new = 1
+                    t1 += 1.0
+                    d1 += 1.0
+                    q1, p1 = t1 + vb, d1 + alpha
+                elif u < c2 or last == 2:
+                    new = 2
+                    t2 += 1.0
+                    d2 += 1.0
+                    q2, p2 = t2 + vb, d2 + alpha
+                else:
+                    new = 3
+                    t3 += 1.0
+                    d3 += 1.0
+                    q3, p3 = t3 + vb, d3 + alpha
+                if new != old:
+                    z[j] = new
+                    row[old] -= 1
+                    row[new] += 1
+            self.dt[d] = [int(x) for x in (d0, d1, d2, d3)[:k]]
+        self.t = [int(x) for x in (t0, t1, t2, t3)[:k]]
+
     def labels(self) -> list[int]:
         return [max(range(self.k), key=lambda k: (c[k], -k)) if any(c) else 0 for c in self.dt]
 
@@ -93,23 +172,38 @@ class Spool:
         self.state, self.chunk, self.file = state, chunk, tempfile.TemporaryFile()
         self.init, self.rng = generator(seed, "init"), generator(seed, "sweep")
         self.places: list[tuple[int, np.ndarray]] = []
-        self.waiting: list[list[int]] = []
+        self.waiting: list[np.ndarray] = []
         self.size = 0
+        self.new: np.ndarray | None = None  # first topics by word that the state doesn't count yet
 
     def add(self, words: np.ndarray) -> None:
         """The next document, which gets its first topics."""
-        self.waiting.append(words.tolist())
+        self.waiting.append(words)
         self.size += len(words)
         if self.size >= self.chunk or len(self.waiting) >= self.chunk:
             self.flush()
 
     def flush(self) -> None:
-        self.state.start(self.waiting, self.init)
-        self.places.append((self.file.seek(0, 2), np.array([len(d) for d in self.waiting], np.int64)))
-        for part in (self.waiting, self.state.z):
-            self.file.write(np.fromiter(chain.from_iterable(part), np.int32, self.size))
+        k, sizes = self.state.k, np.array([len(d) for d in self.waiting], np.int64)
+        words, z = np.concatenate(self.waiting).astype(np.int32), np.concatenate([self.init.integers(0, k, n) for n in sizes.tolist()]).astype(np.int32)
+        self.new = np.zeros((self.state.v, k), np.int32) if self.new is None else self.new
+        np.add.at(self.new.reshape(-1), words.astype(np.int64) * k + z, 1)
+        self.places.append((self.file.seek(0, 2), sizes))
+        for part in (words, z):
+            self.file.write(part)
         self.waiting, self.size = [], 0
 
+    def counted(self) -> GibbsState:
+        """The state, which counts all topics given up to now."""
+        if self.waiting:
+            self.flush()
+        if self.new is not None:
+            new, self.new = self.new, None
+            self.state.t = [a + b for a, b in zip(self.state.t, new.sum(0, dtype=np.int64).tolist(), strict=True)]
+            for word in np.flatnonzero(new.any(1)).tolist():
+                self.state.tw[word] = [a + b for a, b in zip(self.state.tw[word], new[word].tolist(), strict=True)]
+        return self.state
+
     def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(lengths, words, topics) of the documents, in order."""
         if self.waiting:
@@ -121,13 +215,16 @@ class Spool:
 
     def taken(self) -> Iterator[GibbsState]:
         """The state, holding one chunk after another."""
+        self.counted()
         for sizes, words, z in self.chunks():
-            ends = np.cumsum(sizes).tolist()
+            ends, k = np.cumsum(sizes).tolist(), self.state.k
             spans = list(zip([0, *ends[:-1]], ends, strict=True))
-            self.state.take(*([x[a:b] for a, b in spans] for x in (words.tolist(), z.tolist())))
+            dt = np.bincount(np.repeat(np.arange(len(sizes)) * k, sizes) + z, minlength=len(sizes) * k).reshape(-1, k).tolist()
+            self.state.take(*([x[a:b] for a, b in spans] for x in (words.tolist(), z.tolist())), dt)
             yield self.state
 
     def sweep(self) -> None:
+        self.counted()
         for (offset, sizes), state in zip(self.places, self.taken(), strict=True):
             state.sweep(self.rng)
             self.file.seek(offset + 4 * int(sizes.sum()))
@@ -145,8 +242,7 @@ def spooled(docs: Iterable[np.ndarray], num_topics: int, vocab_size: int, alpha:
     out = Spool(state, seed)
     for words in docs:
         out.add(words)
-    if out.waiting:
-        out.flush()
+    out.counted()
     for _ in range(iters):
         out.sweep()
     return out
@@ -265,8 +361,6 @@ def gibbs_runs(docs: DataFrame, vocab_size: int, num_topics: int = 3, alpha: flo
     (``Spool``). ``distributed_gibbs`` spreads a corpus over tasks."""
 
     def sampled(run: str, spool: Spool, ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if spool.waiting:
-            spool.flush()
         for _ in range(iters):
             spool.sweep()
         ids, at = np.concatenate(ids), 0
