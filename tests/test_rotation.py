@@ -154,3 +154,52 @@ def test_each_block_has_a_task_of_its_own(spark, blocks):
 
     rotation.rotating_gibbs(docs.select("doc_id", "word_ids"), held, vocab, 4, iters=1, seed=1, blocks=blocks)
     assert [len(x) for x in rounds] == [blocks] * blocks  # a task writes one file
+
+
+@pytest.mark.parametrize("steps", [1, 2])
+def test_a_documents_steps_are_those_of_its_tokens(steps):
+    rng, k, vocab = random.Random(4), 7, 20
+    docs = [[rng.randrange(vocab) for _ in range(n)] for n in (1, 30, 12, 0, 45) * 3]
+    topics = [[rng.randrange(k) for _ in d] for d in docs]
+
+    def slice_of():
+        model = rotation.Slice(k, vocab, 0.3, 0.1, [sum(z == x for d in topics for z in d) for x in range(k)], steps)
+        for w in range(vocab):
+            model.add(w, list(range(k)), [sum(v == w and z == x for d, t in zip(docs, topics, strict=True) for v, z in zip(d, t, strict=True)) for x in range(k)])
+        return model
+
+    together, apart = slice_of(), slice_of()
+    for d, (words, z) in enumerate(zip(docs, topics, strict=True)):
+        mine, own, held = [j for j in range(len(words)) if j % 3], list(z), list(z)
+        together.sweep(np.array(words, np.int32), own, mine, generator(1, "x", d), True)
+        draws = iter(generator(1, "x", d).random(len(mine) * 4 * steps).tolist())
+        for j in mine:
+            apart.rows[words[j]][held[j]] -= 1
+            apart.t[held[j]] -= 1
+            counts = {x: n for x in range(k) if (n := sum(y == x for i, y in enumerate(held) if i != j))}
+            held[j] = apart.stepped(words[j], held[j], j, held, counts, draws)
+            apart.rows[words[j]][held[j]] += 1
+            apart.t[held[j]] += 1
+        assert own == held and all(type(x) is int for x in own)
+    assert together.t == apart.t and together.rows == apart.rows
+
+
+def test_a_documents_steps_are_taken_faster():
+    rng, k = random.Random(1), 100
+    words, topics = [rng.randrange(20) for _ in range(4000)], [rng.randrange(k) for _ in range(4000)]
+    model = rotation.Slice(k, 500, 0.1, 0.1, [1000] * k)
+    for w in range(20):
+        model.add(w, list(range(k)), [20 + rng.randrange(5) for _ in range(k)])
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    def apart():
+        counts, draws = {x: topics.count(x) for x in range(k)}, iter(np.random.default_rng(1).random(4000 * 8).tolist())
+        for j, w in enumerate(words):
+            model.stepped(w, topics[j], j, topics, counts, draws)
+
+    together = min(seconds(lambda: model.sweep(words, list(topics), list(range(4000)), np.random.default_rng(1), True)) for _ in range(3))
+    assert together < 0.9 * min(seconds(apart) for _ in range(3))

@@ -36,19 +36,19 @@ class Alias:
     def __init__(self, weights: list[float]):
         n, total = len(weights), sum(weights)
         share, other = [x * n / total for x in weights], list(range(n))
-        low, high = [], []
-        for k, x in enumerate(share):
-            (low if x < 1 else high).append(k)
+        low, high = [k for k, x in enumerate(share) if x < 1], [k for k, x in enumerate(share) if x >= 1]
         while low and high:
-            j = high[-1]
+            j = high.pop()
             left = share[j]
             while low:  # as long as this column fills others
                 k = low.pop()
                 other[k] = j
                 left -= 1 - share[k]
                 if left < 1:
-                    low.append(high.pop())
+                    low.append(j)
                     break
+            else:
+                high.append(j)
             share[j] = left
         for k in (*low, *high):
             share[k] = 1.0
@@ -81,8 +81,12 @@ class Slice:
             row[z] = n
 
     def made(self, word: int) -> Alias:
-        beta, vb = self.beta, self.vb
-        return Alias([(n + beta) / (t + vb) for n, t in zip(self.rows[word], self.t, strict=True)])
+        vb = self.vb
+        return self.table_of(word, [t + vb for t in self.t])
+
+    def table_of(self, word: int, below: list[float]) -> Alias:
+        beta = self.beta
+        return Alias([(n + beta) / x for n, x in zip(self.rows[word], below, strict=True)])
 
     def table(self, word: int) -> Alias:
         alias, used = self.tables.get(word, (None, self.k))
@@ -105,7 +109,7 @@ class Slice:
 
     def stepped(self, word: int, z: int, j: int, topics: list[int], counts: dict[int, int], draws: Iterator[float]) -> int:
         """From the topic z of the token at j, which counts leave out. The parts of z's
-        posterior are kept while z stays: this is where a sweep's time goes."""
+        posterior are kept while z stays. ``_swept`` takes the same steps for a document."""
         row, t, alpha, beta, vb, size, n = self.rows[word], self.t, self.alpha, self.beta, self.vb, self.k, len(topics) - 1
         table, used = self.tables.get(word, (None, size))
         ends, held = n + size * alpha, counts.get
@@ -139,10 +143,13 @@ class Slice:
 
     def sweep(self, words: list[int], topics: list[int], mine: list[int], rng: np.random.Generator, sparse: bool) -> None:
         """Draws the topics of a document's tokens at the places ``mine``, in order."""
+        if sparse:
+            self._swept(np.asarray(words), topics, np.asarray(mine, np.int64), rng)
+            return
         counts: dict[int, int] = {}
         for z in topics:
             counts[z] = counts.get(z, 0) + 1
-        draws = iter(rng.random(len(mine) * (4 * self.steps if sparse else 1)).tolist())
+        draws = iter(rng.random(len(mine)).tolist())
         t = self.t
         for j in mine:
             word, old = words[j], topics[j]
@@ -153,12 +160,60 @@ class Slice:
                 del counts[old]
             else:
                 counts[old] -= 1
-            new = self.stepped(word, old, j, topics, counts, draws) if sparse else self.dense(word, counts, next(draws))
+            new = self.dense(word, counts, next(draws))
             topics[j] = new
             counts[new] = counts.get(new, 0) + 1
             row[new] += 1
             t[new] += 1
 
+    def _proposed(self, mine: np.ndarray, n: int, rng: np.random.Generator) -> Iterator[tuple]:
+        """What the steps of the tokens at ``mine`` propose, as far as draws alone tell:
+        a column of the word's table and the place in it, a number to accept by, a
+        document's proposal (a token's place, or a topic below zero, from -1 down), another number."""
+        draws = rng.random(len(mine) * 4 * self.steps).reshape(-1, 4)
+        column, at = draws[:, 0] * self.k, draws[:, 2] * (n + self.k * self.alpha)
+        of, place = column.astype(np.int64), at.astype(np.int64)
+        place += place >= np.repeat(mine, self.steps)
+        topic = np.minimum(((at - n) / self.alpha).astype(np.int64), self.k - 1)
+        return zip(of.tolist(), (column - of).tolist(), draws[:, 1].tolist(), np.where(at < n, place, -1 - topic).tolist(), draws[:, 3].tolist(), strict=True)
+
+    def _swept(self, words: np.ndarray, topics: list[int], mine: np.ndarray, rng: np.random.Generator) -> None:
+        """A document's steps in one loop: this is where a sweep's time goes."""
+        t, rows, tables, alpha, beta, vb, size, steps = self.t, self.rows, self.tables, self.alpha, self.beta, self.vb, self.k, range(self.steps)
+        counts, below, proposed = [0.0] * size, [x + vb for x in t], self._proposed(mine, len(topics) - 1, rng)
+        for z in topics:
+            counts[z] += 1.0
+        for word, j in zip(words[mine].tolist(), mine.tolist(), strict=True):
+            row, z = rows[word], topics[j]
+            row[z] -= 1
+            t[z] -= 1
+            below[z] = t[z] + vb
+            counts[z] -= 1.0
+            w, d = row[z] + beta, below[z]
+            table, used = tables.get(word, (None, size))
+            for _ in steps:
+                if used >= size:
+                    table, used = self.table_of(word, below), 0
+                used += 1
+                new, part, u, at, v = next(proposed)
+                if part >= table.share[new]:
+                    new = table.other[new]
+                if new != z:
+                    w_new, d_new, weights = row[new] + beta, below[new], table.weights
+                    if u * ((counts[z] + alpha) * w / d * weights[new]) < (counts[new] + alpha) * w_new / d_new * weights[z]:
+                        z, w, d = new, w_new, d_new
+                new = topics[at] if at >= 0 else -1 - at
+                if new != z:
+                    w_new, d_new = row[new] + beta, below[new]
+                    if v * w * d_new < w_new * d:
+                        z, w, d = new, w_new, d_new
+            tables[word] = (table, used)
+            topics[j] = z
+            counts[z] += 1.0
+            row[z] += 1
+            t[z] += 1
+            below[z] = t[z] + vb
+
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
@@ -207,21 +262,27 @@ def rotating_gibbs(docs: DataFrame, keep: Callable, vocab_size: int, num_topics:
                     return [*rows, (TOTALS, place, 0, [x - y for x, y in zip(model.t, totals, strict=True)], [])]
 
                 for batch in batches:
-                    for at, kind, block, of, a, b in zip(*(batch.column(c).to_pylist() for c in ("place", "kind", "block", "id", "a", "b")), strict=True):
+                    kinds, places = (batch.column(c).to_numpy() for c in ("kind", "place"))
+                    ids, lists = batch.column("id").to_pylist(), [batch.column(c) for c in ("a", "b")]
+                    (a, ends), (b, b_ends) = ((x.values.to_numpy(), x.offsets.to_numpy()) for x in lists)
+                    drawn = np.empty(len(b), np.int32)
+                    for r, (at, kind, of) in enumerate(zip(places.tolist(), kinds.tolist(), ids, strict=True)):
                         if at != place:
                             if model:
                                 out += done()
                             place, model = at, Slice(num_topics, vocab_size, alpha, beta, totals, steps)
+                        own, held = a[ends[r] : ends[r + 1]], b[b_ends[r] : b_ends[r + 1]].tolist()
                         if kind == WORD:
-                            model.add(of, a, b)
+                            model.add(of, own.tolist(), held)
                             continue
-                        mine = [j for j, w in enumerate(a) if w % blocks == (at + turn) % blocks]
-                        if mine:
-                            model.sweep(a, b, mine, generator(seed, f"rotate{k}.{turn}", of), sparse)
-                        out.append((kind, block, of, a, b))
-                        if len(out) >= 1000:
-                            yield _batch(out)
-                            out = []
+                        mine = np.flatnonzero(own % blocks == (at + turn) % blocks)
+                        if len(mine):
+                            model.sweep(own if sparse else own.tolist(), held, mine.tolist(), generator(seed, f"rotate{k}.{turn}", of), sparse)
+                        drawn[b_ends[r] : b_ends[r + 1]] = held
+                    if len(documents := np.flatnonzero(kinds == DOCUMENT)):
+                        first, last = int(documents[0]), int(documents[-1]) + 1
+                        swept = pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("block"), batch.column("id"), lists[0], pa.ListArray.from_arrays(lists[1].offsets, pa.array(drawn))], names=["kind", "block", "id", "a", "b"])
+                        yield swept.slice(first, last - first) if last - first == len(documents) else swept.take(pa.array(documents))
                 if model:
                     out += done()
                 for a in range(0, len(out), 1000):
