@@ -48,5 +48,5 @@ def token_hash_sql(doc: str, pos: str, sweep: int, seed: int) -> str:
 def generator(seed: int, purpose: str, unit: int | str = 0) -> np.random.Generator:
     """An own stream for each purpose and unit, so that evaluating never shifts
     what learning draws."""
-    words = [seed & 0xFFFFFFFF, *purpose.encode(), *str(unit).encode()]
+    words = np.array([seed & 0xFFFFFFFF, *purpose.encode(), *str(unit).encode()], np.uint32)  # of a list, numpy would make an array of each
     return np.random.Generator(np.random.Philox(np.random.SeedSequence(words)))

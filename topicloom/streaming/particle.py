@@ -478,9 +478,10 @@ class ParticleFilter:
         if (source != np.arange(n)).any():
             self.models.resampled(source)
             self.t = self.t[source]
-            for d in self.reservoir if any(d is doc for d in self.reservoir) else [*self.reservoir, doc]:
-                counts, d.z = self._dt(d), d.z[source]
-                d.counted = d.z, counts[source]
+            docs = self.reservoir if any(d is doc for d in self.reservoir) else [*self.reservoir, doc]
+            for d, counts in zip(docs, np.stack([self._dt(d) for d in docs])[:, source], strict=True):
+                d.z = d.z[source]
+                d.counted = d.z, counts
             self.moved.update(range(len(self.reservoir)))
         self.labels.resampled(source)
         self.weights = np.full(n, 1.0 / n)
@@ -549,55 +550,54 @@ class ParticleFilter:
             work.append(([at[w] for w in held.tolist()], doc.z.tolist(), own.tolist(), [rng.random((len(held), n)).T.tolist() for _ in range(steps)]))
         last, four = k - 1, k == 4
         for m in range(n):
-            n0, n1, n2, n3 = rows[m]
+            counts = n0, n1, n2, n3 = rows[m]
             b0, b1, b2, b3 = totals[m]
             for places, z, every, draws in work:
                 topics = z[m]
                 a0, a1, a2, a3 = every[m]
                 for step in draws:
-                    for j, (i, u, old) in enumerate(zip(places, step[m], topics, strict=True)):
+                    for j, i, u, old in zip(range(len(places)), places, step[m], topics, strict=True):
+                        r0, r1, r2, r3 = n0[i], n1[i], n2[i], n3[i]
                         if old == 0:
-                            n0[i] -= 1
+                            r0 -= 1
                             a0 -= 1.0
                             b0 -= 1.0
                         elif old == 1:
-                            n1[i] -= 1
+                            r1 -= 1
                             a1 -= 1.0
                             b1 -= 1.0
                         elif old == 2:
-                            n2[i] -= 1
+                            r2 -= 1
                             a2 -= 1.0
                             b2 -= 1.0
                         else:
-                            n3[i] -= 1
+                            r3 -= 1
                             a3 -= 1.0
                             b3 -= 1.0
-                        c0 = (n0[i] + beta) * a0 / b0
-                        c1 = c0 + (n1[i] + beta) * a1 / b1
-                        c2 = c1 + (n2[i] + beta) * a2 / b2
-                        u *= c2 + (n3[i] + beta) * a3 / b3 if four else c2
+                        c0 = (r0 + beta) * a0 / b0
+                        c1 = c0 + (r1 + beta) * a1 / b1
+                        c2 = c1 + (r2 + beta) * a2 / b2
+                        u *= c2 + (r3 + beta) * a3 / b3 if four else c2
                         if u < c0 or not last:
                             new = 0
-                            n0[i] += 1
                             a0 += 1.0
                             b0 += 1.0
                         elif u < c1 or last == 1:
                             new = 1
-                            n1[i] += 1
                             a1 += 1.0
                             b1 += 1.0
                         elif u < c2 or last == 2:
                             new = 2
-                            n2[i] += 1
                             a2 += 1.0
                             b2 += 1.0
                         else:
                             new = 3
-                            n3[i] += 1
                             a3 += 1.0
                             b3 += 1.0
                         if new != old:
                             topics[j] = new
+                            counts[old][i] -= 1
+                            counts[new][i] += 1
             totals[m] = [b0, b1, b2, b3]
         model = self.models.rows.reshape(-1)
         for doc, held, (_, z, _, _) in zip(docs, words, work, strict=True):
