@@ -4,10 +4,12 @@ import time
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from topicloom.functions.rng import generator as rng_of
 from topicloom.operators import gibbs
+from topicloom.plans.evaluation import evaluate_changes, evaluate_models
 from topicloom.plans.params import FilterParams
 from topicloom.streaming import particle
 
@@ -80,3 +82,40 @@ def test_few_topics_are_swept_faster(monkeypatch):
     few = min(seconds() for _ in range(3))
     monkeypatch.setattr(gibbs, "FEW_TOPICS", 0)
     assert few < 0.9 * min(seconds() for _ in range(3))
+
+
+def learner(models=True, every=5, turns=200, vocab_size=3000):
+    params = FilterParams.of(num_particles=4, num_topics=3, reservoir_size=10, init_num_docs=6, init_num_iters=2, rejuv_sample_size=2, ess_threshold=3.0).dict()
+    rng, recorder = np.random.default_rng(2), particle.Recorder(particle.ParticleFilter(params, vocab_size, 1), "r", every, models, True)
+    for doc in range(turns):
+        yield recorder, list(recorder.step(doc, (rng.integers(0, vocab_size, 12)).tolist(), str(doc % 2)))
+
+
+def test_evaluated_models_are_told_as_changes(monkeypatch):
+    """What is told grows with the documents gone by, not with models times words."""
+    monkeypatch.setattr(particle.Recorder, "TOGETHER", 7)
+    told, want = [], []
+    for recorder, frames in learner():
+        for rows in frames:
+            told.append(rows)
+            want.append((int(rows["iter"].iloc[0]), recorder.pf.tw[recorder.pf.best()].astype(np.int64)))
+    rows = pd.concat(told).rename(columns={"n": "begun"})
+    found = [(k, tw.copy()) for _, k, tw in particle.through(rows, 3000, 3)]
+    assert len(found) == len(want) > 30 and len(set(rows["begun"])) == -(-len(want) // 7)
+    assert all(a == c and (b == d).all() for (a, b), (c, d) in zip(found, want, strict=True))
+    assert sum(len(x) // 2 for x in rows["ids"]) < 0.5 * sum(int((tw != 0).sum()) for _, tw in want)
+
+
+def test_changes_are_scored_as_whole_models(spark, monkeypatch):
+    monkeypatch.setattr(particle.Recorder, "TOGETHER", 4)
+    told = pd.concat([rows for _, frames in learner(turns=80, vocab_size=60) for rows in frames])
+    changes = spark.createDataFrame([(r.run_id, int(r.n), int(r.iter), int(r.topic), r.ids.tolist()) for r in told.itertuples()], "run_id string, begun bigint, iter bigint, topic int, ids array<int>")
+    whole = [(run, k, t, int(w), int(tw[w, t])) for run, k, tw in particle.through(told.rename(columns={"n": "begun"}), 60, 3) for t in range(3) for w in np.flatnonzero(tw[:, t])]
+    whole = spark.createDataFrame(whole, "run_id string, iter bigint, topic int, word_id int, n bigint")
+    rng = np.random.default_rng(1)
+    test = spark.createDataFrame([(d, "ab"[d % 2], rng.integers(0, 60, int(n)).tolist()) for d, n in enumerate(rng.integers(0, 20, 50))], "doc_id bigint, category string, word_ids array<int>")
+    p = FilterParams.of(num_topics=3, init_seed=1, test_num_iters=2, ltr_eval=True, ltr_num_particles=2)
+    want = {tuple(r)[:3]: pytest.approx(r.value) for r in evaluate_models(whole, test, 60, p, True, 5).collect()}
+    assert len(want) == 6 * len(set(told["iter"]))
+    for how in ({}, {"block_docs": 7}, {"block_tokens": 40, "together": 2}):
+        assert {tuple(r)[:3]: r.value for r in evaluate_changes(changes, test, 60, p, True, 5, **how).collect()} == want

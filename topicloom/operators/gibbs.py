@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.functions.rng import generator
+from topicloom.operators import lanes
 from topicloom.operators.lanes import columns, dealt
 from topicloom.sources.scratch import by_group
 
@@ -282,17 +283,30 @@ def inferred(words: list[int], phi: list[list[float]], num_topics: int, alpha: f
     return dt
 
 
-def inferred_all(docs: Sequence[np.ndarray], phi: np.ndarray, num_topics: int, alpha: float, iters: int, rngs: Sequence[np.random.Generator]) -> np.ndarray:
-    """What ``inferred`` gives for each of many documents of word ids."""
+def drawn_for(docs: Sequence[np.ndarray], num_topics: int, iters: int, rngs: Sequence[np.random.Generator], cells: int = 1 << 18) -> Iterator[tuple]:
+    """Documents dealt and put in columns, with their first topics and the draws of each
+    sweep, which are the same whatever the model."""
+    for group, longer in dealt([len(d) for d in docs], cells):
+        own, longest = np.arange(len(group)), len(longer)
+        first = columns([rngs[d].integers(0, num_topics, len(docs[d])) for d in group.tolist()], own, longest)
+        draws = (columns([rngs[d].random(len(docs[d])) for d in group.tolist()], own, longest) for _ in range(iters))
+        yield group, longer, columns(docs, group, longest), first, draws
+
+
+def inferred_all(docs: Sequence[np.ndarray], phi: np.ndarray, num_topics: int, alpha: float, iters: int, rngs: Sequence[np.random.Generator] = (), drawn: Iterable[tuple] | None = None) -> np.ndarray:
+    """What ``inferred`` gives for each of many documents of word ids; ``drawn`` is what
+    ``drawn_for`` gave before, for many models."""
     out = np.zeros((len(docs), num_topics), np.int64)
-    for group, longer in dealt([len(d) for d in docs], 1 << 18):
-        words, longest = columns(docs, group, len(longer)), len(longer)
-        z, dt = columns([rngs[d].integers(0, num_topics, len(docs[d])) for d in group.tolist()], np.arange(len(group)), longest), np.zeros((len(group), num_topics))
+    by_topic = list(np.ascontiguousarray(phi.T)) if num_topics < lanes.FEW_TOPICS else []
+    for group, longer, words, first, every in drawn_for(docs, num_topics, iters, rngs) if drawn is None else drawn:
+        if by_topic:
+            out[group] = _inferred_few(longer, words, first, every, by_topic, alpha)
+            continue
+        z, dt = first.copy(), np.zeros((len(group), num_topics))
         flat, row = dt.reshape(-1), np.arange(len(group)) * num_topics
         for j, b in enumerate(longer.tolist()):
             flat[row[:b] + z[j, :b]] += 1
-        for _ in range(iters):
-            draws = columns([rngs[d].random(len(docs[d])) for d in group.tolist()], np.arange(len(group)), longest)
+        for draws in every:
             for j, b in enumerate(longer.tolist()):
                 flat[row[:b] + z[j, :b]] -= 1
                 c = dt[:b] + alpha
@@ -305,6 +319,33 @@ def inferred_all(docs: Sequence[np.ndarray], phi: np.ndarray, num_topics: int, a
     return out
 
 
+def _inferred_few(longer: np.ndarray, words: np.ndarray, first: np.ndarray, every: Iterable[np.ndarray], by_topic: list[np.ndarray], alpha: float) -> np.ndarray:
+    """Counts of topics (documents x topics) of one group: a step takes one topic after
+    another, each an array over the documents."""
+    z, topics, steps = first.astype(np.int8), range(len(by_topic)), longer.tolist()
+    held = np.arange(z.shape[1]) < longer[:, None]  # the rest fills columns up
+    dt = np.array([((z == t) & held).sum(0) for t in topics], float).reshape(len(by_topic), -1)
+    for draws in every:
+        for j, b in enumerate(steps):
+            w, old, own = words[j, :b], z[j, :b], dt[:, :b]
+            sums: list[np.ndarray] = []
+            for t, d in enumerate(own):
+                d -= old == t
+                c = d + alpha
+                c *= by_topic[t].take(w)
+                if t:
+                    c += sums[-1]
+                sums.append(c)
+            u = draws[j, :b] * sums[-1]
+            new = np.zeros(b, np.int8)
+            for c in sums[:-1]:
+                new += c <= u
+            z[j, :b] = new
+            for t, d in enumerate(own):
+                d += new == t
+    return dt.T
+
+
 def swept_all(docs: Sequence[np.ndarray], topics: Sequence[np.ndarray], model: np.ndarray, totals: np.ndarray, vocab_size: int, alpha: float, beta: float, rngs: Sequence[np.random.Generator]) -> list[np.ndarray]:
     """The topics after a ``GibbsState.sweep`` of each of many documents, which meets the
     counts (words x topics, and all words') and its own changes alone: documents go side

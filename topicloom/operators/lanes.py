@@ -20,6 +20,11 @@ def dealt(sizes: Sequence[int], cells: int = 1 << 20) -> Iterator[tuple[np.ndarr
         yield group, np.searchsorted(-sizes[group], -np.arange(longest), "left")
 
 
+#: Topics below which a step takes one topic after another, each an array over documents:
+#: numpy adds up so few numbers of a row one by one, so results are the same.
+FEW_TOPICS = 8
+
+
 def columns(docs: Sequence[np.ndarray], group: np.ndarray, longest: int) -> np.ndarray:
     """The documents of a group as columns, filled up with zeros."""
     out = np.zeros((longest, len(group)), docs[group[0]].dtype)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from topicloom.functions.rng import generator
 from topicloom.operators.counts import topic_model, unseen_phi
 from topicloom.operators.gibbs import counted
-from topicloom.operators.lanes import columns, dealt
+from topicloom.operators.lanes import FEW_TOPICS, columns, dealt
 from topicloom.sources.scratch import by_group
 
 
@@ -72,11 +72,32 @@ def sent_model(counts: DataFrame, num_topics: int, vocab_size: int, beta: float,
     return counts.sparkSession.sparkContext.broadcast((tw + beta) / (tw.sum(0) + vocab_size * beta))
 
 
-def document_lls(docs: Sequence[np.ndarray], phi: np.ndarray, num_topics: int, alpha: float) -> np.ndarray:
-    """The first-moment likelihoods of documents of word ids."""
+def document_lls(docs: Sequence[np.ndarray], phi: np.ndarray, num_topics: int, alpha: float, lanes: Iterable[tuple] | None = None) -> np.ndarray:
+    """The first-moment likelihoods of documents of word ids; ``lanes`` are the documents
+    dealt and put in columns before, for many models."""
     out, k_alpha = np.zeros(len(docs)), num_topics * alpha
-    for group, longer in dealt([len(d) for d in docs]):
-        words, dt, ll = columns(docs, group, len(longer)), np.full((len(group), num_topics), alpha), np.zeros(len(group))
+    if lanes is None:
+        lanes = ((group, longer, columns(docs, group, len(longer))) for group, longer in dealt([len(d) for d in docs]))
+    by_topic = list(np.ascontiguousarray(phi.T)) if num_topics < FEW_TOPICS else []
+    for group, longer, words in lanes:
+        ll = np.zeros(len(group))
+        if by_topic:
+            dt = np.full((num_topics, len(group)), alpha)
+            for n, b in enumerate(longer.tolist()):
+                w, own = words[n, :b], dt[:, :b]
+                x = [p.take(w) for p in by_topic]
+                for one, d in zip(x, own, strict=True):
+                    one *= d
+                s = x[0].copy()
+                for one in x[1:]:
+                    s += one
+                ll[:b] += np.log(s / (n + k_alpha))
+                for one, d in zip(x, own, strict=True):
+                    one /= s
+                    d += one
+            out[group] = ll
+            continue
+        dt = np.full((len(group), num_topics), alpha)
         for n, b in enumerate(longer.tolist()):
             x = phi[words[n, :b]]
             x *= dt[:b]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from topicloom.operators import vocab
-from topicloom.plans.evaluation import METRICS, evaluate_models
+from topicloom.plans.evaluation import METRICS, evaluate_changes
 from topicloom.plans.params import FilterParams
 from topicloom.streaming import particle
 
@@ -64,10 +64,10 @@ class OnlineRun:
         told.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
         rows = spark.read.schema(particle.REPLAYED).parquet(f"{self.path}/rows/batch={batch}")
         found = particle.events_of(rows)
-        models = particle.models_of(rows)
+        models = particle.changes_of(rows)
         if self.test is not None and models.limit(1).count():
             p, how = self.p, self.how
-            found = found.unionByName(evaluate_models(models, self.test, self.vocab_size, p, how["labelled"], p.coherence_num_words))
+            found = found.unionByName(evaluate_changes(models, self.test, self.vocab_size, p, how["labelled"], p.coherence_num_words))
         found.write.mode("overwrite").parquet(f"{self.path}/metrics/batch={batch}")
 
     def finish(self) -> DataFrame:
@@ -93,9 +93,7 @@ class OnlineRun:
 
     def model(self) -> DataFrame:
         """(run_id, topic, word_id, n) of the best particle at the last evaluation."""
-        models = particle.models_of(self.rows())
-        last = models.groupBy("run_id").agg(F.max("iter").alias("iter"))
-        return models.join(last, ["run_id", "iter"]).select("run_id", "topic", "word_id", "n")
+        return particle.last_models(self.rows())
 
 
 def stream_documents(docs: DataFrame, words: DataFrame, seed: int, run_id: str = "run.0") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from topicloom.functions.rng import generator
 from topicloom.operators import counts as C
 from topicloom.operators import gibbs, likelihood, selection, vocab
-from topicloom.plans.evaluation import evaluate_models
+from topicloom.plans.evaluation import evaluate_changes, evaluate_models, top_words
 from topicloom.plans.params import BatchParams, FilterParams, GibbsParams, ModelParams
 from topicloom.sources.corpus import read_topic_list
 from topicloom.sources.scratch import by_group, keep, spread
@@ -87,6 +87,18 @@ def reported(models: DataFrame, words: DataFrame, p: ModelParams) -> DataFrame:
     return top.join(words.select("word_id", "word"), "word_id").select("iter", "topic", "rank", "word", "n")
 
 
+def reported_changes(replayed: DataFrame, words: DataFrame, size: int, p: ModelParams) -> DataFrame:
+    """The same of models that are told as what changed."""
+    first = p.print_num_words_per_topic + p.skip_oov
+
+    def best(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, k, tw in particle.through(pd.concat(list(batches)), size, p.num_topics):
+            yield pd.DataFrame([(k, t, w, int(tw[w, t])) for t, top in enumerate(top_words(tw, first)) for w in top], columns=["iter", "topic", "word_id", "n"])
+
+    top = particle.changes_of(replayed).groupBy("run_id", "begun").applyInPandas(best, "iter bigint, topic int, word_id int, n bigint")
+    return reported(top, words, p)
+
+
 def several(docs: DataFrame) -> bool:
     return docs.select("category").distinct().limit(2).count() > 1
 
@@ -118,14 +130,18 @@ def gibbs_trace(docs: DataFrame, params: dict, vocab_size: int, iters: int, ever
     return by_group(docs, "run_id").groupBy("run_id").applyInPandas(kernel, particle.REPLAYED)
 
 
-def _run(replayed: DataFrame, rows: DataFrame, words: DataFrame, size: int, p: ModelParams, seed: int, labelled: bool, coherence_words: int, scores: DataFrame | None = None) -> Run:
-    models = particle.models_of(replayed)
-    found = evaluate_models(models, rows.where("split = 'test'"), size, p, labelled, coherence_words)
+def _run(replayed: DataFrame, rows: DataFrame, words: DataFrame, size: int, p: ModelParams, seed: int, labelled: bool, coherence_words: int, scores: DataFrame | None = None, changes: bool = False) -> Run:
+    test = rows.where("split = 'test'")
+    if changes:
+        found, topics = evaluate_changes(particle.changes_of(replayed), test, size, p, labelled, coherence_words), reported_changes(replayed, words, size, p)
+        model = particle.last_models(replayed).select("topic", "word_id", "n")
+    else:
+        models = particle.models_of(replayed)
+        found, topics = evaluate_models(models, test, size, p, labelled, coherence_words), reported(models, words, p)
+        model = models.where(F.col("iter") == models.agg(F.max("iter")).first()[0]).select("topic", "word_id", "n")
     found = keep(particle.events_of(replayed).unionByName(found).select("iter", "metric", "value"), "metrics")
-    last = models.agg(F.max("iter")).first()[0]
-    model = models.where(F.col("iter") == last).select("topic", "word_id", "n")
     dump = replayed.where("kind in ('particle', 'reservoir', 'particle_label')").drop("metric", "value") if p.debug else None
-    return Run(seed, found, model, reported(models, words, p), particle.labels_of(replayed).select("doc_id", "label"), scores, dump)
+    return Run(seed, found, model, topics, particle.labels_of(replayed).select("doc_id", "label"), scores, dump)
 
 
 def run_gibbs(docs: DataFrame, **given: object) -> Run:
@@ -172,7 +188,7 @@ def run_filter(docs: DataFrame, **given: object) -> Run:
         train = train.join(held, "doc_id", "left_anti")
         params |= {"init_num_docs": first.count() - held.count(), "gibbs_seed": tuning_seed(seed, run)}
     replayed = keep(particle.replay_all(train, params, size, models=True, debug=p.debug), "filter")
-    return _run(replayed, rows, words, size, p, seed, several(rows), p.coherence_num_words, scores)
+    return _run(replayed, rows, words, size, p, seed, several(rows), p.coherence_num_words, scores, changes=True)
 
 
 def tuning_seed(seed: int, run: int) -> int:

@@ -652,7 +652,10 @@ def _packed(x: np.ndarray) -> bytes:
 EVENTS = "run_id string, iter bigint, metric string, value double"
 LABELS = "run_id string, doc_id bigint, label int, version bigint"
 COUNTS = "run_id string, iter bigint, particle int, topic int, word_id int, n bigint"
-#: One row of any kind: an event, a label, a cell of a model, a document of the reservoir.
+#: One row of any kind: an event, a label, a topic of an evaluated model (``changes``), a
+#: cell of a particle's model, a document of the reservoir. Evaluated models come as what
+#: changed against the one before: words and numbers by turns in ``ids``; ``n`` is the
+#: evaluation that was told whole, from which on changes add up.
 REPLAYED = "kind string, run_id string, iter bigint, metric string, value double, doc_id bigint, particle int, topic int, word_id int, n bigint, ids array<int>"
 
 
@@ -674,6 +677,28 @@ def model_rows(run: str, k: int, particle: int, tw: np.ndarray) -> pd.DataFrame:
     return frame("model", run, iter=k, particle=particle, topic=z.astype(np.int32), word_id=w.astype(np.int32), n=tw[w, z].astype(np.int64))
 
 
+def change_rows(run: str, k: int, begun: int, change: np.ndarray) -> pd.DataFrame:
+    """A row a topic of what changed in a word x topic table."""
+    ids = []
+    for z, column in enumerate(change.T):
+        words = np.flatnonzero(column)
+        ids.append(np.stack([words, column[words]], 1).astype(np.int32).ravel())
+    return frame("changes", run, iter=k, topic=list(range(len(ids))), n=begun, ids=ids)
+
+
+def through(rows: pd.DataFrame, vocab_size: int, num_topics: int) -> Iterator[tuple[str, int, np.ndarray]]:
+    """(run_id, iter, words x topics) of changes (run_id, begun, iter, topic, ids), one
+    after another; the table is changed at the next."""
+    tw, last = np.zeros((vocab_size, num_topics), np.int64), None
+    for (run, begun, k), part in rows.groupby(["run_id", "begun", "iter"], sort=True):
+        if (run, begun) != last:
+            last = run, begun
+            tw[:] = 0
+        for topic, ids in zip(part["topic"], part["ids"], strict=True):
+            tw[ids[0::2], int(topic)] += ids[1::2]
+        yield run, int(k), tw
+
+
 class Recorder:
     """Steps a filter and tells REPLAYED rows of what happens on the way.
 
@@ -681,12 +706,17 @@ class Recorder:
     token (tokens before) of each document, resampling; after the initial ones,
     every ``eval_every`` and, once it is told so, all documents the NMI of all labels
     and of the initial ones (if ``labelled``) and the effective sample size, and the
-    best particle's model if asked for."""
+    best particle's model if asked for, whole or as what changed (``change_rows``)."""
+
+    #: Evaluations from one model that is told whole to the next.
+    TOGETHER = 64
 
     def __init__(self, pf: ParticleFilter, run: str, eval_every: int, models: bool, labelled: bool):
         self.pf, self.run, self.eval_every, self.models, self.labelled = pf, run, eval_every, models, labelled
         self.events: list[tuple[int, str, float]] = []
         self.settled: dict[int, int] = {}  # labels that settled on the way
+        self.told_model: np.ndarray | None = None  # as last told
+        self.begun, self.since = 0, 0  # the last evaluation told whole, and those told from it on
 
     @property
     def before(self) -> int:
@@ -703,7 +733,11 @@ class Recorder:
             self.events += [(k, "init_in_sample_nmi", first), (k, "in_sample_nmi", every)]
         self.events.append((k, "ess", pf.ess()))
         if self.models:
-            yield model_rows(self.run, k, 0, pf.models.of(pf.best()))
+            now = pf.models.of(pf.best())
+            if self.told_model is None or self.since == self.TOGETHER:
+                self.told_model, self.begun, self.since = np.zeros_like(now), k, 0
+            yield change_rows(self.run, k, self.begun, now - self.told_model)
+            self.told_model, self.since = now, self.since + 1
 
     def start(self) -> Iterator[pd.DataFrame]:
         """Of a filter that starts from a stored model."""
@@ -832,6 +866,20 @@ def models_of(replayed: DataFrame, kind: str = "model") -> DataFrame:
     return replayed.where(F.col("kind") == kind).select("run_id", "iter", "particle", "topic", "word_id", "n")
 
 
+def changes_of(replayed: DataFrame) -> DataFrame:
+    """(run_id, begun, iter, topic, ids) of evaluated models."""
+    return replayed.where("kind = 'changes'").select("run_id", F.col("n").alias("begun"), "iter", "topic", "ids")
+
+
+def last_models(replayed: DataFrame) -> DataFrame:
+    """(run_id, topic, word_id, n) of each run's last evaluated model."""
+    rows = changes_of(replayed)
+    rows = rows.join(rows.groupBy("run_id").agg(F.max("begun").alias("begun")), ["run_id", "begun"])
+    pairs = F.expr("transform(sequence(1, size(ids) div 2), k -> struct(ids[2 * k - 2] as word_id, ids[2 * k - 1] as n))")
+    cells = rows.where(F.size("ids") > 0).select("run_id", "topic", F.explode(pairs).alias("c")).select("run_id", "topic", "c.word_id", F.col("c.n").cast("long").alias("n"))
+    return cells.groupBy("run_id", "topic", "word_id").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
 BYTES, NUMBER, DOC = (StructType([StructField(name, kind)]) for name, kind in (("bytes", BinaryType()), ("number", IntegerType()), ("doc_id", LongType())))
 #: State variables that map a number, or a document, to bytes.
 MAPS = ("particles", "slots", "waiting", "labels", "starting")
