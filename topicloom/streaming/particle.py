@@ -388,16 +388,16 @@ class ParticleFilter:
     def _few(self) -> bool:
         return len(self.weights) <= FEW_PARTICLES and self.p["num_topics"] <= FEW_TOPICS
 
-    def _plain(self, words: np.ndarray) -> tuple[list, list, dict[int, int]]:
+    def _plain(self, words: np.ndarray) -> tuple[list, list, list[int]]:
         """Every particle's counts of the words by topic, its totals with their priors, and
         the words' places. Topics are filled up to FEW_TOPICS with ones of no mass."""
-        own, n, k = np.unique(words), len(self.weights), self.p["num_topics"]
+        (own, at), n, k = np.unique(words, return_inverse=True), len(self.weights), self.p["num_topics"]
         self.models.meet(own)
         rows = np.zeros((n, FEW_TOPICS, len(own)), np.int32)
         rows[:, :k] = self.models.rows[own].transpose(1, 2, 0)
         below = np.ones((n, FEW_TOPICS))
         below[:, :k] = self.t + self.v * self.p["beta"]
-        return rows.tolist(), below.tolist(), {w: i for i, w in enumerate(own.tolist())}
+        return rows.tolist(), below.tolist(), at.tolist()
 
     def _cells(self, words: np.ndarray, z: np.ndarray) -> np.ndarray:
         """Places in the flat models of every particle's topics z of words."""
@@ -412,8 +412,7 @@ class ParticleFilter:
         particles meet in the weights alone. Counts of the document and of all words are
         variables, as a token changes one of each."""
         n, beta, last = len(self.weights), self.p["beta"], self.p["num_topics"] - 1
-        rows, totals, at = self._plain(words)
-        places = [at[w] for w in words.tolist()]
+        rows, totals, places = self._plain(words)
         masses, room = np.empty((n, len(places))), np.empty((n, len(places)), np.int64)
         four, first = last == 3, [self.p["alpha"]] * (last + 1) + [0.0] * (FEW_TOPICS - last - 1)
         for m, own_draws in enumerate(np.ascontiguousarray(draws.T).tolist()):
@@ -457,8 +456,9 @@ class ParticleFilter:
         """Weights times the masses of tokens (rows) one after another, brought to a sum of
         one at every sixteenth."""
         weights = self.weights
-        for a in range(-15, len(masses), 16):
-            weights[:] = np.multiply.reduce(np.vstack([weights, masses[max(a, 0) : a + 16]]), axis=0)
+        for a in range(-15, len(masses), 16) if len(masses) else ():
+            masses[max(a, 0)] *= weights
+            np.multiply.reduce(masses[max(a, 0) : a + 16], axis=0, out=weights)
             if a + 15 < len(masses):
                 weights /= weights.sum()
 
@@ -541,23 +541,28 @@ class ParticleFilter:
         alpha, beta, steps = p["alpha"], p["beta"], p["rejuv_mcmc_steps"]
         if not docs:
             return
-        words = [d.words[: d.z.shape[1]] for d in docs]
-        rows, totals, at = self._plain(np.concatenate(words))
-        work = []
-        for doc, held in zip(docs, words, strict=True):
-            own = np.zeros((n, FEW_TOPICS))
-            own[:, :k] = self._dt(doc) + alpha
-            work.append(([at[w] for w in held.tolist()], doc.z.tolist(), own.tolist(), [rng.random((len(held), n)).T.tolist() for _ in range(steps)]))
+        words, was = np.concatenate([d.words[: d.z.shape[1]] for d in docs]), np.concatenate([d.z for d in docs], axis=1)
+        rows, totals, places = self._plain(words)
+        ends = np.cumsum([d.z.shape[1] for d in docs]).tolist()
+        spans = list(zip([0, *ends[:-1]], ends, strict=True))
+        own = np.zeros((n, len(docs), FEW_TOPICS))
+        own[:, :, :k] = np.stack([self._dt(d) for d in docs], 1) + alpha
+        # draws of a document's steps follow one another, by token
+        every, z, draws = own.tolist(), was.tolist(), np.ascontiguousarray(rng.random((len(words) * steps, n)).T).tolist()
         last, four = k - 1, k == 4
         for m in range(n):
             counts = n0, n1, n2, n3 = rows[m]
             b0, b1, b2, b3 = totals[m]
-            for places, z, every, draws in work:
-                topics = z[m]
-                a0, a1, a2, a3 = every[m]
-                for step in draws:
-                    for j, i, u, old in zip(range(len(places)), places, step[m], topics, strict=True):
-                        r0, r1, r2, r3 = n0[i], n1[i], n2[i], n3[i]
+            topics, uniform = z[m], draws[m]
+            for (start, end), (a0, a1, a2, a3) in zip(spans, every[m], strict=True):
+                held = places[start:end]
+                for at in range(start * steps, end * steps, end - start or 1):
+                    for j, i, u, old in zip(range(start, end), held, uniform[at : at + end - start], topics[start:end], strict=True):
+                        r0 = n0[i]
+                        r1 = n1[i]
+                        r2 = n2[i]
+                        if four:
+                            r3 = n3[i]
                         if old == 0:
                             r0 -= 1
                             a0 -= 1.0
@@ -599,12 +604,12 @@ class ParticleFilter:
                             counts[old][i] -= 1
                             counts[new][i] += 1
             totals[m] = [b0, b1, b2, b3]
-        model = self.models.rows.reshape(-1)
-        for doc, held, (_, z, _, _) in zip(docs, words, work, strict=True):
-            was, doc.z = doc.z, np.array(z, np.int64).reshape(n, -1)
-            moved = was != doc.z
-            np.subtract.at(model, self._cells(held, was)[moved], 1)
-            np.add.at(model, self._cells(held, doc.z)[moved], 1)
+        now, model = np.array(z, np.int64).reshape(n, -1), self.models.rows.reshape(-1)
+        moved = was != now
+        np.subtract.at(model, self._cells(words, was)[moved], 1)
+        np.add.at(model, self._cells(words, now)[moved], 1)
+        for doc, (start, end) in zip(docs, spans, strict=True):
+            doc.z = now[:, start:end].copy()
         self._totals(totals)
 
     # results
