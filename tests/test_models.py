@@ -6,6 +6,7 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from topicloom.functions.rng import generator as rng_of
 from topicloom.operators import gibbs
@@ -119,3 +120,17 @@ def test_changes_are_scored_as_whole_models(spark, monkeypatch):
     assert len(want) == 6 * len(set(told["iter"]))
     for how in ({}, {"block_docs": 7}, {"block_tokens": 40, "together": 2}):
         assert {tuple(r)[:3]: r.value for r in evaluate_changes(changes, test, 60, p, True, 5, **how).collect()} == want
+
+
+@pytest.mark.parametrize("many", [1000, 2])
+def test_every_run_has_a_task_of_its_own(spark, monkeypatch, many):
+    """A hash dealt two of these four into one of 16 parts."""
+    monkeypatch.setattr(particle, "MANY_RUNS", many)
+    runs = [f"{k}/run.{r}" for k in (0, 1) for r in (0, 1)]
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(run, 1, d, d, "ab"[d % 2], rng.integers(0, 20, 6).tolist()) for run in runs for d in range(12)], "run_id string, seed bigint, ord bigint, doc_id bigint, category string, word_ids array<int>")
+    params = FilterParams.of(num_particles=2, num_topics=2, init_num_docs=3, init_num_iters=1).dict()
+    replayed = particle.replay_all(docs, [params, params], 20)
+    assert {r.run_id for r in replayed.select("run_id").distinct().collect()} == set(runs)
+    tasks = replayed.select("run_id", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == 4 and (many < 4 or len({r.task for r in tasks}) == 4)
